@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from triagelake.llm.common import attach_by_key
+from triagelake.llm.common import attach_by_key, materialise
 
 
 def combine_copies(docs: DataFrame, text: Column, *, id_col: str = "doc_id", salts: int = 16) -> DataFrame:
@@ -37,7 +37,7 @@ def mark_duplicates(
     """
     text = normalise(F.coalesce(F.col(text_col), F.lit("")))
     results = ["keep_id", "group_size", "kept", "text_sha256"]
-    groups = combine_copies(docs, text, id_col=id_col, salts=salts).filter("n > 1")
+    groups = materialise(combine_copies(docs, text, id_col=id_col, salts=salts).filter("n > 1"), "copies")
     rows = docs.select(*(c for c in docs.columns if c not in results or c in (id_col, text_col)), F.sha2(text, 256).alias("text_sha256"))
     groups = groups.withColumnsRenamed({"digest": "text_sha256", "keep_id": "__keep"}).withColumn("__n", F.col("n"))
     out = attach_by_key(rows, groups, "text_sha256", ["__keep", "__n"], docs.count(), F.col(id_col))
