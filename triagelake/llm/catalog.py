@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm import exact_dedup, mixing, near_dedup, sharding
+from triagelake.llm import bpe, exact_dedup, language_id, mixing, near_dedup, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,19 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.one_of_repeats(marked)
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    return bpe.digests(_table(spark, sf_dir, "documents"), ranks_file=tokenizers.path("byte_bpe_50k.tiktoken"), pattern=tokenizers.PATTERN)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"))))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
 
@@ -84,7 +97,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op5_exact_dedup, op8_byte_shards, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op5_exact_dedup, op6_byte_bpe, op7_language_id, op8_byte_shards, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
