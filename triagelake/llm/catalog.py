@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm import bpe, exact_dedup, language_id, mixing, near_dedup, sharding
+from triagelake.llm import bpe, exact_dedup, html_text, language_id, mixing, near_dedup, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,17 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("order_id"), F.col("url").alias("target"), F.col("html").cast("binary").alias("payload"))
+    _, found = warc.archive(pages)
+    return found.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = exact_dedup.mark_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     marked = marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -89,6 +100,19 @@ SELECT c.doc_id, c.size, c.source_size, round(c.target, 6) AS target, CAST(c.cop
 FROM c
 """
 
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, coalesce(html, '') AS payload,
+         sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS original
+  FROM pages)
+SELECT page_id, payload_bytes,
+       translate(array_to_string([to_base(CAST('0x' || substr(hex, 1 + 5 * i, 5) AS BIGINT), 32, 4) FOR i IN range(8)], ''),
+                 '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to
+FROM p
+"""
+
 OP5_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -97,8 +121,8 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op5_exact_dedup, op6_byte_bpe, op7_language_id, op8_byte_shards, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_warc_revisits, op3_html_text, op5_exact_dedup, op6_byte_bpe, op7_language_id, op8_byte_shards, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op5_exact_dedup": OP5_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op2_warc_revisits": OP2_SQL, "op5_exact_dedup": OP5_SQL}
