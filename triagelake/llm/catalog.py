@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm import bpe, exact_dedup, html_text, language_id, mixing, near_dedup, sharding, warc
+from triagelake.llm import bpe, exact_dedup, fingerprints, html_text, language_id, mixing, near_dedup, sharding, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op4_paragraph_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(_table(spark, sf_dir, "documents")).drop("only_edited", "only_next")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = exact_dedup.mark_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     marked = marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -46,7 +50,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"))))
-    found = language_id.predict(docs, model)
+    found = language_id.annotate(docs.select("doc_id", "text"), model)
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
@@ -54,6 +58,12 @@ def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), tokenizer_file=tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -75,7 +85,7 @@ l AS (
   FROM w),
 t AS (
   SELECT source, source_size, rnk, CASE WHEN m IS NULL THEN most ELSE least(most, m * weight) END AS target
-  FROM (SELECT *, min(CASE WHEN lv * weight < most THEN lv END) OVER () AS m FROM l)),
+  FROM (SELECT *, max(CASE WHEN lv * weight < most THEN lv END) OVER () AS m FROM l)),
 g AS (
   SELECT rnk, k[1] AS t0, k[2] AS w0, k[3] AS slope, k[4] AS c0
   FROM t, unnest(CASE rnk % 3 WHEN 0 THEN [[0.0::DOUBLE, 1.0, 0.0, 0.0]]
@@ -121,7 +131,11 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_warc_revisits, op3_html_text, op5_exact_dedup, op6_byte_bpe, op7_language_id, op8_byte_shards, op10_near_dedup)}
+    every = (
+        op1_mix_sources, op2_warc_revisits, op3_html_text, op4_paragraph_tables, op5_exact_dedup, op6_byte_bpe,
+        op7_language_id, op8_byte_shards, op9_token_files, op10_near_dedup,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -138,20 +138,21 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of each whole text.
+def annotate(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """Every row of `docs` with lang_pred and score, predicted from its whole text.
 
     `und` with score 0 where the text is null or has no letter, or where the model has no language. The score is the
     share of the likelihood that the language has. Rows that repeat an id are all answered; an empty table
-    gives an empty one; only the text is looked at.
+    gives an empty one; only the text is looked at. Columns named lang_pred and score are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["id", "lang_pred", "score"])
+            found = [shared.value.predict(t) for t in batch.column("__text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*(f.name for f in keep), "lang_pred", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(text_col).alias("__text"), *(f"`{f.name}`" for f in keep))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "lang_pred string", "score double"])
+    return rows.mapInArrow(run, schema)

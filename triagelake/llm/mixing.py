@@ -43,7 +43,8 @@ def share_budget(sizes: DataFrame, *, weights: Sequence[float], budget_ratio: fl
     level = (F.lit(float(budget_ratio)) * F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (
         F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     )
-    capped = ranked.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") * F.col("weight") < F.col("most"), F.col("level"))).over(everything))
+    # Taking sources as capped that need not be only lowers the level, so the highest that leaves its own source below the cap is right.
+    capped = ranked.withColumn("level", level).withColumn("level", F.max(F.when(F.col("level") * F.col("weight") < F.col("most"), F.col("level"))).over(everything))
     target = F.when(F.col("level").isNull(), F.col("most")).otherwise(F.least("most", F.col("level") * F.col("weight")))
     return capped.withColumn("target", target).select("source", "source_size", "rank", "target")
 
@@ -119,5 +120,5 @@ def training_order(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id")
     Rows of `docs` that repeat an id share its copies: each is taken as often as the mix says for any of them, at most.
     """
     taken = mixed.filter("copies > 0").groupBy(id_col).agg(F.max_by("positions", "copies").alias("__positions"))
-    rows = docs.join(taken, id_col).withColumn("__position", F.explode("__positions")).drop("__positions")
-    return rows.orderBy("__position", id_col).drop("__position").select(*docs.columns)
+    rows = docs.join(taken.withColumnRenamed(id_col, "__id"), F.col(id_col).eqNullSafe(F.col("__id"))).withColumn("__position", F.explode("__positions"))
+    return rows.orderBy("__position", id_col).select(*docs.columns)
