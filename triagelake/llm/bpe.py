@@ -14,8 +14,9 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces that a worker remembers, and the longest that it does.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 600_000, 48
 
 
 class Vocabulary:
@@ -34,7 +35,12 @@ class Vocabulary:
         self.bytes = {r: b for b, r in ranks.items()}
         self.longest = max(map(len, ranks))
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self.known_fits: dict[tuple[int, int], bool] = {}
+        self._automaton = ahocorasick.Automaton()
+        self.made = {b: r for b, r in ranks.items() if len(b) == 1 or self.halves(r) is not None}
+        for data, token in self.made.items():
+            self._automaton.add_word(data.decode("latin-1"), (len(data), token))
+        self._automaton.make_automaton()
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for single bytes and tokens that merging never makes."""
@@ -52,11 +58,11 @@ class Vocabulary:
     def fits(self, left: int, right: int) -> bool:
         """Whether the encoding of both tokens' bytes together is these two tokens."""
         key = (left, right)
-        known = self._fits.get(key)
+        known = self.known_fits.get(key)
         if known is None:
-            if len(self._fits) > 2_000_000:
-                self._fits.clear()
-            known = self._fits[key] = self._check(left, right)
+            if len(self.known_fits) > 2_000_000:
+                self.known_fits.clear()
+            known = self.known_fits[key] = self._check(left, right)
         return known
 
     def _check(self, left: int, right: int) -> bool:
@@ -75,13 +81,9 @@ class Vocabulary:
             else:
                 until, right = right + 0.5, b[0]
 
-    def tokens_ending(self, data: bytes, end: int) -> Iterator[tuple[int, int]]:
-        """(length, token) of the tokens that data[:end] ends with and that merging makes, longest first."""
-        ranks = self.ranks
-        for start in range(max(0, end - self.longest), end):
-            token = ranks.get(data[start:end])
-            if token is not None and (end - start == 1 or self.halves(token) is not None):
-                yield end - start, token
+    def matches(self, text: str, start: int) -> Iterator[tuple[int, tuple[int, int]]]:
+        """(end - 1, (length, token)) of the tokens within text[start:], bytes as characters: by end, longest first."""
+        return self._automaton.iter(text, start)
 
 
 class Prefixes:
@@ -91,30 +93,43 @@ class Prefixes:
         self.vocabulary, self.data, self.last = vocabulary, b"", []
         self.append(data)
 
-    def _next(self, data: bytes, last: Sequence[int], end: int) -> int:
-        for length, token in self.vocabulary.tokens_ending(data, end):
-            if length == end or self.vocabulary.fits(last[end - length - 1], token):
-                return token
-        raise ValueError(f"the vocabulary has no token that ends {data[:end][-20:]!r}")
+    def _extend(self, text: str, last: list[int]) -> Iterator[int]:
+        """Appends the last token of each further prefix of `text` to `last`; yields after each."""
+        known, fits = self.vocabulary.known_fits, self.vocabulary.fits
+        end = len(last)
+        for at, (length, token) in self.vocabulary.matches(text, max(0, end - self.vocabulary.longest)):
+            if at < end:
+                continue
+            if at > end:
+                break
+            if length <= at:
+                before = last[at - length]
+                good = known.get((before, token))
+                if not (good or (good is None and fits(before, token))):
+                    continue
+            last.append(token)
+            end += 1
+            yield token
+        if end < len(text):
+            raise ValueError(f"the vocabulary has no token that ends {text[: end + 1][-20:]!r}")
 
     def append(self, data: bytes) -> None:
         self.data += data
-        for end in range(len(self.last) + 1, len(self.data) + 1):
-            self.last.append(self._next(self.data, self.last, end))
+        for _ in self._extend(self.data.decode("latin-1"), self.last):
+            pass
 
     def replace(self, start: int, stop: int, data: bytes) -> int:
         """Puts `data` in place of bytes start to stop; returns how many prefixes were computed."""
-        old, tail = self.last, self.last[stop:]
-        changed = self.data[:start] + data + self.data[stop:]
+        old, changed = self.last, self.data[:start] + data + self.data[stop:]
         last, same, done = old[:start], 0, 0
         shift = len(data) - (stop - start)
-        for end in range(start + 1, len(changed) + 1):
+        for token in self._extend(changed.decode("latin-1"), last):
+            done += 1
+            end = len(last)
+            same = same + 1 if end > start + len(data) and token == old[end - 1 - shift] else 0
             if same >= self.vocabulary.longest:
-                last.extend(tail[end - 1 - start - len(data) :])
+                last.extend(old[end - shift :])
                 break
-            last.append(self._next(changed, last, end))
-            done += 1
-            same = same + 1 if end > start + len(data) and last[-1] == old[end - 1 - shift] else 0
         self.data, self.last = changed, last
         return done
 
@@ -135,11 +150,12 @@ class Encoder(dict):
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         data = piece.encode("utf-8", "surrogatepass")
-        token = self.vocabulary.ranks.get(data)
-        ids = (token,) if token is not None and (len(data) == 1 or self.vocabulary.halves(token) is not None) else tuple(Prefixes(self.vocabulary, data).tokens())
+        token = self.vocabulary.made.get(data)
+        ids = (token,) if token is not None else tuple(Prefixes(self.vocabulary, data).tokens())
         if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
+            if len(self) >= REMEMBERED:  # the older half goes
+                for old in list(islice(self, REMEMBERED // 2)):
+                    del self[old]
             self[piece] = ids
         return ids
 
