@@ -10,7 +10,8 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ REMEMBERED = 200_000
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in WORDS.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
+    found = WORDS.findall(text.lower())
+    return found if all(map(str.isalpha, found)) else [w for w in found if any(map(str.isalpha, w))]
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -44,17 +46,12 @@ class Model:
     languages: list[str]
     words: dict[str, np.ndarray]
     grams: dict[int, dict[str, np.ndarray]]
-    _seen: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def word(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is None:
-            known = self._seen.get(word)
-        if known is None:
-            if len(self._seen) > REMEMBERED:
-                self._seen.clear()
-            known = self._seen[word] = self.back_off(word)
-        return known
+
+    def __post_init__(self) -> None:
+        self._rows = _Rows(self)
+
+    def __reduce__(self):
+        return Model, (self.languages, self.words, self.grams)
 
     def back_off(self, word: str) -> np.ndarray:
         padded, total, count = f"^{word}$", np.zeros(len(self.languages)), 0
@@ -82,14 +79,38 @@ class Model:
         found = words_of(text or "")
         if not found or not self.languages:
             return UNDETERMINED, 0.0
-        total = np.zeros(len(self.languages))
-        for word, n in Counter(found).items():
-            total += n * self.word(word)
+        at = np.fromiter(map(self._rows.__getitem__, found), np.int64, len(found))
+        total = self._rows.scores[at].sum(axis=0)
+        self._rows.trim()
         likely = np.exp(total - total.max())
         best = int(likely.argmax())
         return self.languages[best], float(likely[best] / likely.sum())
 
 
+class _Rows(dict):
+    """The row of each word in a table of scores, which grows by the unseen words that are met."""
+
+    def __init__(self, model: Model):
+        super().__init__(zip(model.words, range(len(model.words)), strict=True))
+        self.model, self.known = model, len(self)
+        self.scores = np.zeros((self.known + 1024, len(model.languages)))
+        if self.known:
+            self.scores[: self.known] = np.stack(list(model.words.values()))
+
+    def __missing__(self, word: str) -> int:
+        row = self[word] = len(self)
+        if row == len(self.scores):
+            self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
+        self.scores[row] = self.model.back_off(word)
+        return row
+
+    def trim(self) -> None:
+        """Forgets the unseen words when there are too many."""
+        if len(self) - self.known > REMEMBERED:
+            for word in list(islice(self, self.known, None)):
+                del self[word]
+
+
 def _log_frequencies(counts: dict[str, dict[str, float]], languages: list[str]) -> dict[str, np.ndarray]:
     sums = np.array([sum(c.get(language, 0) for c in counts.values()) for language in languages], float)
     return {k: np.log((np.array([c.get(language, 0.0) for language in languages]) + 0.5) / (sums + 0.5 * len(counts) + 1.0)).astype(np.float32) for k, c in counts.items()}
