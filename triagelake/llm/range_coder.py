@@ -17,7 +17,7 @@ import zlib
 import numpy as np
 
 #: Ids of a block, and blocks coded in step.
-BLOCK, LANES = 4096, 1024
+BLOCK, LANES = 4096, 512
 #: Ids are below this.
 IDS = 1 << 16
 _TABLE = 1 << 12
