@@ -32,7 +32,7 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_paragraph_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.compare_with_edits(_table(spark, sf_dir, "documents")).drop("only_edited", "only_next")
+    return fingerprints.compare_with_edits(_table(spark, sf_dir, "documents"), with_digests=False)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,31 +1,32 @@
 """Fingerprints of documents as invertible Bloom lookup tables of their paragraphs.
 
-A paragraph is a line, or a run of up to 16 words of a longer one; its digest is 64 bits. A table has three parts of 2^s cells;
+A paragraph is a line, or a run of up to 24 words of a longer one; its digest is 64 bits. A table has three parts of 2^s cells;
 a digest is added to one cell of each part, which keeps a count, the XOR of digests and the XOR of a check hash.
 Subtracting the tables of two versions cancels what they share. Peeling then recovers the rest: a cell that holds one
 digest (count 1 or -1, and the check fits) gives it away, and taking it out of its other cells opens those. Rounds of peeling go
 through the parts in turn, as a digest is in one cell only of each. A table that cannot be peeled is built anew four times as large.
 
-Everything is DataFrame functions over (key, cell) rows. Rows of a document stay in the partition that the shuffle of its text put it in, so neither
+Everything is DataFrame functions over (key, cell) rows. A document's digests are written once, in a table bucketed by its key, so neither
 tables nor peeling shuffle anything. The neighbour in id order comes from a range-partitioned table of ids, joined over partition borders.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from triagelake.llm.common import materialise
+from triagelake.llm.common import materialise, scratch_path
 
 #: Words of a line that make a paragraph, at most.
-PIECE = r"(?:\S++[^\S\n]*+){1,16}+"
+PIECE = r"(?:\S++[^\S\n]*+){1,24}+"
 KEY = ["k1", "k2"]
 #: Cells in each part of the fingerprint string, as a power of two; the least of any table.
 FOLD = 4
-#: Rounds of peeling before a table counts as failed; sizes tried in one go.
-ROUNDS, LEVELS = 14, 3
+#: Rounds of peeling before a table counts as failed; sizes tried at most (the last is 4^11 times the first).
+ROUNDS, LEVELS = 14, 12
 CELL, FOUND = 0, 1
 
 
@@ -34,9 +35,9 @@ def paragraph_digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PIECE), 0), lambda p: F.xxhash64(F.rtrim(p))))
 
 
-def _cell(digest: Column, part: Column, bits: Column, seed: int) -> Column:
+def _cell(digest: Column, part: Column, mask: Column, seed: int) -> Column:
     """The number of the cell of `part` that holds a digest."""
-    return F.shiftleft(part.cast("long"), 40) + F.xxhash64(digest, part, F.lit(seed)).bitwiseAND(F.expr("shiftleft(1L, __b)") - 1 if bits is None else bits)
+    return F.shiftleft(part.cast("long"), 40) + F.xxhash64(digest, part, F.lit(seed)).bitwiseAND(mask)
 
 
 def _check(digest: Column) -> Column:
@@ -71,22 +72,21 @@ def peel(table: DataFrame, keys: list[str], seed: int, rounds: int = ROUNDS) ->
     return table
 
 
-def differences(pairs: DataFrame, level: int) -> DataFrame:
-    """One row a document: for each pair (KEY, pair, a, b), left_<pair>, the cells that didn't peel, and only_<pair>, digests on one side only with their signs.
+def differences(pairs: DataFrame, level: int, with_digests: bool) -> DataFrame:
+    """One row a pair (KEY, pair): left, the cells that didn't peel, differ, how many digests were recovered, and if asked for only, those with their signs.
 
-    `pairs` holds pairs 0 and 1 of arrays of digests. Tables have 2^s cells a part, at least three quarters as many in all
-    as the longer array has digests, four times as many for each level.
+    `pairs` has arrays of digests a and b. Tables have 2^s cells a part, at least three quarters as many in all
+    as the longer array has digests, four times as many for each level. Pairs without a difference have no row.
     """
     most = F.greatest(F.size("a"), F.size("b"), F.lit(1))
     bits = F.greatest(F.ceil(F.log2(most / F.lit(4.0))), F.lit(FOLD)) + 2 * level
     signed = F.concat(F.transform("a", lambda d: F.struct(d.alias("digest"), F.lit(1).cast("long").alias("sign"))), F.transform("b", lambda d: F.struct(d.alias("digest"), F.lit(-1).cast("long").alias("sign"))))
-    rows = pairs.select(*KEY, "pair", _mask(bits).alias("mask"), F.explode(signed).alias("d")).select(*KEY, "pair", "mask", "d.digest", "d.sign")
     keys = [*KEY, "pair"]
+    rows = pairs.select(*keys, _mask(bits).alias("mask"), F.explode(signed).alias("d")).select(*keys, "mask", "d.digest", "d.sign")
     peeled = peel(cells(rows, keys, level), keys, level)
-    of = lambda pair, kind: (F.col("pair") == pair) & (F.col("kind") == kind)
-    found = [F.count(F.when(of(p, CELL), 1)).alias(f"left_{p}") for p in (0, 1)]
-    found += [F.collect_list(F.when(of(p, FOUND), F.struct(F.col("x").alias("digest"), F.col("count").alias("sign")))).alias(f"only_{p}") for p in (0, 1)]
-    return peeled.groupBy(*KEY).agg(*found)
+    found = F.when(F.col("kind") == FOUND, F.struct(F.col("x").alias("digest"), F.col("count").alias("sign")))
+    wanted = [F.count(F.when(F.col("kind") == CELL, 1)).alias("left"), F.count(found).alias("differ"), *([F.collect_list(found).alias("only")] if with_digests else [])]
+    return peeled.groupBy(*keys).agg(*wanted)
 
 
 def table_strings(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -94,7 +94,10 @@ def table_strings(rows: DataFrame, names: list[str]) -> DataFrame:
 
     The string is the number of digests and the SHA-256 of the cells that aren't empty, in order.
     """
-    every = F.concat(*(F.transform(n, lambda d, i=i: F.struct(F.lit(i).alias("which"), d.alias("digest"))) for i, n in enumerate(names)))
+    def tagged(which: int, name: str) -> Column:
+        return F.transform(name, lambda d: F.struct(F.lit(which).alias("which"), d.alias("digest")))
+
+    every = F.concat(*(tagged(i, n) for i, n in enumerate(names)))
     flat = rows.select(*KEY, F.explode(every).alias("d")).select(*KEY, "d.which", "d.digest", F.lit(1).cast("long").alias("sign"), F.lit((1 << FOLD) - 1).cast("long").alias("mask"))
     table = cells(flat, [*KEY, "which"], 0)
     cell = F.struct("at", "count", "x", "check")
@@ -120,12 +123,35 @@ def next_in_order(ids: DataFrame) -> DataFrame:
     return out.select("k1", "k2", F.col("before.k1").alias("to_k1"), F.col("before.k2").alias("to_k2"), F.floor(F.col("before.n") / 4).cast("int").alias("want"))
 
 
-def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_bucketed(rows: DataFrame, name: str) -> DataFrame:
+    """Writes rows to the shared folder in buckets of KEY, as many as there are shuffle partitions, and reads them as a table."""
+    spark = rows.sparkSession
+    path, table = scratch_path(spark, name), f"{name}_{uuid.uuid4().hex}"
+    rows.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *KEY).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def recover(pairs: DataFrame, with_digests: bool) -> DataFrame:
+    """What differs in each pair (KEY, pair, a, b), retrying larger until every table has peeled: (KEY, pair, differ and, if asked for, only)."""
+    done = []
+    for level in range(LEVELS):
+        found = materialise(differences(pairs, level, with_digests), "differences")
+        done.append(found.filter("left = 0").drop("left"))
+        failed = found.filter("left > 0").select(*KEY, F.col("pair").alias("__pair"))
+        if failed.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        # One row a key on this side, so that the buckets of the other are what the join needs.
+        failed = failed.groupBy(*KEY).agg(F.collect_set("__pair").alias("__open"))
+        pairs = pairs.join(failed, KEY).filter(F.array_contains("__open", F.col("pair"))).drop("__open")
+    raise RuntimeError("a table of paragraph digests did not peel at any size")
+
+
+def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_digests: bool = True) -> DataFrame:
     """Fingerprints of every document and its edited text, and what differs between it, the edited text and the next document.
 
     The edited text has the last quarter of the code points replaced by the first as many (or all) of the next document in order of id;
     the last one's next is the first. Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and
-    only_edited, only_next: arrays of (digest, sign), sign 1 for digests that only the document has. Likeness is twice the
+    (with_digests) only_edited, only_next: arrays of (digest, sign), sign 1 for digests that only the document has. Likeness is twice the
     shared digests by all digests of both, 1 where neither has any. A null text is empty. Rows that repeat an id are ordered by hashes;
     rows that repeat id and text are one document and answered once each. Null ids come first. An empty table gives an empty one.
     """
@@ -134,36 +160,30 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = rows.withColumns({"k1": F.xxhash64(F.lit(1), "id", "text"), "k2": F.xxhash64(F.lit(2), "text", "id")})
     ids = rows.select(*KEY, "id", F.length("text").alias("n")).groupBy(*KEY, "id").agg(F.max("n").alias("n"))
     order = next_in_order(ids)
-    whole = rows.groupBy(*KEY, "id").agg(F.max("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     whole = rows.groupBy(*KEY).agg(F.max("id").alias("id"), F.max("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     heads = whole.join(order, KEY).select(F.col("to_k1").alias("k1"), F.col("to_k2").alias("k2"), F.expr("left(text, want)").alias("head"), paragraph_digests(F.col("text")).alias("next"))
-    n = F.length("text")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), F.col("head"))
-    base = whole.join(heads, KEY).select(*KEY, "id", "copies", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), paragraph_digests(F.col("text")).alias("own"), paragraph_digests(edited).alias("edited"), "next")
+    base = whole.join(heads, KEY).select(*KEY, "id", "copies", F.length("text").cast("long").alias("n_chars"), F.col("text"), edited.alias("__edited"), "next")
+    base = base.select(*KEY, "id", "copies", "n_chars", F.sha2("__edited", 256).alias("edited_sha256"), paragraph_digests(F.col("text")).alias("own"), paragraph_digests(F.col("__edited")).alias("edited"), "next")
+    base = write_bucketed(base, "digests")
 
     pair = lambda i, b: F.struct(F.lit(i).alias("pair"), F.col("own").alias("a"), F.col(b).alias("b"))
-    pairs = lambda of: of.select(*KEY, F.explode(F.array(pair(0, "edited"), pair(1, "next"))).alias("p"), *(["open"] if "open" in of.columns else [])).select(*KEY, "p.*", *(["open"] if "open" in of.columns else []))
+    pairs = base.select(*KEY, F.explode(F.array(pair(0, "edited"), pair(1, "next"))).alias("p")).select(*KEY, "p.*")
+    found = recover(pairs, with_digests)
+    of = lambda p, c: F.max(F.when(F.col("pair") == p, F.col(c))).alias(f"{c}_{p}")
+    found = found.groupBy(*KEY).agg(*(of(p, c) for p in (0, 1) for c in (["differ", "only"] if with_digests else ["differ"])))
+    tables = table_strings(base, ["own", "edited"])
+    out = base.join(tables, KEY, "left").join(found, KEY, "left")
+
+    def like(differ: str, other: str) -> Column:
+        both = F.size("own") + F.size(other)
+        return F.when(both == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.coalesce(F.col(differ), F.lit(0)) / both)
+
+    name = lambda array, table: F.concat(F.size(array).cast("string"), F.lit(":"), F.coalesce(F.col(table), F.lit("")))
     none = F.array().cast("array<struct<digest:bigint,sign:bigint>>")
-    results = [differences(pairs(base), 0)]
-    for level in range(1, LEVELS):
-        failed = results[-1].filter("left_0 > 0 OR left_1 > 0").select(*KEY, F.array(F.col("left_0") > 0, F.col("left_1") > 0).alias("open"))
-        again = pairs(base.select(*KEY, "own", "edited", "next").join(failed, KEY)).filter(F.element_at("open", F.col("pair") + 1)).drop("open")
-        results.append(differences(again, level))
-    out = base.select(*KEY, "id", "copies", "n_chars", "edited_sha256", F.size("own").alias("__own"), F.size("edited").alias("__edited"), F.size("next").alias("__next"))
-    out = out.join(table_strings(base, ["own", "edited"]), KEY, "left")
-    for level, result in enumerate(results):
-        out = out.join(result.select(*KEY, *(F.col(c).alias(f"{c}_{level}") for c in ("left_0", "left_1", "only_0", "only_1"))), KEY, "left")
-
-    def settled(p: int) -> Column:
-        # No row at the first level: nothing differs. A level that was not run has no row, or none for the pair.
-        tried = [F.when((F.coalesce(F.col(f"left_{p}_{k}"), F.lit(0)) == 0), F.coalesce(F.col(f"only_{p}_{k}"), none)) for k in range(LEVELS)]
-        return reduce(lambda later, k: F.when(F.coalesce(F.col(f"left_{p}_{k}"), F.lit(0)) == 0, F.coalesce(F.col(f"only_{p}_{k}"), none)).otherwise(later), reversed(range(LEVELS - 1)), tried[-1])
-
-    out = out.withColumns({"only_edited": settled(0), "only_next": settled(1)})
-    like = lambda only, other: F.when(F.col("__own") + F.col(other) == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.size(only) / (F.col("__own") + F.col(other)))
-    name = lambda size, table: F.concat(F.col(size).cast("string"), F.lit(":"), F.coalesce(F.col(table), F.lit("")))
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    digests = [F.coalesce("only_0", none).alias("only_edited"), F.coalesce("only_1", none).alias("only_next")] if with_digests else []
     return out.select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", name("__own", "own_table").alias("fingerprint"), name("__edited", "edited_table").alias("edited_fingerprint"),
-        like("only_edited", "__edited").alias("near_edited"), like("only_next", "__next").alias("near_next"), "only_edited", "only_next",
-    )
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", name("own", "own_table").alias("fingerprint"), name("edited", "edited_table").alias("edited_fingerprint"),
+        like("differ_0", "edited").alias("near_edited"), like("differ_1", "next").alias("near_next"), *digests,
+    )
