@@ -1,4 +1,7 @@
-"""The catalogue of queries over the operators, with the SQL each is held against."""
+"""The catalogue of queries over the operators, with the SQL that each is held against.
+
+Names are those of the operator inventory. Queries without SQL here are tested against brute force in tests/.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +9,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from triagelake.plans import queries_metrics, queries_sequences, queries_tables
+
 Query = Callable[[SparkSession, str], DataFrame]
+_MODULES = (queries_metrics, queries_sequences, queries_tables)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in _MODULES for name, sql in module.SQL.items()}
