@@ -15,10 +15,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from triagelake.functions.text import WILDCARD
 
-ALIGNED = "ref_status array<string>, hyp_status array<string>, ref_to_hyp array<int>, wild_runs array<int>"
+
+
+def _arrays(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, T.ArrayType(kind)) for name, kind in kinds.items()])
+
+
+ALIGNED = _arrays(ref_status=T.StringType(), hyp_status=T.StringType(), ref_to_hyp=T.IntegerType(), wild_runs=T.IntegerType())
 
 
 @dataclass
@@ -129,7 +136,7 @@ def operations(a: Alignment) -> list[tuple[str, int, int]]:
     return out + [(a.hyp_status[k], -1, k) for k in range(j, len(a.hyp_status))]
 
 
-@F.pandas_udf("word_loss array<double>, gap_loss array<double>")
+@F.pandas_udf(_arrays(word_loss=T.DoubleType(), gap_loss=T.DoubleType()))
 def losses(ref: pd.Series, hyp: pd.Series, ref_weight: pd.Series, hyp_weight: pd.Series) -> pd.DataFrame:
     """Weighted error fixed by checking each hypothesis token and each gap: a substitution costs its heavier side, a deletion its gap."""
     words, gaps = [], []
@@ -147,7 +154,7 @@ def losses(ref: pd.Series, hyp: pd.Series, ref_weight: pd.Series, hyp_weight: pd
     return pd.DataFrame({"word_loss": words, "gap_loss": gaps})
 
 
-@F.pandas_udf("agree array<int>, extra array<int>")
+@F.pandas_udf(_arrays(agree=T.IntegerType(), extra=T.IntegerType()))
 def second_opinion(hyp: pd.Series, other: pd.Series) -> pd.DataFrame:
     """Where another transcript agrees with each token, and how many tokens more it has in each gap (longest matching blocks first)."""
     agree, extra = [], []

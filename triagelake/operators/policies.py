@@ -115,7 +115,7 @@ def fit_platt(df: DataFrame, p: str = "r", y: str = "y", intercept_only: bool =
     rows = df.select(logit(F.col(p)).alias("z"), F.col(y).cast("double").alias("y")).groupBy("z").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
 
     def newton(free: bool) -> tuple[float, float]:
-        a, b = 1.0, 0.0
+        a, b = (0.0 if free else 1.0), 0.0
         for _ in range(steps):
             q = sigmoid(F.lit(a) * F.col("z") + F.lit(b))
             g, w = F.col("k") - F.col("n") * q, F.col("n") * q * (1 - q)

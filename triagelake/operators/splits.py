@@ -15,7 +15,7 @@ def group_split(sizes: Mapping[str, int], shares: Mapping[str, float]) -> dict[s
     """Whole groups, largest first, to the split that lacks most of its share."""
     total, have, out = sum(sizes.values()), dict.fromkeys(shares, 0), {}
     for group, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
-        split = max(shares, key=lambda s: ((shares[s] * total - have[s]) / max(shares[s] * total, 1e-9), s))
+        split = max(shares, key=lambda s: (shares[s] * total - have[s]) / max(shares[s] * total, 1e-9))
         out[group], have[split] = split, have[split] + n
     return out
 

@@ -215,7 +215,7 @@ def bs_unpaired(spark, d):
     return _difference(bootstrap.replicate_ratios(u, ["ev"], table, stats), bootstrap.replicate_ratios(u, ["ev"], other, stats))
 
 
-@query("st_one_sided_p", _DRAWS, "SELECT ev, round((count(*) FILTER (wer <= 0.15) + 1)::DOUBLE / (count(*) + 1), 6) AS p_value FROM reps GROUP BY ev")
+@query("st_one_sided_p", _DRAWS, "SELECT ev, round((count(*) FILTER (wer <= 0.15) + 1)::DOUBLE / (count(wer) + 1), 6) AS p_value FROM reps GROUP BY ev")
 def st_one_sided_p(spark, d):
     u, table, stats = _reps(spark, d)
     return rounded(bootstrap.replicate_ratios(u, ["ev"], table, stats).groupBy("ev").agg(bootstrap.one_sided_p(F.col("wer") <= 0.15).alias("p_value")))
@@ -228,13 +228,13 @@ def st_holm(spark, d):
     return rounded(bootstrap.holm(tests, ["ev"], "p", "group_id"))
 
 
-@query("st_hypotheses", _DRAWS, """, t AS (SELECT ev, (count(*) FILTER (wer <= 0.17) + 1)::DOUBLE / (count(*) + 1) AS p, avg(CAST(wer IS NULL AS INT)) AS undefined FROM reps GROUP BY ev)
+@query("st_hypotheses", _DRAWS, """, t AS (SELECT ev, round((count(*) FILTER (wer <= 0.17) + 1)::DOUBLE / (count(wer) + 1), 12) AS p, avg(CAST(wer IS NULL AS INT)) AS undefined FROM reps GROUP BY ev)
 SELECT ev, round(p, 6) AS p, undefined <= 0.05 AS testable, round(max(s) OVER (ORDER BY p, ev), 6) AS p_holm FROM (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, ev) + 1) * p) AS s FROM t)""")
 def st_hypotheses(spark, d):
     u, table, stats = _reps(spark, d)
     reps = bootstrap.replicate_ratios(u, ["ev"], table, stats)
     tests = reps.groupBy("ev").agg(bootstrap.one_sided_p(F.col("wer") <= 0.17).alias("p"), (F.avg(F.col("wer").isNull().cast("double")) <= 0.05).alias("testable"))
-    return rounded(bootstrap.holm(tests.withColumn("family", F.lit(1)), ["family"], "p", "ev").drop("family"))
+    return rounded(bootstrap.holm(tests.withColumn("family", F.lit(1)).withColumn("p", F.round("p", 12)), ["family"], "p", "ev").drop("family"))
 
 
 @query("st_ks", UNITS, """SELECT ev, n0, n1, round(max(abs(a / n0::DOUBLE - b / n1::DOUBLE)), 6) AS ks FROM (
