@@ -150,7 +150,7 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """Fingerprints of every document and its edited text, and what differs between it, the edited text and the next document.
 
     The edited text has the last quarter of the code points replaced by the first as many (or all) of the next document in order of id;
-    the last one's next is the first. Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and
+    the last one's next is the first. Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id and
     (with_digests) only_edited, only_next: arrays of (digest, sign), sign 1 for digests that only the document has. Likeness is twice the
     shared digests by all digests of both, 1 where neither has any. A null text is empty. Rows that repeat an id are ordered by hashes;
     rows that repeat id and text are one document and answered once each. Null ids come first. An empty table gives an empty one.
@@ -161,10 +161,12 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     ids = rows.select(*KEY, "id", F.length("text").alias("n")).groupBy(*KEY, "id").agg(F.max("n").alias("n"))
     order = next_in_order(ids)
     whole = rows.groupBy(*KEY).agg(F.max("id").alias("id"), F.max("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    heads = whole.join(order, KEY).select(F.col("to_k1").alias("k1"), F.col("to_k2").alias("k2"), F.expr("left(text, want)").alias("head"), paragraph_digests(F.col("text")).alias("next"))
+    # Both uses of `whole` read all of its columns, so that its text is shuffled once.
+    heads = whole.join(order, KEY).filter("copies > 0")
+    heads = heads.select(F.col("to_k1").alias("k1"), F.col("to_k2").alias("k2"), F.col("id").alias("next_id"), F.expr("left(text, want)").alias("head"), paragraph_digests(F.col("text")).alias("next"))
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), F.col("head"))
-    base = whole.join(heads, KEY).select(*KEY, "id", "copies", F.length("text").cast("long").alias("n_chars"), F.col("text"), edited.alias("__edited"), "next")
-    base = base.select(*KEY, "id", "copies", "n_chars", F.sha2("__edited", 256).alias("edited_sha256"), paragraph_digests(F.col("text")).alias("own"), paragraph_digests(F.col("__edited")).alias("edited"), "next")
+    base = whole.join(heads, KEY).select(*KEY, "id", "copies", "next_id", F.length("text").cast("long").alias("n_chars"), F.col("text"), edited.alias("__edited"), "next")
+    base = base.select(*KEY, "id", "copies", "next_id", "n_chars", F.sha2("__edited", 256).alias("edited_sha256"), paragraph_digests(F.col("text")).alias("own"), paragraph_digests(F.col("__edited")).alias("edited"), "next")
     base = write_bucketed(base, "digests")
 
     pair = lambda i, b: F.struct(F.lit(i).alias("pair"), F.col("own").alias("a"), F.col(b).alias("b"))
@@ -185,5 +187,5 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     digests = [F.coalesce("only_0", none).alias("only_edited"), F.coalesce("only_1", none).alias("only_next")] if with_digests else []
     return out.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", name("own", "own_table").alias("fingerprint"), name("edited", "edited_table").alias("edited_fingerprint"),
-        like("differ_0", "edited").alias("near_edited"), like("differ_1", "next").alias("near_next"), *digests,
+        like("differ_0", "edited").alias("near_edited"), like("differ_1", "next").alias("near_next"), "next_id", *digests,
     )
