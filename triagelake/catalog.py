@@ -9,10 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triagelake.plans import queries_metrics, queries_sequences, queries_tables
+from triagelake.plans import queries_metrics, queries_more, queries_sequences, queries_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (queries_metrics, queries_sequences, queries_tables)
+_MODULES = (queries_metrics, queries_sequences, queries_tables, queries_more)
 
 
 def queries() -> dict[str, Query]:
