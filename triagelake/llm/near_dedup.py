@@ -3,19 +3,23 @@
 Documents with the same shingle set are one class; what follows sees classes. Every class has a minwise sketch. A tree
 branches the classes by a selected coordinate of it: classes with the same minimum go to the same child. A node of a
 few classes is compared exhaustively; a larger one branches again, by two coordinates that its path selects, and
-several independent trees make up for a pair that one of them parts. Pairs found by their sketches are then confirmed on full
-sets, and components are those of confirmed links.
+several independent trees make up for a pair that one of them parts.
 
 A large node of near copies would never branch apart, so before branching, every large node is compared with one of
-its classes, the pivot. Classes that are nearly the pivot (`core`) leave the node: two of them need no link to each
-other, and whatever else is linked to one of them is, by the triangle inequality of the Jaccard distance, at least
-half like the pivot; those (`rim`) are compared with the core in blocks of bounded size. No partner is dropped, and no
-node emits all of its pairs.
+its classes, the pivot (the class of most documents). Classes that look linked to the pivot (`core`) leave the node:
+whatever else is linked to one of them is, by the triangle inequality of the Jaccard distance, about half like the
+pivot; those (`rim`) are compared with the core in blocks of bounded size.
+
+What the trees give is not every candidate pair but, for each node, a forest that connects its candidates, so its size
+is that of the classes. Pairs of the forest are confirmed on full sets first. Where classes that the forests
+connect are still different components, each class outside of the largest of them is compared with all others there, sketches
+first and then full sets, in blocks, and the links found join the components. No partner is dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +36,15 @@ TREES = 12
 #: Coordinates by which a large node branches.
 BRANCHES = 2
 #: Classes in a node that is compared exhaustively.
-LEAF = 64
-#: Sketch likeness below which a pair is not looked at again: five standard deviations under 0.75.
-CANDIDATE = 0.56
-#: Sketch likeness to the pivot that makes a class part of the core, and the least one of the rim.
-CORE, RIM = 0.9, 0.3
-#: Classes on each side of a block of core against rim.
+LEAF = 160
+#: Sketch likeness below which a pair is no candidate: 3.4 standard deviations under 0.75.
+CANDIDATE = 0.62
+#: Sketch likeness to the pivot that makes a class part of the core, and of the rim.
+CORE, RIM = 0.75, 0.3
+#: Classes on each side of a block, about.
 BLOCK = 512
-#: Levels after which what is left of a node is compared in blocks, whole.
-LEVELS = 16
+#: Levels of branching; a node that is still large after them is compared whole, in blocks.
+LEVELS = 2
 
 PAIRS = "a long, b long, likeness double"
 
@@ -74,45 +78,82 @@ def _pairs(a: list, b: list, likeness: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(likeness, pa.float64())], names=["a", "b", "likeness"])
 
 
+def _forest(like: np.ndarray, first: list[int], second: list[int]) -> list[tuple[int, int]]:
+    """Pairs (row, column) of a forest of greatest likeness that connects what candidate pairs connect; rows and columns are numbered by first and second."""
+    i, j = np.nonzero(like >= CANDIDATE)
+    parent, pairs = list(range(max([*first, *second], default=0) + 1)), []
+    for k in np.argsort(-like[i, j], kind="stable").tolist():
+        a, b = _root(parent, first[i[k]]), _root(parent, second[j[k]])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            pairs.append((int(i[k]), int(j[k])))
+    return pairs
+
+
+def _root(parent: list[int], x: int) -> int:
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
 def compare_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes (ids, sketches) to candidate pairs; of classes that are nearly one of them, only their pairs with that one and with others."""
+    """Nodes (ids, sketches) to candidate pairs."""
     for batch in batches:
         a, b, likeness = [], [], []
         for ids, column in zip(batch.column("ids").to_pylist(), batch.column("sketches").to_pylist(), strict=True):
             s = _sketches(column)
             like = (s[:, None, :] == s[None, :, :]).mean(axis=2)
-            owner = np.full(len(ids), -1)
-            for i in range(len(ids)):
-                if owner[i] < 0:
-                    owner[(like[i] >= CORE) & (owner < 0)] = i
-                    owner[i] = i
-            i, j = np.nonzero(np.triu(like >= CANDIDATE, 1))
-            keep = (owner[i] != owner[j]) | (owner[j] == i) | (owner[i] == j)
-            for x, y in zip(i[keep], j[keep], strict=True):
+            for x, y in _forest(np.triu(like, 1), list(range(len(ids))), list(range(len(ids)))):
                 a.append(min(ids[x], ids[y])), b.append(max(ids[x], ids[y])), likeness.append(float(like[x, y]))
         yield _pairs(a, b, likeness)
 
 
 def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks (left, left_sketches, right, right_sketches) to candidate pairs across."""
+    """Blocks (left, left_sketches, right, right_sketches) to a forest of candidate pairs across, which connects what all of them connect."""
     for batch in batches:
         for left, ls, right, rs in zip(*(batch.column(c).to_pylist() for c in ("left", "left_sketches", "right", "right_sketches")), strict=True):
             a, b, likeness = [], [], []
             if left and right:
                 s, t = _sketches(ls), _sketches(rs)
-                for i in range(len(left)):
-                    like = (t == s[i]).mean(axis=1)
-                    for j in np.flatnonzero(like >= CANDIDATE):
-                        if left[i] != right[j]:
-                            a.append(min(left[i], right[j])), b.append(max(left[i], right[j])), likeness.append(float(like[j]))
+                like = np.stack([(s == x).mean(axis=1) for x in t], axis=1)
+                number = {x: k for k, x in enumerate(dict.fromkeys([*left, *right]))}
+                for i, j in _forest(like, [number[x] for x in left], [number[x] for x in right]):
+                    a.append(min(left[i], right[j])), b.append(max(left[i], right[j])), likeness.append(float(like[i, j]))
             yield _pairs(a, b, likeness)
 
 
+def link_blocks(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of classes (id, part, sketch, shingles) on two sides to links (a, b) between different parts, one for each two parts that a block joins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
+                left, right, a, b = left.as_py(), right.as_py(), [], []
+                if left and right:
+                    s, t = (_sketches([x["sketch"] for x in side]) for side in (left, right))
+                    sets = [[frozenset(x["shingles"]) for x in side] for side in (left, right)]
+                    names = {p: i for i, p in enumerate(dict.fromkeys(x["part"] for side in (left, right) for x in side))}
+                    parent = list(range(len(names)))
+                    for j, y in enumerate(right):
+                        like = (s == t[j]).mean(axis=1)
+                        for i in sorted(np.flatnonzero(like >= CANDIDATE), key=lambda i: -like[i]):
+                            p, q = _root(parent, names[left[i]["part"]]), _root(parent, names[y["part"]])
+                            if p != q:
+                                shared = len(sets[0][i] & sets[1][j])
+                                if 100 * shared >= percent * (len(sets[0][i]) + len(sets[1][j]) - shared):
+                                    parent[max(p, q)] = min(p, q)
+                                    a.append(left[i]["id"]), b.append(y["id"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def against_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, id, pivot, sketch, pivot_sketch) to (node, id, pivot, sketch, likeness)."""
+    """(node, id, copies, pivot, sketch, pivot_sketch) to (node, id, copies, pivot, sketch, likeness)."""
     for batch in batches:
         like = (_sketches(batch.column("sketch")) == _sketches(batch.column("pivot_sketch"))).mean(axis=1) if len(batch) else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "id", "pivot", "sketch")), pa.array(like, pa.float64())], names=["node", "id", "pivot", "sketch", "likeness"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "id", "copies", "pivot", "sketch")), pa.array(like, pa.float64())], names=["node", "id", "copies", "pivot", "sketch", "likeness"])
 
 
 def root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,70 +167,76 @@ def root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, id, sketch) to a row (node, id) for each selected coordinate, under the child's number."""
+    """(node, id, copies, sketch) to the same for each selected coordinate, under the child's number."""
     for batch in batches:
         if len(batch):
             s = _sketches(batch.column("sketch"))
             node = batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
             chosen = (mixed(node) % np.uint64(SKETCH)).astype(np.int64)
-            step = (mixed(node ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(SKETCH - 1)).astype(np.int64) + 1
+            step = (mixed(node ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(SKETCH)).astype(np.int64) | 1
             for k in range(BRANCHES):
                 at = (chosen + k * step) % SKETCH
                 child = mixed(mixed(node + np.uint64(k + 1)) ^ s[np.arange(len(s)), at].astype(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(child), batch.column("id")], names=["node", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(child), *(batch.column(c) for c in ("id", "copies", "sketch"))], names=["node", "id", "copies", "sketch"])
+
+
+def _grid(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """The left and right rows (node, id, ...) of each node in a grid of blocks: (left, right), arrays of structs of about BLOCK rows at most."""
+    rows = left.select("node", *columns, F.lit(0).alias("side")).unionByName(right.select("node", *columns, F.lit(1).alias("side")))
+    sides = [F.ceil(F.sum(F.when(F.col("side") == k, 1).otherwise(0)) / F.lit(float(BLOCK))).cast("int").alias(f"parts{k}") for k in (0, 1)]
+    counted = materialise(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *sides).filter("parts0 > 0 AND parts1 > 0"), "grid")
+    rows = attach_by_key(rows, counted, "node", ["parts0", "parts1"], rows.select("node").count(), F.col("id")).filter("parts0 IS NOT NULL")
+    mine, theirs = (F.when(F.col("side") == 0, F.col(a)).otherwise(F.col(b)) for a, b in (("parts0", "parts1"), ("parts1", "parts0")))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), mine).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), theirs - 1)))
+    i, j = (F.when(F.col("side") == k, F.col("own")).otherwise(F.col("other")) for k in (0, 1))
+    of = lambda k: F.collect_list(F.when(F.col("side") == k, F.struct(*columns)))
+    return rows.groupBy("node", i.alias("i"), j.alias("j")).agg(of(0).alias("left"), of(1).alias("right"))
 
 
 def _blocks(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Candidate pairs between the left and right classes (node, id, sketch) of each node, in blocks of at most about BLOCK on a side."""
-    parts = lambda side: side.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("parts"))
-    grid = parts(left).withColumnRenamed("parts", "lp").join(parts(right).withColumnRenamed("parts", "rp"), "node")
-    deal: Callable[[str], Column] = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    grid = grid.withColumn("n", F.lit(1))
-    total = left.count() + right.count()
-    rows = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
-    counted = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    rows = attach_by_key(rows, grid.drop("n").join(counted, "node"), "node", ["lp", "rp"], total, F.col("id")).filter("lp IS NOT NULL")
-    rows = rows.withColumn("own", F.when(F.col("side") == 0, deal("lp")).otherwise(deal("rp")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("rp")).otherwise(F.col("lp")) - 1)))
-    rows = rows.withColumn("i", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other"))).withColumn("j", F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")))
-    of = lambda side, c: F.collect_list(F.when(F.col("side") == side, F.col(c)))
-    grouped = rows.groupBy("node", "i", "j").agg(of(0, "id").alias("left"), of(0, "sketch").alias("left_sketches"), of(1, "id").alias("right"), of(1, "sketch").alias("right_sketches"))
-    return grouped.select("left", "left_sketches", "right", "right_sketches").mapInArrow(compare_blocks, PAIRS)
+    """Candidate pairs that connect the left and right classes (node, id, sketch) of each node, block by block."""
+    grid = _grid(left, right, ["id", "sketch"])
+    return grid.select(F.col("left.id").alias("left"), F.col("left.sketch").alias("left_sketches"), F.col("right.id").alias("right"), F.col("right.sketch").alias("right_sketches")).mapInArrow(compare_blocks, PAIRS)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
 
 def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b, likeness) of classes (id, sketch) that the trees bring together, each once."""
+    """Pairs (a, b, likeness) of classes (id, copies, sketch) that connect all candidates which the trees bring together."""
     found: list[DataFrame] = []
-    rows = classes.mapInArrow(root, "node long, id long")
+    rows = materialise(classes.select("id", "sketch").mapInArrow(root, "node long, id long"), "tree-rows")
     for level in range(LEVELS + 1):
-        rows = materialise(rows, "tree-rows")
         total = rows.count()
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("size", F.col("n"))
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("who")).filter("n > 1")
+        # Trees often end in the same few classes; they are compared once.
+        sizes = sizes.groupBy("n", "who").agg(F.min("node").alias("node")).withColumn("size", F.col("n"))
         rows = attach_by_key(rows, sizes, "node", ["size"], total, F.col("id")).filter("size > 1")
-        rows = materialise(rows.join(classes, "id").select("node", "id", "size", "sketch"), "tree-nodes")
+        if level == 0:
+            rows = materialise(rows, "tree-nodes").join(classes, "id")
+        else:
+            rows = materialise(rows, "tree-nodes")
         small = rows.filter(F.col("size") <= LEAF).groupBy("node").agg(F.collect_list("id").alias("ids"), F.collect_list("sketch").alias("sketches"))
-        found.append(materialise(small.select("ids", "sketches").mapInArrow(compare_leaves, PAIRS).groupBy("a", "b").agg(F.max("likeness").alias("likeness")), "leaf-pairs"))
-        large = rows.filter(F.col("size") > LEAF).select("node", "id", "sketch")
+        pairs = small.select("ids", "sketches").mapInArrow(compare_leaves, PAIRS)
+        large = materialise(rows.filter(F.col("size") > LEAF).select("node", "id", "copies", "sketch"), "large-nodes")
         total = large.count()
-        if not total:
-            break
-        if level == LEVELS:
-            found.append(materialise(_blocks(large, large), "block-pairs"))
+        if not total or level == LEVELS:
+            found.append(materialise(pairs.unionByName(_blocks(large, large)) if total else pairs, "pairs"))
             break
-        pivots = large.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "id").alias("h"), "id")).alias("p"), F.count(F.lit(1)).alias("n"))
-        pivots = pivots.select("node", "n", F.col("p.id").alias("pivot")).join(classes.select(F.col("id").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
+        pivots = large.groupBy("node").agg(F.max(F.struct("copies", F.xxhash64("id").alias("h"), "id", "sketch")).alias("p"), F.count(F.lit(1)).alias("n"))
+        pivots = materialise(pivots.select("node", "n", F.col("p.id").alias("pivot"), F.col("p.sketch").alias("pivot_sketch")), "pivots")
         seen = attach_by_key(large, pivots, "node", ["pivot", "pivot_sketch"], total, F.col("id"))
-        seen = materialise(seen.select("node", "id", "pivot", "sketch", "pivot_sketch").mapInArrow(against_pivot, "node long, id long, pivot long, sketch binary, likeness double"), "tree-stars")
-        star = seen.filter((F.col("likeness") >= CANDIDATE) & (F.col("id") != F.col("pivot")))
-        found.append(materialise(star.groupBy(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).agg(F.max("likeness").alias("likeness")), "star-pairs"))
-        core, rest = seen.filter(F.col("likeness") >= CORE), seen.filter(F.col("likeness") < CORE)
-        rim = rest.filter(F.col("likeness") >= RIM)
-        found.append(materialise(_blocks(core.filter("id <> pivot").select("node", "id", "sketch"), rim.select("node", "id", "sketch")).distinct(), "rim-pairs"))
-        rows = rest.select("node", "id", "sketch").mapInArrow(branch, "node long, id long")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every.groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
+        seen = materialise(seen.select("node", "id", "copies", "pivot", "sketch", "pivot_sketch").mapInArrow(against_pivot, "node long, id long, copies long, pivot long, sketch binary, likeness double"), "tree-stars")
+        seen = seen.filter(F.col("id") != F.col("pivot"))
+        # Nodes of several trees often have the same pivot; what it has met in them is one star.
+        star = seen.filter(F.col("likeness") >= RIM).dropDuplicates(["pivot", "id"]).select(F.col("pivot").alias("node"), "id", "sketch", "likeness")
+        star = materialise(star, "stars")
+        pairs = pairs.unionByName(star.filter(F.col("likeness") >= CANDIDATE).select(F.least("id", "node").alias("a"), F.greatest("id", "node").alias("b"), "likeness"))
+        found.append(materialise(pairs.unionByName(_blocks(star.filter(F.col("likeness") >= CORE), star.filter(F.col("likeness") < CORE))), "pairs"))
+        rest = seen.filter(F.col("likeness") < CORE).select("node", "id", "copies", "sketch")
+        rows = materialise(rest.mapInArrow(branch, "node long, id long, copies long, sketch binary"), "tree-rows")
+    return _union(found).groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -201,21 +248,25 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between classes (id, sketch), enough to connect every component. docs: (id, text).
+    """Confirmed links (a, b) between classes (id, copies, sketch), enough to connect every component. docs: (id, text).
 
-    First each class's likest candidate is confirmed; then all candidates between what are still different components.
+    First the pairs of the forests are confirmed. Where components of confirmed links are connected by a pair that was
+    not, classes outside of the largest component there are compared with all others.
     """
     pairs = materialise(candidate_pairs(classes), "candidates")
     members = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # A class has the same set whichever of its documents is read; an id that repeats may have several texts.
     sets = materialise(docs.join(members, "id", "left_semi").mapInArrow(sets_of, "id long, shingles array<long>").dropDuplicates(["id", "shingles"]), "candidate-sets")
-    best = pairs.select("a", "b", "likeness", F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.max(F.struct("likeness", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    first = materialise(confirm(best, sets, percent), "links")
-    parts = materialise(connected_components(first), "components")
-    side = lambda c: parts.select(F.col("id").alias(c), F.col("component").alias(f"{c}_part"))
-    left = pairs.join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    left = left.filter(F.coalesce("a_part", "a") != F.coalesce("b_part", "b"))
-    return first.unionByName(materialise(confirm(left, sets, percent), "links"))
+    first = materialise(confirm(pairs, sets, percent), "links")
+    parts = materialise(connected_components(first), "components").withColumnRenamed("component", "part")
+    clusters = materialise(connected_components(pairs.select("a", "b")), "clusters").withColumnRenamed("component", "node")
+    placed = clusters.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    sizes = placed.groupBy("node", "part").agg(F.count(F.lit(1)).alias("k"))
+    largest = sizes.groupBy("node").agg(F.max(F.struct("k", "part")).getField("part").alias("largest"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("n")).filter("parts > 1")
+    open_ = attach_by_key(placed, largest, "node", ["largest"], placed.count(), F.col("id")).filter("largest IS NOT NULL")
+    open_ = materialise(open_.join(sets, "id").join(classes.select("id", "sketch"), "id").select("node", "id", "part", "largest", "sketch", "shingles"), "open-classes")
+    grid = _grid(open_, open_.filter(F.col("part") != F.col("largest")), ["id", "part", "sketch", "shingles"])
+    return first.unionByName(materialise(grid.select("left", "right").mapInArrow(link_blocks(percent), "a long, b long"), "links"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -232,7 +283,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     total = described.count()
     classes = described.filter("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("n"), F.first("sketch").alias("sketch"))
     classes = materialise(classes, "classes")
-    found = links(classes.select(F.col("class").alias("id"), "sketch"), docs, percent)
+    found = links(classes.select(F.col("class").alias("id"), F.col("n").alias("copies"), "sketch"), docs, percent)
     # An id with several texts joins the classes of them all.
     repeated = described.filter("digest IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("id")
     member = attach_by_key(described.select("id", "n_shingles", "digest"), classes.select("digest", "n", "class"), "digest", ["class"], total, F.col("id"))

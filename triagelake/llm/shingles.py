@@ -14,7 +14,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
 _PLACE = _RNG.integers(1, 2**63, WORDS_PER_SHINGLE, dtype=np.uint64) | np.uint64(1)
-_FACTOR = _RNG.integers(1, 2**63, SKETCH, dtype=np.uint64) | np.uint64(1)
+_FACTOR = _RNG.integers(1, 2**32, SKETCH, dtype=np.uint32) | np.uint32(1)
+_SHIFT = _RNG.integers(0, 2**32, SKETCH, dtype=np.uint32)
 #: Bytes hashed at once; a longer text is cut at white space.
 CHUNK = 1 << 20
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -75,8 +76,9 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
     """The smallest 32-bit hash of the set under each of SKETCH hash functions."""
-    best = np.full(SKETCH, 0xFFFFFFFF, np.uint64)
-    for at in range(0, len(shingles), 1024):
-        part = (shingles[at : at + 1024, None] * _FACTOR) >> np.uint64(32)
+    best, short = np.full(SKETCH, 0xFFFFFFFF, np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 256):
+        part = short[at : at + 256, None] * _FACTOR
+        part += _SHIFT
         np.minimum(best, part.min(axis=0), out=best)
-    return best.astype(np.uint32)
+    return best
