@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 
@@ -39,16 +39,28 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+@dataclass
+class Table:
+    """Log frequencies of keys by language: a row number for each key and a row of scores."""
+
+    rows: dict[str, int]
+    scores: np.ndarray
+
+    def get(self, key: str) -> np.ndarray | None:
+        row = self.rows.get(key)
+        return None if row is None else self.scores[row]
+
+
 @dataclass
 class Model:
     """Log frequencies by language of words and of n-grams of each length."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[int, dict[str, np.ndarray]]
+    words: Table
+    grams: dict[int, Table]
 
     def __post_init__(self) -> None:
-        self._rows = _Rows(self)
+        self._rows = None
 
     def __reduce__(self):
         return Model, (self.languages, self.words, self.grams)
@@ -79,6 +91,8 @@ class Model:
         found = words_of(text or "")
         if not found or not self.languages:
             return UNDETERMINED, 0.0
+        if self._rows is None:
+            self._rows = _Rows(self)
         at = np.fromiter(map(self._rows.__getitem__, found), np.int64, len(found))
         total = self._rows.scores[at].sum(axis=0)
         self._rows.trim()
@@ -91,11 +105,10 @@ class _Rows(dict):
     """The row of each word in a table of scores, which grows by the unseen words that are met."""
 
     def __init__(self, model: Model):
-        super().__init__(zip(model.words, range(len(model.words)), strict=True))
+        super().__init__(model.words.rows)
         self.model, self.known = model, len(self)
         self.scores = np.zeros((self.known + 1024, len(model.languages)))
-        if self.known:
-            self.scores[: self.known] = np.stack(list(model.words.values()))
+        self.scores[: self.known] = model.words.scores
 
     def __missing__(self, word: str) -> int:
         row = self[word] = len(self)
@@ -111,23 +124,27 @@ class _Rows(dict):
                 del self[word]
 
 
-def _log_frequencies(counts: dict[str, dict[str, float]], languages: list[str]) -> dict[str, np.ndarray]:
-    sums = np.array([sum(c.get(language, 0) for c in counts.values()) for language in languages], float)
-    return {k: np.log((np.array([c.get(language, 0.0) for language in languages]) + 0.5) / (sums + 0.5 * len(counts) + 1.0)).astype(np.float32) for k, c in counts.items()}
+def _table(keys: Iterable[tuple[str, int, int]], languages: int, least: int = 0) -> Table:
+    """From (key, language number, count); keys that are met fewer than `least` times are left out."""
+    rows: dict[str, int] = {}
+    flat = np.fromiter((x for key, language, count in keys for x in (rows.setdefault(key, len(rows)), language, count)), np.int64).reshape(-1, 3)
+    counts = np.bincount(flat[:, 0] * languages + flat[:, 1], flat[:, 2], len(rows) * languages).reshape(len(rows), languages)
+    if least:
+        kept = np.flatnonzero(counts.sum(axis=1) >= least)
+        new = np.full(len(rows), -1)
+        new[kept] = np.arange(len(kept))
+        rows, counts = {k: int(new[r]) for k, r in rows.items() if new[r] >= 0}, counts[kept]
+    scores = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(rows) + 1.0))
+    return Table(rows, scores.astype(np.float32))
 
 
 def build(rows: list[tuple[str, str, int]], least: int = 2) -> Model:
     """A model from (language, word, count); words met fewer than `least` times only count for the n-grams."""
     languages = sorted({r[0] for r in rows})
-    words: dict[str, dict[str, float]] = defaultdict(dict)
-    grams: dict[int, dict[str, dict[str, float]]] = {n: defaultdict(lambda: defaultdict(float)) for n in GRAMS}
-    for language, word, count in rows:
-        words[word][language] = words[word].get(language, 0) + count
-        for n in GRAMS:
-            for gram in grams_of(word, n):
-                grams[n][gram][language] += count
-    known = {w: c for w, c in words.items() if sum(c.values()) >= least}
-    return Model(languages, _log_frequencies(known, languages), {n: _log_frequencies(g, languages) for n, g in grams.items()})
+    number = {language: i for i, language in enumerate(languages)}
+    words = _table(((word, number[language], count) for language, word, count in rows), len(languages), least)
+    grams = {n: _table(((gram, number[language], count) for language, word, count in rows for gram in grams_of(word, n)), len(languages)) for n in GRAMS}
+    return Model(languages, words, grams)
 
 
 def fit(labelled: DataFrame, *, sample: int = 1500, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> Model:
