@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from triagelake.operators import metrics, policies, speech
 from triagelake.plans.registry import Registry, rounded
 from triagelake.plans.views import LEX, UNITS, UTT, WORDS, lexicon, pairs, table, units, utterances, words
 from triagelake.sources import records
+from triagelake.streaming import live
 
 _R = Registry()
 QUERIES, SQL, query = _R.queries, _R.sql, _R.add
@@ -354,3 +356,130 @@ def st_learning_curve(spark, d):
         held = u.filter(~inside).withColumn("p", policies.platt(F.col("r"), a, b))
         out.append(metrics.calibration(held.withColumn("k", F.lit(k)), ["k"], p="p"))
     return out[0].unionByName(out[1])
+
+
+@query("join_entity_nearest")
+def join_entity_nearest(spark, d):
+    """Two-token entities of the reference, each to its nearest unused place in the hypothesis."""
+
+    @F.pandas_udf("array<int>")
+    def nearest(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+        wanted = lambda r, h: [(r[i : i + 1], i * len(h) / max(len(r), 1)) for i in range(0, len(r), 5)]
+        return pd.Series([combine.nearest_occurrences(list(h), wanted(list(r), h)) for r, h in zip(ref, hyp, strict=True)])
+
+    return pairs(spark, d).select("conv_id", "turn", F.posexplode(nearest("ref", "hyp")).alias("entity", "at"))
+
+
+def _entity_status(spark: SparkSession, d: str) -> DataFrame:
+    a = pairs(spark, d).withColumn("a", align.aligned("ref", "hyp")).select("conv_id", "turn", F.explode(F.arrays_zip("ref", "a.ref_status")).alias("x"))
+    kind = F.when(F.length("x.ref") >= 10, "long").when(F.length("x.ref") >= 5, "medium").otherwise("short")
+    return a.select("conv_id", "turn", kind.alias("kind"), (F.col("x.ref_status") == "C").cast("int").alias("ok"))
+
+
+@query("al_entities")
+def al_entities(spark, d):
+    return _entity_status(spark, d).groupBy("conv_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("ok").alias("correct"))
+
+
+@query("al_terms")
+def al_terms(spark, d):
+    a = pairs(spark, d).withColumn("a", align.aligned("ref", "hyp")).select("conv_id", F.explode(F.arrays_zip("ref", "a.ref_status")).alias("x")).select("conv_id", F.col("x.ref").alias("term"), F.col("x.ref_status").alias("status"))
+    return a.join(lexicon(spark, d).select("term"), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("status") == "C", 1)).alias("correct"))
+
+
+@query("al_unit_score")
+def al_unit_score(spark, d):
+    scored = pairs(spark, d).withColumn("a", align.aligned("ref", "hyp"))
+    wer = align.counts(F.col("a"))["wer"]
+    labels = {n: (wer > t).cast("int") for n, t in (("err", 0.1), ("any_err", 0.0), ("severe_err", 0.3))}
+    return rounded(scored.select("conv_id", "turn", *(c.alias(n) for n, c in align.counts(F.col("a")).items()), *(c.alias(n) for n, c in labels.items())))
+
+
+@query("al_alignment_props")
+def al_alignment_props(spark, d):
+    a = pairs(spark, d).withColumn("a", align.aligned("ref", "hyp"))
+    return a.groupBy("conv_id").agg(*(F.sum(c).alias(n) for n, c in align.counts(F.col("a")).items() if n not in ("wer", "wild_excess")))
+
+
+@query("tx_audit_sample", UNITS, "SELECT unit_id, ev FROM units ORDER BY md5('7' || unit_id::VARCHAR), unit_id LIMIT 100")
+def tx_audit_sample(spark, d):
+    # The sample of at most 100 rows is the operator.
+    u = units(spark, d).select("unit_id", "ev")
+    return u.orderBy(F.md5(F.concat(F.lit("7"), F.col("unit_id").cast("string"))), "unit_id").limit(100).orderBy("unit_id")
+
+
+@query("sp_sample_n", UNITS, "SELECT unit_id FROM units ORDER BY md5('11' || unit_id::VARCHAR), unit_id LIMIT 50")
+def sp_sample_n(spark, d):
+    return units(spark, d).select("unit_id").orderBy(F.md5(F.concat(F.lit("11"), F.col("unit_id").cast("string"))), "unit_id").limit(50)
+
+
+_POLICIES = """SELECT unit_id, 'raw' AS policy, round(1 - r, 6) + 0.0 AS risk FROM units UNION ALL SELECT unit_id, 'rules_raw', round(greatest(n_ref / 60.0::DOUBLE / 0.6, errors / 4.0::DOUBLE / 2.4), 6) FROM units
+UNION ALL SELECT unit_id, 'linear', round(1 / (1 + exp(-(-0.4 + 1.1 * (r - 0.5) / 0.3))), 6) FROM units"""
+
+
+@query("pol_build", UNITS, _POLICIES)
+def pol_build(spark, d):
+    scores = {"raw": policies.raw_risk(F.col("r")), "rules_raw": policies.rules_risk_raw(F.col("n_ref") / F.lit(60.0), F.col("errors") / F.lit(4.0)), "linear": policies.linear_score({"r": (0.5, 0.3, 1.1)}, -0.4)}
+    rows = F.array(*(F.struct(F.lit(n).alias("policy"), c.alias("risk")) for n, c in scores.items()))
+    return rounded(units(spark, d).select("unit_id", F.explode(rows).alias("s")).select("unit_id", "s.policy", "s.risk"))
+
+
+@query("st_eval_label", UNITS, """SELECT a.ev, n, err_rate, brier FROM (SELECT ev, count(*) AS n, round(avg(y), 6) AS err_rate, round(avg((r - y) * (r - y)), 6) AS brier FROM units GROUP BY ev) a""")
+def st_eval_label(spark, d):
+    u = units(spark, d)
+    base = u.groupBy("ev").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("err_rate"))
+    return rounded(base.join(metrics.calibration(u, ["ev"]).select("ev", "brier"), "ev"))
+
+
+@query("agg_listening", UNITS, """SELECT ev, budget, round(greatest(0, 1 - budget / 600.0) * avg(e), 6) AS errors_left FROM (SELECT ev, group_id, sum(errors) AS e FROM units GROUP BY ev, group_id), (VALUES (60.0::DOUBLE), (300.0::DOUBLE)) b(budget) GROUP BY ev, budget""")
+def agg_listening(spark, d):
+    each = units(spark, d).groupBy("ev", "group_id").agg(F.sum("errors").alias("e")).groupBy("ev").agg(F.avg("e").alias("e"))
+    left = each.withColumn("budget", F.explode(F.array(F.lit(60.0), F.lit(300.0))))
+    return rounded(left.select("ev", "budget", (F.greatest(F.lit(0.0), 1 - F.col("budget") / 600.0) * F.col("e")).alias("errors_left")))
+
+
+@query("src_utterances", UTT, "SELECT CAST(consultation AS VARCHAR) AS consultation, count(*) AS n FROM utt GROUP BY consultation")
+def src_utterances(spark, d):
+    # Utterances are written as interval files, one for each consultation, and read back.
+    item = F.format_string('intervals [%d]:\n xmin = %.3f\n xmax = %.3f\n text = "%s"', F.col("idx") + 1, F.col("start"), F.col("end"), F.replace("text", F.lit('"'), F.lit('""')))
+    files = utterances(spark, d).groupBy("consultation").agg(F.array_join(F.array_sort(F.collect_list(item)), "\n").alias("value"))
+    read = records.parse_intervals(files.withColumnRenamed("consultation", "file"))
+    return read.groupBy(F.col("file").cast("string").alias("consultation")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("src_csv_gz", "", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def src_csv_gz(spark, d):
+    path = _folder(spark)
+    table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").write.csv(path, header=True, compression="gzip")
+    return records.read_csv_or_parquet(spark, path, "n_nationkey int, n_name string, n_regionkey int", f"{d}/nation.parquet")
+
+
+@query("sink_markdown")
+def sink_markdown(spark, d):
+    text_ = records.markdown(rounded(units(spark, d).groupBy("ev").agg(F.avg("y").alias("err_rate")).orderBy("ev")), ("err_rate",))
+    return spark.createDataFrame([(text_,)], "report string")
+
+
+@query("sv_upload_segments")
+def sv_upload_segments(spark, d):
+    w = words(spark, d).groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct((F.col("pos") * 0.5).alias("start"), (F.col("pos") * 0.5 + 0.4).alias("end"), F.col("token").alias("word"), F.col("p").alias("probability")))).alias("words"))
+    bounds = F.transform(F.sequence(F.lit(0), F.floor(F.size("words") / 20).cast("int")), lambda k: F.struct((k * 10.0).alias("start"), (k * 10.0 + 10.0 - 1e-3).alias("end"), F.lit("").alias("text")))
+    return live.words_of_segments(w.withColumn("segments", bounds)).select("unit_id", "segment", F.size("words").alias("n_words"))
+
+
+@query("ml_verifier_score")
+def ml_verifier_score(spark, d):
+    w = words(spark, d).withColumns({"len": F.length("token").cast("double"), "label": (1 - F.col("correct")).cast("double")})
+    rows = VectorAssembler(inputCols=["p", "len"], outputCol="features").transform(w)
+    model = GeneralizedLinearRegression(family="poisson", link="log", maxIter=15, regParam=0.01).fit(rows)
+    return model.transform(rows).select("unit_id", "pos", "prediction")
+
+
+@query("ml_crossfit_verifier")
+def ml_crossfit_verifier(spark, d):
+    w = words(spark, d).withColumns({"fold": (F.col("unit_id") % 3).cast("int"), "len": F.length("token").cast("double"), "label": (1 - F.col("correct")).cast("double")})
+    rows, out = VectorAssembler(inputCols=["p", "len"], outputCol="features").transform(w), []
+    for k in range(3):
+        fitted = GeneralizedLinearRegression(family="poisson", link="log", maxIter=15, regParam=0.01).fit(rows.filter(F.col("fold") != k))
+        out.append(fitted.transform(rows.filter(F.col("fold") == k)).select("unit_id", "pos", "fold", "prediction"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
