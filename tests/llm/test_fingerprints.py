@@ -10,7 +10,7 @@ from triagelake.llm import fingerprints
 
 
 def pieces(text):
-    return set(p.rstrip(" ") for p in re.findall(r"(?:\S+[^\S\n]*){1,24}", text))
+    return set(p.rstrip(" ") for p in re.findall(r"(?:\S+[^\S\n]*){1,12}", text))
 
 
 def like(a, b):

@@ -1,6 +1,6 @@
 """Fingerprints of documents as invertible Bloom lookup tables of their paragraphs.
 
-A paragraph is a line, or a run of up to 24 words of a longer one; its digest is 64 bits. A table has three parts of 2^s cells;
+A paragraph is a line, or a run of up to 12 words of a longer one; its digest is 64 bits. A table has three parts of 2^s cells;
 a digest is added to one cell of each part, which keeps a count, the XOR of digests and the XOR of a check hash.
 Subtracting the tables of two versions cancels what they share. Peeling then recovers the rest: a cell that holds one
 digest (count 1 or -1, and the check fits) gives it away, and taking it out of its other cells opens those. Rounds of peeling go
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from triagelake.llm.common import materialise, scratch_path
 
 #: Words of a line that make a paragraph, at most.
-PIECE = r"(?:\S++[^\S\n]*+){1,24}+"
+PIECE = r"(?:\S++[^\S\n]*+){1,12}+"
 KEY = ["k1", "k2"]
 #: Cells in each part of the fingerprint string, as a power of two; the least of any table.
 FOLD = 4
