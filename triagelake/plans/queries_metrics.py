@@ -237,7 +237,7 @@ def st_hypotheses(spark, d):
     return rounded(bootstrap.holm(tests.withColumn("family", F.lit(1)).withColumn("p", F.round("p", 12)), ["family"], "p", "ev").drop("family"))
 
 
-@query("st_ks", UNITS, """SELECT ev, n0, n1, round(max(abs(a / n0::DOUBLE - b / n1::DOUBLE)), 6) AS ks FROM (
+@query("st_ks", UNITS, """SELECT ev, n0, n1, round(max(abs(a / nullif(n0, 0)::DOUBLE - b / nullif(n1, 0)::DOUBLE)), 6) AS ks FROM (
   SELECT ev, sum(1 - y) OVER w AS a, sum(y) OVER w AS b, CAST(sum(1 - y) OVER (PARTITION BY ev) AS BIGINT) AS n0, CAST(sum(y) OVER (PARTITION BY ev) AS BIGINT) AS n1 FROM units WINDOW w AS (PARTITION BY ev ORDER BY r)) GROUP BY ev, n0, n1""")
 def st_ks(spark, d):
     return rounded(policies.ks_statistic(units(spark, d), ["ev"], "y"))
