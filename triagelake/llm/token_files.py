@@ -8,6 +8,7 @@ shared folder is in; they are read back as binary files.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from triagelake.llm.common import materialise, scratch_path
 #: Fixed values of the format.
 MARK, INDEX, CODED = b"#END\n", b"I", b"B"
 #: Texts tokenized at once.
-BATCH = 256
+BATCH = 32
 
 
 def _record(kind: bytes, body: bytes) -> bytes:
@@ -107,6 +108,7 @@ def write(docs: DataFrame, path: str, *, tokenizer_file: str, end_id: int = 0, i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         tokenizer, writer = Tokenizer.from_file(tokenizer_file), _Writer()
