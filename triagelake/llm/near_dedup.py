@@ -42,7 +42,7 @@ CANDIDATE = 0.62
 #: Sketch likeness to the pivot that makes a class part of the core, and of the rim.
 CORE, RIM = 0.75, 0.3
 #: Classes on each side of a block, about.
-BLOCK = 512
+BLOCK = 1024
 #: Levels of branching; a node that is still large after them is compared whole, in blocks.
 LEVELS = 2
 
@@ -51,7 +51,8 @@ PAIRS = "a long, b long, likeness double"
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) to (id, n_shingles, digest, sketch)."""
-    for batch in batches:
+    for batch, at in ((b, at) for b in batches for at in range(0, len(b), 1024)):
+        batch = batch.slice(at, 1024)
         counts, digests, sketches = [], [], []
         for text in batch.column("text").to_pylist():
             found = shingle_set(text)
