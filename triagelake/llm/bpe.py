@@ -23,8 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces that a worker remembers, and the longest that it does.
-REMEMBERED, LONGEST = 600_000, 48
+#: Pieces that a worker remembers during a task and after it, and the longest that it does.
+REMEMBERED, KEPT, LONGEST = 400_000, 100_000, 48
 
 
 class Vocabulary:
@@ -60,7 +60,7 @@ class Vocabulary:
         key = (left, right)
         known = self.known_fits.get(key)
         if known is None:
-            if len(self.known_fits) > 2_000_000:
+            if len(self.known_fits) > 400_000:
                 self.known_fits.clear()
             known = self.known_fits[key] = self._check(left, right)
         return known
@@ -153,12 +153,16 @@ class Encoder(dict):
         token = self.vocabulary.made.get(data)
         ids = (token,) if token is not None else tuple(Prefixes(self.vocabulary, data).tokens())
         if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:  # the older half goes
-                for old in list(islice(self, REMEMBERED // 2)):
-                    del self[old]
+            if len(self) >= REMEMBERED:
+                self.trim(REMEMBERED // 2)
             self[piece] = ids
         return ids
 
+    def trim(self, most: int) -> None:
+        """Forgets the pieces met last: frequent ones were met early."""
+        for piece in list(islice(self, most, None)):
+            del self[piece]
+
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.__getitem__, self.split(text))))
 
@@ -192,6 +196,7 @@ def encode_documents(docs: DataFrame, *, ranks_file: str, pattern: str, id_col:
                     ends.append(ends[-1] + len(flat[-1]))
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), ids], names=["id", "ids"])
+        encoder.trim(KEPT)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -26,7 +26,7 @@ GRAMS = (5, 4, 3, 2, 1)
 #: Log cost of a step back to a shorter n-gram, and of a character that none covers.
 STEP, UNSEEN = -0.7, -12.0
 #: Unseen words whose scores a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 def words_of(text: str) -> list[str]:
@@ -139,15 +139,15 @@ def _table(keys: Iterable[tuple[str, int, int]], languages: int, least: int = 0)
 
 
 def build(rows: list[tuple[str, str, int]], least: int = 2) -> Model:
-    """A model from (language, word, count); words met fewer than `least` times only count for the n-grams."""
+    """A model from (language, word, count); words met fewer than `least` times only count for the n-grams, and such n-grams for shorter ones."""
     languages = sorted({r[0] for r in rows})
     number = {language: i for i, language in enumerate(languages)}
     words = _table(((word, number[language], count) for language, word, count in rows), len(languages), least)
-    grams = {n: _table(((gram, number[language], count) for language, word, count in rows for gram in grams_of(word, n)), len(languages)) for n in GRAMS}
+    grams = {n: _table(((gram, number[language], count) for language, word, count in rows for gram in grams_of(word, n)), len(languages), least) for n in GRAMS}
     return Model(languages, words, grams)
 
 
-def fit(labelled: DataFrame, *, sample: int = 1500, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> Model:
+def fit(labelled: DataFrame, *, sample: int = 1000, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> Model:
     """Fits on about `sample` documents of each language (a bound; those with the smallest hashes of their ids).
 
     Rows without a language or text are left out. The word counts of the sample are what reaches the driver.
@@ -187,7 +187,8 @@ def annotate(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
     keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, at in ((b, at) for b in batches for at in range(0, len(b), 1024)):
+            batch = batch.slice(at, 1024)
             found = [shared.value.predict(t) for t in batch.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*(f.name for f in keep), "lang_pred", "score"])
 
