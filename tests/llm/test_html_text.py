@@ -26,6 +26,19 @@ def test_broken_pages(page):
     assert isinstance(main_text(page), str)
 
 
+STORY = "<article><p>The story itself stands here, with enough words in it to be kept by the classifier.</p></article>"
+
+
+@pytest.mark.parametrize("before", ["<svg-icon></svg-icon>", "<video-player src=x></video-player>", "<template-x>", "<svg/>", '<svg class="a>b" />', "<math />", "<svg:rect>"])
+def test_elements_before_the_article(before):
+    assert main_text(f"<body>{before}{STORY}</body>") == main_text(STORY) != ""
+
+
+@pytest.mark.parametrize("before", ["<svg><path d='M0'/>no</svg>", "<svg a=/>no</svg >", "<script/>no</script>", "<title>no</title>"])
+def test_raw_elements_end_at_their_end_tag(before):
+    assert main_text(f"<body>{before}{STORY}</body>") == main_text(STORY) != ""
+
+
 def test_cut_is_minimal():
     rng = random.Random(7)
     for _ in range(200):

@@ -46,7 +46,8 @@ BIAS, WORD, MOST_WORDS, LINKS, SENTENCE, PARAGRAPH, INSIDE, NAMED, OUTSIDE = -1.
 NEXT, PARENT = 0.5, 0.4
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]{{0,4096}}\"|'[^']{{0,4096}}')*)>|"
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]{{0,4096}}\"|'[^']{{0,4096}}')*(?<=/)>|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|"
+    rf"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]{{0,4096}}\"|'[^']{{0,4096}}')*)>|"
     r"<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
