@@ -39,6 +39,20 @@ def test_raw_elements_end_at_their_end_tag(before):
     assert main_text(f"<body>{before}{STORY}</body>") == main_text(STORY) != ""
 
 
+@pytest.mark.parametrize("quote", ['"', "'"])
+@pytest.mark.parametrize("length", [10, 5000, 300_000])
+def test_quoted_values_of_any_length(quote, length):
+    other = "'" if quote == '"' else '"'
+    value = (f"<nav class={other}ad{other}>no</nav></article><p hidden>" * (1 + length // 40))[:length] + ">"
+    page = f"<body>{STORY.replace('<article', f'<article data-x={quote}{value}{quote}')}</body>"
+    assert main_text(page) == main_text(page.replace(" data-x=", " data-x  =\n")) == main_text(STORY) != ""
+
+
+def test_quotes_elsewhere_open_nothing():
+    for tag in ("<p title='it's'>", "<p \">", "<p a=b\"c>", "<p title=\"open>"):
+        assert main_text(f"<article>{tag}The story's text, with enough words in it to be kept, isn't lost.</p></article>") == "The story's text, with enough words in it to be kept, isn't lost."
+
+
 def test_cut_is_minimal():
     rng = random.Random(7)
     for _ in range(200):

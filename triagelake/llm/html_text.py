@@ -45,13 +45,14 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BIAS, WORD, MOST_WORDS, LINKS, SENTENCE, PARAGRAPH, INSIDE, NAMED, OUTSIDE = -1.0, 0.06, 60, -4.0, 0.6, 0.8, 3.0, 1.0, -9.0
 NEXT, PARENT = 0.5, 0.4
 
+# Attributes as HTML reads them: a quote opens a value only after "=", of any length; one that never closes is part of a name. Nothing is tried twice.
+ATTRIBUTES = r"""(?:\s++|/(?!>)|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?+)*+"""
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]{{0,4096}}\"|'[^']{{0,4096}}')*(?<=/)>|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|"
-    rf"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]{{0,4096}}\"|'[^']{{0,4096}}')*)>|"
-    r"<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>]){ATTRIBUTES}/>|<(?P<raw>{RAW})(?=[\s/>])(?:{ATTRIBUTES}/?>|[^>]*>).*?(?:</(?P=raw)\s*>|\Z)|"
+    rf"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>{ATTRIBUTES})/?>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)>|<[!?/][^>]*>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden|aria-modal)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)))?+""")
 
 
 @dataclass(slots=True)
@@ -179,7 +180,7 @@ def _element(name: str, rest: str, parent: Element, number: int) -> Element:
                     named = named or FOR_NAMES.search(value) is not None
             elif key == "style":
                 against = against or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
-            elif key == "hidden" or value.lower() == "true":
+            elif key == "hidden" or (key in ("aria-hidden", "aria-modal") and value.lower() == "true"):
                 against = True
     return Element(name, number, parent.number if parent.name in BLOCKS else parent.parent, outside or against, inside, named)
 
