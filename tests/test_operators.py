@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import random
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from triagelake.functions import align, features, text
 from triagelake.operators import bootstrap, intervals, metrics, policies, review, splits, thresholds, windows
+from triagelake.plans import queries_sequences, views
 from triagelake.sources import records
 from triagelake.streaming import live
 
@@ -166,6 +168,29 @@ def test_review_curves(spark):
     assert got["queue", 0.0] == 0 and got["queue", 3.0] == got["hybrid", 3.0] == 8 and got["queue", 1.0] >= 1
 
 
+def test_review_of_windows_and_of_unsure_words(spark):
+    # u: two words that overlap, and a gap, which has no p; v: the least sure unit, one word; w: no clips.
+    rows = [("c", "u", 0.0, 1.0, 0.1, 1.0, 1.0, 0.9, 0.8, 4.0), ("c", "u", 0.5, 1.5, 0.2, 2.0, 0.0, 0.2, 0.8, 4.0), ("c", "u", 2.0, 3.0, 0.9, 4.0, 0.0, None, 0.8, 4.0)]
+    rows += [("c", "v", 0.0, 1.0, 0.5, 8.0, 2.0, 0.5, 0.3, 2.0), ("c", "w", None, None, None, None, None, None, 0.5, 3.0)]
+    names = "consultation string, unit string, a double, b double, pred double, true double, crit double, p double, conf double, duration double"
+    got = review.review_curves(spark.createDataFrame(rows, names), [1, 2, 2.5, 5, 9], review.FIVE).collect()
+    assert {r["total"] for r in got} == {15.0}
+    curve = lambda m: [(r["caught"], r["crit_caught"]) for r in sorted((r for r in got if r["method"] == m), key=lambda r: r["budget"])]
+    assert curve("window_review") == [(0, 0), (8, 2), (8, 2), (8, 2), (15, 3)]
+    assert curve("whisper_conf") == [(2, 0), (10, 2), (11, 3), (11, 3), (11, 3)]
+    assert curve("verifier") == [(4, 0), (12, 2), (12, 2), (15, 3), (15, 3)]
+    assert curve("perfect") == [(8, 2), (12, 2), (12, 2), (15, 3), (15, 3)] and curve("hybrid")[-1] == (15, 3)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_every_word_is_a_clip(spark):
+    d = "/root/testdata/sf0.001"
+    items = queries_sequences._items(spark, d)
+    n = views.table(spark, d, "conversations").agg(F.sum(F.size(views.tokens_of(F.col("text"))))).first()[0]
+    assert items.filter("a IS NOT NULL").count() == n and items.agg({"pred": "min"}).first()[0] == pytest.approx(0.1) and items.agg({"pred": "max"}).first()[0] == pytest.approx(1.0)
+    assert {r["method"] for r in queries_sequences.iv_curve_parts(spark, d).collect()} == set(review.FIVE)
+
+
 def test_policies(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=1500)

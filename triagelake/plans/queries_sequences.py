@@ -356,15 +356,20 @@ def ft_unit_features_all(spark, d):
 
 
 def _items(spark, d):
-    """Low-scoring words as clips of utterances, five words to a clip's second."""
-    w = table(spark, d, "conversations").select(F.col("conv_id").alias("consultation"), F.col("turn").cast("string").alias("unit"), F.posexplode(tokens_of(F.col("text"))).alias("pos", "token"))
+    """Every word as a clip of its turn, five words to a second, with scores by formula; a turn of n words lasts to the end of its last clip."""
+    w = table(spark, d, "conversations").withColumn("tokens", tokens_of(F.col("text")))
+    w = w.select(F.col("conv_id").alias("consultation"), F.col("turn").cast("string").alias("unit"), "turn", F.size("tokens").alias("n"), F.posexplode_outer("tokens").alias("pos", "token"))
     k = (F.col("consultation") * 13 + F.col("pos") * 7) % 10
-    return w.filter(k < 3).select("consultation", "unit", (F.col("pos") / 5.0).alias("a"), (F.col("pos") / 5.0 + 0.8).alias("b"), (k / 10.0 + 0.1).cast("double").alias("pred"), (k % 2).cast("double").alias("true"), (k % 3).cast("double").alias("crit"))
+    p = lambda i: ((F.col("consultation") * 31 + F.col("turn") * 7 + i * 17) % 100 / 100.0).cast("double")
+    return w.select(
+        "consultation", "unit", (F.col("pos") / 5.0).alias("a"), (F.col("pos") / 5.0 + 0.8).alias("b"), (k / 10.0 + 0.1).cast("double").alias("pred"), (k % 2).cast("double").alias("true"), (k % 3).cast("double").alias("crit"),
+        p(F.col("pos")).alias("p"), F.exp(-2 * p(F.lit(1))).alias("conf"), F.when(F.col("n") > 0, F.col("n") / 5.0 + 0.6).otherwise(0.0).cast("double").alias("duration"),
+    )
 
 
 @query("iv_curve_parts")
 def iv_curve_parts(spark, d):
-    return rounded(review.review_curves(_items(spark, d), [0, 5, 10, 20, 40]))
+    return rounded(review.review_curves(_items(spark, d), [0, 5, 10, 20, 40], review.FIVE))
 
 
 @query("iv_marginal_queue")
@@ -379,7 +384,7 @@ def iv_hybrid_greedy(spark, d):
 
 @query("agg_curve_summary")
 def agg_curve_summary(spark, d):
-    return review.curve_summary(review.review_curves(_items(spark, d), [0, 5, 10, 20, 40]))
+    return review.curve_summary(review.review_curves(_items(spark, d), [0, 5, 10, 20, 40], review.FIVE))
 
 
 @query("iv_window_review", UTT, """, c AS (SELECT consultation, idx, length(text) AS v, sum("end" - start) OVER (PARTITION BY consultation ORDER BY idx DESC ROWS UNBOUNDED PRECEDING) AS spent FROM utt), b(budget) AS (VALUES (10.0::DOUBLE), (30.0::DOUBLE))
