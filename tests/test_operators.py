@@ -157,6 +157,17 @@ def test_intervals(spark):
         assert [[r["start"], r["end"]] for r in sorted(packed, key=lambda r: r["window"]) if r["k"] == k] == wins
 
 
+def test_number_words_in_the_normaliser(spark):
+    one = lambda s, f: spark.createDataFrame([(s,)], "t string").select(f(F.col("t")).alias("x")).first()["x"]
+    for f in (text.plain_tokens, text.reference_tokens):
+        assert one("I took twenty six of Two Hundred, um, and he doesn't.", f) == "i took 26 of 200 and he does not".split()
+        assert one("twenty six. Twenty\nsix OK, Dolo 650 three times, just one", f) == "26 20 6 okay dolo 650 3 times just one".split()
+        assert one("1,250.5 mg and 3 mm", f) == "1250.5 mg and 3 mm".split() and one("", f) == [] and one(None, f) is None
+    assert one("twenty <UNIN/>\n<UNIN/> six\n<UNIN/>", text.reference_tokens) == ["20", "<*>", "6", "<*>"]
+    docs = spark.createDataFrame([("It's <b>two thousand and</b> it's five.",)], "t string")
+    assert docs.select(F.array_join(text.plain_tokens(text.strip_tags(F.col("t"))), " ")).first()[0] == "it is 2000 and it is 5"
+
+
 def test_review_curves(spark):
     cover = review.Cover()
     cover.add(0, 2), cover.add(5, 6)
