@@ -53,3 +53,14 @@ def test_an_overfull_table_is_retried_larger(spark):
     first = fingerprints.differences(pairs, 0, False).collect()
     assert all(r["left"] > 0 for r in first)
     assert [r["differ"] for r in fingerprints.recover(pairs, False).collect()] == [1000] * 3
+
+
+def test_stored_tables_are_subtracted_later(spark, docs_schema, tmp_path):
+    texts = ["\n".join(f"line {i} of {t}" for i in range(12)) for t in "ab"] + ["", None]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    fingerprints.compare_with_edits(spark.createDataFrame(rows, docs_schema), with_cells=True).write.parquet(str(tmp_path / "stored"))
+    stored = spark.read.parquet(str(tmp_path / "stored"))
+    found = fingerprints.subtract(stored, ["doc_id"], "cells", "edited_cells").withColumnRenamed("only", "later").join(stored, "doc_id").collect()
+    assert len(found) == 4
+    for r in found:
+        assert r["left"] == 0 and sorted(r["later"]) == sorted(r["only_edited"]) and bool(r["later"]) == (r["doc_id"] < 2)

@@ -28,6 +28,7 @@ FOLD = 4
 #: Rounds of peeling before a table counts as failed; sizes tried at most (the last is 4^11 times the first).
 ROUNDS, LEVELS = 14, 12
 CELL, FOUND = 0, 1
+CELLS = "array<struct<at:bigint,count:bigint,x:bigint,check:bigint>>"
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -89,10 +90,11 @@ def differences(pairs: DataFrame, level: int, with_digests: bool) -> DataFrame:
     return peeled.groupBy(*keys).agg(*wanted)
 
 
-def table_strings(rows: DataFrame, names: list[str]) -> DataFrame:
+def table_strings(rows: DataFrame, names: list[str], with_cells: bool = False) -> DataFrame:
     """For arrays of digests in columns `names` (KEY, ...): one row a key with each one's table of 3 * 2^FOLD cells as a string.
 
-    The string is the number of digests and the SHA-256 of the cells that aren't empty, in order.
+    The string is the SHA-256 of the cells that aren't empty, in order; `with_cells` gives those cells too, as `<name>_cells`, arrays of
+    (at, count, x, check).
     """
     def tagged(which: int, name: str) -> Column:
         return F.transform(name, lambda d: F.struct(F.lit(which).alias("which"), d.alias("digest")))
@@ -102,7 +104,26 @@ def table_strings(rows: DataFrame, names: list[str]) -> DataFrame:
     table = cells(flat, [*KEY, "which"], 0)
     cell = F.struct("at", "count", "x", "check")
     lists = table.groupBy(*KEY).agg(*(F.array_sort(F.collect_list(F.when(F.col("which") == i, cell))).alias(f"{n}_cells") for i, n in enumerate(names)))
-    return lists.select(*KEY, *(F.sha2(F.to_json(f"{n}_cells"), 256).alias(f"{n}_table") for n in names))
+    return lists.select(*KEY, *(F.sha2(F.to_json(f"{n}_cells"), 256).alias(f"{n}_table") for n in names), *((f"{n}_cells" for n in names) if with_cells else ()))
+
+
+def subtract(tables: DataFrame, keys: list[str], a: str, b: str, rounds: int = ROUNDS) -> DataFrame:
+    """Peels the difference of stored tables a and b, arrays of (at, count, x, check) of compare_with_edits: (keys, left, only).
+
+    left is the number of cells that didn't peel (0: only is whole), only has (digest, sign), sign 1 for digests of a. Keys are unique;
+    rows without a difference have left 0 and no digests.
+    """
+    def side(name: str, sign: int) -> Column:
+        return F.transform(F.coalesce(F.col(name), F.array().cast(CELLS)), lambda c: F.struct(c["at"].alias("at"), (c["count"] * sign).alias("count"), c["x"].alias("x"), c["check"].alias("check")))
+
+    signed = F.concat(side(a, 1), side(b, -1))
+    rows = tables.select(*keys, F.lit((1 << FOLD) - 1).cast("long").alias("mask"), F.explode(signed).alias("c")).select(*keys, "mask", "c.*")
+    rows = rows.groupBy(*keys, "mask", "at").agg(F.sum("count").alias("count"), F.bit_xor("x").alias("x"), F.bit_xor("check").alias("check"))
+    peeled = peel(rows.filter("count <> 0 OR x <> 0 OR check <> 0").withColumn("kind", F.lit(CELL)), keys, 0, rounds)
+    found = F.when(F.col("kind") == FOUND, F.struct(F.col("x").alias("digest"), F.col("count").alias("sign")))
+    peeled = peeled.groupBy(*keys).agg(F.count(F.when(F.col("kind") == CELL, 1)).alias("left"), F.collect_list(found).alias("only"))
+    none = F.array().cast("array<struct<digest:bigint,sign:bigint>>")
+    return tables.select(*keys).join(peeled, keys, "left").select(*keys, F.coalesce("left", F.lit(0).cast("long")).alias("left"), F.coalesce("only", none).alias("only"))
 
 
 def next_in_order(ids: DataFrame) -> DataFrame:
@@ -146,7 +167,7 @@ def recover(pairs: DataFrame, with_digests: bool) -> DataFrame:
     raise RuntimeError("a table of paragraph digests did not peel at any size")
 
 
-def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_digests: bool = True) -> DataFrame:
+def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_digests: bool = True, with_cells: bool = False) -> DataFrame:
     """Fingerprints of every document and its edited text, and what differs between it, the edited text and the next document.
 
     The edited text has the last quarter of the code points replaced by the first as many (or all) of the next document in order of id;
@@ -154,6 +175,7 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     (with_digests) only_edited, only_next: arrays of (digest, sign), sign 1 for digests that only the document has. Likeness is twice the
     shared digests by all digests of both, 1 where neither has any. A null text is empty. Rows that repeat an id are ordered by hashes;
     rows that repeat id and text are one document and answered once each. Null ids come first. An empty table gives an empty one.
+    With with_cells, cells and edited_cells are the tables that the fingerprints are hashes of, to be stored and given to `subtract` later.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
@@ -174,7 +196,7 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     found = recover(pairs, with_digests)
     of = lambda p, c: F.max(F.when(F.col("pair") == p, F.col(c))).alias(f"{c}_{p}")
     found = found.groupBy(*KEY).agg(*(of(p, c) for p in (0, 1) for c in (["differ", "only"] if with_digests else ["differ"])))
-    tables = table_strings(base, ["own", "edited"])
+    tables = table_strings(base, ["own", "edited"], with_cells)
     out = base.join(tables, KEY, "left").join(found, KEY, "left")
 
     def like(differ: str, other: str) -> Column:
@@ -185,6 +207,8 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     none = F.array().cast("array<struct<digest:bigint,sign:bigint>>")
     out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     digests = [F.coalesce("only_0", none).alias("only_edited"), F.coalesce("only_1", none).alias("only_next")] if with_digests else []
+    if with_cells:
+        digests += [F.coalesce(c, F.array().cast(CELLS)).alias(n) for c, n in (("own_cells", "cells"), ("edited_cells", "edited_cells"))]
     return out.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", name("own", "own_table").alias("fingerprint"), name("edited", "edited_table").alias("edited_fingerprint"),
         like("differ_0", "edited").alias("near_edited"), like("differ_1", "next").alias("near_next"), "next_id", *digests,
