@@ -13,7 +13,8 @@ pivot; those (`rim`) are compared with the core in blocks of bounded size.
 What the trees give is not every candidate pair but, for each node, a forest that connects its candidates, so its size
 is that of the classes. Pairs of the forest are confirmed on full sets first. Where classes that the forests
 connect are still different components, each class outside of the largest of them is compared with all others there, sketches
-first and then full sets, in blocks, and the links found join the components. No partner is dropped.
+first and then full sets, in blocks, and the links found join the components. A pair whose sketches are less alike than CANDIDATE is
+compared nowhere: at similarity 0.75 that is 0.0003 to 0.0004 of the pairs. The trees part about 2.5e-6 of them where all nodes are large.
 """
 
 from __future__ import annotations
