@@ -1,6 +1,10 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
+from triagelake.llm import near_dedup
 from triagelake.llm.components import connected_components
 from triagelake.llm.near_dedup import near_duplicates
 
@@ -72,3 +76,22 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7)]
     found = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(60)}}
+
+
+def test_blocks_of_open_clusters_compare_whole_sets():
+    rng = np.random.default_rng(3)
+    sets = [rng.choice(60, rng.integers(30, 55), replace=False).tolist() for _ in range(40)]
+    # Sketches that are alike nowhere: only the sets may decide.
+    rows = [{"id": i, "part": i, "sketch": np.full(near_dedup.SKETCH, i, np.uint32).tobytes(), "shingles": x} for i, x in enumerate(sets)]
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("part", pa.int64()), ("sketch", pa.binary()), ("shingles", pa.list_(pa.int64()))]))
+    (out,) = near_dedup.link_blocks(75)([pa.RecordBatch.from_arrays([pa.array([rows], kind), pa.array([rows], kind)], names=["left", "right"])])
+    linked = {(i, j) for i in range(40) for j in range(40) if i != j and 100 * len({*sets[i]} & {*sets[j]}) >= 75 * len({*sets[i]} | {*sets[j]})}
+
+    def parts(pairs):
+        part = list(range(40))
+        for a, b in pairs:
+            part = [part[a] if p == part[b] else p for p in part]
+        return {frozenset(i for i in range(40) if part[i] == p) for p in part}
+
+    found = list(zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True))
+    assert linked and set(found) <= linked and parts(found) == parts(linked)
