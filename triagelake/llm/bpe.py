@@ -12,9 +12,8 @@ before the merges that closed it in.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
-from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
@@ -23,8 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces that a worker remembers during a task and after it, and the longest that it does.
-REMEMBERED, KEPT, LONGEST = 400_000, 100_000, 48
+from triagelake.llm.parts import Known, Lists, parts_of, slices
 
 
 class Vocabulary:
@@ -33,6 +31,7 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes = {r: b for b, r in ranks.items()}
+        self.size = {r: len(b) for b, r in ranks.items()}
         self.longest = max(map(len, ranks))
         self._halves: dict[int, tuple[int, int] | None] = {}
         self.known_fits: dict[tuple[int, int], bool] = {}
@@ -93,81 +92,96 @@ class Prefixes:
         self.vocabulary, self.data, self.last = vocabulary, b"", []
         self.append(data)
 
-    def _extend(self, text: str, last: list[int]) -> Iterator[int]:
-        """Appends the last token of each further prefix of `text` to `last`; yields after each."""
+    def _extend(self, text: str, last: list[int], until: Callable[[int], bool] | None = None) -> None:
+        """Appends the last token of each further prefix of `text` to `last`, as long as `until` of it doesn't say that this is enough."""
         known, fits = self.vocabulary.known_fits, self.vocabulary.fits
-        end = len(last)
+        end, put = len(last), last.append
         for at, (length, token) in self.vocabulary.matches(text, max(0, end - self.vocabulary.longest)):
-            if at < end:
-                continue
-            if at > end:
+            if at != end:
+                if at < end:
+                    continue
                 break
             if length <= at:
-                before = last[at - length]
-                good = known.get((before, token))
-                if not (good or (good is None and fits(before, token))):
+                pair = (last[at - length], token)
+                good = known.get(pair)
+                if not (fits(*pair) if good is None else good):
                     continue
-            last.append(token)
+            put(token)
             end += 1
-            yield token
+            if until is not None and until(token):
+                return
         if end < len(text):
             raise ValueError(f"the vocabulary has no token that ends {text[: end + 1][-20:]!r}")
 
     def append(self, data: bytes) -> None:
         self.data += data
-        for _ in self._extend(self.data.decode("latin-1"), self.last):
-            pass
+        self._extend(self.data.decode("latin-1"), self.last)
 
     def replace(self, start: int, stop: int, data: bytes) -> int:
         """Puts `data` in place of bytes start to stop; returns how many prefixes were computed."""
         old, changed = self.last, self.data[:start] + data + self.data[stop:]
         last, same, done = old[:start], 0, 0
         shift = len(data) - (stop - start)
-        for token in self._extend(changed.decode("latin-1"), last):
+
+        def until(token: int) -> bool:
+            nonlocal same, done
             done += 1
             end = len(last)
             same = same + 1 if end > start + len(data) and token == old[end - 1 - shift] else 0
-            if same >= self.vocabulary.longest:
-                last.extend(old[end - shift :])
-                break
+            return same >= self.vocabulary.longest
+
+        self._extend(changed.decode("latin-1"), last, until)
+        if len(last) < len(changed):
+            last.extend(old[len(last) - shift :])
         self.data, self.last = changed, last
         return done
 
     def tokens(self) -> list[int]:
-        out, at = [], len(self.data)
+        out, at, last, size = [], len(self.data), self.last, self.vocabulary.size
         while at:
-            out.append(self.last[at - 1])
-            at -= len(self.vocabulary.bytes[out[-1]])
-        return out[::-1]
+            token = last[at - 1]
+            out.append(token)
+            at -= size[token]
+        out.reverse()
+        return out
 
 
-class Encoder(dict):
-    """Text to ids, by pieces of the pattern; a dictionary of the pieces met so far."""
+class Encoder:
+    """Text to ids and back. Parts of texts that repeat (see parts) are encoded once, by pieces of the pattern."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        super().__init__()
         self.vocabulary, self.split = vocabulary, regex.compile(pattern).findall
+        self.lists, self.known = Lists(np.int32), Known(self._encode_parts)
+        self._bytes = Lists(np.uint8)
+        self._bytes.put(0, [vocabulary.bytes.get(i, b"") for i in range(max(vocabulary.bytes) + 1)])
+        self._is_token = np.array([i in vocabulary.bytes for i in range(max(vocabulary.bytes) + 1)])
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode("utf-8", "surrogatepass")
+    def encode_piece(self, piece: str) -> Sequence[int]:
+        data = piece.encode()
         token = self.vocabulary.made.get(data)
-        ids = (token,) if token is not None else tuple(Prefixes(self.vocabulary, data).tokens())
-        if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.trim(REMEMBERED // 2)
-            self[piece] = ids
-        return ids
-
-    def trim(self, most: int) -> None:
-        """Forgets the pieces met last: frequent ones were met early."""
-        for piece in list(islice(self, most, None)):
-            del self[piece]
+        return (token,) if token is not None else Prefixes(self.vocabulary, data).tokens()
+
+    def _encode_parts(self, first: int, parts: list[bytes]) -> None:
+        self.lists.put(first, [[i for piece in self.split(part.decode()) for i in self.encode_piece(piece)] for part in parts])
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (none null) one after the other, and where each text's start, with the end."""
+        parts, before = parts_of(texts)
+        ids, bounds = self.lists.take(self.known.rows(parts))
+        return ids, bounds[before]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.split(text))))
+        return self.encode_all(pa.array([text]))[0].tolist()
+
+    def decode_all(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids one after the other, and where those of each run of ids start; an id that the vocabulary lacks is an error."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self._is_token) or not self._is_token[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        data, bounds = self._bytes.take(ids)
+        return data, bounds[starts]
 
     def decode(self, ids: Sequence[int]) -> bytes:
-        return b"".join(map(self.vocabulary.bytes.__getitem__, ids))
+        return self.decode_all(np.array(ids, np.int64), np.array([0, len(ids)]))[0].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -181,22 +195,16 @@ def load(ranks_file: str, pattern: str) -> Encoder:
 def encode_documents(docs: DataFrame, *, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the token ids of each whole text, in an array. A null text counts as empty and has no ids.
 
-    `ranks_file` is read on the executors, where the tokenizer is installed. Rows that repeat an id are
+    `ranks_file` is read on the executors, where the tokenizer is installed. No match of `pattern` may go on from other than white
+    space to a space, nor from an ASCII letter to ASCII punctuation but for the apostrophe. Rows that repeat an id are
     all answered; an empty table gives an empty one; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(ranks_file, pattern)
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                flat, ends = [], [0]
-                for text in part.column("text").to_pylist():
-                    flat.append(np.array(encoder.encode(text or ""), np.int32))
-                    ends.append(ends[-1] + len(flat[-1]))
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), ids], names=["id", "ids"])
-        encoder.trim(KEPT)
+        for part in slices(batches, "text"):
+            ids, starts = encoder.encode_all(part.column("text"))
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))], names=["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -212,9 +220,10 @@ def decode_documents(encoded: DataFrame, *, ranks_file: str, pattern: str, id_co
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
                 ids = part.column("ids")
-                flat, ends = ids.flatten().to_pylist(), (ids.offsets.to_numpy() - ids.offsets[0].as_py()).tolist()
-                decoded = [encoder.decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), ids, pa.array(decoded, pa.binary())], names=["id", "ids", "decoded"])
+                starts = ids.offsets.to_numpy()
+                data, bounds = encoder.decode_all(ids.flatten().to_numpy(), starts - starts[0])
+                decoded = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([part.column("id"), ids, decoded], names=["id", "ids", "decoded"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
     rows = encoded.select(F.col(id_col).alias("id"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
