@@ -49,3 +49,57 @@ def test_edges(spark):
     assert token_files.round_trip(spark.createDataFrame([], "doc_id long, text string"), tokenizer_file=file).collect() == []
     rows = spark.createDataFrame([(None, "b"), (1, "z"), (1, "a"), (1, "a")], "doc_id long, text string")
     assert [(r["doc_id"], r["start"]) for r in sorted(token_files.round_trip(rows, tokenizer_file=file).collect(), key=lambda r: r["start"])] == [(None, 0), (1, 2), (1, 4), (1, 6)]
+
+
+def test_cost_by_a_model_of_each_order():
+    rng = np.random.default_rng(10)
+    n = range_coder.BLOCK
+    skewed = np.minimum(rng.geometric(0.05, n), 60_000)
+    entropy = -sum(p * np.log2(p) for p in np.bincount(skewed)[1:] / n if p)
+    assert 8 * len(range_coder.encode([skewed])[0]) / n < entropy + 1.0
+    follows = np.cumsum(rng.integers(0, 2, n) * 7 + 1) % 500  # two followers of each id: order 1 alone helps
+    alone = -sum(p * np.log2(p) for p in np.bincount(follows) / n if p)
+    assert 8 * len(range_coder.encode([follows])[0]) / n < alone - 2
+    assert 8 * len(range_coder.encode([rng.integers(0, 65536, n)])[0]) / n < 18.5
+
+
+def test_blocks_are_independent():
+    rng = np.random.default_rng(11)
+    blocks = [rng.integers(0, 300, 900) for _ in range(9)]
+    coded = range_coder.encode(blocks)
+    assert coded == [range_coder.encode([b])[0] for b in blocks]
+    assert all((range_coder.decode([c])[0] == b).all() for b, c in zip(blocks, coded, strict=True))
+
+
+def test_files_roll_and_groups_keep_their_place(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "GROUP", 50)
+    monkeypatch.setattr(token_files, "GROUPS_A_FILE", 3)
+    records = [token_files.group_record(1, k, [k, None], [2, 3], np.arange(5) + k) + token_files.MARK for k in range(4)]
+    found = list(token_files.groups_of(b"".join(records)))
+    assert [(p, n, d, s.tolist(), i.tolist()) for p, n, d, s, i in found] == [(1, k, [k, None], [2, 3], [*range(k, k + 5)]) for k in range(4)]
+    with pytest.raises(ValueError):
+        list(token_files.groups_of(records[0][:-1]))
+    docs = spark.createDataFrame([(i, "a word and more " * (i % 7)) for i in range(200)], "doc_id long, text string")
+    token_files.write(docs, str(tmp_path / "t"), tokenizer_file=public.path("byte_bpe_50k.json"))
+    found = sorted(token_files.read(spark, str(tmp_path / "t")).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in found] == list(range(200)) and [r["start"] for r in found] == list(np.cumsum([0] + [len(r["ids"]) for r in found[:-1]]))
+
+
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_parts_give_what_whole_texts_give(file):
+    own, library, rng = token_files.Tokens(public.path(file)), tokenizers.Tokenizer.from_file(public.path(file)), random.Random(12)
+    library.encode_special_tokens = True
+    bits = ["a", "the", " ", "  ", "\n", "\n\n", "é", "日本", "!!", "12", "'ll", "'s", " ", "　", " ", "😀", "\t", "zz", "-", ". ", "<|endoftext|>", "\x1c", "\x85"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    import pyarrow as pa
+
+    ids, starts = own.encode_all(pa.array(texts))
+    for text, a, b in zip(texts, starts, starts[1:]):
+        assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_long_text_null_and_other_columns(spark):
+    rows = [(3, "word " * 60_000, 1, 2, 3), (1, None, 1, 2, 3), (2, "", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start long, record long, part int")
+    found = sorted(token_files.round_trip(docs, tokenizer_file=public.path("byte_bpe_50k.json")).collect())
+    assert [r["n_tokens"] for r in found][:2] == [1, 1] and found[2]["start"] == 2 and found[2]["n_tokens"] > 60_000

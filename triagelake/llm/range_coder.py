@@ -1,12 +1,17 @@
 """An adaptive context-mixing range coder for token ids.
 
-Ids are coded in blocks that start from nothing each and carry a checksum. Within a block, order 2 and order 1 each
-predict the id that last followed their context, with a confidence; order 0 knows the ids the block has had. One
-symbol says whether the id is what order 2 predicts, what order 1 predicts, one the block has had, or a new one. The
-probability that order 2 is right mixes an estimate by its own confidence with one by that of order 1, by a weight that follows
-whichever did better. An id that no context predicts is coded as its place among those had, or in full.
+Ids are coded in blocks that start from nothing each and carry a checksum. Within a block an id is known by its slot, the
+number of different ids that came before its first appearance. Three predictions are mixed:
 
-All blocks of a batch are coded in step, one id of each block at a time, so that numpy does the work; only integers are used.
+* order 2 and order 1 foretell the slot that last followed their context, with a confidence that grows as they are right;
+* order 0 gives each slot its frequency in the block so far (as of the last refresh; 1 for slots that are newer).
+
+The mix is w2 [s = p2] + w1 [s = p1] + w0 f(s), and the rest is for an id that the block has not had. The weights are learnt, a set
+for each pair of confidences and agreement of the two. A new id is coded by a fixed law that falls with its rank, as the
+frequencies of a BPE's ids do.
+
+All blocks of a batch are coded in step, one id of each block at a time, so that numpy does the work. Weights are
+integers; divisions by float are of integers below 2^53 and exact once rounded down.
 """
 
 from __future__ import annotations
@@ -16,132 +21,184 @@ import zlib
 
 import numpy as np
 
-#: Ids of a block, and blocks coded in step.
-BLOCK, LANES = 4096, 512
+#: Ids of a block.
+BLOCK = 4096
 #: Ids are below this.
 IDS = 1 << 16
-_TABLE = 1 << 12
-_ONE, _BITS = 1 << 15, 15
+#: Positions of a block at which order 0 is counted anew.
+REFRESH = frozenset((32, 128, 384, 1024, 2048, 3072))
+_BITS, _ONE = 15, 1 << 15
+#: Weights of order 2, 1 and 0 at first, and what they move to by 1 / 2^_RATE when each, or a new id, was right.
+_LEAST, _RATE = 256, 5
+_MOST = _ONE - 4 * _LEAST
+_FIRST = np.array([_ONE // 4, _ONE // 8, _ONE // 4, 0], np.int16).view(np.int64)
+_GOALS = np.array([[_MOST if i == k else _LEAST for i in range(3)] + [0] for k in range(4)], np.int16).view(np.int64).ravel()
+#: A range is at least _LOW after each id, and below 2^_HIGH; digits have 16 bits.
+_LOW, _HIGH = 1 << 32, 48
+_STRIDE = BLOCK + 2
 _HEAD = struct.Struct("<III")
+#: The law of new ids: cumulative frequencies of 2^22 / (id + 64), integers.
+_LAW = np.concatenate(([0], np.cumsum((1 << 22) // (np.arange(IDS, dtype=np.int64) + 64))))
+_LAW_TOTAL = int(_LAW[-1])
+ORDER_2, ORDER_1, ORDER_0, NEW = range(4)
 
 
 class _Model:
-    """The state of every lane; `step` gives the probabilities of the next symbol, `learn` takes the id."""
+    """The state of every lane. `predict` lays out a step's range, `interval` places what is coded there, `learn` takes it."""
 
     def __init__(self, lanes: int):
-        self.rows = np.arange(lanes)
-        self.base = self.rows * _TABLE
-        self.one, self.two = np.zeros(lanes * _TABLE, np.int32), np.zeros(lanes * _TABLE, np.int32)
-        self.place = np.full(lanes * IDS, -1, np.int16)
-        self.had = np.zeros((lanes, BLOCK), np.uint16)
-        self.count = np.zeros(lanes, np.int64)
-        self.by_two, self.by_one = (np.full(lanes * 32, _ONE // 8, np.int32) for _ in range(2))
-        self.right_one, self.old = np.full(lanes * 16, _ONE // 8, np.int32), np.full(lanes * 16, _ONE // 2, np.int32)
-        self.weight = np.full(lanes, 128, np.int32)
+        self.lanes = lanes
+        rows = np.arange(lanes, dtype=np.int64)
+        self.base, self.row = rows * _STRIDE, rows * 32
+        #: What followed each context of order 1 and 2: slot * 4 + confidence.
+        self.followers, self.two = np.zeros(2 * lanes * _STRIDE, np.uint16), lanes * _STRIDE
+        #: Order 0: first place of each slot, slot of each place, and counts since the block began.
+        self.first, self.slot_at, self.counts = (np.zeros(lanes * _STRIDE, np.uint16) for _ in range(3))
+        self.total, self.known = np.zeros(lanes, np.int64), np.zeros(lanes, np.uint16)
+        self.weights = np.repeat(_FIRST, lanes * 32)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def narrow(self, lanes: int) -> None:
         """Goes on with the first lanes only."""
-        for name in ("rows", "base", "count", "weight", "last", "before"):
+        self.lanes = lanes
+        for name in ("base", "row", "total", "known", "last", "before"):
             setattr(self, name, getattr(self, name)[:lanes])
 
-    def step(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Frequencies, out of 2^15, of `order 2`, `order 1` and `had`; the rest is for new ids."""
-        self.at_one = self.base + ((self.last * 0x9E3779B1 >> 13) & (_TABLE - 1))
-        self.at_two = self.base + (((self.last * 0x85EBCA6B ^ self.before * 0xC2B2AE35) >> 11) & (_TABLE - 1))
-        self.e1, self.e2 = self.one[self.at_one], self.two[self.at_two]
-        self.id1, self.id2 = self.e1 >> 4, self.e2 >> 4
-        self.same = self.id1 == self.id2
-        c1 = self.e1 & 15
-        self.i2 = self.rows * 32 + ((self.e2 & 15) << 1) + self.same
-        self.i1 = self.rows * 32 + (c1 << 1) + self.same
-        self.ir, self.io = self.rows * 16 + c1, self.rows * 16 + np.minimum(self.count >> 6, 15)
-        self.p2, self.p1 = self.by_two[self.i2], self.by_one[self.i1]
-        f0 = np.clip((self.weight * self.p2 + (256 - self.weight) * self.p1) >> 8, 64, _ONE - 64)
-        rest = _ONE - f0
-        f1 = np.where(self.same, 0, np.maximum(1, rest * np.minimum(self.right_one[self.ir], 32000) >> _BITS))
-        rest = rest - f1
-        f2 = np.clip(rest * self.old[self.io] >> _BITS, 1, rest - 1)
-        return f0, f1, f2
-
-    def learn(self, ids: np.ndarray, symbol: np.ndarray) -> None:
-        hit = symbol == 0
-        for table, at, p in ((self.by_two, self.i2, self.p2), (self.by_one, self.i1, self.p1)):
-            table[at] = p + np.where(hit, (_ONE - p) >> 5, -(p >> 5))
-        self.weight[:] = np.clip(self.weight + np.where((self.p2 > self.p1) == hit, 3, -3), 16, 240)
-        p = self.right_one[self.ir]
-        self.right_one[self.ir] = p + np.where(hit | self.same, 0, np.where(symbol == 1, (_ONE - p) >> 5, -(p >> 5)))
-        p = self.old[self.io]
-        self.old[self.io] = p + np.where(symbol < 2, 0, np.where(symbol == 2, (_ONE - p) >> 5, -(p >> 5)))
-        fresh = np.flatnonzero(symbol == 3)
-        at = self.base[fresh] * (IDS // _TABLE) + ids[fresh]
-        self.place[at] = self.count[fresh]
-        self.had[fresh, self.count[fresh]] = ids[fresh]
-        self.count[fresh] += 1
-        packed = (ids << 4).astype(np.int32)
-        for table, at, entry, known in ((self.one, self.at_one, self.e1, self.id1), (self.two, self.at_two, self.e2, self.id2)):
-            trust = entry & 15
-            table[at] = np.where(known == ids, entry + (trust < 15), np.where(trust > 0, entry - trust + (trust >> 1), packed))
-        self.before, self.last = self.last, ids
-
-    def known_place(self, ids: np.ndarray) -> np.ndarray:
-        """The place of each id among those that its block has had; -1 if none."""
-        return self.place[self.base * (IDS // _TABLE) + ids].astype(np.int64)
+    def predict(self, span: np.ndarray) -> None:
+        """The ends of the parts of the range `span`: order 2's slot, order 1's, order 0 (a unit for each count), a new id."""
+        self.at = np.empty((2, self.lanes), np.int64)
+        np.add(self.base, self.last, out=self.at[0])
+        np.add(self.base, (self.last * 0x9E5 + self.before) & (BLOCK - 1), out=self.at[1])
+        self.at[1] += self.two
+        self.entry = self.followers[self.at]
+        self.trust = self.entry & 3
+        self.foretold = self.entry >> 2
+        agree = self.foretold[0] == self.foretold[1]
+        self.mix = self.row + ((self.trust[1] << 3) + (self.trust[0] << 1) + agree)
+        self.w = self.weights[self.mix].view(np.int16).reshape(-1, 4)
+        r = span >> _BITS
+        self.end2 = self.w[:, 0] * r
+        self.end1 = self.end2 + self.w[:, 1] * r
+        self.unit = (self.w[:, 2] * r / np.maximum(self.total, 1)).astype(np.int64)
+        self.end0 = self.end1 + self.total * self.unit
+
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which part holds `value`, and the slot it stands for (of a new id: the next one)."""
+        past2, past1, past0 = value >= self.end2, value >= self.end1, value >= self.end0
+        place = ((value - self.end1) / self.unit).astype(np.int64) * (past1 & ~past0)
+        old = self.slot_at[self.base + place]
+        slot = np.where(past1, np.where(past0, self.known, old), np.where(past2, self.foretold[0], self.foretold[1]))
+        return past2.view(np.int8) + past1.view(np.int8) + past0.view(np.int8), slot
+
+    def part_of(self, slot: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """The part in which a slot is coded."""
+        return np.where(new, NEW, np.where(slot == self.foretold[1], ORDER_2, np.where(slot == self.foretold[0], ORDER_1, ORDER_0)))
+
+    def interval(self, part: np.ndarray, slot: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the range a slot's interval starts and how long it is."""
+        at = self.base + slot
+        first = self.first[at]
+        count = self.first[at + 1] - first
+        early, order2, order0 = part < ORDER_0, part == ORDER_2, part == ORDER_0
+        start = np.where(early, np.where(order2, 0, self.end2), np.where(order0, self.end1 + first * self.unit, self.end0))
+        size = np.where(early, np.where(order2, self.end2, self.end1 - self.end2), np.where(order0, count * self.unit, span - self.end0))
+        return start, size
+
+    def learn(self, part: np.ndarray, slot: np.ndarray, new: np.ndarray) -> None:
+        """Takes the slots of a step; `new` are the lanes in which the block had no such id before."""
+        goal = _GOALS[part].view(np.int16).reshape(-1, 4)
+        self.weights[self.mix] = (self.w + (goal - self.w >> _RATE)).view(np.int64).ravel()
+        slot16 = slot.astype(np.uint16)
+        wrong = np.where(self.trust > 0, self.entry - 1, slot16 << 2)
+        self.followers[self.at] = np.where(self.foretold == slot16, self.entry + (self.trust < 3), wrong)
+        if len(new):
+            known, total, base = self.known[new].astype(np.int64), self.total[new], self.base[new]
+            self.slot_at[base + total] = known
+            self.first[base + known + 1] = total + 1
+            self.known[new] += 1
+            self.total[new] += 1
+        self.before, self.last = self.last, slot.astype(np.int64)
+
+    def refresh(self, slots: np.ndarray, done: int) -> None:
+        """Counts order 0 anew from all `done` slots of each lane; `slots` are those since the last time, (ids, lanes)."""
+        n = self.lanes * _STRIDE
+        self.counts[:n] += np.bincount((slots + self.base).ravel(), minlength=n)[:n].astype(np.uint16)
+        counts, first, slot_at = (x[:n].reshape(self.lanes, _STRIDE) for x in (self.counts, self.first, self.slot_at))
+        most = int(self.known.max())
+        first[:, 1 : most + 1] = np.cumsum(counts[:, :most], axis=1, dtype=np.uint16)
+        kinds = np.broadcast_to(np.arange(most, dtype=np.uint16), (self.lanes, most))
+        slot_at[:, :done] = np.repeat(kinds.ravel(), counts[:, :most].ravel()).reshape(self.lanes, done)
+        self.total[:] = done
+
+
+def _slots(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slot of each id of a block, and whether it is new there."""
+    order, seen = np.arange(len(ids)), np.empty(IDS, np.int64)
+    seen[ids[::-1]] = order[::-1]
+    first = seen[ids]
+    new = first == order
+    return (np.cumsum(new) - 1)[first], new
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """Codes blocks of 1 to BLOCK ids; all but the last should be of one length, the last no longer."""
+    """Codes blocks of 1 to BLOCK ids; longer ones must come first."""
     lanes = len(blocks)
     length = np.array([len(b) for b in blocks])
-    if np.any(np.diff(length) > 0) or not lanes or length[0] > BLOCK or length[-1] < 1:
+    if not lanes or np.any(np.diff(length) > 0) or length[0] > BLOCK or length[-1] < 1:
         raise ValueError("blocks must hold 1 to BLOCK ids, longer ones first")
-    ids = np.zeros((int(length[0]), lanes), np.int64)
-    for i, b in enumerate(blocks):
-        ids[: len(b), i] = b
-    if ids.min() < 0 or ids.max() >= IDS:
+    if max(int(b.max()) for b in blocks) >= IDS or min(int(b.min()) for b in blocks) < 0:
         raise ValueError(f"ids must be below {IDS}")
+    steps = int(length[0])
+    ids, slots, new = np.zeros((lanes, steps), np.uint16), np.zeros((lanes, steps), np.uint16), np.zeros((lanes, steps), bool)
+    for i, b in enumerate(blocks):
+        ids[i, : len(b)] = b
+        slots[i, : len(b)], new[i, : len(b)] = _slots(b)
+    ids, slots, new = np.ascontiguousarray(ids.T), np.ascontiguousarray(slots.T), np.ascontiguousarray(new.T)
     model = _Model(lanes)
-    low, span = np.zeros(lanes, np.int64), np.full(lanes, (1 << 32) - 1, np.int64)
-    digits, used = np.zeros((lanes, 2 * int(length[0]) + 8), np.int32), np.zeros(lanes, np.int64)
-    low_, span_, used_ = low, span, used
-
-    def shift(which: np.ndarray) -> None:
-        digits[which, used_[which]] = low_[which] >> 32
-        used_[which] += 1
-        low_[which] = (low_[which] & 0xFFFFFFFF) << 16
-        span_[which] <<= 16
-
-    active = lanes
-    for t in range(int(length[0])):
-        while length[active - 1] <= t:
-            active -= 1
+    width = 2 * steps + 8
+    low, span, used = np.zeros(lanes, np.int64), np.full(lanes, 1 << _HIGH, np.int64), np.arange(lanes, dtype=np.int64) * width
+    digits = np.zeros(lanes * width, np.int32)
+
+    def settle(some: np.ndarray) -> None:
+        """Gives digits out until the ranges of these lanes are wide enough."""
+        while len(some):
+            at, value, size = used[some], low[some], span[some] << 16
+            digits[at] = value >> _HIGH - 16
+            used[some] = at + 1
+            low[some] = (value & (1 << _HIGH - 16) - 1) << 16
+            span[some] = size
+            some = some[size < _LOW]
+
+    active, begun = lanes, 0
+    for t in range(steps):
+        if length[active - 1] <= t:
+            active = int(np.searchsorted(-length, -t, side="left"))
             model.narrow(active)
-            low_, span_, used_ = low[:active], span[:active], used[:active]
-        now = ids[t, :active]
-        f0, f1, f2 = model.step()
-        place = model.known_place(now)
-        symbol = np.where(now == model.id2, 0, np.where(now == model.id1, 1, np.where(place >= 0, 2, 3)))
-        ends = np.stack((np.zeros_like(f0), f0, f0 + f1, f0 + f1 + f2, np.full_like(f0, _ONE)))
-        start = ends[symbol, model.rows].astype(np.int64)
-        r = span_ >> _BITS
-        low_ += r * start
-        span_[:] = r * (ends[symbol + 1, model.rows] - start)
-        small = np.flatnonzero(span_ < 1 << 16)
-        if len(small):
-            shift(small)
-        rest = np.flatnonzero(symbol >= 2)
-        if len(rest):
-            had = symbol[rest] == 2
-            r = span_[rest] // np.where(had, model.count[rest], IDS)
-            low_[rest] += r * np.where(had, place[rest], now[rest])
-            span_[rest] = r
-            small = rest[r < 1 << 16]
-            if len(small):
-                shift(small)
-        model.learn(now, symbol)
-    used_, low_, span_ = used, low, span
+        if t in REFRESH:
+            model.refresh(slots[begun:t, :active], t)
+            begun = t
+        here = span[:active]
+        model.predict(here)
+        slot = slots[t, :active]
+        part = model.part_of(slot, new[t, :active])
+        start, size = model.interval(part, slot, here)
+        low[:active] += start
+        span[:active] = size
+        settle(np.flatnonzero(size < _LOW))
+        fresh = np.flatnonzero(new[t, :active])
+        if len(fresh):
+            value = ids[t, fresh].astype(np.int64)
+            r = span[fresh] // _LAW_TOTAL
+            low[fresh] += r * _LAW[value]
+            size = r * (_LAW[value + 1] - _LAW[value])
+            span[fresh] = size
+            settle(fresh[size < _LOW])
+        model.learn(part, slot, fresh)
     for _ in range(3):
-        shift(np.arange(lanes))
+        digits[used] = low >> _HIGH - 16
+        used += 1
+        low = (low & (1 << _HIGH - 16) - 1) << 16
+    digits, used = digits.reshape(lanes, width), used - np.arange(lanes) * width
     for t in range(int(used.max()) - 1, 0, -1):
         carry = digits[:, t] >> 16
         if carry.any():
@@ -149,65 +206,72 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
             digits[:, t - 1] += carry
     out = []
     for i, b in enumerate(blocks):
-        body = digits[i, 1 : used[i]].astype(">u2").tobytes()
+        body = digits[i, : used[i]].astype(">u2").tobytes()
         out.append(_HEAD.pack(len(b), len(body), zlib.crc32(np.asarray(b, "<u4").tobytes())) + body)
     return out
 
 
+def record_size(data: bytes, at: int = 0) -> int:
+    """Bytes of the coded block that starts there."""
+    return _HEAD.size + _HEAD.unpack_from(data, at)[1]
+
+
 def decode(records: list[bytes]) -> list[np.ndarray]:
     """The ids of coded blocks, the longer ones first; raises if one doesn't fit its checksum."""
     lanes = len(records)
     heads = [_HEAD.unpack_from(r) for r in records]
     length = np.array([h[0] for h in heads])
-    bodies = [np.frombuffer(r, ">u2", h[1] // 2, _HEAD.size) for r, h in zip(records, heads, strict=True)]
-    digits = np.zeros((lanes, max(map(len, bodies)) + 4), np.int64)
-    for i, b in enumerate(bodies):
-        digits[i, : len(b)] = b
-    model, ids = _Model(lanes), np.zeros((int(length[0]), lanes), np.int64)
-    code, span, used = digits[:, 0] << 16 | digits[:, 1], np.full(lanes, (1 << 32) - 1, np.int64), np.full(lanes, 2, np.int64)
-    last = digits.shape[1] - 1
-    code_, span_, used_ = code, span, used
-
-    def shift(which: np.ndarray) -> None:
-        code_[which] = code_[which] << 16 | digits[which, np.minimum(used_[which], last)]
-        used_[which] += 1
-        span_[which] <<= 16
-
-    active = lanes
-    for t in range(int(length[0])):
-        while length[active - 1] <= t:
-            active -= 1
+    width = max(h[1] for h in heads) // 2 + 8
+    digits = np.zeros((lanes, width), np.int64)
+    for i, (r, h) in enumerate(zip(records, heads, strict=True)):
+        digits[i, : h[1] // 2] = np.frombuffer(r, ">u2", h[1] // 2, _HEAD.size)
+    steps = int(length[0])
+    model, slots, ids = _Model(lanes), np.zeros((steps, lanes), np.uint16), np.zeros((lanes, BLOCK), np.uint16)
+    code, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << _HIGH, np.int64)
+    used, ends = np.arange(lanes, dtype=np.int64) * width, np.arange(1, lanes + 1, dtype=np.int64) * width - 1
+    digits = digits.ravel()
+
+    def settle(some: np.ndarray) -> None:
+        """Takes digits in until the ranges of these lanes are wide enough."""
+        while len(some):
+            at, size = used[some], span[some] << 16
+            code[some] = code[some] << 16 | digits[np.minimum(at, ends[some])]
+            used[some] = at + 1
+            span[some] = size
+            some = some[size < _LOW]
+
+    active, begun = lanes, 0
+    for _ in range(3):
+        code = code << 16 | digits[np.minimum(used, ends)]
+        used += 1
+    for t in range(steps):
+        if length[active - 1] <= t:
+            active = int(np.searchsorted(-length, -t, side="left"))
             model.narrow(active)
-            code_, span_, used_ = code[:active], span[:active], used[:active]
-        f0, f1, f2 = model.step()
-        ends = np.stack((np.zeros_like(f0), f0, f0 + f1, f0 + f1 + f2, np.full_like(f0, _ONE)))
-        r = span_ >> _BITS
-        value = np.minimum(code_ // r, _ONE - 1)
-        symbol = (value >= ends[1]).astype(np.int64) + (value >= ends[2]) + (value >= ends[3])
-        start = ends[symbol, model.rows].astype(np.int64)
-        code_ -= r * start
-        span_[:] = r * (ends[symbol + 1, model.rows] - start)
-        small = np.flatnonzero(span_ < 1 << 16)
-        if len(small):
-            shift(small)
-        now = np.where(symbol == 0, model.id2, model.id1).astype(np.int64)
-        rest = np.flatnonzero(symbol >= 2)
-        if len(rest):
-            had = symbol[rest] == 2
-            total = np.where(had, model.count[rest], IDS)
-            r = span_[rest] // total
-            value = np.minimum(code_[rest] // r, total - 1)
-            code_[rest] -= r * value
-            span_[rest] = r
-            now[rest] = np.where(had, model.had[rest, np.where(had, value, 0)], value)
-            small = rest[r < 1 << 16]
-            if len(small):
-                shift(small)
-        model.learn(now, symbol)
-        ids[t, :active] = now
+        if t in REFRESH:
+            model.refresh(slots[begun:t, :active], t)
+            begun = t
+        here = span[:active]
+        model.predict(here)
+        part, slot = model.find(code[:active])
+        fresh = np.flatnonzero(part == NEW)
+        start, size = model.interval(part, slot, here)
+        code[:active] -= start
+        span[:active] = size
+        settle(np.flatnonzero(size < _LOW))
+        if len(fresh):
+            r = span[fresh] // _LAW_TOTAL
+            value = np.searchsorted(_LAW, np.minimum(code[fresh] // r, _LAW_TOTAL - 1), side="right") - 1
+            code[fresh] -= r * _LAW[value]
+            size = r * (_LAW[value + 1] - _LAW[value])
+            span[fresh] = size
+            settle(fresh[size < _LOW])
+            ids[fresh, slot[fresh]] = value
+        slots[t, :active] = slot
+        model.learn(part, slot, fresh)
     out = []
     for i, (n, _, check) in enumerate(heads):
-        found = ids[:n, i].astype("<u4")
+        found = ids[i, slots[:n, i]].astype("<u4")
         if zlib.crc32(found.tobytes()) != check:
             raise ValueError("a block of token ids does not fit its checksum")
         out.append(found)

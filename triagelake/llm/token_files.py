@@ -1,137 +1,156 @@
 """Token-id files: documents encoded by a tokenizer, in order of id, as blocks of an adaptive range coder.
 
-A file holds the documents of one range of ids. It is a sequence of records, each a kind (one byte), the length of its body, the
-body and the mark that ends a record: `I` lists documents (id and number of ids) that start in the blocks that follow, `B` is a
-coded block. Spark's text writer writes the records with the mark as the line separator, so files go to whatever store the
-shared folder is in; they are read back as binary files.
+A file is a sequence of groups. A group holds whole documents: where it stands (partition of the writing job, number in it), the
+documents' ids and numbers of token ids, and coded blocks. Groups end at GROUP token ids, and files at a number of groups, so that neither
+grows with the data (a single longer document makes a longer group). Spark's text writer writes a group a row, with a mark as
+the line separator, so files go to whatever store the shared folder is in; they are read back as binary files.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagelake.llm import range_coder
 from triagelake.llm.common import materialise, scratch_path
+from triagelake.llm.parts import Known, Lists, parts_of, slices
 
-#: Fixed values of the format.
-MARK, INDEX, CODED = b"#END\n", b"I", b"B"
-#: Texts tokenized at once.
-BATCH = 32
+#: Fixed values of the format: what opens and ends a group.
+OPEN, MARK = b"IDS1", b"#END\n"
+#: Token ids of a group, about (8 million are some 8 MB), and groups of a file at most.
+GROUP, GROUPS_A_FILE = 1 << 23, 8
+_HEAD = struct.Struct("<4sIIII")
 
 
-def _record(kind: bytes, body: bytes) -> bytes:
-    return kind + struct.pack("<I", len(body)) + body
+def group_record(partition: int, number: int, docs: list[int | None], sizes: list[int], ids: np.ndarray) -> bytes:
+    """A group of documents (ids, numbers of token ids, all token ids) as bytes."""
+    known = np.array([d is not None for d in docs], np.uint8)
+    table = zlib.compress(known.tobytes() + np.array([d or 0 for d in docs], "<i8").tobytes() + np.array(sizes, "<i8").tobytes())
+    blocks = range_coder.encode([ids[i : i + range_coder.BLOCK] for i in range(0, len(ids), range_coder.BLOCK)]) if len(ids) else []
+    return b"".join([_HEAD.pack(OPEN, partition, number, len(docs), len(table)), table, struct.pack("<I", len(blocks)), *blocks])
 
 
-def _records(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+def groups_of(data: bytes) -> Iterator[tuple[int, int, list[int | None], np.ndarray, np.ndarray]]:
+    """(partition, number, document ids, numbers of token ids, all token ids) of each group of a file."""
     at = 0
     while at < len(data):
-        kind, (size,) = data[at : at + 1], struct.unpack_from("<I", data, at + 1)
-        body, at = data[at + 5 : at + 5 + size], at + 5 + size
-        if kind not in (INDEX, CODED) or data[at : at + len(MARK)] != MARK:
+        opened, partition, number, n, size = _HEAD.unpack_from(data, at)
+        if opened != OPEN:
+            raise ValueError("a token file is damaged")
+        at += _HEAD.size
+        table, at = zlib.decompress(data[at : at + size]), at + size
+        known, docs, sizes = np.frombuffer(table, np.uint8, n), np.frombuffer(table, "<i8", n, n), np.frombuffer(table, "<i8", n, 9 * n)
+        (blocks,) = struct.unpack_from("<I", data, at)
+        at += 4
+        coded = []
+        for _ in range(blocks):
+            end = at + range_coder.record_size(data, at)
+            coded.append(data[at:end])
+            at = end
+        if data[at : at + len(MARK)] != MARK:
             raise ValueError("a token file is damaged")
-        yield kind, body
         at += len(MARK)
+        ids = np.concatenate(range_coder.decode(coded)) if coded else np.zeros(0, "<u4")
+        if len(ids) != sizes.sum():
+            raise ValueError("a group of a token file has other ids than its documents")
+        yield partition, number, [int(d) if k else None for k, d in zip(known, docs, strict=True)], sizes, ids
+
+
+class Tokens:
+    """Texts to token ids by a tokenizer of the tokenizers library, which sees each distinct part of texts once.
+
+    That gives what the library gives for whole texts where it is a byte-level BPE that splits by its own pattern, since no token goes on
+    over the border of two parts; any other tokenizer gets whole texts. Words of ASCII letters, with a space or without, go to the
+    library's model directly, as they are one piece each.
+    """
 
+    def __init__(self, file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
 
-class _Writer:
-    """Collects documents; gives records as soon as a batch of blocks is full."""
-
-    def __init__(self):
-        self.ids, self.size, self.docs = [], 0, []
-
-    def add(self, doc: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc, len(ids)))
-        self.ids.append(ids)
-        self.size += len(ids)
-
-    def flush(self, everything: bool) -> Iterator[bytes]:
-        batch = range_coder.BLOCK * range_coder.LANES
-        while self.size >= batch or (everything and (self.size or self.docs)):
-            flat = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint16)
-            now, rest = flat[:batch], flat[batch:]
-            known = np.array([d is not None for d, _ in self.docs], np.uint8)
-            table = np.array([(d or 0, n) for d, n in self.docs], "<i8").reshape(-1, 2)
-            yield _record(INDEX, zlib.compress(struct.pack("<I", len(self.docs)) + known.tobytes() + table.T.tobytes()))
-            blocks = [now[i : i + range_coder.BLOCK] for i in range(0, len(now), range_coder.BLOCK)]
-            for coded in range_coder.encode(blocks) if blocks else []:
-                yield _record(CODED, coded)
-            self.ids, self.size, self.docs = [rest] if len(rest) else [], len(rest), []
-
-
-def _read(data: bytes) -> Iterator[tuple[int | None, int, np.ndarray]]:
-    """(id, start within the file, ids) of each document of a file."""
-    todo: list[tuple[int | None, int]] = []
-    coded: list[bytes] = []
-    buffer, start = np.zeros(0, "<u4"), 0
-
-    def ready() -> Iterator[tuple[int | None, int, np.ndarray]]:
-        nonlocal buffer, start
-        if coded:
-            buffer = np.concatenate([buffer, *range_coder.decode(coded)])
-            coded.clear()
-        at, done = 0, 0
-        for doc, n in todo:
-            if at + n > len(buffer):
-                break
-            yield doc, start, buffer[at : at + n]
-            at, start, done = at + n, start + n, done + 1
-        del todo[:done]
-        buffer = buffer[at:]
-
-    for kind, body in _records(data):
-        if kind == INDEX:
-            yield from ready()
-            raw = zlib.decompress(body)
-            (n,) = struct.unpack_from("<I", raw)
-            known, table = np.frombuffer(raw, np.uint8, n, 4), np.frombuffer(raw, "<i8", 2 * n, 4 + n)
-            todo += [(int(d) if k else None, int(m)) for k, d, m in zip(known, table[:n], table[n:], strict=True)]
-        else:
-            coded.append(body)
-    yield from ready()
-    if todo or len(buffer):
-        raise ValueError("a token file ends inside a document")
+        self.tokenizer = Tokenizer.from_file(file)
+        self.tokenizer.encode_special_tokens = True
+        parts = json.loads(self.tokenizer.to_str())
+        split = parts["pre_tokenizer"] or {}
+        self.splits = parts["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and all(t["special"] for t in parts["added_tokens"])
+        self.lists, self.known = Lists(np.int32), Known(self._encode_parts)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_parts(self, first: int, parts: list[bytes]) -> None:
+        model, found, other = self.tokenizer.model, [], []
+        for part in parts:
+            word = part[1:] if part[:1] == b" " else part
+            if word.isalpha():
+                # The space is a letter of its own in a byte-level alphabet.
+                found.append([t.id for t in model.tokenize(part.decode().replace(" ", "\u0120"))])
+            else:
+                other.append(len(found))
+                found.append(part.decode())
+        for at, ids in zip(other, self._encode([found[i] for i in other]), strict=True):
+            found[at] = ids
+        self.lists.put(first, found)
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (none null) one after the other, and where each text's start, with the end."""
+        if self.splits:
+            parts, before = parts_of(texts)
+            ids, bounds = self.lists.take(self.known.rows(parts))
+            return ids, bounds[before]
+        found = self._encode(texts.to_pylist())
+        return np.array([i for ids in found for i in ids], np.int32), np.cumsum([0, *map(len, found)])
+
+
+@lru_cache(maxsize=2)
+def load(file: str) -> Tokens:
+    """The tokenizer of a file, once a worker."""
+    return Tokens(file)
 
 
 def write(docs: DataFrame, path: str, *, tokenizer_file: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encodes every whole text, appends end_id and writes files below `path`, in ascending order of id over files and within them.
+    """Encodes every whole text, appends end_id and writes files below `path`, in ascending order of id over groups and within them.
 
-    A null text has the end id only. Null ids come first; rows that repeat an id stand in order of their texts.
+    A null text has the end id only. Null ids come first; rows that repeat an id stand in order of their texts, repeated rows are all
+    written. An empty table gives no group; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        tokenizer, writer = Tokenizer.from_file(tokenizer_file), _Writer()
-        tokenizer.encode_special_tokens = True
-        give = lambda records: pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["record"])
-        for batch in batches:
-            for at in range(0, len(batch), BATCH):
-                part = batch.slice(at, BATCH)
-                found = tokenizer.encode_batch_fast([t or "" for t in part.column("text").to_pylist()], add_special_tokens=False)
-                for doc, one in zip(part.column("id").to_pylist(), found, strict=True):
-                    ids = np.array([*one.ids, end_id], np.int64)
-                    if ids.max() >= range_coder.IDS:
-                        raise ValueError(f"the files hold ids below {range_coder.IDS}")
-                    writer.add(doc, ids.astype(np.uint16))
-                if records := list(writer.flush(False)):
-                    yield give(records)
-        if records := list(writer.flush(True)):
-            yield give(records)
+        tokens, partition, number = load(tokenizer_file), TaskContext.get().partitionId(), 0
+        held, names, sizes, total = [], [], [], 0
+
+        def group() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([group_record(partition, number, names, sizes, np.concatenate(held))], pa.binary())], names=["record"])
+
+        for part in slices(batches, "text"):
+            ids, starts = tokens.encode_all(part.column("text"))
+            if (len(ids) and ids.max() >= range_coder.IDS) or not 0 <= end_id < range_coder.IDS:
+                raise ValueError(f"the files hold ids below {range_coder.IDS}")
+            with_end = np.insert(ids.astype(np.uint16), starts[1:], end_id)
+            held.append(with_end)
+            names += part.column("id").to_pylist()
+            sizes += (np.diff(starts) + 1).tolist()
+            total += len(with_end)
+            if total >= GROUP:
+                yield group()
+                held, names, sizes, total, number = [], [], [], 0, number + 1
+        if names:
+            yield group()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", "text")
     coded = ordered.mapInArrow(run, "record binary")
-    coded.select(F.col("record").cast("string").alias("value")).write.option("lineSep", MARK.decode()).text(path)
+    coded.select(F.col("record").cast("string").alias("value")).write.option("lineSep", MARK.decode()).option("maxRecordsPerFile", GROUPS_A_FILE).text(path)
 
 
 def read(spark: SparkSession, path: str, *, with_ids: bool = True) -> DataFrame:
@@ -140,37 +159,40 @@ def read(spark: SparkSession, path: str, *, with_ids: bool = True) -> DataFrame:
     start counts the ids of all documents before it; ids_crc32 is of its ids as little-endian unsigned 32-bit integers.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def give(rows: list[tuple]) -> pa.RecordBatch:
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=False)]
-            return pa.RecordBatch.from_arrays(columns, names=["file", "doc_id", "offset", "n_tokens", "ids_crc32", "ids"][: len(columns)])
+    columns = ["part", "group", "doc_id", "offset", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
-                rows, size = [], 0
-                for doc, offset, ids in _read(content.as_py()):
-                    rows.append((number, doc, offset, len(ids), zlib.crc32(ids.tobytes()), *([ids.astype(np.int32)] if with_ids else [])))
-                    size += len(ids)
-                    if len(rows) >= 4096 or (with_ids and size > 1 << 20):
-                        yield give(rows)
-                        rows, size = [], 0
-                if rows:
-                    yield give(rows)
+            for content in batch.column("content"):
+                for partition, number, docs, sizes, ids in groups_of(content.as_py()):
+                    ends = np.cumsum(sizes)
+                    for at in range(0, len(docs), 1024):
+                        lo, hi = (ends - sizes)[at : at + 1024], ends[at : at + 1024]
+                        some = [pa.array([v] * len(lo), pa.int64()) for v in (partition, number)]
+                        some += [pa.array(docs[at : at + 1024], pa.int64()), pa.array(lo), pa.array(hi - lo), pa.array([zlib.crc32(ids[a:b]) for a, b in zip(lo, hi, strict=True)], pa.int64())]
+                        if with_ids:
+                            some.append(pa.ListArray.from_arrays(pa.array(np.append(lo, hi[-1]) - lo[0], pa.int32()), pa.array(ids[lo[0] : hi[-1]].astype(np.int32))))
+                        yield pa.RecordBatch.from_arrays(some, names=columns)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    files = files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("file"), "content")
-    schema = "file long, doc_id long, offset long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    found = files.mapInArrow(run, schema)
+    schema = "part long, group long, doc_id long, offset long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+    found = files.select("content").mapInArrow(run, schema)
     if not with_ids:
         found = materialise(found, "token-rows")
-    sums = found.groupBy("file").agg(F.sum("n_tokens").alias("all"))
-    before = sums.select("file", (F.sum("all").over(Window.orderBy("file")) - F.col("all")).alias("before"))
-    out = found.join(before, "file").withColumn("start", (F.col("before") + F.col("offset")).cast("long"))
+    # A row a partition in one window, and a row a group in those of the partitions.
+    groups = found.groupBy("part", "group").agg(F.sum("n_tokens").alias("all"))
+    parts = groups.groupBy("part").agg(F.sum("all").alias("all"))
+    parts = parts.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before_part"))
+    before = groups.join(parts, "part").select("part", "group", (F.col("before_part") + F.sum("all").over(Window.partitionBy("part").orderBy("group")) - F.col("all")).alias("before"))
+    out = found.join(before, ["part", "group"]).withColumn("start", (F.col("before") + F.col("offset")).cast("long"))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
 def round_trip(docs: DataFrame, *, tokenizer_file: str) -> DataFrame:
-    """Writes documents to a new path of the shared folder and reads the files back, without the ids themselves."""
+    """Writes documents to a new path of the shared folder and reads the files back, without the ids themselves.
+
+    Nulls, repeats and other columns are as in `write`; an empty table gives an empty one.
+    """
     path = scratch_path(docs.sparkSession, "tokens")
     write(docs, path, tokenizer_file=tokenizer_file)
     return read(docs.sparkSession, path, with_ids=False)
