@@ -36,3 +36,78 @@ def test_edges(spark):
     model = lid.fit(rows)
     assert [r["lang_pred"] for r in lid.annotate(rows, model).collect()] == ["en", "und", "en", "en"]
     assert lid.annotate(rows.filter("false"), lid.fit(rows.filter("false"))).collect() == []
+
+
+def brute(rows, text):
+    """The same law, word by word and n-gram by n-gram, from counts alone."""
+    import math
+
+    languages = sorted({r[0] for r in rows})
+
+    def table(keys, least=0):
+        counts = {}
+        for lang, key, n in keys:
+            counts.setdefault(key, dict.fromkeys(languages, 0))[lang] += n
+        counts = {k: c for k, c in counts.items() if sum(c.values()) >= least}
+        totals = {x: sum(c[x] for c in counts.values()) for x in languages}
+        return {k: {x: math.log((c[x] + 0.5) / (totals[x] + 0.5 * len(counts) + 1)) for x in languages} for k, c in counts.items()}
+
+    words = table(rows, 2)
+    grams = {n: table((r[0], g, r[2]) for r in rows for g in lid.grams_of(r[1], n)) for n in (5, 4, 3, 2, 1)}
+    total = dict.fromkeys(languages, 0.0)
+    found = [w.lower() for w in lid.WORDS.findall(text) if any(map(str.isalpha, w))]
+    for w in found:
+        if w in words:
+            score = words[w]
+        else:
+            padded, covered, parts, cost = f"^{w}$", {0, len(w) + 1}, [], 0.0
+            for n in (5, 4, 3, 2, 1):
+                here = [i for i in range(len(padded) - n + 1) if not set(range(i, i + n)) <= covered and padded[i : i + n] in grams[n]]
+                parts += [{x: grams[n][padded[i : i + n]][x] + cost for x in languages} for i in here]
+                covered |= {k for i in here for k in range(i, i + n)}
+                cost -= 0.7
+                if len(covered) == len(padded):
+                    break
+            left = len(padded) - len(covered)
+            score = {x: (sum(p[x] for p in parts) - 12.0 * left) / max(1, (len(parts) + left) ** 0.5) for x in languages}
+        total = {x: total[x] + score[x] for x in languages}
+    if not found:
+        return "und", 0.0
+    top = max(total.values())
+    likely = {x: math.exp(v - top) for x, v in total.items()}
+    best = min(languages, key=lambda x: (-likely[x], x))
+    return best, likely[best] / sum(likely.values())
+
+
+def test_equal_to_brute_force():
+    import random
+
+    rng = random.Random(3)
+    words = ["the", "nation", "station", "über", "einheit", "freiheit", "école", "été", "l", "d", "qu", "straße", "x"]
+    rows = sorted({(rng.choice(["de", "en", "fr"]), w): rng.randint(1, 4) for w in words for _ in range(3)}.items())
+    rows = [(lang, w, n) for (lang, w), n in rows]
+    model = lid.build(rows)
+    bits = [*words, "The", "ÜBER", "relation", "einhe", "zzz", "日本", "İx", "ΑΣ", "½", "12", "_", ".", "'", " ", ",", " ", "\n", "-"]
+    for _ in range(400):
+        text = "".join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 12)))
+        lang, score = model.predict(text)
+        expected = brute(rows, text)
+        assert abs(score - expected[1]) < 1e-5 and (lang == expected[0] or abs(expected[1] - 0.5) < 1e-5)
+
+
+def test_draw_is_exact_for_languages_of_any_size(spark):
+    n = 3000
+    rows = spark.range(n).selectExpr("id", "if(id % 10 = 0, 'fr', 'en') AS lang", "'t' AS text")
+    found = {r["lang"]: r["n"] for r in lid.drawn(rows, 500).groupBy("lang").count().withColumnRenamed("count", "n").collect()}
+    assert found["fr"] == 300 and 400 < found["en"] < 600
+    # A language of thousands of millions of documents keeps its share.
+    for n in (10**9 + 1, 4 * 10**9, 10**15):
+        assert abs(lid.hash_bound(1000, n) / 2**63 * n - 1000) < 1e-3
+    assert lid.hash_bound(1000, 1000) == lid.hash_bound(1000, 3) == 2**63 - 1
+
+
+def test_long_text_and_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "the station " * 40_000, "en", "x", "y", 1.0), (2, "einheit", "de", "x", "y", 1.0)], "doc_id long, text string, lang string, lang_pred string, __text string, score double")
+    found = lid.annotate(rows.drop("__text"), lid.fit(rows))
+    assert sorted(found.columns) == ["doc_id", "lang", "lang_pred", "score", "text"]
+    assert [r["lang_pred"] for r in found.orderBy("doc_id").collect()] == ["en", "de"]

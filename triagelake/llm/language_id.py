@@ -11,13 +11,14 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triagelake.llm.parts import Known, parts_of, slices
+
 #: Runs of letters; words without a letter proper are dropped afterwards.
 WORDS = re.compile(r"[^\W\d_]+")
 #: The undetermined language: no text, or no letters in it.
@@ -25,13 +26,11 @@ UNDETERMINED = "und"
 GRAMS = (5, 4, 3, 2, 1)
 #: Log cost of a step back to a shorter n-gram, and of a character that none covers.
 STEP, UNSEEN = -0.7, -12.0
-#: Unseen words whose scores a worker remembers.
-REMEMBERED = 100_000
 
 
 def words_of(text: str) -> list[str]:
-    found = WORDS.findall(text.lower())
-    return found if all(map(str.isalpha, found)) else [w for w in found if any(map(str.isalpha, w))]
+    """The words of a text in lower case, each lowered on its own; runs without a letter proper are none."""
+    return [w.lower() for w in WORDS.findall(text) if any(map(str.isalpha, w))]
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -60,7 +59,7 @@ class Model:
     grams: dict[int, Table]
 
     def __post_init__(self) -> None:
-        self._rows = None
+        self._sums = None
 
     def __reduce__(self):
         return Model, (self.languages, self.words, self.grams)
@@ -87,41 +86,52 @@ class Model:
         # A word weighs about as much as a known one, however many n-grams it has.
         return (total + UNSEEN * left) / max(1, (count + left) ** 0.5)
 
+    def score(self, word: str) -> np.ndarray:
+        """Log score of a word in each language: as a whole if it is known, else by its n-grams."""
+        known = self.words.get(word)
+        return self.back_off(word) if known is None else known
+
+    def predict_all(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+        """The language of each text (none null) and its share of the likelihood."""
+        if not self.languages:
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        if self._sums is None:
+            self._sums = _Sums(self)
+        words, total = self._sums.of(texts)
+        likely = np.exp(total - total.max(axis=1, keepdims=True))
+        best = likely.argmax(axis=1)
+        share = likely[np.arange(len(likely)), best] / likely.sum(axis=1)
+        return [self.languages[b] if n else UNDETERMINED for b, n in zip(best.tolist(), words.tolist(), strict=True)], np.where(words > 0, share, 0.0).tolist()
+
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = words_of(text or "")
-        if not found or not self.languages:
-            return UNDETERMINED, 0.0
-        if self._rows is None:
-            self._rows = _Rows(self)
-        at = np.fromiter(map(self._rows.__getitem__, found), np.int64, len(found))
-        total = self._rows.scores[at].sum(axis=0)
-        self._rows.trim()
-        likely = np.exp(total - total.max())
-        best = int(likely.argmax())
-        return self.languages[best], float(likely[best] / likely.sum())
-
-
-class _Rows(dict):
-    """The row of each word in a table of scores, which grows by the unseen words that are met."""
+        languages, shares = self.predict_all(pa.array([text or ""], pa.string()))
+        return languages[0], shares[0]
 
-    def __init__(self, model: Model):
-        super().__init__(model.words.rows)
-        self.model, self.known = model, len(self)
-        self.scores = np.zeros((self.known + 1024, len(model.languages)))
-        self.scores[: self.known] = model.words.scores
 
-    def __missing__(self, word: str) -> int:
-        row = self[word] = len(self)
-        if row == len(self.scores):
-            self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
-        self.scores[row] = self.model.back_off(word)
-        return row
+class _Sums:
+    """Number of words and sum of their scores, for each distinct part of texts."""
 
-    def trim(self) -> None:
-        """Forgets the unseen words when there are too many."""
-        if len(self) - self.known > REMEMBERED:
-            for word in list(islice(self, self.known, None)):
-                del self[word]
+    def __init__(self, model: Model):
+        self.model, self.known = model, Known(self._add)
+        self.table = np.zeros((1 << 10, 1 + len(model.languages)))
+
+    def _add(self, first: int, parts: list[bytes]) -> None:
+        while first + len(parts) > len(self.table):
+            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+        for row, part in enumerate(parts, first):
+            words = words_of(part.decode())
+            self.table[row, 0] = len(words)
+            self.table[row, 1:] = sum(map(self.model.score, words)) if words else 0.0
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts, before = parts_of(texts)
+        numbers = self.known.rows(parts)
+        rows = self.table[numbers]
+        sums = np.zeros((len(texts), self.table.shape[1]))
+        some = np.diff(before) > 0
+        if some.any():
+            sums[some] = np.add.reduceat(rows, before[:-1][some])
+        return sums[:, 0], sums[:, 1:]
 
 
 def _table(keys: Iterable[tuple[str, int, int]], languages: int, least: int = 0) -> Table:
@@ -139,25 +149,37 @@ def _table(keys: Iterable[tuple[str, int, int]], languages: int, least: int = 0)
 
 
 def build(rows: list[tuple[str, str, int]], least: int = 2) -> Model:
-    """A model from (language, word, count); words met fewer than `least` times only count for the n-grams, and such n-grams for shorter ones."""
+    """A model from (language, word, count); words met fewer than `least` times are unseen words, and count for the n-grams only."""
     languages = sorted({r[0] for r in rows})
     number = {language: i for i, language in enumerate(languages)}
     words = _table(((word, number[language], count) for language, word, count in rows), len(languages), least)
-    grams = {n: _table(((gram, number[language], count) for language, word, count in rows for gram in grams_of(word, n)), len(languages), least) for n in GRAMS}
+    grams = {n: _table(((gram, number[language], count) for language, word, count in rows for gram in grams_of(word, n)), len(languages)) for n in GRAMS}
     return Model(languages, words, grams)
 
 
+def drawn(labelled: DataFrame, sample: int) -> DataFrame:
+    """Of rows (id, lang, text) about `sample` a language, all if it has fewer: those with the smallest hashes of their ids.
+
+    The languages and their sizes reach the driver, as the model's languages do.
+    """
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return labelled
+    bound = F.element_at(F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, hash_bound(sample, n)))), F.col("lang"))
+    return labelled.filter(F.xxhash64("id", F.lit("language sample")).bitwiseAND(F.lit((1 << 63) - 1)) <= bound)
+
+
+def hash_bound(sample: int, n: int) -> int:
+    """The hash, of 0 to 2^63 - 1, up to which `sample` of n rows stay on average, whatever n is."""
+    return min((1 << 63) - 1, (sample << 63) // max(n, 1))
+
+
 def fit(labelled: DataFrame, *, sample: int = 1000, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> Model:
-    """Fits on about `sample` documents of each language (a bound; those with the smallest hashes of their ids).
+    """Fits on about `sample` documents of each language, its bound (see drawn); a language with fewer is fitted on all of its documents.
 
     Rows without a language or text are left out. The word counts of the sample are what reaches the driver.
     """
     labelled = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return build([])
-    draw = F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1_000_000))
-    share = F.element_at(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, sample / n) * 1_000_000)))), F.col("lang"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = defaultdict(Counter)
@@ -167,7 +189,7 @@ def fit(labelled: DataFrame, *, sample: int = 1000, id_col: str = "doc_id", lang
         rows = [(lang, word, n) for lang, c in found.items() for word, n in c.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
 
-    counts = labelled.filter(draw < share).select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = drawn(labelled, sample).select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     return build(sorted((r["lang"], r["word"], r["n"]) for r in counts.collect()))
 
 
@@ -187,10 +209,9 @@ def annotate(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
     keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, at in ((b, at) for b in batches for at in range(0, len(b), 1024)):
-            batch = batch.slice(at, 1024)
-            found = [shared.value.predict(t) for t in batch.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*(f.name for f in keep), "lang_pred", "score"])
+        for batch in slices(batches, "__text"):
+            languages, shares = shared.value.predict_all(batch.column("__text"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(languages, pa.string()), pa.array(shares, pa.float64())], names=[*(f.name for f in keep), "lang_pred", "score"])
 
     rows = docs.select(F.col(text_col).alias("__text"), *(f"`{f.name}`" for f in keep))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "lang_pred string", "score double"])
