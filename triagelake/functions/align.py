@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 from triagelake.functions.text import WILDCARD
 
 
-
 def _arrays(**kinds: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, T.ArrayType(kind)) for name, kind in kinds.items()])
 
@@ -92,11 +91,23 @@ def counts(a: Column) -> dict[str, Column]:
     }
 
 
-def edit_count(ref: Column, hyp: Column) -> Column:
-    """Edits between token arrays without wildcards, natively: each token becomes one private code point, then Levenshtein."""
-    known = F.array_distinct(F.concat(ref, hyp))
-    coded = lambda side: F.array_join(F.transform(side, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + 0x4E00), 4, "0")), "UTF-16BE")), "")
-    return F.levenshtein(coded(ref), coded(hyp))
+def distance(ref: Sequence[str], hyp: Sequence[str]) -> int:
+    """Edits between token lists without wildcards; two rows of the table at a time, so memory grows with one list only."""
+    codes: dict[str, int] = {}
+    a, b = (np.array([codes.setdefault(t, len(codes)) for t in side], np.int64) for side in (ref, hyp))
+    steps = np.arange(len(b) + 1)
+    row = steps
+    for token in a:
+        best = row + 1
+        np.minimum(best[1:], row[:-1] + (b != token), out=best[1:])
+        row = np.minimum.accumulate(best - steps) + steps
+    return int(row[-1])
+
+
+@F.pandas_udf(T.IntegerType())
+def edit_count(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """Edits between token arrays without wildcards, of any length and with any number of different tokens; null where one is null."""
+    return pd.Series([None if r is None or h is None else distance(r, h) for r, h in zip(ref, hyp, strict=True)], dtype="Int32")
 
 
 def wildcard_cost(ref: Column, hyp: Column) -> Column:
