@@ -26,7 +26,7 @@ BLOCK = 4096
 #: Ids are below this.
 IDS = 1 << 16
 #: Positions of a block at which order 0 is counted anew.
-REFRESH = frozenset((32, 128, 384, 1024, 2048, 3072))
+REFRESH = frozenset((64, 384, 1280, 2688))
 _BITS, _ONE = 15, 1 << 15
 #: Weights of order 2, 1 and 0 at first, and what they move to by 1 / 2^_RATE when each, or a new id, was right.
 _LEAST, _RATE = 256, 5
@@ -54,7 +54,8 @@ class _Model:
         self.followers, self.two = np.zeros(2 * lanes * _STRIDE, np.uint16), lanes * _STRIDE
         #: Order 0: first place of each slot, slot of each place, and counts since the block began.
         self.first, self.slot_at, self.counts = (np.zeros(lanes * _STRIDE, np.uint16) for _ in range(3))
-        self.total, self.known = np.zeros(lanes, np.int64), np.zeros(lanes, np.uint16)
+        # The first slot has a place before there is one, so that there is something to divide by.
+        self.total, self.known = np.ones(lanes), np.zeros(lanes, np.uint16)
         self.weights = np.repeat(_FIRST, lanes * 32)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
@@ -70,23 +71,23 @@ class _Model:
         np.add(self.base, self.last, out=self.at[0])
         np.add(self.base, (self.last * 0x9E5 + self.before) & (BLOCK - 1), out=self.at[1])
         self.at[1] += self.two
-        self.entry = self.followers[self.at]
+        self.entry = self.followers.take(self.at)
         self.trust = self.entry & 3
         self.foretold = self.entry >> 2
         agree = self.foretold[0] == self.foretold[1]
         self.mix = self.row + ((self.trust[1] << 3) + (self.trust[0] << 1) + agree)
-        self.w = self.weights[self.mix].view(np.int16).reshape(-1, 4)
+        self.w = self.weights.take(self.mix).view(np.int16).reshape(-1, 4)
         r = span >> _BITS
         self.end2 = self.w[:, 0] * r
         self.end1 = self.end2 + self.w[:, 1] * r
-        self.unit = (self.w[:, 2] * r / np.maximum(self.total, 1)).astype(np.int64)
-        self.end0 = self.end1 + self.total * self.unit
+        self.unit = (self.w[:, 2] * r / self.total).astype(np.int64)
+        self.end0 = self.end1 + (self.total * self.unit).astype(np.int64)
 
     def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which part holds `value`, and the slot it stands for (of a new id: the next one)."""
         past2, past1, past0 = value >= self.end2, value >= self.end1, value >= self.end0
         place = ((value - self.end1) / self.unit).astype(np.int64) * (past1 & ~past0)
-        old = self.slot_at[self.base + place]
+        old = self.slot_at.take(self.base + place)
         slot = np.where(past1, np.where(past0, self.known, old), np.where(past2, self.foretold[0], self.foretold[1]))
         return past2.view(np.int8) + past1.view(np.int8) + past0.view(np.int8), slot
 
@@ -97,8 +98,8 @@ class _Model:
     def interval(self, part: np.ndarray, slot: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where in the range a slot's interval starts and how long it is."""
         at = self.base + slot
-        first = self.first[at]
-        count = self.first[at + 1] - first
+        first = self.first.take(at)
+        count = self.first.take(at + 1) - first
         early, order2, order0 = part < ORDER_0, part == ORDER_2, part == ORDER_0
         start = np.where(early, np.where(order2, 0, self.end2), np.where(order0, self.end1 + first * self.unit, self.end0))
         size = np.where(early, np.where(order2, self.end2, self.end1 - self.end2), np.where(order0, count * self.unit, span - self.end0))
@@ -106,17 +107,17 @@ class _Model:
 
     def learn(self, part: np.ndarray, slot: np.ndarray, new: np.ndarray) -> None:
         """Takes the slots of a step; `new` are the lanes in which the block had no such id before."""
-        goal = _GOALS[part].view(np.int16).reshape(-1, 4)
+        goal = _GOALS.take(part).view(np.int16).reshape(-1, 4)
         self.weights[self.mix] = (self.w + (goal - self.w >> _RATE)).view(np.int64).ravel()
         slot16 = slot.astype(np.uint16)
         wrong = np.where(self.trust > 0, self.entry - 1, slot16 << 2)
         self.followers[self.at] = np.where(self.foretold == slot16, self.entry + (self.trust < 3), wrong)
         if len(new):
-            known, total, base = self.known[new].astype(np.int64), self.total[new], self.base[new]
+            known, total, base = self.known[new].astype(np.int64), self.total[new].astype(np.int64), self.base[new]
             self.slot_at[base + total] = known
             self.first[base + known + 1] = total + 1
             self.known[new] += 1
-            self.total[new] += 1
+            self.total[new] = total + 1
         self.before, self.last = self.last, slot.astype(np.int64)
 
     def refresh(self, slots: np.ndarray, done: int) -> None:
