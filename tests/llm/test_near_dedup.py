@@ -95,3 +95,40 @@ def test_blocks_of_open_clusters_compare_whole_sets():
 
     found = list(zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True))
     assert linked and set(found) <= linked and parts(found) == parts(linked)
+
+
+def test_recall_on_texts_of_20000_words(spark):
+    """Every link of an all-pairs comparison, between long texts edited around the threshold, is in the components."""
+    rng = random.Random(5)
+    rows = []
+    for family in range(8):
+        base = [f"w{family}x{rng.randrange(8000)}" for _ in range(20_000)]
+        for k in range(5):
+            copy = list(base)
+            # A changed word parts five shingles: about 480 to 640 changes bring two texts to a similarity around 0.75 of each other.
+            for at in rng.sample(range(20_000), [0, 60, 480, 560, 700][k]):
+                copy[at] = f"edit{rng.randrange(10**6)}"
+            rows.append((family * 10 + k, " ".join(copy)))
+    rows.append((999, "short text"))
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in found} == brute(rows)
+
+
+def test_blocks_hold_a_bounded_number_of_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 1000)
+    rows = spark.range(40).selectExpr("0 AS node", "id", "sequence(1, 300) AS shingles")
+    scratch = []
+    blocks = near_dedup._grid(rows, rows, ["id", "shingles"], scratch, near_dedup.F.size("shingles")).collect()
+    assert max(sum(len(x["shingles"]) for x in b["left"]) for b in blocks) <= 4000 and len(blocks) > 100
+    assert {(x["id"], y["id"]) for b in blocks for x in b["left"] for y in b["right"]} == {(i, j) for i in range(40) for j in range(40)}
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    from triagelake.llm import common
+
+    scratch = []
+    table = common.materialise(spark.range(3), "some", scratch)
+    assert table.count() == 3 and len(scratch) == 1
+    path = scratch[0]
+    common.drop_tables(spark, scratch)
+    assert not scratch and not spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path))

@@ -130,6 +130,26 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+# Sets of shingles that several documents share are compared once; an empty set is linked with nothing.
+OP10_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                      ELSE list_sort(list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)])) END AS sh FROM t),
+c AS (SELECT min(doc_id) AS id, sh FROM s WHERE len(sh) > 0 GROUP BY sh),
+x AS (SELECT id, len(sh) AS n, unnest(sh) AS w FROM c),
+l AS (
+  SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.w = b.w AND a.id < b.id
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT id AS a, id AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+k AS (SELECT a AS id, min(b) AS component FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(k.component, s.doc_id) AS component_id, s.doc_id = coalesce(k.component, s.doc_id) AS kept
+FROM s LEFT JOIN c ON c.sh = s.sh LEFT JOIN k ON k.id = c.id
+"""
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_mix_sources, op2_warc_revisits, op3_html_text, op4_paragraph_tables, op5_exact_dedup, op6_byte_bpe,
@@ -139,4 +159,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op2_warc_revisits": OP2_SQL, "op5_exact_dedup": OP5_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op2_warc_revisits": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op10_near_dedup": OP10_SQL}

@@ -30,13 +30,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/triagelake/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends there and a lost executor costs nothing."""
+def materialise(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: lineage ends there and a lost executor costs nothing.
+
+    Its path is noted in `scratch`, for drop_tables once nothing reads it any more.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, scratch: list[str]) -> None:
+    """Removes tables that materialise wrote, and empties the list."""
+    for path in scratch:
+        found = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+    scratch.clear()
+
+
 def hot_only(groups: DataFrame, total: int) -> DataFrame:
     """The groups with more than total / HOT_ONE_IN rows (column n); there are fewer than HOT_ONE_IN of them."""
     return groups.filter(F.col("n") * HOT_ONE_IN > F.lit(total))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_hexdigest
 
-from triagelake.llm.common import attach_by_key, materialise
+from triagelake.llm.common import attach_by_key, drop_tables, materialise
 from triagelake.llm.components import connected_components
 from triagelake.llm.shingles import SKETCH, mixed, shingle_set, sketch
 
@@ -42,8 +42,8 @@ LEAF = 160
 CANDIDATE = 0.62
 #: Sketch likeness to the pivot that makes a class part of the core, and of the rim.
 CORE, RIM = 0.75, 0.3
-#: Classes on each side of a block, about.
-BLOCK = 1024
+#: Classes on each side of a block, about, and shingles of their sets where those are compared (8 bytes each).
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Levels of branching; a node that is still large after them is compared whole, in blocks.
 LEVELS = 2
 
@@ -184,11 +184,15 @@ def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(child), *(batch.column(c) for c in ("id", "copies", "sketch"))], names=["node", "id", "copies", "sketch"])
 
 
-def _grid(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
-    """The left and right rows (node, id, ...) of each node in a grid of blocks: (left, right), arrays of structs of about BLOCK rows at most."""
+def _grid(left: DataFrame, right: DataFrame, columns: list[str], scratch: list[str], weight: Column | None = None) -> DataFrame:
+    """The left and right rows (node, id, ...) of each node in a grid of blocks: (left, right), arrays of structs.
+
+    A side of a block has about BLOCK rows and, with a `weight` of rows, BLOCK_SHINGLES of that at most (or one row), whatever a node holds.
+    """
     rows = left.select("node", *columns, F.lit(0).alias("side")).unionByName(right.select("node", *columns, F.lit(1).alias("side")))
-    sides = [F.ceil(F.sum(F.when(F.col("side") == k, 1).otherwise(0)) / F.lit(float(BLOCK))).cast("int").alias(f"parts{k}") for k in (0, 1)]
-    counted = materialise(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *sides).filter("parts0 > 0 AND parts1 > 0"), "grid")
+    share = F.lit(1.0 / BLOCK) if weight is None else F.greatest(F.lit(1.0 / BLOCK), weight / F.lit(float(BLOCK_SHINGLES)))
+    sides = [F.ceil(F.sum(F.when(F.col("side") == k, share).otherwise(0.0))).cast("int").alias(f"parts{k}") for k in (0, 1)]
+    counted = materialise(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *sides).filter("parts0 > 0 AND parts1 > 0"), "grid", scratch)
     rows = attach_by_key(rows, counted, "node", ["parts0", "parts1"], rows.select("node").count(), F.col("id")).filter("parts0 IS NOT NULL")
     mine, theirs = (F.when(F.col("side") == 0, F.col(a)).otherwise(F.col(b)) for a, b in (("parts0", "parts1"), ("parts1", "parts0")))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), mine).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), theirs - 1)))
@@ -197,9 +201,9 @@ def _grid(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
     return rows.groupBy("node", i.alias("i"), j.alias("j")).agg(of(0).alias("left"), of(1).alias("right"))
 
 
-def _blocks(left: DataFrame, right: DataFrame) -> DataFrame:
+def _blocks(left: DataFrame, right: DataFrame, scratch: list[str]) -> DataFrame:
     """Candidate pairs that connect the left and right classes (node, id, sketch) of each node, block by block."""
-    grid = _grid(left, right, ["id", "sketch"])
+    grid = _grid(left, right, ["id", "sketch"], scratch)
     return grid.select(F.col("left.id").alias("left"), F.col("left.sketch").alias("left_sketches"), F.col("right.id").alias("right"), F.col("right.sketch").alias("right_sketches")).mapInArrow(compare_blocks, PAIRS)
 
 
@@ -207,10 +211,10 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def candidate_pairs(classes: DataFrame) -> DataFrame:
+def candidate_pairs(classes: DataFrame, scratch: list[str]) -> DataFrame:
     """Pairs (a, b, likeness) of classes (id, copies, sketch) that connect all candidates which the trees bring together."""
     found: list[DataFrame] = []
-    rows = materialise(classes.select("id", "sketch").mapInArrow(root, "node long, id long"), "tree-rows")
+    rows = materialise(classes.select("id", "sketch").mapInArrow(root, "node long, id long"), "tree-rows", scratch)
     for level in range(LEVELS + 1):
         total = rows.count()
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("who")).filter("n > 1")
@@ -218,28 +222,28 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
         sizes = sizes.groupBy("n", "who").agg(F.min("node").alias("node")).withColumn("size", F.col("n"))
         rows = attach_by_key(rows, sizes, "node", ["size"], total, F.col("id")).filter("size > 1")
         if level == 0:
-            rows = materialise(rows, "tree-nodes").join(classes, "id")
+            rows = materialise(rows, "tree-nodes", scratch).join(classes, "id")
         else:
-            rows = materialise(rows, "tree-nodes")
+            rows = materialise(rows, "tree-nodes", scratch)
         small = rows.filter(F.col("size") <= LEAF).groupBy("node").agg(F.collect_list("id").alias("ids"), F.collect_list("sketch").alias("sketches"))
         pairs = small.select("ids", "sketches").mapInArrow(compare_leaves, PAIRS)
-        large = materialise(rows.filter(F.col("size") > LEAF).select("node", "id", "copies", "sketch"), "large-nodes")
+        large = materialise(rows.filter(F.col("size") > LEAF).select("node", "id", "copies", "sketch"), "large-nodes", scratch)
         total = large.count()
         if not total or level == LEVELS:
-            found.append(materialise(pairs.unionByName(_blocks(large, large)) if total else pairs, "pairs"))
+            found.append(materialise(pairs.unionByName(_blocks(large, large, scratch)) if total else pairs, "pairs", scratch))
             break
         pivots = large.groupBy("node").agg(F.max(F.struct("copies", F.xxhash64("id").alias("h"), "id", "sketch")).alias("p"), F.count(F.lit(1)).alias("n"))
-        pivots = materialise(pivots.select("node", "n", F.col("p.id").alias("pivot"), F.col("p.sketch").alias("pivot_sketch")), "pivots")
+        pivots = materialise(pivots.select("node", "n", F.col("p.id").alias("pivot"), F.col("p.sketch").alias("pivot_sketch")), "pivots", scratch)
         seen = attach_by_key(large, pivots, "node", ["pivot", "pivot_sketch"], total, F.col("id"))
-        seen = materialise(seen.select("node", "id", "copies", "pivot", "sketch", "pivot_sketch").mapInArrow(against_pivot, "node long, id long, copies long, pivot long, sketch binary, likeness double"), "tree-stars")
+        seen = materialise(seen.select("node", "id", "copies", "pivot", "sketch", "pivot_sketch").mapInArrow(against_pivot, "node long, id long, copies long, pivot long, sketch binary, likeness double"), "tree-stars", scratch)
         seen = seen.filter(F.col("id") != F.col("pivot"))
         # Nodes of several trees often have the same pivot; what it has met in them is one star.
         star = seen.filter(F.col("likeness") >= RIM).dropDuplicates(["pivot", "id"]).select(F.col("pivot").alias("node"), "id", "sketch", "likeness")
-        star = materialise(star, "stars")
+        star = materialise(star, "stars", scratch)
         pairs = pairs.unionByName(star.filter(F.col("likeness") >= CANDIDATE).select(F.least("id", "node").alias("a"), F.greatest("id", "node").alias("b"), "likeness"))
-        found.append(materialise(pairs.unionByName(_blocks(star.filter(F.col("likeness") >= CORE), star.filter(F.col("likeness") < CORE))), "pairs"))
+        found.append(materialise(pairs.unionByName(_blocks(star.filter(F.col("likeness") >= CORE), star.filter(F.col("likeness") < CORE), scratch)), "pairs", scratch))
         rest = seen.filter(F.col("likeness") < CORE).select("node", "id", "copies", "sketch")
-        rows = materialise(rest.mapInArrow(branch, "node long, id long, copies long, sketch binary"), "tree-rows")
+        rows = materialise(rest.mapInArrow(branch, "node long, id long, copies long, sketch binary"), "tree-rows", scratch)
     return _union(found).groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
 
 
@@ -257,20 +261,24 @@ def links(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     First the pairs of the forests are confirmed. Where components of confirmed links are connected by a pair that was
     not, classes outside of the largest component there are compared with all others.
     """
-    pairs = materialise(candidate_pairs(classes), "candidates")
+    scratch: list[str] = []
+    pairs = materialise(candidate_pairs(classes, scratch), "candidates", scratch)
     members = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # A class has the same set whichever of its documents is read; an id that repeats may have several texts.
-    sets = materialise(docs.join(members, "id", "left_semi").mapInArrow(sets_of, "id long, shingles array<long>").dropDuplicates(["id", "shingles"]), "candidate-sets")
-    first = materialise(confirm(pairs, sets, percent), "links")
-    parts = materialise(connected_components(first), "components").withColumnRenamed("component", "part")
-    clusters = materialise(connected_components(pairs.select("a", "b")), "clusters").withColumnRenamed("component", "node")
-    placed = clusters.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    sets = docs.join(members, "id", "left_semi").mapInArrow(sets_of, "id long, shingles array<long>").dropDuplicates(["id", "shingles"])
+    sets = materialise(sets, "candidate-sets", scratch)
+    first = materialise(confirm(pairs, sets, percent), "links", scratch)
+    parts = connected_components(first, scratch).withColumnRenamed("component", "part")
+    clusters = connected_components(pairs.select("a", "b"), scratch).withColumnRenamed("component", "node")
+    placed = materialise(clusters.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")), "clusters", scratch)
     sizes = placed.groupBy("node", "part").agg(F.count(F.lit(1)).alias("k"))
     largest = sizes.groupBy("node").agg(F.max(F.struct("k", "part")).getField("part").alias("largest"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("n")).filter("parts > 1")
     open_ = attach_by_key(placed, largest, "node", ["largest"], placed.count(), F.col("id")).filter("largest IS NOT NULL")
-    open_ = materialise(open_.join(sets, "id").join(classes.select("id", "sketch"), "id").select("node", "id", "part", "largest", "sketch", "shingles"), "open-classes")
-    grid = _grid(open_, open_.filter(F.col("part") != F.col("largest")), ["id", "part", "sketch", "shingles"])
-    return first.unionByName(materialise(grid.select("left", "right").mapInArrow(link_blocks(percent), "a long, b long"), "links"))
+    open_ = materialise(open_.join(sets, "id").join(classes.select("id", "sketch"), "id").select("node", "id", "part", "largest", "sketch", "shingles"), "open-classes", scratch)
+    grid = _grid(open_, open_.filter(F.col("part") != F.col("largest")), ["id", "part", "sketch", "shingles"], scratch, F.size("shingles"))
+    found = materialise(first.unionByName(grid.select("left", "right").mapInArrow(link_blocks(percent), "a long, b long")), "links")
+    drop_tables(docs.sparkSession, scratch)
+    return found
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -293,7 +301,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     member = attach_by_key(described.select("id", "n_shingles", "digest"), classes.select("digest", "n", "class"), "digest", ["class"], total, F.col("id"))
     member = materialise(member, "members")
     same = member.join(repeated, "id", "left_semi").filter("class IS NOT NULL").select(F.col("class").alias("a"), F.col("id").alias("b"))
-    parts = materialise(connected_components(found.unionByName(same)), "components")
+    parts = connected_components(found.unionByName(same))
     parts = parts.select(F.col("id").alias("class"), F.col("component"))
     counts = member.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
     out = attach_by_key(member, counts.join(parts, "class"), "class", ["component"], total, F.col("id"))
