@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from triagelake.llm import html_text
 from triagelake.llm.html_text import Graph, extract, main_text
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header class="site-header"><h1>Site name</h1><nav><a href=x>Home</a></nav></header>
@@ -73,3 +74,49 @@ def test_table(spark):
     found = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert [len(r["text"]) > 0 for r in found] == [True, False, False]
     assert extract(spark.createDataFrame([], "page_id long, html string")).collect() == []
+
+
+MIXED = """<body><div class="nav"><a href=x>Home</a></div><div><p>The storm reached the coast late on Monday and left three towns without power, officials said.</p><div>Photos</div>
+<p>Crews from two counties worked through the night to clear the roads, and schools stayed closed on Tuesday.</p></div>
+<div><a href=1>More from the coast</a><p>Weather</p><div>All the day's news in one mail.</div><p>Sport</p><div><a href=3>Contact us</a></div></div></body>"""
+
+
+def test_the_cut_overrules_scores_both_ways():
+    found = html_text.blocks(MIXED)
+    label = {b.text: (b.score() > 0, kept) for b, kept in zip(found, html_text.labels(found), strict=True)}
+    assert label["Photos"] == (False, True) and label["All the day's news in one mail."] == (True, False)
+    assert main_text(MIXED).split("\n")[1] == "Photos" and main_text(MIXED).count("\n") == 2
+
+
+@pytest.mark.parametrize("name", ["share", "side-by-side", "notice", "related", "privacy", "reply"])
+def test_doubtful_names_are_outvoted_by_long_paragraphs(name):
+    inner = "This paragraph belongs to the story and is long enough to be seen as such by anyone who reads it."
+    page = f"<body>{STORY.replace('</article>', f'<div class={name}><p>{inner}</p></div></article>')}</body>"
+    assert main_text(page).split("\n")[1] == inner
+    links = f"<body>{STORY.replace('</article>', f'<div class={name}><a href=1>One</a> <a href=2>Two</a></div></article>')}</body>"
+    assert main_text(links) == main_text(STORY)
+
+
+def test_pages_by_all_labellings():
+    rng = random.Random(8)
+    bits = ["<p>Short.</p>", "<p>A paragraph of some ten words stands here, no more.</p>", "<div>Word</div>", "<a href=1>Link</a>", "<div><div>Two words</div></div>", "<ul><li>Item one<li><a href=2>Two</a></ul>", "<h2>Head</h2>"]
+    for _ in range(60):
+        page = "".join(f"<{e}>{''.join(rng.choices(bits, k=rng.randint(1, 3)))}</{e}>" for e in rng.choices(["div", "article", "nav", "div class=related", "section"], k=2))
+        page = page.replace("</div class=related>", "</div>")
+        found = html_text.blocks(page)[:11]
+        edges = [(i - 1, i, html_text.NEXT if found[i - 1].element.parent == found[i].element.parent else html_text.NEXT_ELSEWHERE) for i in range(1, len(found))]
+        groups = {}
+        for i, b in enumerate(found):
+            groups.setdefault(b.element.parent, []).append(i)
+
+        def cost(label):
+            hubs = sum(html_text.PARENT * min(sum(label[i] for i in g), sum(not label[i] for i in g)) for g in groups.values())  # noqa: B023
+            return hubs + sum(abs(b.score()) for b, x in zip(found, label) if (b.score() > 0) != x) + sum(w for i, j, w in edges if label[i] != label[j])  # noqa: B023
+
+        assert cost(html_text.labels(found)) == pytest.approx(min(map(cost, itertools.product((False, True), repeat=len(found)))))
+
+
+def test_long_page(spark):
+    page = f"<body><article>{'<p>A paragraph of the long story, one of very many that it has.</p>' * 20_000}</article><footer>no</footer></body>"
+    found = extract(spark.createDataFrame([(1, page)], "page_id long, html string")).first()["text"]
+    assert found.count("\n") == 19_999

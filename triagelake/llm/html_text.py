@@ -2,8 +2,11 @@
 
 A page is cut into blocks of text. A linear classifier gives each block a score, the log odds that it is content, from
 its length, links, punctuation and the elements around it; the score is the capacity of its edge from the source (if
-it speaks for content) or to the sink. Blocks that follow each other are joined by a smoothness edge, and blocks with
-the same parent element by edges to a node of that element. The minimum cut labels all blocks at the least cost.
+it speaks for content) or to the sink. Blocks that follow each other are joined by a smoothness edge, a strong one if they have
+the same parent element, and blocks with the same parent by edges to a node of that element. The minimum cut labels all blocks at the least cost.
+
+No feature decides alone: a long paragraph outweighs an element's name that speaks weakly against it, and blocks whose own score
+is small follow their neighbours. The weights are set by hand, as there are no labelled pages to fit them on.
 
 Most capacities decide a node at once, or make it follow its only neighbour; such nodes are taken out first, which
 leaves the minimum cut as it is, and the flow is found on what remains.
@@ -33,17 +36,18 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 AGAINST = frozenset("nav footer aside form button select option label menu dialog fieldset head".split())
 AGAINST_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar status".split())
 AGAINST_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|bottom-?bar|breadcrumbs?|comments?|commentlist|consent|cookies?|copyright|discussion|disqus|footer|gdpr|legal|login|masthead|menu|modal|"
-    r"nav\w*|newsletter|notice|notification|overlay|pager|pagination|popup|privacy|promo\w*|recommend\w*|related|replies|reply|respond|search|share|sharing|sidebar|side|"
-    r"signup|social|sponsor\w*|subscribe|tags|toolbar|topbar|widgets?)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|bottom-?bar|breadcrumbs?|comments?|commentlist|consent|cookies?|copyright|disqus|footer|gdpr|login|masthead|menu|modal|"
+    r"nav\w*|newsletter|overlay|pager|pagination|popup|promo\w*|sidebar|signup|sponsor\w*|subscribe|toolbar|topbar|widgets?)(?:$|[\s_-])",
     re.I,
 )
+# Names that content has too.
+DOUBTFUL_NAMES = re.compile(r"(?:^|[\s_-])(?:discussion|legal|notice|notification|privacy|recommend\w*|related|replies|reply|respond|search|share|sharing|side|social|tags)(?:$|[\s_-])", re.I)
 FOR = frozenset(("article", "main"))
 FOR_NAMES = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Weights of the score, and of the edges between neighbours and to the parent's node.
-BIAS, WORD, MOST_WORDS, LINKS, SENTENCE, PARAGRAPH, INSIDE, NAMED, OUTSIDE = -1.0, 0.06, 60, -4.0, 0.6, 0.8, 3.0, 1.0, -9.0
-NEXT, PARENT = 0.5, 0.4
+#: Weights of the score, and of the edges between neighbours with the same parent and with different ones, and to the parent's node.
+BIAS, WORD, MOST_WORDS, LINKS, SENTENCE, PARAGRAPH, INSIDE, NAMED, OUTSIDE, DOUBTFUL = -1.0, 0.06, 60, -4.0, 0.6, 0.8, 2.0, 0.5, -8.0, -2.5
+NEXT, NEXT_ELSEWHERE, PARENT = 1.0, 0.3, 0.4
 
 # Attributes as HTML reads them: a quote opens a value only after "=", of any length; one that never closes is part of a name. Nothing is tried twice.
 ATTRIBUTES = r"""(?:\s++|/(?!>)|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?+)*+"""
@@ -61,6 +65,7 @@ class Element:
     number: int
     parent: int
     outside: bool
+    doubtful: bool
     inside: bool
     named: bool
 
@@ -80,7 +85,7 @@ class Block:
         if self.tag == "p" or self.tag in HEADINGS:
             s += PARAGRAPH
         e = self.element
-        return s + INSIDE * e.inside + NAMED * e.named + OUTSIDE * e.outside
+        return s + INSIDE * e.inside + NAMED * e.named + OUTSIDE * e.outside + DOUBTFUL * e.doubtful
 
 
 @dataclass
@@ -166,7 +171,7 @@ class Graph:
 
 def _element(name: str, rest: str, parent: Element, number: int) -> Element:
     """The element that opens in `parent`; its own parent is the nearest one of block level."""
-    outside, inside, named = parent.outside, parent.inside or name in FOR, parent.named
+    outside, doubtful, inside, named = parent.outside, parent.doubtful, parent.inside or name in FOR, parent.named
     against = name in AGAINST or (name == "header" and not parent.inside)
     if rest and "=" in rest or "hidden" in rest:
         for key, a, b, c in ATTRIBUTE.findall(rest):
@@ -177,18 +182,19 @@ def _element(name: str, rest: str, parent: Element, number: int) -> Element:
             elif key in ("class", "id"):
                 if name not in ("html", "body"):
                     against = against or (name not in FOR and AGAINST_NAMES.search(value) is not None)
+                    doubtful = doubtful or (name not in FOR and DOUBTFUL_NAMES.search(value) is not None)
                     named = named or FOR_NAMES.search(value) is not None
             elif key == "style":
                 against = against or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
             elif key == "hidden" or (key in ("aria-hidden", "aria-modal") and value.lower() == "true"):
                 against = True
-    return Element(name, number, parent.number if parent.name in BLOCKS else parent.parent, outside or against, inside, named)
+    return Element(name, number, parent.number if parent.name in BLOCKS else parent.parent, outside or against, doubtful, inside, named)
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of text of a page, in order."""
     out: list[Block] = []
-    top = Element("", 0, 0, False, False, False)
+    top = Element("", 0, 0, False, False, False, False)
     stack, number, runs, linked, links = [top], 0, [], 0, 0
 
     def flush() -> None:
@@ -252,23 +258,27 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The content blocks of a page, one a line."""
-    found = blocks(page or "")
+def labels(found: list[Block]) -> list[bool]:
+    """Whether each block is content, by the minimum cut."""
     graph, parents = Graph(), {}
     for block in found:
         graph.node(block.score())
     for i, block in enumerate(found):
         if i:
-            graph.edge(i - 1, i, NEXT)
+            graph.edge(i - 1, i, NEXT if found[i - 1].element.parent == block.element.parent else NEXT_ELSEWHERE)
         parents.setdefault(block.element.parent, []).append(i)
     for members in parents.values():
         if len(members) > 1:
             hub = graph.node(0.0)
             for i in members:
                 graph.edge(i, hub, PARENT)
-    label = graph.cut()
-    return "\n".join(b.text for b, content in zip(found, label, strict=False) if content)
+    return graph.cut()[: len(found)]
+
+
+def main_text(page: str | None) -> str:
+    """The content blocks of a page, one a line."""
+    found = blocks(page or "")
+    return "\n".join(b.text for b, content in zip(found, labels(found), strict=True) if content)
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
