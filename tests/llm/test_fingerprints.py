@@ -49,18 +49,34 @@ def test_repeats_nulls_and_empty_tables(spark, docs_schema):
 
 def test_an_overfull_table_is_retried_larger(spark):
     digests = lambda low, high: F.transform(F.sequence(F.lit(low), F.lit(high)), lambda i: F.xxhash64(i))
-    pairs = spark.range(3).select(F.col("id").alias("k1"), F.col("id").alias("k2"), F.lit(0).alias("pair"), digests(1, 500).alias("a"), digests(501, 1000).alias("b"))
+    pairs = spark.range(3).select(F.col("id").alias("k1"), F.col("id").alias("k2"), F.lit(0).alias("pair"), digests(1, 500).alias("a"), digests(501, 1000).alias("b"), F.lit(40.0).alias("estimate"))
     first = fingerprints.differences(pairs, 0, False).collect()
     assert all(r["left"] > 0 for r in first)
     assert [r["differ"] for r in fingerprints.recover(pairs, False).collect()] == [1000] * 3
 
 
-def test_stored_tables_are_subtracted_later(spark, docs_schema, tmp_path):
-    texts = ["\n".join(f"line {i} of {t}" for i in range(12)) for t in "ab"] + ["", None]
+def test_likeness_from_the_two_strings_alone(spark, docs_schema, tmp_path):
+    rng = random.Random(6)
+    line = lambda: " ".join(rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(rng.randint(3, 12)))
+    texts = ["\n".join(line() for _ in range(rng.choice([1, 5, 40, 300]))) for _ in range(40)] + ["", None]
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
-    fingerprints.compare_with_edits(spark.createDataFrame(rows, docs_schema), with_cells=True).write.parquet(str(tmp_path / "stored"))
+    fingerprints.compare_with_edits(spark.createDataFrame(rows, docs_schema)).write.parquet(str(tmp_path / "stored"))
     stored = spark.read.parquet(str(tmp_path / "stored"))
-    found = fingerprints.subtract(stored, ["doc_id"], "cells", "edited_cells").withColumnRenamed("only", "later").join(stored, "doc_id").collect()
-    assert len(found) == 4
+    found = fingerprints.subtract(stored, ["doc_id"], "fingerprint", "edited_fingerprint").withColumnRenamed("only", "later").join(stored, "doc_id").collect()
+    assert len(found) == len(rows) and sum(r["left"] == 0 for r in found) >= 0.95 * len(rows)
     for r in found:
-        assert r["left"] == 0 and sorted(r["later"]) == sorted(r["only_edited"]) and bool(r["later"]) == (r["doc_id"] < 2)
+        assert (r["likeness"] is None) == (r["left"] > 0)
+        if r["left"] == 0:
+            assert abs(r["likeness"] - r["near_edited"]) < 1e-9 and sorted(r["later"]) == sorted(r["only_edited"])
+    # A text against one of another size: the larger table is folded.
+    two = stored.filter("doc_id < 2").agg(F.max_by("fingerprint", "doc_id").alias("b"), F.min_by("fingerprint", "doc_id").alias("a")).withColumn("k", F.lit(1))
+    r = fingerprints.subtract(two, ["k"], "a", "b").first()
+    assert r["likeness"] is None or abs(r["likeness"] - like(texts[0], texts[1])) < 1e-9
+
+
+def test_the_difference_is_estimated_from_strata(spark):
+    span = lambda low, high: F.transform(F.sequence(F.lit(low), F.lit(high)), lambda i: F.xxhash64(i))
+    for differ in (0, 4, 30, 400, 5000):
+        a, b = fingerprints.strata(span(1, 6000 + differ // 2)), fingerprints.strata(F.concat(span(1, 6000), span(20_001, 20_000 + (differ - differ // 2))) if differ else span(1, 6000))
+        found = spark.range(1).select(fingerprints.estimated_difference(a, b).alias("d")).first()["d"]
+        assert abs(found - differ) <= max(3, 0.5 * differ)
