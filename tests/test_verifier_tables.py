@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from triagelake.functions import align, combine, text, verifier
 from triagelake.operators import review
+from triagelake.sources import records
 
 
 def test_hyp_tokens_keep_their_display_word(spark):
@@ -158,3 +159,23 @@ def test_combinations():
     assert combine.combined(one, [0.9, 0.2, 0.9, 0.9], two, [0.9, 0.9, 0.9, 0.8]) == "take two pills now".split()
     assert combine.combined(["a"], [0.5], ["b"], [0.55]) == ["a"] and combine.combined(["a"], [0.5], ["b"], [0.65]) == ["b"]
     assert combine.combined(one, [0.1] * 4, [], []) == []
+
+
+def test_append_only_log_goes_on_where_it_broke_off(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = lambda *ids: spark.createDataFrame([(str(i), i * 2) for i in ids], "unit_id string, n int")
+    assert records.read_jsonl(spark, path, "unit_id string, n int", "unit_id").collect() == []
+    records.append_jsonl(rows(1, 2), path, "unit_id")
+    (tmp_path / "log" / "part-torn.json").write_text('{"unit_id":"3","n":6}  \n{"unit_id":"4","n":')
+    records.append_jsonl(rows(1, 2, 3, 4, 5), path, "unit_id")
+    found = records.read_jsonl(spark, path, "unit_id string, n int", "unit_id").collect()
+    assert sorted((r["unit_id"], r["n"]) for r in found) == [(str(i), i * 2) for i in range(1, 6)]
+
+
+def test_content_keys_and_validation(spark):
+    df = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "a", 1), (2, "b", 3)], "g int, s string, n int")
+    keys = {r["g"]: r["key"] for r in records.content_key(df, ["g"], ["s", "n"]).collect()}
+    again = {r["g"]: r["key"] for r in records.content_key(df.orderBy(F.desc("n")).repartition(3), ["g"], ["s", "n"]).collect()}
+    assert keys == again and keys[1] != keys[2]
+    found = records.validated(df, {"s": F.col("s") == "a", "n": F.when(F.col("g") == 1, F.col("n") < 5)}).orderBy("g", "s").collect()
+    assert [r["verdict"] for r in found] == ["ok", "s", "n", "s"]

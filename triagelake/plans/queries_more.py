@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -21,8 +19,7 @@ _R = Registry()
 QUERIES, SQL, query = _R.queries, _R.sql, _R.add
 
 
-def _folder(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/triagelake'}/sink-{uuid.uuid4().hex}"
+_folder = records.scratch_folder
 
 
 @query("sink_parquet", WORDS, "SELECT unit_id, pos, round(CAST(CAST(p AS FLOAT) AS DOUBLE), 5) AS p, correct FROM words")

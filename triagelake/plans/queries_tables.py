@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -235,8 +233,7 @@ def sv_live_turns(spark, d):
     # The turns go through a file stream and its event log; what a late subscriber replays is the result.
     from triagelake.streaming.live import live_turns, replay
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    base = f"{folder}/live-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
+    base = records.scratch_folder(spark)
     utterances(spark, d).write.parquet(f"{base}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
     running = live_turns(stream, "live", f"{base}/log", f"{base}/checkpoint")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+import tempfile
+import uuid
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RECORD = (
@@ -17,7 +22,7 @@ def read_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Decoder records from JSON lines: malformed lines are skipped, the last record of a unit wins."""
     raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     numbered = raw.withColumn("line", F.monotonically_increasing_id())
-    parsed = numbered.withColumn("r", F.from_json("value", RECORD, {"mode": "PERMISSIVE"})).filter("r.unit_id IS NOT NULL AND value LIKE '%}'")
+    parsed = numbered.withColumn("r", F.from_json("value", RECORD, {"mode": "PERMISSIVE"})).filter(F.col("r.unit_id").isNotNull() & F.rtrim("value").endswith("}"))
     last = F.row_number().over(Window.partitionBy("r.unit_id").orderBy(F.col("file").desc(), F.col("line").desc()))
     return parsed.withColumn("n", last).filter("n = 1").select("r.*")
 
@@ -71,3 +76,51 @@ def markdown(df: DataFrame, percent: tuple[str, ...] = ()) -> str:
     show = lambda c, v: "" if v is None else f"{100 * v:.1f}%" if c in percent else f"{v:.3f}" if isinstance(v, float) else str(v)
     rows = [[show(c, r[c]) for c in df.columns] for r in df.collect()]
     return "\n".join("| " + " | ".join(r) + " |" for r in [df.columns, ["---"] * len(df.columns), *rows])
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new path in the folder that spark.checkpoint.dir names, which driver and executors share; where it is unset and all run in one
+    process, as in tests, below a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="triagelake-")
+    return f"{folder.rstrip('/')}/triagelake/sink-{uuid.uuid4().hex}"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str, id_col: str) -> DataFrame:
+    """Rows of JSON lines, one an id: torn and malformed lines, and those without an id, are skipped; an empty table where there is no file."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.text(path).select("value", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"))
+    return rows.filter(F.rtrim("value").endswith("}") & F.col(f"r.{id_col}").isNotNull()).select("r.*").dropDuplicates([id_col])
+
+
+def append_jsonl(rows: DataFrame, path: str, id_col: str) -> None:
+    """Appends rows as JSON lines, those whose id is not there yet: a job that broke off goes on where it was. Files are only added, and
+    a task's file appears when it is whole."""
+    done = read_jsonl(rows.sparkSession, path, f"{id_col} {dict(rows.dtypes)[id_col]}", id_col)
+    rows.join(done, id_col, "left_anti").write.mode("append").json(path)
+
+
+def validated(rows: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
+    """Adds verdict: the name of the first check that a row doesn't pass (an unknown answer is none), or ok."""
+    verdict = F.lit("ok")
+    for name, passed in reversed(checks.items()):
+        verdict = F.when(F.coalesce(passed, F.lit(False)), verdict).otherwise(F.lit(name))
+    return rows.withColumn("verdict", verdict)
+
+
+def content_key(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(keys, key): a key of each group's content, by which results that were computed from it can be kept; the order of rows doesn't matter.
+
+    It is the MD5 of the number of rows and the sum of 48 bits of each row's own MD5, so it is aggregated like any sum.
+    """
+    own = F.conv(F.substring(F.md5(F.concat_ws("|", *columns)), 1, 12), 16, 10).cast("decimal(38,0)")
+    return rows.groupBy(*keys).agg(F.md5(F.concat_ws(":", F.count(F.lit(1)), F.sum(own))).alias("key"))
