@@ -8,6 +8,9 @@ documents. All but the last return the columns of documents:
 3. near: of documents that links of similarity 0.75 join the one with the smallest doc_id stays;
 4. mixed: documents in the order that training meets them, a row for each time the mix of sources takes one;
 5. encoded: doc_id, n_tokens and the token ids of every row.
+
+In every stage rows are judged one by one, repeated rows too, empty tables give empty ones, whole texts are read however long they are, and
+columns of documents beyond those named come through unread.
 """
 
 from __future__ import annotations
@@ -27,27 +30,33 @@ LEAST_SCORE = 0.5
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told. Null and empty texts and those without letters go; a null lang or id is no reason to go."""
     model = language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"))))
     found = language_id.annotate(docs, model)
     return found.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text, null counting as empty: the one with the largest doc_id, a null id only where all are; of repeated rows one."""
     marked = exact_dedup.one_of_repeats(exact_dedup.mark_duplicates(docs))
     return marked.filter("kept").select(*docs.columns)
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component: the one with the smallest doc_id. Null ids and texts without words stay."""
     found = near_dedup.near_duplicates(docs)
     gone = found.filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in training order, a row for each time that the mix takes one. A null source is one of its own; texts without words
+    have no size, and the mix takes them where their place in the queue comes up."""
     return mixing.training_order(docs, mixing.mix(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of every row; a null text has none."""
     import public_tokenizers as tokenizers
 
     found = bpe.encode_documents(docs, ranks_file=tokenizers.path("byte_bpe_50k.tiktoken"), pattern=tokenizers.PATTERN)

@@ -108,6 +108,6 @@ def test_draw_is_exact_for_languages_of_any_size(spark):
 
 def test_long_text_and_clashing_names(spark):
     rows = spark.createDataFrame([(1, "the station " * 40_000, "en", "x", "y", 1.0), (2, "einheit", "de", "x", "y", 1.0)], "doc_id long, text string, lang string, lang_pred string, __text string, score double")
-    found = lid.annotate(rows.drop("__text"), lid.fit(rows))
-    assert sorted(found.columns) == ["doc_id", "lang", "lang_pred", "score", "text"]
+    found = lid.annotate(rows, lid.fit(rows))
+    assert sorted(found.columns) == ["__text", "doc_id", "lang", "lang_pred", "score", "text"]
     assert [r["lang_pred"] for r in found.orderBy("doc_id").collect()] == ["en", "de"]

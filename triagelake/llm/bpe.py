@@ -231,7 +231,11 @@ def decode_documents(encoded: DataFrame, *, ranks_file: str, pattern: str, id_co
 
 
 def digests(docs: DataFrame, *, ranks_file: str, pattern: str) -> DataFrame:
-    """Encodes and decodes documents: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Encodes and decodes documents: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    A null text counts as empty. Repeated rows are all answered; an empty table gives an empty one; texts of any length are encoded whole; other
+    columns are not read, whatever their names.
+    """
     done = decode_documents(encode_documents(docs, ranks_file=ranks_file, pattern=pattern), ranks_file=ranks_file, pattern=pattern)
     return done.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,12 +14,14 @@ HOT_ONE_IN = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all run in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             folder = found.get()
+        elif not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         else:
             folder = "file://" + tempfile.mkdtemp(prefix="triagelake-")
             spark.sparkContext.setCheckpointDir(folder)
@@ -50,6 +53,14 @@ def drop_tables(spark: SparkSession, scratch: list[str]) -> None:
     scratch.clear()
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that the table doesn't have, in whatever case."""
+    taken, name = {c.lower() for c in df.columns}, stem
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def hot_only(groups: DataFrame, total: int) -> DataFrame:
     """The groups with more than total / HOT_ONE_IN rows (column n); there are fewer than HOT_ONE_IN of them."""
     return groups.filter(F.col("n") * HOT_ONE_IN > F.lit(total))

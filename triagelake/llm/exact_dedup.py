@@ -33,17 +33,19 @@ def mark_duplicates(
     Texts are equal when they are identical after `normalise`; the row with the largest id of equal texts is kept. A
     null text counts as empty. Rows that repeat an id and text are all answered, and one of them is kept. Where all
     ids of a text are null, keep_id is null and one row is kept. An empty table gives an empty one. Columns of `docs`
-    with the names of the four results are replaced.
+    with the names of the four results are replaced. Rows find their group by the SHA-256 of their text, of which two different texts
+    are taken never to have the same.
     """
     text = normalise(F.coalesce(F.col(text_col), F.lit("")))
     results = ["keep_id", "group_size", "kept", "text_sha256"]
     groups = materialise(combine_copies(docs, text, id_col=id_col, salts=salts).filter("n > 1"), "copies")
-    rows = docs.select(*(c for c in docs.columns if c not in results or c in (id_col, text_col)), F.sha2(text, 256).alias("text_sha256"))
-    groups = groups.withColumnsRenamed({"digest": "text_sha256", "keep_id": "__keep"}).withColumn("__n", F.col("n"))
-    out = attach_by_key(rows, groups, "text_sha256", ["__keep", "__n"], docs.count(), F.col(id_col))
-    out = out.withColumn("keep_id", F.when(F.col("__n").isNull(), F.col(id_col)).otherwise(F.col("__keep")))
-    out = out.withColumn("group_size", F.coalesce("__n", F.lit(1)).cast("long")).drop("__keep", "__n")
-    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
+    # The columns of `docs` go in a struct, so that their names clash with none here.
+    kept = [c for c in docs.columns if c not in results or c in (id_col, text_col)]
+    rows = docs.select(F.struct(*(f"`{c}`" for c in kept)).alias("row"), F.col(id_col).alias("id"), F.sha2(text, 256).alias("text_sha256"))
+    groups = groups.withColumnsRenamed({"digest": "text_sha256", "keep_id": "keep"}).withColumn("size", F.col("n"))
+    out = attach_by_key(rows, groups, "text_sha256", ["keep", "size"], docs.count(), F.col("id"))
+    keep_id = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep"))
+    return out.select("row.*", keep_id.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(keep_id).alias("kept"), "text_sha256")
 
 
 def one_of_repeats(marked: DataFrame, *, id_col: str = "doc_id") -> DataFrame:

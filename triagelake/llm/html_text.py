@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triagelake.llm.common import free_name
+
 # Fixed values of HTML: elements without an end tag, of block level, with raw text, and the ones an element ends by opening.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -288,12 +290,13 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html"
     table gives an empty one. A column named text is replaced.
     """
     keep = [f for f in pages.schema.fields if f.name not in (html_col, "text")]
+    own = free_name(pages, "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([main_text(h) for h in batch.column("__html").to_pylist()], pa.string())
+            texts = pa.array([main_text(h) for h in batch.column(own).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), texts], names=[*(f.name for f in keep), "text"])
 
-    rows = pages.select(*(f.name for f in keep), F.col(html_col).alias("__html"))
+    rows = pages.select(*(f.name for f in keep), F.col(html_col).alias(own))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "text string"])
     return rows.mapInArrow(run, schema)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triagelake.llm.common import free_name
 from triagelake.llm.parts import Known, parts_of, slices
 
 #: Runs of letters; words without a letter proper are dropped afterwards.
@@ -207,12 +208,13 @@ def annotate(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
+    own = free_name(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text"):
-            languages, shares = shared.value.predict_all(batch.column("__text"))
+        for batch in slices(batches, own):
+            languages, shares = shared.value.predict_all(batch.column(own))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(languages, pa.string()), pa.array(shares, pa.float64())], names=[*(f.name for f in keep), "lang_pred", "score"])
 
-    rows = docs.select(F.col(text_col).alias("__text"), *(f"`{f.name}`" for f in keep))
+    rows = docs.select(F.col(text_col).alias(own), *(f"`{f.name}`" for f in keep))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "lang_pred string", "score double"])
     return rows.mapInArrow(run, schema)

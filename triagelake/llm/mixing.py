@@ -119,6 +119,7 @@ def training_order(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id")
 
     Rows of `docs` that repeat an id share its copies: each is taken as often as the mix says for any of them, at most.
     """
-    taken = mixed.filter("copies > 0").groupBy(id_col).agg(F.max_by("positions", "copies").alias("__positions"))
-    rows = docs.join(taken.withColumnRenamed(id_col, "__id"), F.col(id_col).eqNullSafe(F.col("__id"))).withColumn("__position", F.explode("__positions"))
-    return rows.orderBy("__position", id_col).select(*docs.columns)
+    taken = mixed.filter("copies > 0").groupBy(F.col(id_col).alias("id")).agg(F.max_by("positions", "copies").alias("positions"))
+    # The columns of `docs` go in a struct, so that their names clash with none here.
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row")).join(taken, F.col(f"row.{id_col}").eqNullSafe(F.col("id")))
+    return rows.select("row", "id", F.explode("positions").alias("position")).orderBy("position", "id").select("row.*")

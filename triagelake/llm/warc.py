@@ -163,7 +163,11 @@ def join_originals(records: DataFrame) -> DataFrame:
 
 
 def archive(records: DataFrame, *, least_bytes: int = 0) -> tuple[str, DataFrame]:
-    """Resolves and writes records (order_id, target, payload) to a new path of the shared folder; the path, and what join_originals reads there."""
+    """Resolves and writes records (order_id, target, payload) to a new path of the shared folder; the path, and what join_originals reads there.
+
+    Nulls, ties, repeated rows and empty tables are as in resolve_revisits; a null order_id comes back as null, a null target as an empty one; payloads of any
+    length are written whole; other columns are not read, whatever their names.
+    """
     path = scratch_path(records.sparkSession, "warc")
     write_archives(resolve_revisits(records, least_bytes=least_bytes), path)
     return path, join_originals(read_archives(records.sparkSession, path))
