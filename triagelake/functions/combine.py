@@ -12,16 +12,16 @@ from triagelake.functions.align import align, operations
 
 
 def nearest_occurrences(tokens: Sequence[str], wanted: Sequence[tuple[Sequence[str], float]]) -> list[int]:
-    """For each entity (tokens, expected position) the nearest start that no earlier one used, or -1; of equally near ones the first."""
-    used: set[tuple[int, int]] = set()
+    """For each entity (tokens, expected position) the nearest start that no earlier one of as many tokens used, or -1; of equally near ones the first."""
+    starts: dict[tuple[str, ...], list[int]] = {}
+    for n in {len(parts) for parts, _ in wanted if len(parts)}:
+        for i in range(len(tokens) - n + 1):
+            starts.setdefault(tuple(tokens[i : i + n]), []).append(i)
     out = []
     for parts, expected in wanted:
-        n = len(parts)
-        free = [i for i in range(len(tokens) - n + 1) if n and list(tokens[i : i + n]) == list(parts) and (i, n) not in used]
-        best = min(free, key=lambda i: (abs(i - expected), i), default=-1)
-        if best >= 0:
-            used.add((best, n))
-        out.append(best)
+        free = starts.get(tuple(parts), [])
+        at = min(range(len(free)), key=lambda k: abs(free[k] - expected), default=-1)
+        out.append(free.pop(at) if at >= 0 else -1)
     return out
 
 

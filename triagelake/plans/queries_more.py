@@ -139,9 +139,13 @@ def tx_units_map(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.canonical_units(toks).alias("tokens"))
 
 
-@query("tx_weights", WORDS, "SELECT token, CASE WHEN token IN ('no', 'not') THEN 10.0::DOUBLE WHEN token IN ('the', 'of', 'and') THEN 0.2 ELSE 1.0 END AS weight FROM (SELECT DISTINCT token FROM words WHERE token IN ('no', 'not', 'the', 'of', 'and', 'thing', 'with')) WHERE token <> 'with'")
+_IN = {name: "(" + ", ".join(f"'{w}'" for w in found) + ")" for name, found in (("neg", text.NEGATIONS), ("count", text.COUNT_WORDS), ("func", text.FUNCTION_WORDS))}
+
+
+@query("tx_weights", WORDS, rf"""SELECT token, CASE WHEN token IN {_IN['neg']} OR (NOT regexp_matches(token, '^\d+(st|nd|rd|th)$') AND (regexp_matches(token, '\d') OR token IN {_IN['count']})) THEN 10.0::DOUBLE
+  WHEN token IN {_IN['func']} THEN 0.2::DOUBLE ELSE 1.0 END AS weight FROM (SELECT DISTINCT token FROM words)""")
 def tx_weights(spark, d):
-    found = words(spark, d).select("token").distinct().filter(F.col("token").isin("no", "not", "the", "of", "and", "thing"))
+    found = words(spark, d).select("token").distinct()
     return found.select("token", text.weight(text.category(F.col("token"), F.lit(None).cast("string"), F.lit(False))).alias("weight"))
 
 
@@ -361,7 +365,7 @@ def join_entity_nearest(spark, d):
 
     @F.pandas_udf("array<int>")
     def nearest(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-        wanted = lambda r, h: [(r[i : i + 1], i * len(h) / max(len(r), 1)) for i in range(0, len(r), 5)]
+        wanted = lambda r, h: [(r[i : i + 2], i * len(h) / max(len(r), 1)) for i in range(0, len(r), 2)]
         return pd.Series([combine.nearest_occurrences(list(h), wanted(list(r), h)) for r, h in zip(ref, hyp, strict=True)])
 
     return pairs(spark, d).select("conv_id", "turn", F.posexplode(nearest("ref", "hyp")).alias("entity", "at"))

@@ -175,6 +175,11 @@ def sp_leak_check(spark, d):
     return splits.leaks(_split(spark, d), "source")
 
 
+@query("sp_leak_check_texts", _SPLIT, "SELECT sha256(text) AS text_key, count(DISTINCT split) AS n_splits FROM sp WHERE text IS NOT NULL GROUP BY text HAVING count(DISTINCT split) > 1")
+def sp_leak_check_texts(spark, d):
+    return splits.leaks(_split(spark, d).filter("text IS NOT NULL").withColumn("text_key", F.sha2("text", 256)), "text_key")
+
+
 @query("sp_group_split")
 def sp_group_split(spark, d):
     sizes = {r["source"]: r["n"] for r in table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
