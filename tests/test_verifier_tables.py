@@ -179,3 +179,18 @@ def test_content_keys_and_validation(spark):
     assert keys == again and keys[1] != keys[2]
     found = records.validated(df, {"s": F.col("s") == "a", "n": F.when(F.col("g") == 1, F.col("n") < 5)}).orderBy("g", "s").collect()
     assert [r["verdict"] for r in found] == ["ok", "s", "n", "s"]
+
+
+def test_units_of_another_system_are_scored_again(spark):
+    refs = spark.createDataFrame([("a", "Take two tablets <UNIN/> daily daily."), ("b", "no pain"), ("c", "")], "unit_id string, reference string")
+    found = spark.createDataFrame([("a", "take 2 pills with food daily"), ("c", "uh"), ("x", "gone")], "unit_id string, text string")
+    scored = {r["unit_id"]: r for r in align.score_units(found, refs, "unit_id").collect()}
+    assert (scored["a"]["n_ref"], scored["a"]["hits"], scored["a"]["subs"], scored["a"]["absorbed"], scored["a"]["errors"]) == (4, 3, 1, 2, 1)
+    assert (scored["b"]["n_ref"], scored["b"]["dels"]) == (2, 2) and scored["c"]["errors"] == 0 and set(scored) == {"a", "b", "c"}
+
+
+def test_tokens_have_their_words_probabilities(spark):
+    rows = [(["I've", "pain"], [0.9, 0.4], 0.2), (["I've", "pain"], [0.9], 0.2), (["pain"], None, None)]
+    df = spark.createDataFrame(rows, "w array<string>, p array<double>, c double").withColumn("t", verifier.hyp_tokens(F.col("w")))
+    found = [r["x"] for r in df.select(verifier.token_probabilities(F.col("t.owner"), F.col("p"), F.col("c")).alias("x")).collect()]
+    assert found == [[0.9, 0.9, 0.4], [0.9, 0.9, 0.2], [0.5]]

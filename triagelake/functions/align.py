@@ -13,11 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from triagelake.functions.text import WILDCARD
+from triagelake.functions.text import WILDCARD, collapsed, reference_tokens, scoring_tokens
 
 
 def _arrays(**kinds: T.DataType) -> T.StructType:
@@ -91,6 +91,16 @@ def counts(a: Column) -> dict[str, Column]:
     }
 
 
+def score_units(records: DataFrame, references: DataFrame, key: str) -> DataFrame:
+    """Decoder records (key, text) of any system scored against references (key, reference): (key, n_ref, hits, ..., wer).
+
+    Units without a record count as empty transcripts; records without a reference are left out.
+    """
+    both = references.select(key, collapsed(reference_tokens(F.col("reference"))).alias("ref")).join(records.select(key, scoring_tokens(F.col("text")).alias("hyp")), key, "left")
+    scored = both.withColumn("a", aligned("ref", "hyp"))
+    return scored.select(key, *(c.alias(name) for name, c in counts(F.col("a")).items()))
+
+
 def distance(ref: Sequence[str], hyp: Sequence[str]) -> int:
     """Edits between token lists without wildcards; two rows of the table at a time, so memory grows with one list only."""
     codes: dict[str, int] = {}

@@ -30,6 +30,22 @@ def tx_hyp_tokens(spark, d):
     return turns.select(*_KEYS, F.posexplode(F.arrays_zip("t.tokens", "t.owner")).alias("at", "x")).select(*_KEYS, "at", F.col("x.tokens").alias("token"), F.col("x.owner").alias("owner"))
 
 
+@query("al_rover_tokens")
+def al_rover_tokens(spark, d):
+    words = F.split("text", " ")
+    turns = table(spark, d, "conversations").withColumn("t", verifier.hyp_tokens(words)).withColumn("probs", F.when(F.col("turn") % 3 > 0, F.transform(words, lambda w, i: _p(i))))
+    scored = turns.withColumn("p", verifier.token_probabilities(F.col("t.owner"), F.col("probs"), _p(F.lit(2))))
+    return scored.select(*_KEYS, F.posexplode(F.arrays_zip("t.tokens", "p")).alias("at", "x")).select(*_KEYS, "at", F.col("x.tokens").alias("token"), "x.p")
+
+
+@query("src_rescored_units")
+def src_rescored_units(spark, d):
+    unit = F.concat_ws("-", "conv_id", "turn").alias("unit_id")
+    turns = pairs(spark, d)
+    clean = lambda c: F.regexp_replace(F.array_join(c, " "), "[<>]", " ")
+    return rounded(align.score_units(turns.select(unit, clean("hyp").alias("text")), turns.select(unit, clean("ref").alias("reference")), "unit_id"))
+
+
 @query("al_p_full")
 def al_p_full(spark, d):
     wild = F.concat(F.slice("ref", 1, 3), F.array(F.lit(text.WILDCARD)), F.slice("ref", F.lit(8), F.greatest(F.size("ref"), F.lit(1))))
