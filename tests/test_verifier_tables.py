@@ -6,8 +6,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from triagelake import catalog
 from triagelake.functions import align, combine, text, verifier
 from triagelake.operators import review
+from triagelake.plans import views
 from triagelake.sources import records
 
 
@@ -194,3 +196,43 @@ def test_tokens_have_their_words_probabilities(spark):
     df = spark.createDataFrame(rows, "w array<string>, p array<double>, c double").withColumn("t", verifier.hyp_tokens(F.col("w")))
     found = [r["x"] for r in df.select(verifier.token_probabilities(F.col("t.owner"), F.col("p"), F.col("c")).alias("x")).collect()]
     assert found == [[0.9, 0.9, 0.4], [0.9, 0.9, 0.2], [0.5]]
+
+
+@pytest.fixture(scope="module")
+def turns(spark):
+    """The catalogue's pairs of turns on the smallest tables, collected."""
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test data")
+    return [(r["conv_id"], r["turn"], list(r["ref"]), list(r["hyp"])) for r in views.pairs(spark, "/root/testdata/sf0.001").collect()]
+
+
+def test_critical_tokens_against_a_loop(spark, turns):
+    import re
+
+    def critical(tokens, i):
+        t, following = tokens[i], tokens[i + 1] if i + 1 < len(tokens) else None
+        number = not re.fullmatch(r"[0-9]+(st|nd|rd|th)", t) and (re.search("[0-9]", t) or t in text.COUNT_WORDS or (t == "one" and following in text.ONE_BEFORE))
+        return t in text.NEGATIONS or bool(number)
+
+    expected = {}
+    for c, turn, ref, hyp in turns:
+        status = align.align(ref, hyp).ref_status
+        at = [i for i in range(len(ref)) if critical(ref, i)]
+        expected[c, turn] = (len(at), sum(status[i] == "C" for i in at))
+    found = {(r["conv_id"], r["turn"]): (r["n"], r["correct"]) for r in catalog.queries()["al_critical"](spark, "/root/testdata/sf0.001").collect()}
+    assert found == {k: v for k, v in expected.items() if k in found} and all(v == (0, 0) for k, v in expected.items() if k not in found)
+
+
+def test_churn_against_a_loop(spark, turns):
+    expected = {}
+    for c, _, ref, hyp in turns:
+        one, two = align.align(ref, hyp).ref_status, align.align(ref, [t for t in hyp if len(t) > 3]).ref_status
+        n = expected.setdefault(c, [0, 0, 0])
+        for a, b in zip(one, two, strict=True):
+            n[0] += a != "C" and b == "C"
+            n[1] += a == "C" and b != "C"
+            n[2] += a != "C" and b != "C"
+    found = {r["conv_id"]: [r["fixed"], r["broken"], r["wrong_in_both"]] for r in catalog.queries()["agg_churn"](spark, "/root/testdata/sf0.001").collect()}
+    assert found == {c: n for c, n in expected.items() if c in found} and all(n == [0, 0, 0] for c, n in expected.items() if c not in found)
