@@ -111,10 +111,10 @@ def peel(table: DataFrame, keys: list[str], seed: int, rounds: int = ROUNDS) ->
 def differences(pairs: DataFrame, level: int, with_digests: bool) -> DataFrame:
     """One row a pair (KEY, pair): left, the cells that didn't peel, differ, how many digests were recovered, and if asked for only, those with their signs.
 
-    `pairs` has arrays of digests a and b, and estimate, how many they may differ in. Tables have half as many cells again, four times as
+    `pairs` has arrays of digests a and b, and estimate, how many they may differ in. Tables have twice as many cells at least, four times as
     many for each level. At level 0 they are the fingerprints' own tables, folded and subtracted, unless those are smaller. Pairs without a difference have no row.
     """
-    bits = _bits(F.col("estimate") * 1.5) + 2 * level
+    bits = _bits(F.col("estimate") * 2.0) + 2 * level
     signed = F.concat(F.transform("a", lambda d: F.struct(d.alias("digest"), F.lit(1).cast("long").alias("sign"))), F.transform("b", lambda d: F.struct(d.alias("digest"), F.lit(-1).cast("long").alias("sign"))))
     keys = [*KEY, "pair"]
     rows = pairs.select(*keys, _mask(bits).alias("mask"), F.explode(signed).alias("d")).select(*keys, "mask", "d.digest", "d.sign")
