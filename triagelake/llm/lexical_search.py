@@ -29,7 +29,7 @@ from triagelake.llm.parts import slices
 #: Terms are the longest runs of ASCII letters, digits and everything beyond ASCII; only A-Z are lower-cased.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of text in a segment, about, and items searched together, about.
-SEGMENT, BLOCK = 1 << 25, 256
+SEGMENT, BLOCK = 1 << 24, 256
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _IN_TERM, _LOWER = np.zeros(256, bool), np.arange(256, dtype=np.uint8)
 _IN_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -51,6 +51,7 @@ def terms_of(texts: pa.StringArray) -> tuple[pa.Array, np.ndarray]:
     edge = np.unique(bounds[(bounds > 0) & (bounds < len(data))])
     first[edge], last[edge - 1] = inside[edge], inside[edge - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    del first, last
     sizes = np.concatenate((np.zeros(1, np.int64), np.cumsum(ends - starts))).astype(np.int32)
     terms = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(sizes), pa.py_buffer(_LOWER[data[inside]])])
     return terms, np.searchsorted(bounds, starts, side="right") - 1
@@ -91,10 +92,13 @@ def _segment(number: int, ids: pa.Array, texts: pa.StringArray) -> Iterator[pa.R
     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(head, _INDEX.types, strict=True)], schema=_INDEX)
     coded = terms.dictionary_encode()
     both, counts = np.unique(np.asarray(coded.indices).astype(np.int64) * len(order) + place[of], return_counts=True)
+    del of, terms
     codes, docs = np.divmod(both, max(len(order), 1))
+    del both
     fresh = np.concatenate((np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1]))
     steps = np.where(fresh, docs, docs - np.concatenate((docs[:1], docs[:-1])))
     data, at = pack(np.stack((steps, counts), 1).ravel())
+    del steps, docs, counts
     begins = np.flatnonzero(fresh)
     sizes = np.diff(np.append(begins, len(codes)))
     postings = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(np.append(at[::2][begins], at[-1]).astype(np.int32)), pa.py_buffer(data)])
