@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from triagelake.sources.records import scratch_folder
+from triagelake.sources.records import written
 
 PART = "__part"
 
@@ -22,10 +22,7 @@ def ranged(df: DataFrame, order: Sequence[str | Column], ranges: int | None = No
     begins is settled once, whoever reads it afterwards."""
     by = [F.col(c) if isinstance(c, str) else c for c in order]
     dealt = df.repartitionByRange(ranges, *by) if ranges else df.repartitionByRange(*by)
-    dealt = dealt.withColumn(PART, F.spark_partition_id())
-    path = scratch_folder(df.sparkSession)
-    dealt.write.parquet(path)
-    return df.sparkSession.read.schema(dealt.schema).parquet(path)
+    return written(dealt.withColumn(PART, F.spark_partition_id()))
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], sums: Mapping[str, Column], *, placed: bool = False) -> DataFrame:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -242,14 +240,6 @@ def pol_tuning_set(spark, d):
     return units(spark, d).filter("tuning").withColumn("policy", policy).filter("policy IS NOT NULL").groupBy("policy", "ev").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ml_poisson_gbt")
-def ml_poisson_gbt(spark, d):
-    # Boosted Poisson trees have no counterpart; a Poisson regression predicts error counts instead.
-    u = units(spark, d).select("unit_id", "r", F.col("n_ref").cast("double").alias("n"), F.col("errors").cast("double").alias("label"))
-    rows = VectorAssembler(inputCols=["r", "n"], outputCol="features").transform(u)
-    return GeneralizedLinearRegression(family="poisson", link="log", maxIter=25).fit(rows).transform(rows).select("unit_id", "prediction")
-
-
 @query("st_feature_support", UNITS, """, q AS (SELECT quantile_cont(r, 0.01) AS lo, quantile_cont(r, 0.99) AS hi, avg(r) AS m, stddev_pop(r) AS s FROM units WHERE tuning)
 SELECT ev, round(avg(CAST(r < lo OR r > hi AS INT)), 6) AS outside, round(1.1 * (avg(r) - any_value(m)) / any_value(s), 6) AS logit_shift FROM units, q WHERE NOT tuning GROUP BY ev""")
 def st_feature_support(spark, d):
@@ -466,21 +456,3 @@ def sv_upload_segments(spark, d):
     w = words(spark, d).groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct((F.col("pos") * 0.5).alias("start"), (F.col("pos") * 0.5 + 0.4).alias("end"), F.col("token").alias("word"), F.col("p").alias("probability")))).alias("words"))
     bounds = F.transform(F.sequence(F.lit(0), F.floor(F.size("words") / 20).cast("int")), lambda k: F.struct((k * 10.0).alias("start"), (k * 10.0 + 10.0 - 1e-3).alias("end"), F.lit("").alias("text")))
     return live.words_of_segments(w.withColumn("segments", bounds)).select("unit_id", "segment", F.size("words").alias("n_words"))
-
-
-@query("ml_verifier_score")
-def ml_verifier_score(spark, d):
-    w = words(spark, d).withColumns({"len": F.length("token").cast("double"), "label": (1 - F.col("correct")).cast("double")})
-    rows = VectorAssembler(inputCols=["p", "len"], outputCol="features").transform(w)
-    model = GeneralizedLinearRegression(family="poisson", link="log", maxIter=15, regParam=0.01).fit(rows)
-    return model.transform(rows).select("unit_id", "pos", "prediction")
-
-
-@query("ml_crossfit_verifier")
-def ml_crossfit_verifier(spark, d):
-    w = words(spark, d).withColumns({"fold": (F.col("unit_id") % 3).cast("int"), "len": F.length("token").cast("double"), "label": (1 - F.col("correct")).cast("double")})
-    rows, out = VectorAssembler(inputCols=["p", "len"], outputCol="features").transform(w), []
-    for k in range(3):
-        fitted = GeneralizedLinearRegression(family="poisson", link="log", maxIter=15, regParam=0.01).fit(rows.filter(F.col("fold") != k))
-        out.append(fitted.transform(rows.filter(F.col("fold") == k)).select("unit_id", "pos", "fold", "prediction"))
-    return out[0].unionByName(out[1]).unionByName(out[2])

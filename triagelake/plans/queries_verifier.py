@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from triagelake.functions import align, text, verifier
+from triagelake.operators import boosting
 from triagelake.plans.registry import Registry, rounded
 from triagelake.plans.views import UNITS, pairs, table, units
 from triagelake.sources import records
@@ -77,10 +79,60 @@ def al_gaps_after_words(spark, d):
     return rounded(verifier.gap_after(gaps, owners, _KEYS))
 
 
-@query("ft_variants")
-def ft_variants(spark, d):
-    rows = [(name, kind, i, f) for name in ("solo", "second", "full", "v3") for kind, features in zip(("word", "gap"), verifier.variant_features(name), strict=True) for i, f in enumerate(features)]
-    return spark.createDataFrame(rows, "variant string, kind string, at int, feature string")
+def _decoded(spark, d):
+    """Turns as decoded units: display words, tokens with their owners, the next turn as the reference and the one after it as the second transcript."""
+    line = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, d, "conversations").withColumns({"next": F.lead("text").over(line), "third": F.lead("text", 2).over(line)}).filter("next IS NOT NULL")
+    stats = [_p(F.lit(i)).alias(c) for i, c in enumerate(c for c in verifier.UNIT if c != "n_words")]
+    words = F.split("text", " ")
+    turns = turns.withColumn("t", verifier.hyp_tokens(words)).withColumn("probs", F.transform(words, lambda w, i: _p(i)))
+    return turns.select(
+        *_KEYS, words.alias("words"), "t.owner", F.col("t.tokens").alias("tokens"), verifier.token_probabilities(F.col("t.owner"), F.col("probs"), _p(F.lit(2))).alias("p"),
+        text.scoring_tokens(F.col("next")).alias("ref"), F.when(F.col("third").isNotNull(), text.scoring_tokens(F.col("third"))).alias("other"), F.lit(None).cast("array<double>").alias("other_p"), *stats,
+    )
+
+
+def training_tables(spark, d):
+    """Word and gap tables with b, the weighted error that checking the word or gap would mend."""
+    decoded = records.written(_decoded(spark, d))
+    lost = decoded.select(*_KEYS, align.losses("ref", "tokens", verifier.weights(F.col("ref")), verifier.weights(F.col("tokens"))).alias("l"))
+    at = lambda c: lost.select(*_KEYS, F.posexplode(f"l.{c}").alias("at", "b"))
+    words, gaps = verifier.word_and_gap_tables(decoded, _KEYS)
+    return records.written(words.join(at("word_loss"), [*_KEYS, "at"])), records.written(gaps.join(at("gap_loss"), [*_KEYS, "at"]))
+
+
+#: Fewer and smaller trees than a model for use would have.
+_TREES = boosting.Settings(trees=6, depth=3, rate=0.3, min_leaf=20, l2=1.0)
+
+
+def _features(kind):
+    return verifier.variant_features("second")[kind]
+
+
+@query("ml_poisson_gbt")
+def ml_poisson_gbt(spark, d):
+    words, _ = training_tables(spark, d)
+    models = boosting.fit(words, _features(0), "b", settings=_TREES, key=[*_KEYS, "at"])
+    return rounded(boosting.predict(words, models, "prediction").select(*_KEYS, "at", "b", "prediction"))
+
+
+@query("ml_verifier_score")
+def ml_verifier_score(spark, d):
+    tables = training_tables(spark, d)
+    scored = [boosting.predict(t, boosting.fit(t, _features(i), "b", settings=_TREES, key=[*_KEYS, "at"]), "score") for i, t in enumerate(tables)]
+    owners = _decoded(spark, d).select(*_KEYS, F.posexplode("owner").alias("at", "owner"))
+    words, gaps = verifier.display_scores(*scored, owners, _KEYS)
+    return rounded(words.select(*_KEYS, F.lit("word").alias("kind"), F.col("owner").alias("place"), "score", "critical", F.lit(None).cast("string").alias("suggestion")).unionByName(
+        gaps.select(*_KEYS, F.lit("gap").alias("kind"), F.col("after").alias("place"), "score", F.lit(None).cast("boolean").alias("critical"), "suggestion")), 4)
+
+
+@query("ml_crossfit_verifier")
+def ml_crossfit_verifier(spark, d):
+    out = []
+    for i, t in enumerate(training_tables(spark, d)):
+        fitted = boosting.cross_fitted(t, _features(i), "b", "conv_id", "prediction", seed=7, settings=_TREES, key=[*_KEYS, "at"])
+        out.append(fitted.select(*_KEYS, F.lit(("word", "gap")[i]).alias("kind"), "at", "fold", "b", "prediction"))
+    return rounded(out[0].unionByName(out[1]))
 
 
 @query("sv_validate", "", """SELECT conv_id, turn, CASE WHEN role NOT IN ('user', 'assistant') THEN 'role' WHEN turn > 5 THEN 'turn' WHEN text IS NULL OR trim(text) = '' THEN 'text' ELSE 'ok' END AS verdict FROM conversations""")

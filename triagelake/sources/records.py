@@ -89,6 +89,13 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/triagelake/sink-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The table, written below the shared folder and read again: it is computed once, and a lost executor costs nothing that is done."""
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
     return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
