@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triagelake.operators import scans
+
 Keys = Sequence[str]
 
 
@@ -48,18 +50,24 @@ def _by_score(df: DataFrame, keys: Keys, p: str, y: str) -> DataFrame:
     return df.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("pos"))
 
 
+def _with_totals(df: DataFrame, keys: Keys, totals: dict[str, Column]) -> DataFrame:
+    """Adds sums over the whole key, aggregated first and joined."""
+    found = df.groupBy(*keys).agg(*(F.sum(c).alias(n) for n, c in totals.items()))
+    return df.join(found, list(keys)) if keys else df.crossJoin(found)  # without keys, a single row
+
+
 def auroc(df: DataFrame, keys: Keys, p: str = "r", y: str = "y") -> DataFrame:
-    """Mann-Whitney with mid-ranks; null with one class. The window sees distinct scores only."""
-    below = F.coalesce(F.sum(F.col("n") - F.col("pos")).over(Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = F.col("pos") * (F.col("below") + (F.col("n") - F.col("pos")) / F.lit(2.0))
-    scored = _by_score(df, keys, p, y).withColumn("below", below)
-    return scored.groupBy(*keys).agg(F.try_divide(F.sum(wins), (F.sum("pos") * F.sum(F.col("n") - F.col("pos"))).cast("double")).alias("auroc"))
+    """Mann-Whitney with mid-ranks; null with one class. Negatives below each distinct score are a running sum over ranges of scores."""
+    negative = F.col("n") - F.col("pos")
+    scored = scans.running(_by_score(df, keys, p, y), keys, [p], {"upto": negative})
+    wins = F.col("pos") * (F.col("upto") - negative + negative / F.lit(2.0))
+    return scored.groupBy(*keys).agg(F.try_divide(F.sum(wins), (F.sum("pos") * F.sum(negative)).cast("double")).alias("auroc"))
 
 
 def precision_recall(df: DataFrame, keys: Keys, p: str = "r", y: str = "y") -> DataFrame:
     """Precision and recall of flagging scores of at least each distinct value."""
-    down = Window.partitionBy(*keys).orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    out = _by_score(df, keys, p, y).withColumns({"tp": F.sum("pos").over(down), "flagged": F.sum("n").over(down), "all_pos": F.sum("pos").over(Window.partitionBy(*keys))})
+    out = scans.running(_by_score(df, keys, p, y), keys, [F.col(p).desc()], {"tp": F.col("pos"), "flagged": F.col("n")})
+    out = _with_totals(out, keys, {"all_pos": F.col("pos")})
     return out.select(*keys, p, "pos", (F.col("tp") / F.col("flagged")).alias("precision"), F.try_divide(F.col("tp").cast("double"), F.col("all_pos").cast("double")).alias("recall"), "all_pos")
 
 
@@ -72,12 +80,12 @@ def auprc(df: DataFrame, keys: Keys, p: str = "r", y: str = "y") -> DataFrame:
 
 
 def risk_coverage(df: DataFrame, keys: Keys, p: str = "r", loss: str = "y", weight: str | None = None, tie: str = "unit_id") -> DataFrame:
-    """Accepting in increasing risk, ties by `tie`: coverage and cumulative (weighted) risk at each row."""
-    order = Window.partitionBy(*keys).orderBy(p, tie)
-    up, w = order.rowsBetween(Window.unboundedPreceding, 0), F.col(weight) if weight else F.lit(1)
-    return df.select(
-        *keys, tie, p, (F.row_number().over(order) / F.count(F.lit(1)).over(Window.partitionBy(*keys))).alias("coverage"), F.try_divide(F.sum(F.col(loss) * w).over(up).cast("double"), F.sum(w).over(up).cast("double")).alias("risk")
-    )
+    """Accepting in increasing risk, ties by `tie`: coverage and cumulative (weighted) risk at each row, by running sums over ranges."""
+    w = F.col(weight) if weight else F.lit(1)
+    rows = df.select(*keys, tie, p, (F.col(loss) * w).alias("__loss"), w.alias("__w"))
+    upto = scans.running(rows, keys, [p, tie], {"__rank": F.lit(1), "__lost": F.col("__loss"), "__weight": F.col("__w")})
+    whole = _with_totals(upto, keys, {"__all": F.lit(1)})
+    return whole.select(*keys, tie, p, (F.col("__rank") / F.col("__all")).alias("coverage"), F.try_divide(F.col("__lost").cast("double"), F.col("__weight").cast("double")).alias("risk"))
 
 
 def aurc(df: DataFrame, keys: Keys, p: str = "r", loss: str = "y", tie: str = "unit_id") -> DataFrame:

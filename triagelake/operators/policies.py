@@ -9,9 +9,11 @@ import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triagelake.operators import scans
+
 EPS = 1e-6
 #: Inverse strengths that the grouped cross-validation tries.
 GRID = (0.01, 0.03, 0.1, 0.3, 1.0, 3.0)
@@ -148,10 +150,11 @@ def probability(model: LogisticRegression, df: DataFrame) -> DataFrame:
 def ks_statistic(df: DataFrame, keys: Sequence[str], side: str, p: str = "r") -> DataFrame:
     """(keys, ks, n0, n1): the largest distance of the two sides' distributions (side 0 and 1)."""
     k = list(keys)
-    up = Window.partitionBy(*k).orderBy(p).rowsBetween(Window.unboundedPreceding, 0) if k else Window.orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    counts = df.groupBy(*k, p).agg(F.sum(F.when(F.col(side) == 0, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col(side) == 1, 1).otherwise(0)).alias("b"))
-    totals = df.groupBy(*k).agg(F.sum(F.when(F.col(side) == 0, 1).otherwise(0)).alias("n0"), F.sum(F.when(F.col(side) == 1, 1).otherwise(0)).alias("n1"))
-    steps = counts.withColumns({"a": F.sum("a").over(up), "b": F.sum("b").over(up)}).join(F.broadcast(totals), k) if k else counts.withColumns({"a": F.sum("a").over(up), "b": F.sum("b").over(up)}).crossJoin(totals)
+    side_is = lambda s: F.sum(F.when(F.col(side) == s, 1).otherwise(0))
+    counts = df.groupBy(*k, p).agg(side_is(0).alias("__a"), side_is(1).alias("__b"))
+    totals = df.groupBy(*k).agg(side_is(0).alias("n0"), side_is(1).alias("n1"))
+    steps = scans.running(counts, k, [p], {"a": F.col("__a"), "b": F.col("__b")})
+    steps = steps.join(totals, k) if k else steps.crossJoin(totals)  # without keys, a single row
     distance = F.abs(F.try_divide(F.col("a").cast("double"), F.col("n0").cast("double")) - F.try_divide(F.col("b").cast("double"), F.col("n1").cast("double")))
     return steps.groupBy(*k, "n0", "n1").agg(F.max(distance).alias("ks"))
 

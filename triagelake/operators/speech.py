@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from triagelake.operators import quantiles
+
 Keys = Sequence[str]
 
 
@@ -20,7 +22,7 @@ def frame_levels(samples: DataFrame, keys: Keys, frame: int, hop: int, value: st
 
 def speech_mask(levels: DataFrame, keys: Keys, above: float = 12.0) -> DataFrame:
     """Adds speech: more than `above` dB over the 20th percentile of the channel."""
-    floor = levels.groupBy(*keys).agg(F.percentile("db", F.lit(0.2)).alias("__floor"))
+    floor = quantiles.exact(levels, keys, "db", {"__floor": 0.2})
     return levels.join(floor, list(keys)).withColumn("speech", F.col("db") > F.col("__floor") + above).drop("__floor")
 
 

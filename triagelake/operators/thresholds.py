@@ -1,6 +1,6 @@
 """Thresholds that decide which units a human reviews.
 
-Rules look at distinct scores with their counts, so that a window holds one row a score, however many units share it. Budgets review
+Rules look at distinct scores with their counts and run sums over ranges of them, however many units and scores a set has. Budgets review
 scores of at least the threshold; the other rules review scores above it, and minus infinity reviews everything.
 """
 
@@ -14,13 +14,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from triagelake.operators import scans
+
 Keys = Sequence[str]
 
 
 def budget(df: DataFrame, keys: Keys, budgets: Sequence[float], p: str = "r") -> DataFrame:
     """(keys, budget, threshold): the score of rank ceil((n - 1)(1 - budget)) from below, counting from 0."""
-    up = Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    scores = df.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("k")).withColumns({"upto": F.sum("k").over(up), "n": F.sum("k").over(Window.partitionBy(*keys))})
+    scores = scans.running(df.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("k")), keys, [p], {"upto": F.col("k")})
+    scores = scores.join(scores.groupBy(*keys).agg(F.sum("k").alias("n")), list(keys))
     with_budget = scores.withColumn("budget", F.explode(F.array(*(F.lit(float(b)) for b in budgets))))
     rank = F.ceil((F.col("n") - 1).cast("double") * (F.lit(1.0) - F.col("budget")))
     return with_budget.filter(F.col("upto") > rank).groupBy(*keys, "budget").agg(F.min(p).alias("threshold"))
@@ -28,8 +30,8 @@ def budget(df: DataFrame, keys: Keys, budgets: Sequence[float], p: str = "r") ->
 
 def _cuts(df: DataFrame, keys: Keys, p: str, y: Column | str) -> DataFrame:
     """Accepting all scores up to each distinct one: n and wrong."""
-    up = Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    return df.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("k"), F.sum(y).alias("bad")).select(*keys, p, F.sum("k").over(up).alias("n"), F.sum("bad").over(up).alias("wrong"))
+    scores = df.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("k"), F.sum(y).alias("bad"))
+    return scans.running(scores, keys, [p], {"n": F.col("k"), "wrong": F.col("bad")}).select(*keys, p, "n", "wrong")
 
 
 def risk_target(df: DataFrame, keys: Keys, alphas: Sequence[float], n_min: int = 30, p: str = "r", y: Column | str = "y") -> DataFrame:

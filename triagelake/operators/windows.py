@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from triagelake.operators import scans
+
 Keys = Sequence[str]
 
 
@@ -55,8 +57,7 @@ def speaker_changes(df: DataFrame, keys: Keys, role: str = "role", pos: str = "i
 
 def caught_within(df: DataFrame, keys: Keys, budgets: Sequence[float], order: Column, cost: str, value: str, tie: str) -> DataFrame:
     """(keys, budget, caught): the value of what can be reviewed, in order, before its cost exceeds each budget."""
-    line = Window.partitionBy(*keys).orderBy(order, tie).rowsBetween(Window.unboundedPreceding, 0)
-    spent = df.withColumn("__cost", F.sum(cost).over(line)).withColumn("budget", F.explode(F.array(*(F.lit(float(b)) for b in budgets))))
+    spent = scans.running(df, keys, [order, tie], {"__cost": F.col(cost)}).withColumn("budget", F.explode(F.array(*(F.lit(float(b)) for b in budgets))))
     return spent.groupBy(*keys, "budget").agg(F.coalesce(F.sum(F.when(F.col("__cost") <= F.col("budget") + 1e-9, F.col(value))), F.lit(0)).alias("caught"), F.sum(value).alias("total"))
 
 

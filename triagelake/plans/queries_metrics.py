@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from triagelake.operators import bootstrap, metrics, policies, thresholds, windows
+from triagelake.operators import bootstrap, metrics, policies, quantiles, scans, thresholds, windows
 from triagelake.plans.registry import Registry, rounded
 from triagelake.plans.views import UNITS, WORDS, units, words
+from triagelake.sources import records
 
 _R = Registry()
 QUERIES, SQL, query = _R.queries, _R.sql, _R.add
@@ -72,7 +74,7 @@ def win_aurc(spark, d):
 @query("win_oracle_rank", UNITS, "SELECT ev, unit_id, row_number() OVER (PARTITION BY ev ORDER BY y, errors, unit_id) AS rank FROM units")
 def win_oracle_rank(spark, d):
     best = F.col("y") + F.lit(1e-9) * F.col("errors")
-    return units(spark, d).select("ev", "unit_id", F.row_number().over(Window.partitionBy("ev").orderBy(best, "unit_id")).cast("long").alias("rank"))
+    return scans.running(units(spark, d).select("ev", "unit_id", best.alias("best")), ["ev"], ["best", "unit_id"], {"rank": F.lit(1)}).select("ev", "unit_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("agg_confusion_at", UNITS, """SELECT ev, tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn)::DOUBLE, 6) AS accuracy, round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS "precision",
@@ -86,9 +88,9 @@ def agg_confusion_at(spark, d):
   FROM (SELECT *, quantile_cont(r, 0.9) OVER (PARTITION BY ev) AS q FROM units) GROUP BY ev, q""")
 def agg_top_share(spark, d):
     u = units(spark, d)
-    cut = u.groupBy("ev").agg(F.percentile("r", F.lit(0.9)).alias("q"))
+    cut = quantiles.exact(u, ["ev"], "r", {"q": 0.9})
     hit = F.when(F.col("r") >= F.col("q"), F.col("y"))
-    return rounded(u.join(F.broadcast(cut), "ev").groupBy("ev", "q").agg(F.try_divide(F.sum(hit).cast("double"), F.sum("y").cast("double")).alias("caught"), F.avg(hit).alias("precision")).withColumnRenamed("q", "threshold"))
+    return rounded(u.join(cut, "ev").groupBy("ev", "q").agg(F.try_divide(F.sum(hit).cast("double"), F.sum("y").cast("double")).alias("caught"), F.avg(hit).alias("precision")).withColumnRenamed("q", "threshold"))
 
 
 @query("agg_ratio", UNITS, "SELECT ev, round(sum(errors) / nullif(sum(n_ref), 0)::DOUBLE, 6) AS wer FROM units GROUP BY ev")
@@ -169,56 +171,67 @@ def agg_deployment(spark, d):
     return rounded(totals.groupBy("ev", "budget").agg(F.avg("e").alias("mean_errors"), F.avg("c").alias("mean_crit"), F.avg((F.col("c") > 0).cast("double")).alias("share_with_crit")))
 
 
-_DRAWS = UNITS + """, g AS (SELECT group_id, row_number() OVER (ORDER BY group_id) - 1 AS g FROM (SELECT DISTINCT group_id FROM units)),
-draws AS (SELECT rep, group_id, CASE WHEN h < 37 THEN 0 WHEN h < 74 THEN 1 WHEN h < 92 THEN 2 ELSE 3 END AS mult FROM (
-  SELECT rep, group_id, (rep * 7919 + g * 104729 + rep * g * 31) % 101 AS h FROM g, range(200) AS t(rep))),
-draws2 AS (SELECT rep, group_id, CASE WHEN h < 37 THEN 0 WHEN h < 74 THEN 1 WHEN h < 92 THEN 2 ELSE 3 END AS mult FROM (
-  SELECT rep, group_id, (rep * 7919 + g * 104729 + rep * g * 31 + 13) % 101 AS h FROM g, range(200) AS t(rep))),
-sums AS (SELECT ev, group_id, sum(errors) AS e, sum(n_ref) AS n, sum(y) AS y, count(*) AS k FROM units GROUP BY ev, group_id),
-reps AS (SELECT ev, rep, sum(e * mult)::DOUBLE / nullif(sum(n * mult), 0) AS wer, sum(y * mult)::DOUBLE / nullif(sum(k * mult), 0) AS rate FROM sums JOIN draws USING (group_id) GROUP BY ev, rep),
-reps2 AS (SELECT ev, rep, sum(e * mult)::DOUBLE / nullif(sum(n * mult), 0) AS wer FROM sums JOIN draws2 USING (group_id) GROUP BY ev, rep)"""
+_P4 = "1 / (1 + exp(-(0.8 * ln(least(greatest(r, 1e-6), 1 - 1e-6) / (1 - least(greatest(r, 1e-6), 1 - 1e-6))) + 0.3)))"
 
 
-def _reps(spark: SparkSession, d: str, seed: int = 0) -> tuple[DataFrame, DataFrame, dict]:
+def _drawn(name: str, rows: str, keys: str, seed: int, by: str, sums: dict[str, str]) -> str:
+    """CTEs that end in `name` (keys, rep, by, sums): replicates of `rows`, as bootstrap.resampled draws them."""
+    k, text, part = (f"{keys}, ", f" || '-' || {keys}", f"PARTITION BY {keys} ") if keys else ("", "", "")
+    given = f", {by}" if by else ""
+    first, again = (", ".join(f"{f(n)} AS {n}" for n in sums) for f in (sums.get, "sum({})".format))
+    return f"""{name}_s AS (SELECT {k}coalesce(group_id, '') AS grp{given}, {first} FROM {rows} GROUP BY ALL),
+{name}_g AS (SELECT {k}grp, row_number() OVER ({part}ORDER BY grp) - 1 AS g, count(*) OVER ({part}) AS n_groups FROM (SELECT DISTINCT {k}grp FROM {name}_s)),
+{name}_p AS (SELECT {k}rep, CAST('0x' || substr(md5('{seed}'{text} || '-' || rep || '-' || g), 1, 12) AS BIGINT) % n_groups AS g FROM {name}_g, range(200) t(rep)),
+{name}_o AS (SELECT s.*, g FROM {name}_s s JOIN {name}_g USING ({k}grp)),
+{name} AS (SELECT {k}rep{given}, {again} FROM {name}_p JOIN {name}_o USING ({k}g) GROUP BY ALL)"""
+
+
+_ERRORS = {"e": "sum(errors)", "n": "sum(n_ref)", "y": "sum(y)", "k": "count(*)", "b3": "sum((r - y) * (r - y))", "b4": "sum((p4 - y) * (p4 - y))"}
+_COUNTS = {"n": "count(*)", "y": "sum(y)"}
+_DRAWS = UNITS + ", tu AS (SELECT *, " + _P4 + " AS p4 FROM units), " + ", ".join(
+    _drawn(f"r{seed}", "tu", "ev", seed, "", _ERRORS) for seed in (0, 1)
+) + """,
+reps AS (SELECT ev, rep, e::DOUBLE / nullif(n, 0) AS wer, y::DOUBLE / nullif(k, 0) AS rate, b3 / k AS brier3, b4 / k AS brier4 FROM r0),
+reps2 AS (SELECT ev, rep, e::DOUBLE / nullif(n, 0) AS wer FROM r1)"""
+
+
+def _stats():
+    return {"wer": (F.col("errors"), F.col("n_ref")), "rate": (F.col("y"), F.lit(1))}
+
+
+def _reps(spark: SparkSession, d: str, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     u = units(spark, d)
-    stats = {"wer": (F.col("errors"), F.col("n_ref")), "rate": (F.col("y"), F.lit(1))}
-    table = bootstrap.formula_draws(u.select("group_id").distinct(), 200, seed)
-    return u, table, stats
+    return u, bootstrap.resampled_ratios(u, ["ev"], _stats(), 200, seed)
 
 
 @query("bs_cluster", _DRAWS, """SELECT ev, p.wer, p.rate, round(quantile_cont(r.wer, 0.025), 6) AS wer_lo, round(quantile_cont(r.wer, 0.975), 6) AS wer_hi, round(quantile_cont(r.rate, 0.025), 6) AS rate_lo, round(quantile_cont(r.rate, 0.975), 6) AS rate_hi
   FROM reps r JOIN (SELECT ev, round(sum(errors) / sum(n_ref)::DOUBLE, 6) AS wer, round(avg(y), 6) AS rate FROM units GROUP BY ev) p USING (ev) GROUP BY ev, p.wer, p.rate""")
 def bs_cluster(spark, d):
-    u, table, stats = _reps(spark, d)
-    return rounded(bootstrap.interval(u, ["ev"], table, stats))
-
-
-def _difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    return rounded(bootstrap.paired(a.withColumnRenamed("ev", "ev_a"), b.select(F.col("ev").alias("ev_a"), "rep", "wer"), ["ev_a"], "wer").withColumnRenamed("ev_a", "ev"))
+    u, reps = _reps(spark, d)
+    return rounded(bootstrap.interval(u, ["ev"], reps, _stats()))
 
 
 _DIFF = """SELECT ev, round(quantile_cont(diff, 0.025), 6) AS diff_lo, round(quantile_cont(diff, 0.975), 6) AS diff_hi, round(avg(CAST(diff >= 0 AS INT)), 6) AS share_up, round((count(*) FILTER (diff <= 0) + 1)::DOUBLE / (count(diff) + 1), 6) AS p_value
-  FROM (SELECT a.ev, a.wer - {b} AS diff FROM reps a JOIN {t} b ON a.ev = b.ev AND a.rep = b.rep) GROUP BY ev"""
+  FROM ({rows}) GROUP BY ev"""
 
 
-@query("bs_paired", _DRAWS, _DIFF.format(b="b.rate", t="reps"))
+@query("bs_paired", _DRAWS, _DIFF.format(rows="SELECT ev, round(brier4 - brier3, 12) AS diff FROM reps"))
 def bs_paired(spark, d):
-    u, table, stats = _reps(spark, d)
-    reps = bootstrap.replicate_ratios(u, ["ev"], table, stats)
-    return _difference(reps, reps.select("ev", "rep", F.col("rate").alias("wer")))
+    # The recalibrated policy less the raw one, in the same replicates.
+    u = units(spark, d).withColumn("p4", policies.platt(F.col("r"), 0.8, 0.3))
+    error = lambda p: ((F.col(p) - F.col("y")) * (F.col(p) - F.col("y")), F.lit(1))
+    reps = bootstrap.resampled_ratios(u, ["ev"], {"b3": error("r"), "b4": error("p4")}, 200, 0)
+    return rounded(bootstrap.paired(reps.select("ev", "rep", F.round(F.col("b4") - F.col("b3"), 12).alias("v")), reps.select("ev", "rep", F.lit(0.0).alias("v")), ["ev"], "v"))
 
 
-@query("bs_unpaired", _DRAWS, _DIFF.format(b="b.wer", t="reps2"))
+@query("bs_unpaired", _DRAWS, _DIFF.format(rows="SELECT a.ev, a.wer - b.wer AS diff FROM reps a JOIN reps2 b ON a.ev = b.ev AND a.rep = b.rep"))
 def bs_unpaired(spark, d):
-    u, table, stats = _reps(spark, d)
-    _, other, _ = _reps(spark, d, 1)
-    return _difference(bootstrap.replicate_ratios(u, ["ev"], table, stats), bootstrap.replicate_ratios(u, ["ev"], other, stats))
+    return rounded(bootstrap.paired(_reps(spark, d)[1], _reps(spark, d, 1)[1], ["ev"], "wer"))
 
 
 @query("st_one_sided_p", _DRAWS, "SELECT ev, round((count(*) FILTER (wer <= 0.15) + 1)::DOUBLE / (count(wer) + 1), 6) AS p_value FROM reps GROUP BY ev")
 def st_one_sided_p(spark, d):
-    u, table, stats = _reps(spark, d)
-    return rounded(bootstrap.replicate_ratios(u, ["ev"], table, stats).groupBy("ev").agg(bootstrap.one_sided_p(F.col("wer") <= 0.15).alias("p_value")))
+    return rounded(_reps(spark, d)[1].groupBy("ev").agg(bootstrap.one_sided_p(F.col("wer") <= 0.15).alias("p_value")))
 
 
 @query("st_holm", UNITS, """SELECT ev, group_id, round(p, 6) AS p, round(max(s) OVER (PARTITION BY ev ORDER BY p, group_id), 6) AS p_holm FROM (
@@ -228,13 +241,102 @@ def st_holm(spark, d):
     return rounded(bootstrap.holm(tests, ["ev"], "p", "group_id"))
 
 
-@query("st_hypotheses", _DRAWS, """, t AS (SELECT ev, round((count(*) FILTER (wer <= 0.17) + 1)::DOUBLE / (count(wer) + 1), 12) AS p, avg(CAST(wer IS NULL AS INT)) AS undefined FROM reps GROUP BY ev)
-SELECT ev, round(p, 6) AS p, undefined <= 0.05 AS testable, round(max(s) OVER (ORDER BY p, ev), 6) AS p_holm FROM (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, ev) + 1) * p) AS s FROM t)""")
+_ALPHA, _TARGET, _SOURCE = 0.2, "de", "en"
+
+
+def _by_score_sql(name: str, ev: str, seed: int) -> str:
+    rows = f"(SELECT * FROM tu WHERE ev = '{ev}' AND NOT tuning)"
+    return _drawn(f"{name}0", rows, "", seed, "r", _COUNTS) + f", {name} AS (SELECT rep, r, n, y FROM {name}0 UNION ALL SELECT -1, r, count(*), sum(y) FROM {rows} GROUP BY r)"
+
+
+def _words_sql(name: str, ev: str, seed: int) -> str:
+    rows = f"(SELECT u.group_id, 1 - w.p AS r, 1 - w.correct AS y FROM words w JOIN tu u USING (unit_id) WHERE ev = '{ev}' AND NOT tuning)"
+    return _drawn(f"{name}0", rows, "", seed, "r", _COUNTS) + f", {name} AS (SELECT rep, r, n, y FROM {name}0 UNION ALL SELECT -1, r, count(*), sum(y) FROM {rows} GROUP BY r)"
+
+
+def _ece_sql(rows: str, p: str = "r") -> str:
+    return f"(SELECT rep, sum(abs(sp - sy)) / sum(n) AS v FROM (SELECT rep, least(floor({p} * 15), 14) AS b, sum({p} * n) AS sp, sum(y) AS sy, sum(n) AS n FROM {rows} GROUP BY ALL) GROUP BY rep)"
+
+
+def _cut_sql(ev: str, p: str) -> str:
+    return f"""(SELECT coalesce(max(CASE WHEN n >= 30 AND wrong / n::DOUBLE <= {_ALPHA} + 1e-12 THEN p END), '-inf'::DOUBLE) FROM (
+  SELECT p, sum(k) OVER (ORDER BY p) AS n, sum(bad) OVER (ORDER BY p) AS wrong FROM (SELECT {p} AS p, count(*) AS k, sum(y) AS bad FROM tu WHERE ev = '{ev}' AND tuning GROUP BY 1)))"""
+
+
+def _gap_sql(p: str, cut: str) -> str:
+    return f"(SELECT rep, abs(sum(CASE WHEN {p} <= {cut} THEN y END) / nullif(sum(CASE WHEN {p} <= {cut} THEN n END), 0)::DOUBLE - {_ALPHA}) AS v FROM w4, cuts GROUP BY rep)"
+
+
+def _plugin_sql(p: str) -> str:
+    return f"""(SELECT rep, abs(max_by(cy / cn::DOUBLE, cn) FILTER (cp / cn <= {_ALPHA} + 1e-12) - {_ALPHA}) AS v FROM (
+  SELECT rep, sum(n) OVER o AS cn, sum(y) OVER o AS cy, sum({p} * n) OVER o AS cp FROM w4 WINDOW o AS (PARTITION BY rep ORDER BY {p} ROWS UNBOUNDED PRECEDING)) GROUP BY rep)"""
+
+
+_MISS_SQL = "(SELECT rep, sum(CASE WHEN r < t10 THEN y ELSE 0 END)::DOUBLE / greatest(sum(y), 1) AS v FROM {rows}, cuts GROUP BY rep)"
+_HYPOTHESES = (
+    UNITS + ", " + WORDS + f", tu AS (SELECT *, {_P4} AS p4 FROM units), " + ", ".join((_by_score_sql("w", _TARGET, 1), _by_score_sql("e", _SOURCE, 2), _words_sql("ww", _TARGET, 3), _words_sql("we", _SOURCE, 4)))
+    + f""", w4 AS (SELECT *, {_P4} AS p4 FROM w), cuts AS (SELECT {_cut_sql(_SOURCE, "r")} AS t3, {_cut_sql(_TARGET, "p4")} AS t4,
+  (SELECT min(r) FROM (SELECT r, row_number() OVER (ORDER BY r) - 1 AS k, count(*) OVER () AS n FROM tu WHERE ev = '{_SOURCE}' AND tuning) WHERE k >= ceil((n - 1)::DOUBLE * 0.9)) AS t10),
+x AS (
+  SELECT 'H1' AS hypothesis, 'less' AS direction, rep, sum(r * n - y) / sum(n) AS v FROM w GROUP BY rep
+  UNION ALL SELECT 'H2', 'greater', a.rep, a.v - b.v FROM {_MISS_SQL.format(rows="w")} a JOIN {_MISS_SQL.format(rows="e")} b ON a.rep = b.rep
+  UNION ALL SELECT 'H3a', 'less', a.rep, a.v - b.v FROM {_ece_sql("w4", "p4")} a JOIN {_ece_sql("w4")} b ON a.rep = b.rep
+  UNION ALL SELECT 'H3b', 'less', a.rep, a.v - b.v FROM {_gap_sql("p4", "t4")} a JOIN {_gap_sql("r", "t3")} b ON a.rep = b.rep
+  UNION ALL SELECT 'H3c', 'less', a.rep, a.v - b.v FROM {_plugin_sql("p4")} a JOIN {_plugin_sql("r")} b ON a.rep = b.rep
+  UNION ALL SELECT 'H4', 'greater', a.rep, a.v - b.v FROM {_ece_sql("ww")} a JOIN {_ece_sql("we")} b ON a.rep = b.rep),
+t AS (
+  SELECT hypothesis, max(v) FILTER (rep < 0) AS estimate, quantile_cont(v, 0.025) FILTER (rep >= 0) AS ci_lo, quantile_cont(v, 0.975) FILTER (rep >= 0) AS ci_hi, count(v) FILTER (rep >= 0) AS n_boot,
+         (count(*) FILTER (rep >= 0 AND CASE WHEN direction = 'less' THEN v >= 0 ELSE v <= 0 END) + 1)::DOUBLE / (count(v) FILTER (rep >= 0) + 1) AS p0, count(*) FILTER (rep >= 0) AS n
+  FROM (SELECT hypothesis, direction, rep, round(v, 12) AS v FROM x) GROUP BY hypothesis, direction),
+f AS (SELECT *, n_boot >= 0.95 * n AND estimate IS NOT NULL AS testable, CASE WHEN n_boot >= 0.95 * n AND estimate IS NOT NULL THEN p0 END AS p FROM t)"""
+)
+
+
+@query("st_hypotheses", _HYPOTHESES, """SELECT hypothesis, round(estimate, 6) + 0.0 AS estimate, round(ci_lo, 6) + 0.0 AS ci_lo, round(ci_hi, 6) + 0.0 AS ci_hi, n_boot, testable, round(p, 6) AS p, round(h, 6) AS p_holm, h < 0.05 AS supported
+  FROM (SELECT *, CASE WHEN testable THEN max(s) OVER (ORDER BY coalesce(p, 1), hypothesis) END AS h
+        FROM (SELECT *, least(1.0::DOUBLE, (count(*) OVER () - row_number() OVER (ORDER BY coalesce(p, 1), hypothesis) + 1) * coalesce(p, 1)) AS s FROM f))""")
 def st_hypotheses(spark, d):
-    u, table, stats = _reps(spark, d)
-    reps = bootstrap.replicate_ratios(u, ["ev"], table, stats)
-    tests = reps.groupBy("ev").agg(bootstrap.one_sided_p(F.col("wer") <= 0.17).alias("p"), (F.avg(F.col("wer").isNull().cast("double")) <= 0.05).alias("testable"))
-    return rounded(bootstrap.holm(tests.withColumn("family", F.lit(1)).withColumn("p", F.round("p", 12)), ["family"], "p", "ev").drop("family"))
+    """Six tests of the recalibrated policy and of transfer, on the target's and the source's test units. Every statistic follows from the
+    replicates' counts and errors by score."""
+    u = units(spark, d).withColumn("p4", policies.platt(F.col("r"), 0.8, 0.3))
+    of = lambda ev, tuning: u.filter((F.col("ev") == ev) & (F.col("tuning") == tuning))
+    one = lambda df: df.withColumn("all", F.lit(1))
+    t10 = thresholds.budget(one(of(_SOURCE, True)), ["all"], [0.1]).first()
+    t10 = float(t10["threshold"]) if t10 else None
+    risk = lambda df, p: thresholds.risk_target(one(df), ["all"], [_ALPHA], p=p).first()
+    t3, t4 = (float(found["threshold"]) if found else -math.inf for found in (risk(of(_SOURCE, True), "r"), risk(of(_TARGET, True), "p4")))
+    sums = {"n": F.lit(1), "y": F.col("y")}
+
+    def by_score(rows: DataFrame, seed: int) -> DataFrame:
+        whole = rows.groupBy("r").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).select(F.lit(-1).alias("rep"), "r", "n", "y")
+        return records.written(bootstrap.resampled(rows, [], sums, 200, seed, by=["r"]).select("rep", "r", "n", "y").unionByName(whole))
+
+    w, e = by_score(of(_TARGET, False), 1), by_score(of(_SOURCE, False), 2)
+    scored = words(spark, d).select("unit_id", (F.lit(1.0) - F.col("p")).alias("r"), (1 - F.col("correct")).alias("y"))
+    ww, we = (by_score(scored.join(of(ev, False).select("unit_id", "group_id"), "unit_id"), seed) for ev, seed in ((_TARGET, 3), (_SOURCE, 4)))
+    w4 = w.withColumn("p4", policies.platt(F.col("r"), 0.8, 0.3))
+
+    def ece(rows: DataFrame, p: str = "r") -> DataFrame:
+        bins = rows.groupBy("rep", metrics.bin_of(F.col(p), 15).alias("b")).agg(F.abs(F.sum(F.col(p) * F.col("n")) - F.sum("y")).alias("off"), F.sum("n").alias("n"))
+        return bins.groupBy("rep").agg((F.sum("off") / F.sum("n")).alias("v"))
+
+    def missed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("rep").agg((F.sum(F.when(F.col("r") < F.lit(t10), F.col("y")).otherwise(0)) / F.greatest(F.sum("y"), F.lit(1))).alias("v"))
+
+    def gap(p: str, cut: float) -> DataFrame:
+        accepted = F.col(p) <= F.lit(cut)
+        return w4.groupBy("rep").agg(F.abs(F.try_divide(F.sum(F.when(accepted, F.col("y"))), F.sum(F.when(accepted, F.col("n")))) - _ALPHA).alias("v"))
+
+    plugged = lambda p: bootstrap.plugin_error(w4, ["rep"], _ALPHA, p).select("rep", F.abs(F.col("error") - _ALPHA).alias("v"))
+    less = lambda a, b: a.join(b.withColumnRenamed("v", "v0"), "rep").select("rep", (F.col("v") - F.col("v0")).alias("v"))
+    tests = {
+        ("H1", "less"): w.groupBy("rep").agg((F.sum(F.col("r") * F.col("n") - F.col("y")) / F.sum("n")).alias("v")), ("H2", "greater"): less(missed(w), missed(e)), ("H3a", "less"): less(ece(w4, "p4"), ece(w4)),
+        ("H3b", "less"): less(gap("p4", t4), gap("r", t3)), ("H3c", "less"): less(plugged("p4"), plugged("r")), ("H4", "greater"): less(ece(ww), ece(we)),
+    }
+    rows = functools.reduce(DataFrame.unionByName, (df.select(F.lit(h).alias("hypothesis"), F.lit(side).alias("direction"), "rep", F.round("v", 12).alias("v")) for (h, side), df in tests.items()))
+    found = bootstrap.tested(rows, ["hypothesis", "direction"], "v", "direction").withColumn("family", F.lit(1))
+    held = bootstrap.holm(found, ["family"], "p", "hypothesis").drop("family", "direction")
+    return rounded(held.withColumn("supported", F.col("p_holm") < 0.05))
 
 
 @query("st_ks", UNITS, """SELECT ev, n0, n1, round(max(abs(a / nullif(n0, 0)::DOUBLE - b / nullif(n1, 0)::DOUBLE)), 6) AS ks FROM (
@@ -372,7 +474,7 @@ def win_queue_topk(spark, d):
 
 @query("win_nan_quantiles", UNITS, "SELECT ev, " + ", ".join(f"round(quantile_cont(r, {q}), 6) AS q{i}" for i, q in enumerate((0.025, 0.25, 0.5, 0.75, 0.975))) + " FROM units GROUP BY ev")
 def win_nan_quantiles(spark, d):
-    return rounded(units(spark, d).groupBy("ev").agg(*(F.percentile("r", F.lit(q)).alias(f"q{i}") for i, q in enumerate((0.025, 0.25, 0.5, 0.75, 0.975)))))
+    return rounded(quantiles.exact(units(spark, d), ["ev"], "r", {f"q{i}": q for i, q in enumerate((0.025, 0.25, 0.5, 0.75, 0.975))}))
 
 
 @query("agg_asr_summary", UNITS, """SELECT ev, tuning, count(*) AS n, count(DISTINCT group_id) AS n_groups, round(sum(duration) / 3600, 6) AS hours, round(sum(errors) / sum(n_ref)::DOUBLE, 6) AS wer, round(avg(y), 6) AS err_rate, round(avg(crit), 6) AS crit_rate,

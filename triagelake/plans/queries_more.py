@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions import align, combine, text
-from triagelake.operators import metrics, policies, speech
+from triagelake.operators import metrics, policies, quantiles, speech
 from triagelake.plans.registry import Registry, rounded
 from triagelake.plans.views import LEX, UNITS, UTT, WORDS, lexicon, pairs, table, units, utterances, words
 from triagelake.sources import records
@@ -254,7 +254,7 @@ SELECT k, round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.5), 6
 def agg_k_quartiles(spark, d):
     u = units(spark, d).withColumns({"k": F.explode(F.array(F.lit(2), F.lit(5), F.lit(10)))}).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(9))))
     each = u.filter((F.col("unit_id") * 7 + F.col("draw") * 13) % 20 < F.col("k")).groupBy("k", "draw").agg(F.avg("y").alias("v"))
-    return rounded(each.groupBy("k").agg(*(F.percentile("v", F.lit(q)).alias(f"q{i}") for i, q in enumerate((0.25, 0.5, 0.75), 1))))
+    return rounded(quantiles.exact(each, ["k"], "v", {f"q{i}": q for i, q in enumerate((0.25, 0.5, 0.75), 1)}))
 
 
 @query("st_crit_boost", UNITS, "SELECT k, ev, round(sum(CASE WHEN s >= 0.9 THEN crit END) / nullif(sum(crit), 0)::DOUBLE, 6) AS crit_caught FROM (SELECT k, ev, crit, CASE WHEN errors % 3 = 0 THEN r * k ELSE r END AS s FROM units, (VALUES (1), (2), (5), (20)) t(k)) GROUP BY k, ev")
