@@ -21,8 +21,8 @@ Keys = Sequence[str]
 
 def budget(df: DataFrame, keys: Keys, budgets: Sequence[float], p: str = "r") -> DataFrame:
     """(keys, budget, threshold): the score of rank ceil((n - 1)(1 - budget)) from below, counting from 0."""
-    scores = scans.running(df.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("k")), keys, [p], {"upto": F.col("k")})
-    scores = scores.join(scores.groupBy(*keys).agg(F.sum("k").alias("n")), list(keys))
+    scores = scans.running(df.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("__k")), keys, [p], {"upto": F.col("__k")})
+    scores = scores.join(scores.groupBy(*keys).agg(F.sum("__k").alias("n")), list(keys))
     with_budget = scores.withColumn("budget", F.explode(F.array(*(F.lit(float(b)) for b in budgets))))
     rank = F.ceil((F.col("n") - 1).cast("double") * (F.lit(1.0) - F.col("budget")))
     return with_budget.filter(F.col("upto") > rank).groupBy(*keys, "budget").agg(F.min(p).alias("threshold"))
@@ -30,8 +30,8 @@ def budget(df: DataFrame, keys: Keys, budgets: Sequence[float], p: str = "r") ->
 
 def _cuts(df: DataFrame, keys: Keys, p: str, y: Column | str) -> DataFrame:
     """Accepting all scores up to each distinct one: n and wrong."""
-    scores = df.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("k"), F.sum(y).alias("bad"))
-    return scans.running(scores, keys, [p], {"n": F.col("k"), "wrong": F.col("bad")}).select(*keys, p, "n", "wrong")
+    scores = df.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("__k"), F.sum(y).alias("__bad"))
+    return scans.running(scores, keys, [p], {"n": F.col("__k"), "wrong": F.col("__bad")}).select(*keys, p, "n", "wrong")
 
 
 def risk_target(df: DataFrame, keys: Keys, alphas: Sequence[float], n_min: int = 30, p: str = "r", y: Column | str = "y") -> DataFrame:

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from triagelake.operators import bootstrap, metrics, policies, quantiles, scans, thresholds, windows
+from triagelake.operators import bootstrap, many, metrics, policies, quantiles, scans, thresholds, windows
 from triagelake.plans.registry import Registry, rounded
 from triagelake.plans.views import UNITS, WORDS, units, words
 from triagelake.sources import records
@@ -405,6 +405,39 @@ def st_null_baseline(spark, d):
     return rounded(each.groupBy("draw").agg(F.avg((F.col("wer") > 0.5).cast("double")).alias("err_rate"), F.avg("wer").alias("mean_wer")))
 
 
+@query("st_null_refits")
+def st_null_refits(spark, d):
+    return rounded(null_refits(units(spark, d), words(spark, d), ["r", "n_ref"], draws=20))
+
+
+def null_refits(u: DataFrame, scored_words: DataFrame, features: list[str], *, draws: int, seed: int = 0, least: float = 0.5, c: float = 1.0) -> DataFrame:
+    """What transfer would look like if word confidences were right: a row a draw, with citl and base rate on the target's test units, and ece and misses there less
+    those on the source's test units.
+
+    In every draw each word is wrong with probability 1 - p, by a hash of (seed, draw, unit, place); a unit is wrong if more than `least` of its words are, or if it has none. One
+    logistic model a draw is fitted on the source's tuning units by these labels, all draws at once; the threshold is that of its 10% budget there.
+    """
+    wrong = F.pmod(F.xxhash64(F.lit(seed), "draw", "unit_id", "pos"), F.lit(1 << 30)) / F.lit(float(1 << 30)) > F.col("p")
+    rows = scored_words.select("unit_id", "pos", "p").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    share = rows.groupBy("draw", "unit_id").agg(F.avg(wrong.cast("double")).alias("share"))
+    base = u.filter(F.col("ev").isin(_SOURCE, _TARGET))
+    scale = base.filter((F.col("ev") == _SOURCE) & F.col("tuning")).agg(*(f(x).alias(f"{n}_{x}") for x in features for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    scaled = {f"f{i}": (F.col(x) - F.lit(float(scale[f"m_{x}"] or 0.0))) / F.lit(float(scale[f"s_{x}"] or 0.0) or 1.0) for i, x in enumerate(features)}
+    drawn = base.withColumns(scaled).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).join(share, ["draw", "unit_id"], "left")
+    drawn = records.written(drawn.select("draw", "unit_id", "ev", "tuning", *scaled, (F.coalesce("share", F.lit(1.0)) > least).cast("int").alias("y")))
+    model = many.fit(drawn.filter((F.col("ev") == _SOURCE) & F.col("tuning")), ["draw"], list(scaled), "y", l2=1.0 / c)
+    model = model.withColumnsRenamed({f: f"w_{f}" for f in scaled})
+    score = policies.sigmoid(sum((F.col(f) * F.col(f"w_{f}") for f in scaled), F.col("intercept")))
+    scored = records.written(drawn.join(model, "draw").select("draw", "unit_id", "ev", "tuning", "y", score.alias("r")))
+    cut = thresholds.budget(scored.filter((F.col("ev") == _SOURCE) & F.col("tuning")), ["draw"], [0.1]).select("draw", "threshold")
+    test = scored.filter("NOT tuning").join(cut, "draw")
+    by = ["draw", "ev"]
+    missed = test.groupBy(*by).agg((F.sum(F.when(F.col("r") < F.col("threshold"), F.col("y")).otherwise(0)) / F.greatest(F.sum("y"), F.lit(1))).alias("miss"), F.avg("y").alias("rate"), (F.avg("r") - F.avg("y")).alias("citl"))
+    both = missed.join(metrics.ece(test, by), by).groupBy("draw")
+    side = lambda c, ev: F.max(F.when(F.col("ev") == ev, F.col(c)))
+    return both.agg(side("citl", _TARGET).alias("citl"), side("rate", _TARGET).alias("base_rate"), (side("ece", _TARGET) - side("ece", _SOURCE)).alias("ece_difference"), (side("miss", _TARGET) - side("miss", _SOURCE)).alias("miss_difference"))
+
+
 @query("pol_raw", UNITS, "SELECT unit_id, round(1 - r, 6) + 0.0 AS risk FROM units")
 def pol_raw(spark, d):
     return rounded(units(spark, d).select("unit_id", policies.raw_risk(F.col("r")).alias("risk")))

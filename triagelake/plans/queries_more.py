@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions import align, combine, text
-from triagelake.operators import metrics, policies, quantiles, speech
+from triagelake.operators import many, metrics, policies, quantiles, speech, thresholds
 from triagelake.plans.registry import Registry, rounded
 from triagelake.plans.views import LEX, UNITS, UTT, WORDS, lexicon, pairs, table, units, utterances, words
 from triagelake.sources import records
@@ -337,16 +337,31 @@ def sv_api_summary(spark, d):
     return rounded(units(spark, d).groupBy("ev").agg(F.avg((F.col("r") >= 0.9).cast("double")).alias("review_rate"), F.avg(F.when(F.col("r") < 0.9, F.col("crit"))).alias("accepted_critical")))
 
 
+def learning_curve(u: DataFrame, group: str, ks: tuple[int, ...] = (2, 5, 10, 20), draws: int = 50, seed: int = 0, alpha: float = 0.2) -> DataFrame:
+    """A row for each k and draw: k groups recalibrate the score r, by Platt's scaling (P4) and by a shift alone (P4_int), and all others measure it beside the
+    score as it is (P3): ece, citl, the accepted error and review rate of the label-free rule at alpha, and of the empirical risk target set on the k groups."""
+    keys = ["k", "draw"]
+    dealt = records.written(u.join(many.redraws(u, group, ks, draws, seed), group).select(*keys, "inside", "unit_id", "r", "y"))
+    inside = dealt.filter("inside")
+    fits = records.written(many.platt(inside, keys, "r", "y"))
+    z = policies.logit(F.col("r"))
+    both = dealt.join(fits, keys).withColumns({"P3": F.col("r"), "P4": policies.sigmoid(F.col("slope") * z + F.col("shift")), "P4_int": policies.sigmoid(z + F.col("only_shift"))})
+    held = both.filter("NOT inside").unpivot([*keys, "unit_id", "y"], ["P3", "P4", "P4_int"], "policy", "p")
+    held, by = records.written(held), [*keys, "policy"]
+    quality = metrics.ece(held, by, p="p").join(metrics.calibration(held, by, p="p").select(*by, "citl"), by)
+    plugin = thresholds.plugin(held, by, [alpha], "p").select(*by, F.col("threshold").alias("plugin"))
+    risk = thresholds.risk_target(both.filter("inside"), keys, [alpha], p="P4").select(*keys, F.lit("P4").alias("policy"), F.col("threshold").alias("risk"))
+    cut = held.join(plugin, by).join(risk, by, "left")
+    share = lambda t: (F.avg((F.col("p") > F.col(t)).cast("double")), F.avg(F.when(F.col("p") <= F.col(t), F.col("y"))))
+    (pr, pe), (rr, re) = share("plugin"), share("risk")
+    points = cut.groupBy(*by).agg(pr.alias("plugin_review"), pe.alias("plugin_accepted_err"), rr.alias("risk_review"), re.alias("risk_accepted_err"))
+    return quality.join(points, by).join(fits.select(*keys, F.col("n").alias("n_recal"), "fell_back"), keys)
+
+
 @query("st_learning_curve")
 def st_learning_curve(spark, d):
-    # A shift of the logit is refitted on k hashed groups, and log loss measured on the others.
-    u, out = units(spark, d), []
-    for k in (2, 5):
-        inside = F.pmod(F.xxhash64(F.lit(k), "group_id"), F.lit(20)) < k
-        a, b, _ = policies.fit_platt(u.filter(inside), intercept_only=True)
-        held = u.filter(~inside).withColumn("p", policies.platt(F.col("r"), a, b))
-        out.append(metrics.calibration(held.withColumn("k", F.lit(k)), ["k"], p="p"))
-    return out[0].unionByName(out[1])
+    u = units(spark, d).withColumn("shelf", F.floor(F.col("unit_id") / 25))
+    return rounded(learning_curve(u, "shelf"))
 
 
 @query("join_entity_nearest")
