@@ -8,7 +8,7 @@ to a deletion and that to an insertion; a wildcard takes as few tokens as it can
 from __future__ import annotations
 
 import difflib
-from collections.abc import Sequence
+from collections.abc import Callable, Collection, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -187,3 +187,54 @@ def second_opinion(hyp: pd.Series, other: pd.Series) -> pd.DataFrame:
                 more[b] += max(0, (d - c) - (b - a))
         agree.append(yes), extra.append(more)
     return pd.DataFrame({"agree": agree, "extra": extra})
+
+
+def common(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
+    """The places of a longest common subsequence, by rows of bits.
+
+    Bit i of row j is 0 where one more token of a, the one at i, makes the longest common subsequence with the first j tokens of b longer by one. A row takes a few
+    operations on whole numbers of len(a) bits; rows are kept to walk back.
+    """
+    places: dict[str, int] = {}
+    for i, token in enumerate(a):
+        places[token] = places.get(token, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    rows = [every]
+    for token in b:
+        row = rows[-1]
+        hit = row & places.get(token, 0)
+        rows.append(((row + hit) | (row - hit)) & every)
+    i, j, found = len(a), len(b), []
+    while i and j:
+        if rows[j] >> (i - 1) & 1:
+            i -= 1
+        elif not rows[j - 1] >> (i - 1) & 1:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            found.append((i, j))
+    return found[::-1]
+
+
+def lcs_operations(a: Sequence[str], b: Sequence[str], fillers: Collection[str]) -> list[tuple[str, str]]:
+    """(op, token) in order: = in both, - in a alone, + in b alone; fillers take no part and are < in a and > in b. Tokens with =, - and < are a, those with =, + and > are b."""
+    mine, theirs = ([i for i, t in enumerate(x) if t not in fillers] for x in (a, b))
+    out, i, j = [], 0, 0
+    alone = lambda t, sign, filler: (filler if t in fillers else sign, t)
+    for x, y in [*((mine[p], theirs[q]) for p, q in common([a[k] for k in mine], [b[k] for k in theirs])), (len(a), len(b))]:
+        out += [alone(t, "-", "<") for t in a[i:x]] + [alone(t, "+", ">") for t in b[j:y]]
+        out += [("=", a[x])] if x < len(a) else []
+        i, j = x + 1, y + 1
+    return out
+
+
+def lcs_diff(fillers: Collection[str]) -> Callable[[Column, Column], Column]:
+    """A function of two arrays of tokens that gives their lcs_operations; a null array is empty."""
+    kept = frozenset(fillers)
+    kind = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("token", T.StringType())]))
+
+    @F.pandas_udf(kind)
+    def diff(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([[{"op": op, "token": t} for op, t in lcs_operations(*([] if x is None else list(x) for x in both), kept)] for both in zip(a, b, strict=True)])
+
+    return diff

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from triagelake.operators import scans
+from triagelake.sources.records import written
+
 Keys = Sequence[str]
 
 
@@ -93,3 +96,30 @@ def merge_flags(df: DataFrame, keys: Keys, flag: Column, pos: str = "pos", score
 def coverage_bits(df: DataFrame, keys: Keys, lo: Column, hi: Column, bit: Column) -> DataFrame:
     """(keys, bin, bits): which speakers (a bit each) cover each bin from lo to hi."""
     return df.withColumn("bin", F.explode(F.sequence(lo, hi))).groupBy(*keys, "bin").agg(F.bit_or(bit).alias("bits"))
+
+
+def cover_add(intervals: DataFrame, keys: Keys, start: str = "start", end: str = "end") -> DataFrame:
+    """(keys, start, end): the union of each key's intervals, as disjoint ones; touching intervals are one, null and empty ones none.
+
+    An interval opens a new one if none before it reaches as far as its start: a running maximum over ranges, so that a key with very many intervals is split.
+    """
+    rows = intervals.filter(F.col(start) < F.col(end)).select(*keys, F.col(start).alias("start"), F.col(end).alias("end"))
+    seen = written(scans.running(rows, keys, ["start", "end"], {}, maxima={"__far": F.col("end")}))
+    opened = F.when(F.col("__far").isNull() | (F.col("start") > F.col("__far")), 1).otherwise(0)
+    islands = scans.running(seen.withColumn("__new", opened).drop("__far"), keys, ["start", "end", F.col("__new").desc()], {"__island": F.col("__new")})
+    return islands.groupBy(*keys, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__island")
+
+
+def cover_marginal(candidates: DataFrame, cover: DataFrame, keys: Keys, id_col: str, start: str = "start", end: str = "end") -> DataFrame:
+    """(keys, id, new_seconds): how much of each candidate a cover (disjoint intervals, see cover_add) doesn't hold. Candidates must not be null or end before they start.
+
+    What is covered before a point is the length of the intervals that start before it, less what the last of them has after it: running sums of intervals and
+    points in one order.
+    """
+    side = lambda at, sign: candidates.select(*keys, F.col(id_col).alias("__id"), F.col(at).alias("t"), F.lit(sign).alias("sign"), F.lit(0.0).alias("length"), F.lit(None).cast("double").alias("far"))
+    held = cover.select(*keys, F.lit(None).cast(candidates.schema[id_col].dataType).alias("__id"), F.col("start").alias("t"), F.lit(0).alias("sign"), (F.col("end") - F.col("start")).alias("length"), F.col("end").alias("far"))
+    points = side(start, -1).unionByName(side(end, 1)).unionByName(held)
+    run = scans.running(points, keys, ["t", "sign", "__id"], {"__sum": F.col("length")}, maxima={"__far": F.col("far")})
+    covered = F.col("__sum") - F.greatest(F.coalesce("__far", F.col("t")) - F.col("t"), F.lit(0.0))
+    part = run.filter("sign <> 0").groupBy(*keys, F.col("__id").alias(id_col)).agg(F.sum(F.col("sign") * covered).alias("covered"), F.sum(F.col("sign") * F.col("t")).alias("length"))
+    return part.select(*keys, id_col, F.greatest(F.col("length") - F.col("covered"), F.lit(0.0)).alias("new_seconds"))

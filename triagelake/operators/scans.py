@@ -25,8 +25,9 @@ def ranged(df: DataFrame, order: Sequence[str | Column], ranges: int | None = No
     return written(dealt.withColumn(PART, F.spark_partition_id()))
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], sums: Mapping[str, Column], *, placed: bool = False) -> DataFrame:
-    """Adds, by name, the sum of each column over the rows of the key up to this one (itself included), in ascending order.
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], sums: Mapping[str, Column], *, maxima: Mapping[str, Column] | None = None, placed: bool = False) -> DataFrame:
+    """Adds, by name, the sum of each column over the rows of the key up to this one (itself included), in ascending order, and of `maxima`
+    the largest value up to the row before this one (null at first).
 
     Rows equal in `order` get sums of their own, in any sequence: name enough columns. Null keys are a key, null values count as nothing
     (a sum over nothing is 0). `placed`: the rows come from `ranged` by the keys and the order already, and keep __part.
@@ -36,10 +37,13 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], s
     value = {n: F.coalesce(c, F.lit(0)) for n, c in sums.items()}
     line = Window.partitionBy(*keys, PART).orderBy(*spark_order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy(*keys, PART).agg(*(F.sum(c).alias(f"__s_{n}") for n, c in value.items()))
-    parts = parts.select(*(F.col(c).alias(f"__k_{c}") for c in [*keys, PART]), *(F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in value))
-    inner = rows.withColumns({f"__r_{n}": F.sum(c).over(line) for n, c in value.items()})
+    most = maxima or {}
+    parts = rows.groupBy(*keys, PART).agg(F.lit(1), *(F.sum(c).alias(f"__s_{n}") for n, c in value.items()), *(F.max(c).alias(f"__m_{n}") for n, c in most.items()))
+    parts = parts.select(
+        *(F.col(c).alias(f"__k_{c}") for c in [*keys, PART]), *(F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in value), *(F.max(f"__m_{n}").over(before).alias(f"__b_{n}") for n in most),
+    )
+    inner = rows.withColumns({f"__r_{n}": F.sum(c).over(line) for n, c in value.items()} | {f"__r_{n}": F.max(c).over(line.rowsBetween(Window.unboundedPreceding, -1)) for n, c in most.items()})
     same = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in keys]
     joined = inner.join(parts, [*same, F.col(PART) == F.col(f"__k_{PART}")])
-    out = joined.select(*rows.columns, *((F.col(f"__r_{n}") + F.col(f"__b_{n}")).alias(n) for n in value))
+    out = joined.select(*rows.columns, *((F.col(f"__r_{n}") + F.col(f"__b_{n}")).alias(n) for n in value), *(F.greatest(f"__r_{n}", f"__b_{n}").alias(n) for n in most))
     return out if placed else out.drop(PART)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagelake.operators import bootstrap, many, metrics, policies, quantiles, scans, thresholds, windows
-from triagelake.plans.registry import Registry, rounded
+from triagelake.plans.registry import Registry, drawn_sql, rounded
 from triagelake.plans.views import UNITS, WORDS, units, words
 from triagelake.sources import records
 
@@ -174,22 +174,10 @@ def agg_deployment(spark, d):
 _P4 = "1 / (1 + exp(-(0.8 * ln(least(greatest(r, 1e-6), 1 - 1e-6) / (1 - least(greatest(r, 1e-6), 1 - 1e-6))) + 0.3)))"
 
 
-def _drawn(name: str, rows: str, keys: str, seed: int, by: str, sums: dict[str, str]) -> str:
-    """CTEs that end in `name` (keys, rep, by, sums): replicates of `rows`, as bootstrap.resampled draws them."""
-    k, text, part = (f"{keys}, ", f" || '-' || {keys}", f"PARTITION BY {keys} ") if keys else ("", "", "")
-    given = f", {by}" if by else ""
-    first, again = (", ".join(f"{f(n)} AS {n}" for n in sums) for f in (sums.get, "sum({})".format))
-    return f"""{name}_s AS (SELECT {k}coalesce(group_id, '') AS grp{given}, {first} FROM {rows} GROUP BY ALL),
-{name}_g AS (SELECT {k}grp, row_number() OVER ({part}ORDER BY grp) - 1 AS g, count(*) OVER ({part}) AS n_groups FROM (SELECT DISTINCT {k}grp FROM {name}_s)),
-{name}_p AS (SELECT {k}rep, CAST('0x' || substr(md5('{seed}'{text} || '-' || rep || '-' || g), 1, 12) AS BIGINT) % n_groups AS g FROM {name}_g, range(200) t(rep)),
-{name}_o AS (SELECT s.*, g FROM {name}_s s JOIN {name}_g USING ({k}grp)),
-{name} AS (SELECT {k}rep{given}, {again} FROM {name}_p JOIN {name}_o USING ({k}g) GROUP BY ALL)"""
-
-
 _ERRORS = {"e": "sum(errors)", "n": "sum(n_ref)", "y": "sum(y)", "k": "count(*)", "b3": "sum((r - y) * (r - y))", "b4": "sum((p4 - y) * (p4 - y))"}
 _COUNTS = {"n": "count(*)", "y": "sum(y)"}
 _DRAWS = UNITS + ", tu AS (SELECT *, " + _P4 + " AS p4 FROM units), " + ", ".join(
-    _drawn(f"r{seed}", "tu", "ev", seed, "", _ERRORS) for seed in (0, 1)
+    drawn_sql(f"r{seed}", "tu", "ev", seed, "", _ERRORS) for seed in (0, 1)
 ) + """,
 reps AS (SELECT ev, rep, e::DOUBLE / nullif(n, 0) AS wer, y::DOUBLE / nullif(k, 0) AS rate, b3 / k AS brier3, b4 / k AS brier4 FROM r0),
 reps2 AS (SELECT ev, rep, e::DOUBLE / nullif(n, 0) AS wer FROM r1)"""
@@ -246,12 +234,12 @@ _ALPHA, _TARGET, _SOURCE = 0.2, "de", "en"
 
 def _by_score_sql(name: str, ev: str, seed: int) -> str:
     rows = f"(SELECT * FROM tu WHERE ev = '{ev}' AND NOT tuning)"
-    return _drawn(f"{name}0", rows, "", seed, "r", _COUNTS) + f", {name} AS (SELECT rep, r, n, y FROM {name}0 UNION ALL SELECT -1, r, count(*), sum(y) FROM {rows} GROUP BY r)"
+    return drawn_sql(f"{name}0", rows, "", seed, "r", _COUNTS) + f", {name} AS (SELECT rep, r, n, y FROM {name}0 UNION ALL SELECT -1, r, count(*), sum(y) FROM {rows} GROUP BY r)"
 
 
 def _words_sql(name: str, ev: str, seed: int) -> str:
     rows = f"(SELECT u.group_id, 1 - w.p AS r, 1 - w.correct AS y FROM words w JOIN tu u USING (unit_id) WHERE ev = '{ev}' AND NOT tuning)"
-    return _drawn(f"{name}0", rows, "", seed, "r", _COUNTS) + f", {name} AS (SELECT rep, r, n, y FROM {name}0 UNION ALL SELECT -1, r, count(*), sum(y) FROM {rows} GROUP BY r)"
+    return drawn_sql(f"{name}0", rows, "", seed, "r", _COUNTS) + f", {name} AS (SELECT rep, r, n, y FROM {name}0 UNION ALL SELECT -1, r, count(*), sum(y) FROM {rows} GROUP BY r)"
 
 
 def _ece_sql(rows: str, p: str = "r") -> str:

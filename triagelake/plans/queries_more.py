@@ -159,9 +159,8 @@ def al_ops(spark, d):
 
 @query("tx_lcs_diff")
 def tx_lcs_diff(spark, d):
-    plain = lambda c: F.filter(c, lambda t: ~t.isin("um", "uh", "er"))
-    rows = pairs(spark, d).select("conv_id", "turn", F.explode(combine.diff_rows(plain("ref"), plain("hyp"))).alias("x"))
-    return rows.groupBy("conv_id", "turn", "x.op").agg(F.count(F.lit(1)).alias("n"))
+    ops = align.lcs_diff(("um", "uh", "er", "mm", "hmm", "mhm"))(F.col("ref"), F.col("hyp"))
+    return pairs(spark, d).select("conv_id", "turn", F.posexplode(ops).alias("pos", "x")).select("conv_id", "turn", "pos", "x.op", "x.token")
 
 
 @query("al_rover")

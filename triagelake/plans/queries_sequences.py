@@ -37,6 +37,32 @@ def iv_union_length(spark, d):
     return rounded(intervals.union_length(events(spark, d), ["user_id"]))
 
 
+_COVER = IV + """, held AS (SELECT * FROM iv WHERE event_type IN ('click', 'view')), hb AS (SELECT *, max("end") OVER (PARTITION BY user_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM {rows} WHERE start < "end"),
+hi AS (SELECT *, sum(CASE WHEN far IS NULL OR start > far THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM hb),
+cover AS (SELECT user_id, min(start) AS start, max("end") AS "end" FROM hi GROUP BY user_id, island)"""
+
+
+def _held(spark, d):
+    """Intervals that were heard: those of two kinds of events."""
+    return events(spark, d).filter(F.col("event_type").isin("click", "view"))
+
+
+@query("iv_cover_add", _COVER.format(rows="iv"), """SELECT user_id, round(start, 6) AS start, round("end", 6) AS "end" FROM cover""")
+def iv_cover_add(spark, d):
+    # What was heard, and then everything else, added to its union.
+    union = intervals.cover_add(_held(spark, d), ["user_id"])
+    rest = events(spark, d).filter(~F.col("event_type").isin("click", "view")).select("user_id", "start", "end")
+    return rounded(intervals.cover_add(union.unionByName(rest), ["user_id"]))
+
+
+@query("iv_cover_marginal", _COVER.format(rows="held"), """SELECT c.user_id, c.event_id, round(c."end" - c.start - coalesce(sum(CASE WHEN h.start IS NOT NULL THEN least(c."end", h."end") - greatest(c.start, h.start) END), 0), 4) + 0.0 AS new_seconds
+  FROM iv c LEFT JOIN cover h ON h.user_id = c.user_id AND h.start < c."end" AND h."end" > c.start WHERE c.event_type NOT IN ('click', 'view') GROUP BY c.user_id, c.event_id, c.start, c."end" """)
+def iv_cover_marginal(spark, d):
+    union = intervals.cover_add(_held(spark, d), ["user_id"])
+    rest = events(spark, d).filter(~F.col("event_type").isin("click", "view"))
+    return rounded(intervals.cover_marginal(rest, union, ["user_id"], "event_id"), 4)
+
+
 @query("iv_windows", "RECURSIVE " + UTT + """, fl AS (SELECT *, CASE WHEN reach IS NULL OR start >= reach THEN 1 ELSE 0 END AS opens FROM (
   SELECT *, max("end") OVER (PARTITION BY consultation ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM utt)),
 bt AS (SELECT consultation, block, min(start) AS start, max("end") AS "end" FROM (SELECT consultation, start, "end", sum(opens) OVER (PARTITION BY consultation ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS block FROM fl) GROUP BY consultation, block),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
-from triagelake.operators import splits
-from triagelake.plans.registry import Registry, rounded
+from triagelake.operators import bootstrap, splits
+from triagelake.plans.registry import Registry, drawn_sql, rounded
 from triagelake.plans.views import LEX, UNITS, UTT, WORDS, lexicon, table, units, utterances, words
 from triagelake.sources import records
 from triagelake.streaming import live
@@ -140,14 +140,24 @@ def agg_compare_pairs(spark, d):
     return rounded(p.select("group_id", (F.col("1_e") / F.col("1_n")).alias("wer_1"), (F.col("0_e") / F.col("0_n")).alias("wer_0")))
 
 
-@query("agg_semdist", "", """SELECT label, round(avg(dist), 5) AS mean_dist, round(avg(CAST(dist > 0.1 AS INT)), 5) AS share_far FROM (SELECT e.label, 1 - list_inner_product(CAST(e.embedding AS DOUBLE[]), m.c) / (sqrt(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_inner_product(m.c, m.c))) AS dist
-FROM embeddings e JOIN (SELECT label, list(v ORDER BY i) AS c FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM embeddings, range(1, 65) AS t(i) GROUP BY label, i) GROUP BY label) m USING (label)) GROUP BY label""")
+_DIST = """1 - list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / nullif(sqrt(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_inner_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 0)"""
+_SEM = f"sd AS (SELECT a.label, CAST(a.vec_id // 25 AS VARCHAR) AS group_id, {_DIST} AS dist FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), " + drawn_sql(
+    "sr", "sd", "label", 4, "", {"s": "sum(dist)", "f": "sum(CAST(dist > 0.1 AS INT))", "k": "count(dist)"}
+)
+
+
+@query("agg_semdist", _SEM, """SELECT label, p.m AS mean_dist, p.f AS share_far, round(quantile_cont(r.s / r.k, 0.025), 5) AS mean_dist_lo, round(quantile_cont(r.s / r.k, 0.975), 5) AS mean_dist_hi,
+  round(quantile_cont(r.f / r.k::DOUBLE, 0.025), 5) AS share_far_lo, round(quantile_cont(r.f / r.k::DOUBLE, 0.975), 5) AS share_far_hi
+  FROM sr r JOIN (SELECT label, round(avg(dist), 5) AS m, round(avg(CAST(dist > 0.1 AS INT)), 5) AS f FROM sd GROUP BY label) p USING (label) GROUP BY label, p.m, p.f""")
 def agg_semdist(spark, d):
+    """1 - cosine of each vector and the next one, by the label of the first: mean and share above 0.1, with intervals by resampling blocks of vectors."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    mean = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
+    both = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("c")), "vec_id")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    dist = 1 - dot("v", "c") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("c", "c")))
-    return rounded(e.join(F.broadcast(mean), "label").withColumn("dist", dist).groupBy("label").agg(F.avg("dist").alias("mean_dist"), F.avg((F.col("dist") > 0.1).cast("double")).alias("share_far")), 5)
+    dist = 1 - dot("v", "c") / F.nullif(F.sqrt(dot("v", "v")) * F.sqrt(dot("c", "c")), F.lit(0.0))
+    rows = both.select("label", F.floor(F.col("vec_id") / 25).alias("group_id"), dist.alias("dist"))
+    stats = {"mean_dist": (F.col("dist"), F.when(F.col("dist").isNotNull(), 1)), "share_far": ((F.col("dist") > 0.1).cast("int"), F.when(F.col("dist").isNotNull(), 1))}
+    return rounded(bootstrap.interval(rows, ["label"], bootstrap.resampled_ratios(rows, ["label"], stats, 200, 4), stats), 5)
 
 
 @query("agg_relative_change", UNITS, "SELECT ev, CAST(round(100 * (1 - b / a::DOUBLE)) AS BIGINT) AS percent FROM (SELECT ev, sum(errors) AS a, sum(errors // 2) AS b FROM units GROUP BY ev)")
