@@ -106,6 +106,14 @@ def test_draw_is_exact_for_languages_of_any_size(spark):
     assert lid.hash_bound(1000, 1000) == lid.hash_bound(1000, 3) == 2**63 - 1
 
 
+def test_equal_rows_and_rows_without_ids_are_drawn_one_by_one(spark):
+    for n, row in ((20_000, "CAST(NULL AS LONG) AS id, 'eo' AS lang, 'saluton' AS text"), (5_000, "7L AS id, 'eo' AS lang, concat('saluton ', id) AS text"), (5_000, "7L AS id, 'eo' AS lang, 'saluton' AS text"), (600, "CAST(NULL AS LONG) AS id, 'eo' AS lang, 'saluton' AS text")):
+        rows = spark.range(n).selectExpr(*row.split(", ", 2))
+        kept = lid.drawn(rows, 1000).count()
+        assert kept == n if n <= 1000 else 800 < kept < 1200
+        assert lid.fit(rows.unionByName(spark.createDataFrame([(1, "en", "the station")], rows.schema)), id_col="id").languages == ["en", "eo"]
+
+
 def test_long_text_and_clashing_names(spark):
     rows = spark.createDataFrame([(1, "the station " * 40_000, "en", "x", "y", 1.0), (2, "einheit", "de", "x", "y", 1.0)], "doc_id long, text string, lang string, lang_pred string, __text string, score double")
     found = lid.annotate(rows, lid.fit(rows))

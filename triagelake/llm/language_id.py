@@ -159,15 +159,17 @@ def build(rows: list[tuple[str, str, int]], least: int = 2) -> Model:
 
 
 def drawn(labelled: DataFrame, sample: int) -> DataFrame:
-    """Of rows (id, lang, text) about `sample` a language, all if it has fewer: those with the smallest hashes of their ids.
+    """Of rows (id, lang, text) about `sample` a language, all if it has fewer: those with the smallest hashes of id, text and row number.
 
-    The languages and their sizes reach the driver, as the model's languages do.
+    The row number tells rows apart that are equal, or have no id: such rows are drawn one by one, and a language made of them keeps its share. Which rows
+    are drawn depends on the table's partitions. The languages and their sizes reach the driver, as the model's languages do.
     """
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return labelled
     bound = F.element_at(F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, hash_bound(sample, n)))), F.col("lang"))
-    return labelled.filter(F.xxhash64("id", F.lit("language sample")).bitwiseAND(F.lit((1 << 63) - 1)) <= bound)
+    own = labelled.withColumn("__row", F.monotonically_increasing_id())
+    return own.filter(F.xxhash64("id", "text", "__row", F.lit("language sample")).bitwiseAND(F.lit((1 << 63) - 1)) <= bound).drop("__row")
 
 
 def hash_bound(sample: int, n: int) -> int:
