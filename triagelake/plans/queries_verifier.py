@@ -26,6 +26,11 @@ def tx_scoring_tokens(spark, d):
     return table(spark, d, "conversations").select(*_KEYS, text.scoring_tokens(F.col("text")).alias("tokens"))
 
 
+@query("tx_english_norm")
+def tx_english_norm(spark, d):
+    return table(spark, d, "conversations").select(*_KEYS, F.array_join(text.plain_tokens(F.col("text")), " ").alias("text"))
+
+
 @query("tx_hyp_tokens")
 def tx_hyp_tokens(spark, d):
     turns = table(spark, d, "conversations").select(*_KEYS, verifier.hyp_tokens(F.split("text", " ")).alias("t"))
