@@ -222,15 +222,72 @@ def ft_speech_mask(spark, d):
 _SHARE = "SELECT user_id, round(avg(CAST(speech AS INT)), 6) AS share FROM mk WHERE hop BETWEEN 2 AND 9 AND user_id IN (SELECT user_id FROM mk WHERE hop = 10) GROUP BY user_id"
 
 
-def _share(spark, d):
+@query("ft_track_share", _DB, _SHARE)
+def ft_track_share(spark, d):
     mask = speech.speech_mask(_levels(spark, d), ["user_id"], 6.0)
     track = speech.cumulative(mask, ["user_id"])
     spans = mask.select("user_id").distinct()
     return rounded(speech.share_of_span(spans, track, ["user_id"], F.lit(2).cast("long"), F.lit(10).cast("long")).select("user_id", "share"))
 
 
-query("ft_track_share", _DB, _SHARE)(_share)
-query("join_time_span_share", _DB, _SHARE)(_share)
+# Two channels a user: clicks are the doctor's samples, views the patient's. Words are errors, gaps purchases, in units of four by their number.
+_TWO = """, c AS (SELECT user_id, CASE event_type WHEN 'click' THEN 'doctor' ELSE 'patient' END AS role, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS pos, value / 100 AS x FROM events WHERE event_type IN ('click', 'view')),
+l AS (SELECT user_id, role, pos AS hop, 10 * log10(greatest(pw, 1e-10)) AS db FROM (SELECT *, avg(x * x) OVER w AS pw, count(*) OVER w AS n FROM c WINDOW w AS (PARTITION BY user_id, role ORDER BY pos ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)) WHERE n = 2),
+m AS (SELECT l.user_id, l.role, hop, db > f + 3 AS speech FROM l JOIN (SELECT user_id, role, quantile_cont(db, 0.2) AS f FROM l GROUP BY ALL) q ON q.user_id = l.user_id AND q.role = l.role),
+z AS (SELECT user_id, min(k) + 1 AS n FROM (SELECT user_id, role, max(hop) AS k FROM m GROUP BY ALL) GROUP BY user_id HAVING count(*) = 2),
+h AS (SELECT user_id, n, hop, bool_or(speech AND role = 'doctor') AS doctor, bool_or(speech AND role = 'patient') AS patient FROM m JOIN z USING (user_id) WHERE hop < n GROUP BY ALL)"""
+_HOP_S = 0.5
+
+
+def _track(spark, d):
+    e = table(spark, d, "events").filter(F.col("event_type").isin("click", "view")).withColumn("role", F.when(F.col("event_type") == "click", "doctor").otherwise("patient"))
+    line = Window.partitionBy("user_id", "role").orderBy("event_id")
+    samples = e.select("user_id", "role", (F.row_number().over(line) - 1).alias("pos"), (F.col("value") / 100).alias("x"))
+    return speech.pack_track(speech.speech_mask(speech.frame_levels(samples, ["user_id", "role"], 2, 1), ["user_id", "role"], 3.0), "user_id")
+
+
+@query("ft_track_cache", _DB + _TWO, """SELECT e.user_id, b.n, b.block, b.doctor, b.patient FROM (SELECT DISTINCT user_id FROM events) e LEFT JOIN (
+  SELECT z.user_id, z.n, k AS block, CAST(coalesce(sum(CASE WHEN doctor THEN 1::BIGINT << (hop % 32) END), 0) AS BIGINT) AS doctor, CAST(coalesce(sum(CASE WHEN patient THEN 1::BIGINT << (hop % 32) END), 0) AS BIGINT) AS patient
+  FROM (SELECT user_id, n, unnest(range(n // 32 + 1)) AS k FROM z) z LEFT JOIN h ON h.user_id = z.user_id AND h.hop // 32 = k GROUP BY ALL) b ON b.user_id = e.user_id""")
+def ft_track_cache(spark, d):
+    users = table(spark, d, "events").select("user_id").distinct()
+    return users.join(_track(spark, d), "user_id", "left").select("user_id", "n", "block", "doctor", "patient")
+
+
+_SPAN = "(SELECT i.user_id, i.event_id, z.n, greatest(least(CAST(floor({a} / 0.5) AS BIGINT), z.n), 0) AS ia, greatest(least(CAST(ceil({b} / 0.5) AS BIGINT), z.n), 0) AS ib FROM i LEFT JOIN z ON z.user_id = i.user_id)"
+_PART = """(SELECT s.user_id, s.event_id, CASE WHEN s.n IS NOT NULL THEN 1.0::DOUBLE / (greatest(s.ib, s.ia + 1) - s.ia) END AS w, count(*) FILTER (h.doctor) AS doctor, count(*) FILTER (h.patient) AS patient, count(*) FILTER (h.doctor AND h.patient) AS both_, count(*) FILTER (h.doctor OR h.patient) AS any_
+  FROM {span} s LEFT JOIN h ON h.user_id = s.user_id AND h.hop >= s.ia AND h.hop < greatest(s.ib, s.ia + 1) GROUP BY s.user_id, s.event_id, s.n, s.ia, s.ib)"""
+_ITEMS = """, i AS (SELECT *, first_value(t0) OVER u AS start, last_value(t1) OVER u AS "end", count(*) FILTER (kind = 'word') OVER u AS n_words, CASE unit % 3 WHEN 0 THEN 'doctor' WHEN 1 THEN 'patient' END AS role FROM (
+  SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'word' ELSE 'gap' END AS kind, nth // 4 AS unit, nth * 0.3::DOUBLE AS t0, nth * 0.3::DOUBLE + CASE event_type WHEN 'error' THEN 0.25::DOUBLE ELSE 0 END AS t1
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS nth FROM events WHERE event_type IN ('error', 'purchase')))
+  WINDOW u AS (PARTITION BY user_id, unit ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+_OWN = "CASE role WHEN 'doctor' THEN {p}.doctor WHEN 'patient' THEN {p}.patient ELSE {p}.any_ END"
+
+
+@query("ft_audio_unit", _DB + _TWO + _ITEMS, f"""SELECT i.user_id, i.event_id, kind, round(p.both_ * p.w, 6) AS ov, round((CASE role WHEN 'doctor' THEN p.patient WHEN 'patient' THEN p.doctor ELSE p.both_ END) * p.w, 6) AS other, round({_OWN.format(p="p")} * p.w, 6) AS own,
+  round(q.both_ * q.w, 6) AS u_ov, round({_OWN.format(p="q")} * q.w * greatest("end" - start, 0), 6) AS u_own_s, round(CASE WHEN {_OWN.format(p="q")} * q.w * greatest("end" - start, 0) > 0.05 THEN n_words / ({_OWN.format(p="q")} * q.w * greatest("end" - start, 0)) END, 6) AS u_wps,
+  CASE WHEN q.w IS NULL THEN 0.0::DOUBLE ELSE 1.0 END AS two_ch
+  FROM i JOIN {_PART.format(span=_SPAN.format(a=f"(t0 - CASE kind WHEN 'word' THEN {speech.WORD_PAD} ELSE {speech.GAP_PAD} END)", b=f"(t1 + CASE kind WHEN 'word' THEN {speech.WORD_PAD} ELSE {speech.GAP_PAD} END)"))} p ON p.user_id = i.user_id AND p.event_id = i.event_id
+  JOIN {_PART.format(span=_SPAN.format(a="start", b='"end"'))} q ON q.user_id = i.user_id AND q.event_id = i.event_id""")
+def ft_audio_unit(spark, d):
+    e = table(spark, d, "events").filter(F.col("event_type").isin("error", "purchase"))
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    word = F.col("event_type") == "error"
+    i = e.select("user_id", "event_id", F.when(word, "word").otherwise("gap").alias("kind"), nth.alias("nth"), F.when(word, 0.25).otherwise(0.0).alias("long"))
+    i = i.select("user_id", "event_id", "kind", F.floor(F.col("nth") / 4).alias("unit"), (F.col("nth") * 0.3).alias("t0"), (F.col("nth") * 0.3 + F.col("long")).alias("t1"))
+    unit = Window.partitionBy("user_id", "unit").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    role = F.when(F.col("unit") % 3 == 0, "doctor").when(F.col("unit") % 3 == 1, "patient")
+    i = i.withColumns({"start": F.first("t0").over(unit), "end": F.last("t1").over(unit), "n_words": F.count(F.when(F.col("kind") == "word", 1)).over(unit), "role": role})
+    found = speech.audio_columns(i, _track(spark, d), "user_id", _HOP_S)
+    return rounded(found.select("user_id", "event_id", "kind", "ov", "other", "own", "u_ov", "u_own_s", "u_wps", "two_ch"))
+
+
+@query("join_time_span_share", _DB + _TWO + _ITEMS, f"""SELECT i.user_id, i.event_id, round(any_ * w, 6) AS share FROM i JOIN {_PART.format(span=_SPAN.format(a="t0", b="t1"))} p ON p.user_id = i.user_id AND p.event_id = i.event_id""")
+def join_time_span_share(spark, d):
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    e = table(spark, d, "events").filter(F.col("event_type").isin("error", "purchase")).select("user_id", "event_id", "event_type", (nth * 0.3).alias("t0"))
+    spans = e.withColumn("t1", F.col("t0") + F.when(F.col("event_type") == "error", 0.25).otherwise(0.0))
+    return rounded(speech.span_shares(spans, _track(spark, d), "user_id", F.col("t0"), F.col("t1"), _HOP_S).select("user_id", "event_id", F.col("any").alias("share")))
 
 
 @query("pol_tuning_set", UNITS, "SELECT p.policy, u.ev, count(*) AS n FROM units u JOIN (VALUES ('source', 'en'), ('target', 'de'), ('target', 'fr'), ('target', 'es')) p(policy, ev) USING (ev) WHERE tuning GROUP BY 1, 2")
