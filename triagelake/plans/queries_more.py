@@ -380,12 +380,43 @@ def sv_client_progress(spark, d):
     return rounded(utterances(spark, d).select("consultation", "idx", upto.alias("decoded_until"), (F.col("end") < upto).alias("behind")))
 
 
-@query("sv_resumable_infer", "", "SELECT count(*) AS n FROM (SELECT DISTINCT doc_id FROM documents)")
+def _arrivals(spark, d, copies=1):
+    """Turns of conversations as files of a stream, a conversation in one of them; with copies, all arrive again later."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("unit_id"), "role", F.length("text").alias("n_chars"))
+    path = records.scratch_folder(spark)
+    for _ in range(copies):
+        turns.repartition(4, "conv_id").write.mode("append").parquet(path)
+    return spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+@query("sv_replayable_log", "", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, turn, conv_id || '-' || turn AS unit_id FROM conversations")
+def sv_replayable_log(spark, d):
+    log, checkpoint = records.scratch_folder(spark), records.scratch_folder(spark)
+    events = live.sequenced(_arrivals(spark, d), "conv_id", ["turn"])
+    for _ in range(2):  # the second run finds nothing new
+        live.start_log(events, log, checkpoint, available=True).awaitTermination()
+    return live.subscribe(spark, log).select("conv_id", "seq", "turn", "unit_id")
+
+
+@query("sv_cancel_previous", "", "SELECT conv_id, count(*) AS n_turns, true AS cancelled FROM conversations GROUP BY conv_id")
+def sv_cancel_previous(spark, d):
+    events, name, log = _arrivals(spark, d), f"live-{records.scratch_folder(spark)[-8:]}", records.scratch_folder(spark)
+    older = live.start_log(events, records.scratch_folder(spark), records.scratch_folder(spark), name=name)
+    newer = live.start_log(events, log, records.scratch_folder(spark), name=name)
+    newer.processAllAvailable()
+    stopped = not older.isActive and newer.isActive
+    newer.stop()
+    return live.subscribe(spark, log).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns")).withColumn("cancelled", F.lit(stopped))
+
+
+@query("sv_resumable_infer", "", "SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id")
 def sv_resumable_infer(spark, d):
-    docs = table(spark, d, "documents").select("doc_id")
-    done = docs.filter("doc_id % 3 = 0")
-    rest = docs.join(done, "doc_id", "left_anti")
-    return done.unionByName(rest).dropDuplicates(["doc_id"]).agg(F.count(F.lit(1)).alias("n"))
+    """Units that come several times, and a job that is started again: each is done once."""
+    log, checkpoint = records.scratch_folder(spark), records.scratch_folder(spark)
+    units_ = live.once(_arrivals(spark, d, copies=2))
+    for _ in range(2):
+        live.start_log(units_, log, checkpoint, available=True).awaitTermination()
+    return live.subscribe(spark, log).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("sv_api_summary", UNITS, "SELECT ev, round(avg(CAST(r >= 0.9 AS INT)), 6) AS review_rate, round(avg(CASE WHEN r < 0.9 THEN crit END), 6) AS accepted_critical FROM units GROUP BY ev")

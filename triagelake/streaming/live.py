@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def live_turns(turns: DataFrame, name: str, log: str, checkpoint: str) -> StreamingQuery:
@@ -12,10 +17,7 @@ def live_turns(turns: DataFrame, name: str, log: str, checkpoint: str) -> Stream
 
     A running query of the same name is stopped first. Batches write folders of their own, so a repeated batch replaces itself and readers can replay the log.
     """
-    spark = turns.sparkSession
-    for query in spark.streams.active:
-        if query.name == name:
-            query.stop()
+    cancel(turns.sparkSession, name)
 
     def emit(batch: DataFrame, number: int) -> None:
         body = lambda *c: F.to_json(F.struct(*c))
@@ -41,12 +43,63 @@ def progress(events: DataFrame) -> DataFrame:
 
 
 def once(records: DataFrame, key: str = "unit_id", ts: str | None = None, late: str = "1 hour") -> DataFrame:
-    """A stream with each unit once; with an event time, state is kept as long as records may be late."""
+    """A stream with each unit once: the ids that are done are state, which a restart finds in the checkpoint. With an event time, state is kept as long as records may be late."""
     if ts is None:
         return records.dropDuplicates([key])
     return records.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
+def sequenced(records: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """A stream whose records have numbers: seq counts from 1 within each key, in `order` within a batch. The last number of each key is state. A key's records of
+    one batch are sorted in one task."""
+    order = list(order)
+
+    def number(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        last = state.get[0] if state.exists else 0
+        state.update((last + len(rows),))
+        yield rows.assign(seq=last + 1 + np.arange(len(rows)))
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema), "seq long"])
+    return records.groupBy(key).applyInPandasWithState(number, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def cancel(spark: SparkSession, name: str) -> int:
+    """Stops running queries of a name; how many there were."""
+    found = [query for query in spark.streams.active if query.name == name]
+    for query in found:
+        query.stop()
+    return len(found)
+
+
+def start_log(events: DataFrame, log: str, checkpoint: str, *, name: str | None = None, available: bool = False, after_batch: Callable[[int], None] | None = None) -> StreamingQuery:
+    """Starts a query that writes a stream to a log that can be replayed. A running query of the same name is cancelled first.
+
+    A batch writes a folder of its own anew, so one that is repeated after a crash replaces itself. `available`: what is there is read, batch by batch, and the query ends. `after_batch`
+    is called when a batch is written and not yet committed.
+    """
+    if name:
+        cancel(events.sparkSession, name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
+        if after_batch:
+            after_batch(number)
+
+    out = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    out = out.queryName(name) if name else out
+    return (out.trigger(availableNow=True) if available else out).start()
+
+
+def subscribe(spark: SparkSession, log: str, after: DataFrame | None = None, key: str = "conv_id") -> DataFrame:
+    """Events of a log for a subscriber that comes at any time: all so far, or those beyond what it has (a row of key and seq for each key it knows)."""
+    events = spark.read.parquet(log)
+    if after is None:
+        return events
+    known = after.select(F.col(key).alias("__key"), F.col("seq").alias("__seq"))
+    return events.join(known, F.col(key) == F.col("__key"), "left").filter(F.col("__seq").isNull() | (F.col("seq") > F.col("__seq"))).drop("__key", "__seq")
+
+
 def event_counts(events: DataFrame, width: str = "1 day", late: str = "10 minutes") -> DataFrame:
     """Counts and sums by event type in windows of event time, for a stream or a table; `ts` may have no time zone."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
