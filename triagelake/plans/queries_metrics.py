@@ -377,9 +377,9 @@ def st_devpool(spark, d):
 
 
 @query("st_sensitivity", UNITS, """SELECT drop_rule, ev, count(*) AS n, round(avg(y), 6) AS err_rate FROM (
-  SELECT 'none' AS drop_rule, ev, y FROM units UNION ALL SELECT 'long', ev, y FROM units WHERE tuning OR n_ref <= 50 UNION ALL SELECT 'critical', ev, y FROM units WHERE tuning OR crit = 0) GROUP BY ALL""")
+  SELECT 'none' AS drop_rule, ev, y FROM units UNION ALL SELECT 'long', ev, y FROM units WHERE tuning OR n_ref <= 50 UNION ALL SELECT 'critical', ev, y FROM units WHERE tuning OR crit = 0 UNION ALL SELECT 'wildcard', ev, y FROM units WHERE tuning OR errors % 7 <= 4) GROUP BY ALL""")
 def st_sensitivity(spark, d):
-    rules = F.array(F.lit("none"), F.when(F.col("tuning") | (F.col("n_ref") <= 50), F.lit("long")), F.when(F.col("tuning") | (F.col("crit") == 0), F.lit("critical")))
+    rules = F.array(F.lit("none"), F.when(F.col("tuning") | (F.col("n_ref") <= 50), F.lit("long")), F.when(F.col("tuning") | (F.col("crit") == 0), F.lit("critical")), F.when(F.col("tuning") | (F.col("errors") % 7 <= 4), F.lit("wildcard")))
     kept = units(spark, d).withColumn("drop_rule", F.explode(F.filter(rules, lambda x: x.isNotNull())))
     return rounded(kept.groupBy("drop_rule", "ev").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("err_rate")))
 

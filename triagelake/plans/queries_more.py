@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions import align, combine, text
-from triagelake.operators import many, metrics, policies, quantiles, speech, thresholds
+from triagelake.operators import many, metrics, policies, quantiles, scans, speech, thresholds
 from triagelake.plans.registry import Registry, rounded
 from triagelake.plans.views import LEX, UNITS, UTT, WORDS, lexicon, pairs, table, units, utterances, words
 from triagelake.sources import records
@@ -333,16 +333,28 @@ def agg_weighted_wer(spark, d):
     return rounded(units(spark, d).groupBy("ev").agg(metrics.ratio(F.col("errors") * w, F.col("n_ref") * w).alias("wwer"), metrics.ratio(F.col("errors"), F.col("n_ref")).alias("wer")))
 
 
-@query("agg_detection", UNITS, """SELECT ev, round((sum(CASE WHEN crit = 1 THEN rk END) - sum(crit) * (sum(crit) + 1) / 2.0::DOUBLE) / nullif(sum(crit) * (count(*) - sum(crit)), 0)::DOUBLE, 6) AS auroc FROM (
-  SELECT ev, crit, rank() OVER (PARTITION BY ev ORDER BY r) + (count(*) OVER (PARTITION BY ev, r) - 1) / 2.0::DOUBLE AS rk FROM units) GROUP BY ev""")
+@query("agg_detection", UNITS, """, a AS (SELECT ev, (sum(CASE WHEN crit = 1 THEN rk END) - sum(crit) * (sum(crit) + 1) / 2.0::DOUBLE) / nullif(sum(crit) * (count(*) - sum(crit)), 0)::DOUBLE AS auroc FROM (
+  SELECT ev, crit, rank() OVER (PARTITION BY ev ORDER BY r) + (count(*) OVER (PARTITION BY ev, r) - 1) / 2.0::DOUBLE AS rk FROM units) GROUP BY ev),
+p AS (SELECT ev, sum(tp / fl::DOUBLE * pos / nullif(al, 0)::DOUBLE) AS auprc FROM (SELECT ev, pos, sum(pos) OVER w AS tp, sum(n) OVER w AS fl, sum(pos) OVER (PARTITION BY ev) AS al
+  FROM (SELECT ev, r, count(*) AS n, sum(crit) AS pos FROM units GROUP BY ev, r) WINDOW w AS (PARTITION BY ev ORDER BY r DESC)) GROUP BY ev),
+t AS (SELECT ev, sum(CASE WHEN r >= q THEN crit END) / nullif(sum(crit), 0)::DOUBLE AS top_share FROM (SELECT *, quantile_cont(r, 0.9) OVER (PARTITION BY ev) AS q FROM units) GROUP BY ev)
+SELECT a.ev, round(auroc, 6) AS auroc, round(auprc, 6) AS auprc, round(top_share, 6) AS top_share FROM a JOIN p ON p.ev = a.ev JOIN t ON t.ev = a.ev""")
 def agg_detection(spark, d):
-    return rounded(metrics.auroc(units(spark, d), ["ev"], y="crit"))
+    """How well the score finds critical units: AUROC, average precision, and the share of them in the top tenth."""
+    u = units(spark, d)
+    top = u.join(quantiles.exact(u, ["ev"], "r", {"q": 0.9}), "ev").groupBy("ev").agg(F.try_divide(F.sum(F.when(F.col("r") >= F.col("q"), F.col("crit"))).cast("double"), F.sum("crit").cast("double")).alias("top_share"))
+    return rounded(metrics.auroc(u, ["ev"], y="crit").join(metrics.auprc(u, ["ev"], y="crit").select("ev", "auprc"), "ev").join(top, "ev"))
 
 
-@query("agg_errors_left", UNITS, "SELECT ev, round(avg(e), 6) AS errors_left FROM (SELECT ev, group_id, sum(CASE WHEN r < 0.8 THEN errors ELSE 0 END) AS e FROM units GROUP BY ev, group_id) GROUP BY ev")
+@query("agg_errors_left", UNITS, """, q AS (SELECT ev, errors, row_number() OVER (PARTITION BY ev ORDER BY r DESC, unit_id) AS k, count(*) OVER (PARTITION BY ev) AS n FROM units), b(budget) AS (VALUES (0.0::DOUBLE), (0.05), (0.1), (0.2), (0.5), (1.0))
+SELECT ev, budget, CAST(sum(CASE WHEN k > budget * n THEN errors ELSE 0 END) AS BIGINT) AS errors_left, round(sum(CASE WHEN k > budget * n THEN errors ELSE 0 END) / nullif(sum(errors), 0)::DOUBLE, 6) AS share_left FROM q, b GROUP BY ev, budget""")
 def agg_errors_left(spark, d):
-    each = units(spark, d).groupBy("ev", "group_id").agg(F.sum(F.when(F.col("r") < 0.8, F.col("errors")).otherwise(0)).alias("e"))
-    return rounded(each.groupBy("ev").agg(F.avg("e").alias("errors_left")))
+    """The curve of errors that are left when the riskiest share of units is reviewed."""
+    u = units(spark, d).select("ev", "unit_id", "r", "errors")
+    ranked = scans.running(u, ["ev"], [F.col("r").desc(), "unit_id"], {"k": F.lit(1)}).join(u.groupBy("ev").agg(F.count(F.lit(1)).alias("n")), "ev")
+    each = ranked.withColumn("budget", F.explode(F.array(*(F.lit(b) for b in (0.0, 0.05, 0.1, 0.2, 0.5, 1.0)))))
+    left = F.sum(F.when(F.col("k") > F.col("budget") * F.col("n"), F.col("errors")).otherwise(0))
+    return rounded(each.groupBy("ev", "budget").agg(left.alias("errors_left"), F.try_divide(left.cast("double"), F.sum("errors").cast("double")).alias("share_left")))
 
 
 @query("sp_fixed_groups", UNITS, "SELECT unit_id, group_id FROM units WHERE group_id IN ('src0', 'src3', 'src7')")
@@ -533,10 +545,12 @@ def agg_listening(spark, d):
 
 @query("src_utterances", UTT, "SELECT CAST(consultation AS VARCHAR) AS consultation, count(*) AS n FROM utt GROUP BY consultation")
 def src_utterances(spark, d):
-    # Utterances are written as interval files, one for each consultation, and read back.
+    # Utterances are written as interval files, one line of text for each interval, and read back from the shared folder.
     item = F.format_string('intervals [%d]:\n xmin = %.3f\n xmax = %.3f\n text = "%s"', F.col("idx") + 1, F.col("start"), F.col("end"), F.replace("text", F.lit('"'), F.lit('""')))
-    files = utterances(spark, d).groupBy("consultation").agg(F.array_join(F.array_sort(F.collect_list(item)), "\n").alias("value"))
-    read = records.parse_intervals(files.withColumnRenamed("consultation", "file"))
+    path = records.scratch_folder(spark)
+    utterances(spark, d).select("consultation", item.alias("value")).repartition("consultation").write.partitionBy("consultation").option("lineSep", "\x1e").text(path)
+    found = spark.read.option("lineSep", "\x1e").text(path).withColumnRenamed("consultation", "file").filter("value <> ''")
+    read = records.parse_intervals(found)
     return read.groupBy(F.col("file").cast("string").alias("consultation")).agg(F.count(F.lit(1)).alias("n"))
 
 
