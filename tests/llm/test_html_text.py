@@ -88,7 +88,7 @@ def test_the_cut_overrules_scores_both_ways():
     assert main_text(MIXED).split("\n")[1] == "Photos" and main_text(MIXED).count("\n") == 2
 
 
-@pytest.mark.parametrize("name", ["share", "side-by-side", "notice", "related", "privacy", "reply"])
+@pytest.mark.parametrize("name", ["share", "side-by-side", "related", "privacy", "reply"])
 def test_doubtful_names_are_outvoted_by_long_paragraphs(name):
     inner = "This paragraph belongs to the story and is long enough to be seen as such by anyone who reads it."
     page = f"<body>{STORY.replace('</article>', f'<div class={name}><p>{inner}</p></div></article>')}</body>"
@@ -120,3 +120,34 @@ def test_long_page(spark):
     page = f"<body><article>{'<p>A paragraph of the long story, one of very many that it has.</p>' * 20_000}</article><footer>no</footer></body>"
     found = extract(spark.createDataFrame([(1, page)], "page_id long, html string")).first()["text"]
     assert found.count("\n") == 19_999
+
+
+LONG = "This paragraph has more than enough words to be taken for a part of the story by anyone who doesn't look at the names around it, and it ends here."
+
+
+@pytest.mark.parametrize("name", ["discussion", "replies", "notice", "notice info", "notification", "related", "nav", "promo", "widget", "recommended"])
+@pytest.mark.parametrize("where", ["before", "after"])
+def test_notices_comments_and_teasers_outside_of_the_article(name, where):
+    other = f'<div class="{name}"><p>{LONG}</p><p>{LONG}</p></div>'
+    assert main_text(f"<body>{other + STORY if where == 'before' else STORY + other}</body>") == main_text(STORY)
+
+
+@pytest.mark.parametrize("name", ["discussion", "replies", "notice", "notifications"])
+def test_notices_and_comments_inside_of_the_article(name):
+    assert main_text(STORY.replace("</article>", f'<div class="{name}"><p>{LONG}</p></div></article>')) == main_text(STORY)
+
+
+@pytest.mark.parametrize("name", ["navy-history", "navigator", "promontory", "noticeable"])
+def test_names_that_only_begin_like_those(name):
+    assert main_text(STORY.replace("</article>", f'<div class="{name}"><p>{LONG}</p></div></article>')).split("\n")[1] == LONG
+
+
+@pytest.mark.parametrize("name", ["noscript", "svg", "object", "video", "template"])
+def test_elements_that_never_close_hide_nothing(name):
+    assert main_text(f"<body><{name}>{STORY}</body>") == main_text(STORY)
+    assert main_text(f"<body><{name}>no</{name}><{name} class=x>{STORY}</body>") == main_text(STORY)
+
+
+def test_raw_text_that_never_closes_takes_the_rest():
+    assert main_text(f"<body>{STORY}<script>var x = '<p>no</p>'; {STORY}") == main_text(STORY)
+    assert html_text.blocks("<noscript>" * 200_000 + "x")[0].text == "x"

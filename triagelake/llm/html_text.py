@@ -32,18 +32,21 @@ BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
     "header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-RAW = "script|style|textarea|title|xmp|iframe|noscript|template|svg|math|object|canvas|audio|video"
+# Elements whose content is no text of the page: raw text up to the end tag, or the page's end; and markup that is no text as far as it is closed.
+RAW = frozenset("script style textarea title xmp iframe".split())
+UNREAD = frozenset("noscript template svg math object canvas audio video".split())
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 # Fixed values of the classifier: elements, roles and names that speak against content, and for it.
 AGAINST = frozenset("nav footer aside form button select option label menu dialog fieldset head".split())
 AGAINST_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar status".split())
 AGAINST_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|bottom-?bar|breadcrumbs?|comments?|commentlist|consent|cookies?|copyright|disqus|footer|gdpr|login|masthead|menu|modal|"
-    r"nav\w*|newsletter|overlay|pager|pagination|popup|promo\w*|sidebar|signup|sponsor\w*|subscribe|toolbar|topbar|widgets?)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|bottom-?bar|breadcrumbs?|comments?|commentlist|consent|cookies?|copyright|discussions?|disqus|footer|gdpr|login|masthead|menu|modal|"
+    r"nav|navbar|navigation|navlinks?|navmenu|newsletter|notices?|notifications?|overlay|pager|pagination|popup|promo|promos|promoted|promotions?|replies|respond|responses|sidebar|signup|sponsor\w*|"
+    r"subscribe|toolbar|topbar|widgets?)(?:$|[\s_-])",
     re.I,
 )
-# Names that content has too.
-DOUBTFUL_NAMES = re.compile(r"(?:^|[\s_-])(?:discussion|legal|notice|notification|privacy|recommend\w*|related|replies|reply|respond|search|share|sharing|side|social|tags)(?:$|[\s_-])", re.I)
+# Names that content has too: they speak weakly inside of an element for content or a name for it, and fully elsewhere.
+DOUBTFUL_NAMES = re.compile(r"(?:^|[\s_-])(?:legal|privacy|recommend\w*|related|reply|search|share|sharing|side|social|tags)(?:$|[\s_-])", re.I)
 FOR = frozenset(("article", "main"))
 FOR_NAMES = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -54,10 +57,10 @@ NEXT, NEXT_ELSEWHERE, PARENT = 1.0, 0.3, 0.4
 # Attributes as HTML reads them: a quote opens a value only after "=", of any length; one that never closes is part of a name. Nothing is tried twice.
 ATTRIBUTES = r"""(?:\s++|/(?!>)|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?+)*+"""
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>]){ATTRIBUTES}/>|<(?P<raw>{RAW})(?=[\s/>])(?:{ATTRIBUTES}/?>|[^>]*>).*?(?:</(?P=raw)\s*>|\Z)|"
-    rf"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>{ATTRIBUTES})/?>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>{ATTRIBUTES})(?P<empty>/?)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)>|<[!?/][^>]*>",
     re.S | re.I,
 )
+END_TAGS = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW | UNREAD}
 ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)))?+""")
 
 
@@ -174,7 +177,7 @@ class Graph:
 def _element(name: str, rest: str, parent: Element, number: int) -> Element:
     """The element that opens in `parent`; its own parent is the nearest one of block level."""
     outside, doubtful, inside, named = parent.outside, parent.doubtful, parent.inside or name in FOR, parent.named
-    against = name in AGAINST or (name == "header" and not parent.inside)
+    against, unsure = name in AGAINST or (name == "header" and not parent.inside), False
     if rest and "=" in rest or "hidden" in rest:
         for key, a, b, c in ATTRIBUTE.findall(rest):
             key, value = key.lower(), a or b or c
@@ -184,17 +187,22 @@ def _element(name: str, rest: str, parent: Element, number: int) -> Element:
             elif key in ("class", "id"):
                 if name not in ("html", "body"):
                     against = against or (name not in FOR and AGAINST_NAMES.search(value) is not None)
-                    doubtful = doubtful or (name not in FOR and DOUBTFUL_NAMES.search(value) is not None)
+                    unsure = unsure or (name not in FOR and DOUBTFUL_NAMES.search(value) is not None)
                     named = named or FOR_NAMES.search(value) is not None
             elif key == "style":
                 against = against or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
             elif key == "hidden" or (key in ("aria-hidden", "aria-modal") and value.lower() == "true"):
                 against = True
-    return Element(name, number, parent.number if parent.name in BLOCKS else parent.parent, outside or against, doubtful, inside, named)
+    against = against or (unsure and not inside and not named)
+    return Element(name, number, parent.number if parent.name in BLOCKS else parent.parent, outside or against, doubtful or unsure, inside, named)
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of text of a page, in order."""
+    """The blocks of text of a page, in order.
+
+    Elements of raw text that never close take the rest of the page, as in browsers; the tags of others that hold no text (noscript, svg, ...) are
+    passed over where they never close, and what follows is read.
+    """
     out: list[Block] = []
     top = Element("", 0, 0, False, False, False, False)
     stack, number, runs, linked, links = [top], 0, [], 0, 0
@@ -217,8 +225,8 @@ def blocks(page: str) -> list[Block]:
         if links:
             linked += len(text)
 
-    at = 0
-    for m in TOKEN.finditer(page):
+    at, unclosed = 0, set()
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             say(page[at : m.start()])
         at = m.end()
@@ -226,6 +234,17 @@ def blocks(page: str) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
+        if name in END_TAGS:
+            if m["end"] or m["end2"] or (m["empty"] and name in ("svg", "math")):
+                continue
+            close = None if name in unclosed else END_TAGS[name].search(page, at)
+            if close:
+                at = close.end()
+            elif name in RAW:
+                at = len(page)
+            else:
+                unclosed.add(name)
+            continue
         if m["end"] or m["end2"]:
             if name in BLOCKS:
                 flush()
