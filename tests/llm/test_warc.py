@@ -39,3 +39,19 @@ def test_parses_members_of_their_own():
     record = lambda n: b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % n + b"x" * n + b"\r\n\r\n"
     found = list(warc.parse_archive(gzip.compress(record(3)) + gzip.compress(record(70_000)) + gzip.compress(record(0))))
     assert [len(b) for _, b in found] == [3, 70_000, 0]
+
+
+def test_files_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SIZES", ((100, 50), (2000, 3), (None, 1)))
+    rng = random.Random(3)
+    rows = [(i, "u", rng.randbytes(rng.choice((0, 30, 100, 101, 1500, 2000, 2001, 400_000)))) for i in range(200)]
+    pages = spark.createDataFrame(rows, "order_id long, target string, payload binary").coalesce(1)
+    path, found = warc.archive(pages)
+    assert found.count() == len(rows)
+    stored = {bytes(r["payload"]) for r in warc.read_archives(spark, path).filter("payload IS NOT NULL").collect()}
+    assert stored == {p for *_, p in rows}
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).collect()
+    held = [[len(block.partition(b"\r\n\r\n")[2]) for _, block in warc.parse_archive(bytes(f["content"]))] for f in files]
+    assert all(sum(sizes) <= 6000 or len(sizes) == 1 for sizes in held) and max(map(len, held)) > 3
+    # Only classes that records have are written.
+    assert warc.archive(pages.filter("octet_length(payload) <= 100"))[1].count() == sum(len(p) <= 100 for *_, p in rows)

@@ -2,7 +2,8 @@
 
 An archive is a gzip file of WARC/1.1 records. Spark's text writer writes it, a record a row with the two empty lines
 that end a record as the separator, so archives go to whatever store the shared folder is in; they are read back as binary files and
-parsed by Content-Length, decompressing as it goes. Files hold a bounded number of records each.
+parsed by Content-Length, decompressing as it goes. Records are written by classes of their size, each with its own number of records a file, so that a file holds
+a bounded number of bytes, or one record.
 
 Resolution shuffles headers only, by payload digest, to find the response that stands for equal payloads. Records
 then learn it by a join that serves digests with very many records by broadcast.
@@ -11,7 +12,7 @@ then learn it by a join that serves digests with very many records by broadcast.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,8 +23,8 @@ from triagelake.llm.common import attach_by_key, materialise, scratch_path
 #: Fixed values of the format: what revisit records refer to.
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DIGIT_32, LETTER_32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Records in a file, at most.
-RECORDS_A_FILE = 10_000
+#: Classes of payloads by their size: bytes, at most, and records in a file, at most. A file has 256 MB of payloads or one record.
+SIZES = ((1 << 16, 4096), (1 << 22, 64), (None, 1))
 RECORD = "record_id string, target string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary"
 
 
@@ -34,18 +35,35 @@ def sha1_base32(data: Column) -> Column:
     return F.translate(F.concat(*parts), DIGIT_32, LETTER_32)
 
 
-def resolve_revisits(records: DataFrame, *, least_bytes: int = 0) -> DataFrame:
+def _size_class(payload_bytes: Column) -> Column:
+    """The place in SIZES of a payload."""
+    out = F.lit(len(SIZES) - 1)
+    for place, (most, _) in reversed([*enumerate(SIZES)][:-1]):
+        out = F.when(payload_bytes <= most, place).otherwise(out)
+    return out
+
+
+def _with_digest(records: DataFrame) -> DataFrame:
+    payload = F.coalesce("payload", F.lit("").cast("binary"))
+    return records.select("order_id", "target", payload.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": sha1_base32(F.col("payload"))})
+
+
+def headers_of(records: DataFrame) -> DataFrame:
+    """A written table of what resolution needs of records (order_id, target, payload): order_id, payload_bytes, payload_digest."""
+    return materialise(_with_digest(records).select("order_id", "payload_bytes", "payload_digest"), "headers")
+
+
+def resolve_revisits(records: DataFrame, *, least_bytes: int = 0, headers: DataFrame | None = None) -> DataFrame:
     """Records (order_id, target, payload) to the same with payload_bytes, payload_digest, record_type and refers_to.
 
     Of records with equal payloads of at least `least_bytes`, the one with the largest order_id is a response and the others are
     revisits that refer to it; smaller payloads are all responses. A null payload is empty. Rows that
-    repeat the largest id of a payload are responses too. An empty table gives an empty one.
+    repeat the largest id of a payload are responses too. An empty table gives an empty one. `headers` are headers_of(records), if the caller has them.
     """
-    payload = F.coalesce("payload", F.lit("").cast("binary"))
-    records = records.select("order_id", "target", payload.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": sha1_base32(F.col("payload"))})
-    headers = records.select("order_id", "payload_bytes", "payload_digest").filter(F.col("payload_bytes") >= least_bytes)
-    groups = materialise(headers.groupBy("payload_digest").agg(F.max("order_id").alias("original"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "payloads")
-    out = attach_by_key(records, groups, "payload_digest", ["original"], records.count(), F.col("order_id"))
+    headers = headers if headers is not None else headers_of(records)
+    equal = headers.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max("order_id").alias("original"), F.count(F.lit(1)).alias("n"))
+    groups = materialise(equal.filter("n > 1"), "payloads")
+    out = attach_by_key(_with_digest(records), groups, "payload_digest", ["original"], headers.count(), F.col("order_id"))
     revisit = F.col("original").isNotNull() & ~F.col("order_id").eqNullSafe(F.col("original")) & (F.col("payload_bytes") >= least_bytes)
     return out.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("original"))).drop("original")
 
@@ -54,8 +72,11 @@ def _urn(order_id: Column) -> Column:
     return F.concat(F.lit("<urn:x-record:"), F.coalesce(order_id.cast("string"), F.lit("none")), F.lit(">"))
 
 
-def write_archives(resolved: DataFrame, path: str) -> None:
-    """Writes resolved records as archives with fresh headers; revisits keep the answer's HTTP header and have no payload."""
+def write_archives(resolved: DataFrame, path: str, *, classes: Iterable[int] = range(len(SIZES))) -> None:
+    """Writes resolved records as archives with fresh headers; revisits keep the answer's HTTP header and have no payload.
+
+    Each class of SIZES is a folder of its own below `path`; `classes` are those that records can be of, revisits by the payload they had.
+    """
     revisit = F.col("record_type") == "revisit"
     answer = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n")).cast("binary")
     block = F.when(revisit, answer).otherwise(F.concat(answer, F.col("payload")))
@@ -72,8 +93,9 @@ def write_archives(resolved: DataFrame, path: str) -> None:
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
     )
-    records = resolved.select(F.concat(head.cast("binary"), block).cast("string").alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    for place in sorted(set(classes)):
+        records = resolved.filter(_size_class(F.col("payload_bytes")) == place).select(F.concat(head.cast("binary"), block).cast("string").alias("value"))
+        records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", SIZES[place][1]).text(f"{path}/size-{place}")
 
 
 class _Source:
@@ -168,6 +190,8 @@ def archive(records: DataFrame, *, least_bytes: int = 0) -> tuple[str, DataFrame
     Nulls, ties, repeated rows and empty tables are as in resolve_revisits; a null order_id comes back as null, a null target as an empty one; payloads of any
     length are written whole; other columns are not read, whatever their names.
     """
-    path = scratch_path(records.sparkSession, "warc")
-    write_archives(resolve_revisits(records, least_bytes=least_bytes), path)
+    path, headers = scratch_path(records.sparkSession, "warc"), headers_of(records)
+    # A class without records costs no pass over the payloads; an empty table still gets a folder.
+    classes = [r["c"] for r in headers.select(_size_class(F.col("payload_bytes")).alias("c")).distinct().collect()] or [0]
+    write_archives(resolve_revisits(records, least_bytes=least_bytes, headers=headers), path, classes=classes)
     return path, join_originals(read_archives(records.sparkSession, path))
