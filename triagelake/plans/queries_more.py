@@ -108,12 +108,6 @@ def join_index_loc(spark, d):
     return u.select("unit_id").join(order, "unit_id")
 
 
-@query("join_code_map", WORDS, "SELECT unit_id, CAST(sum(1 - correct) AS BIGINT) AS wrong FROM words GROUP BY unit_id")
-def join_code_map(spark, d):
-    w = words(spark, d)
-    return w.select("unit_id").distinct().join(w.groupBy("unit_id").agg(F.sum(1 - F.col("correct")).alias("wrong")), "unit_id")
-
-
 @query("join_interval_overlap", UTT, """SELECT a.consultation, a.idx AS a, b.idx AS b, round(least(a."end", b."end") - greatest(a.start, b.start), 6) AS shared FROM utt a JOIN utt b ON a.consultation = b.consultation AND a.idx < b.idx AND a.start < b."end" AND a."end" > b.start""")
 def join_interval_overlap(spark, d):
     u = utterances(spark, d).select("consultation", "idx", "start", "end")
@@ -122,15 +116,6 @@ def join_interval_overlap(spark, d):
     return rounded(a.join(b, hit).select("a.consultation", F.col("a.idx").alias("a"), F.col("b.idx").alias("b"), (F.least("a.end", "b.end") - F.greatest("a.start", "b.start")).alias("shared")))
 
 
-@query("join_segment_words", WORDS, """SELECT unit_id, pos // 10 AS segment, count(*) AS n FROM words WHERE pos * 0.5 >= (pos // 10) * 5.0 GROUP BY 1, 2""")
-def join_segment_words(spark, d):
-    w = words(spark, d).withColumn("t", F.col("pos") * 0.5)
-    seg = w.groupBy("unit_id", F.floor(F.col("pos") / 10).alias("segment")).agg(F.lit(1).alias("one")).withColumns({"a": F.col("segment") * 5.0, "b": (F.col("segment") + 1) * 5.0})
-    # A word's segment follows from its time, so the range join is an equality and a check.
-    joined = w.withColumn("segment", F.floor(F.col("t") / 5.0)).join(seg, ["unit_id", "segment"]).filter((F.col("t") >= F.col("a")) & (F.col("t") < F.col("b")))
-    return joined.groupBy("unit_id", "segment").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("tx_units_map")
 def tx_units_map(spark, d):
     toks = F.concat(F.array(F.lit("500"), F.lit("milligrams"), F.lit("eg")), F.split("text", r"\s+"))
@@ -177,17 +162,6 @@ def al_critical(spark, d):
     return marked.groupBy("conv_id", "turn").agg(F.count(F.when(crit, 1)).alias("n"), F.count(F.when(crit & (F.col("x.ref_status") == "C"), 1)).alias("correct"))
 
 
-@query("al_merge_gaps", WORDS, "SELECT unit_id, pos // 3 AS display, round(max(p), 6) AS score, count(*) FILTER (correct = 0) AS wrong, string_agg(token, ' ' ORDER BY pos) AS suggestion FROM words GROUP BY unit_id, pos // 3")
-def al_merge_gaps(spark, d):
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ")
-    return rounded(words(spark, d).groupBy("unit_id", F.floor(F.col("pos") / 3).alias("display")).agg(F.max("p").alias("score"), F.count(F.when(F.col("correct") == 0, 1)).alias("wrong"), joined.alias("suggestion")))
-
-
-@query("al_word_to_display", WORDS, "SELECT unit_id, pos // 2 AS display, round(min(p), 6) AS min_p, max(1 - correct) AS wrong, bool_or(token IN ('no', 'not')) AS critical FROM words GROUP BY unit_id, pos // 2")
-def al_word_to_display(spark, d):
-    return rounded(words(spark, d).groupBy("unit_id", F.floor(F.col("pos") / 2).alias("display")).agg(F.min("p").alias("min_p"), F.max(1 - F.col("correct")).alias("wrong"), F.bool_or(F.col("token").isin("no", "not")).alias("critical")))
-
-
 @query("ft_word_gap", WORDS, """SELECT unit_id, g AS gap, round(coalesce(a.p, 1), 6) AS before, round(coalesce(b.p, 1), 6) AS after FROM (SELECT unit_id, unnest(range(0, max(pos) + 2)) AS g FROM words GROUP BY unit_id) s
 LEFT JOIN words a USING (unit_id) LEFT JOIN words b USING (unit_id) WHERE false UNION ALL SELECT unit_id, pos AS gap, round(lag(p, 1, 1.0) OVER w, 6), round(p, 6) FROM words WINDOW w AS (PARTITION BY unit_id ORDER BY pos) UNION ALL SELECT unit_id, max(pos) + 1, round(arg_max(p, pos), 6), 1.0 FROM words GROUP BY unit_id""")
 def ft_word_gap(spark, d):
@@ -369,14 +343,6 @@ def win_top_abs(spark, d):
     return rounded(s.withColumn("place", F.row_number().over(Window.orderBy(F.round(F.abs("shift"), 12).desc(), "group_id")).cast("long")))
 
 
-@query("win_catch_up", UNITS, """, t AS (SELECT ev, b, avg(CASE WHEN r > b THEN 0 ELSE y END) AS whole, avg(CASE WHEN r > b / 2 THEN 0 ELSE y END) AS own FROM units, (VALUES (0.0::DOUBLE), (0.2), (0.4), (0.6), (0.8), (0.98)) v(b) GROUP BY ev, b)
-SELECT ev, min(b) FILTER (b > 0 AND own <= whole) AS first_budget FROM t GROUP BY ev""")
-def win_catch_up(spark, d):
-    u = units(spark, d).withColumn("b", F.explode(F.array(*(F.lit(b) for b in (0.0, 0.2, 0.4, 0.6, 0.8, 0.98)))))
-    t = u.groupBy("ev", "b").agg(F.avg(F.when(F.col("r") > F.col("b"), 0).otherwise(F.col("y"))).alias("whole"), F.avg(F.when(F.col("r") > F.col("b") / 2, 0).otherwise(F.col("y"))).alias("own"))
-    return t.groupBy("ev").agg(F.min(F.when((F.col("b") > 0) & (F.col("own") <= F.col("whole")), F.col("b"))).alias("first_budget"))
-
-
 @query("sort_consultations", UTT, "SELECT consultation, row_number() OVER (ORDER BY consultation % 3, n DESC, consultation) AS place FROM (SELECT consultation, count(*) AS n FROM utt GROUP BY consultation)")
 def sort_consultations(spark, d):
     c = utterances(spark, d).groupBy("consultation").agg(F.count(F.lit(1)).alias("n"), (F.first("consultation") % 3).alias("rank"))
@@ -431,11 +397,6 @@ def sv_resumable_infer(spark, d):
     return live.subscribe(spark, log).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sv_api_summary", UNITS, "SELECT ev, round(avg(CAST(r >= 0.9 AS INT)), 6) AS review_rate, round(avg(CASE WHEN r < 0.9 THEN crit END), 6) AS accepted_critical FROM units GROUP BY ev")
-def sv_api_summary(spark, d):
-    return rounded(units(spark, d).groupBy("ev").agg(F.avg((F.col("r") >= 0.9).cast("double")).alias("review_rate"), F.avg(F.when(F.col("r") < 0.9, F.col("crit"))).alias("accepted_critical")))
-
-
 def learning_curve(u: DataFrame, group: str, ks: tuple[int, ...] = (2, 5, 10, 20), draws: int = 50, seed: int = 0, alpha: float = 0.2) -> DataFrame:
     """A row for each k and draw: k groups recalibrate the score r, by Platt's scaling (P4) and by a shift alone (P4_int), and all others measure it beside the
     score as it is (P3): ece, citl, the accepted error and review rate of the label-free rule at alpha, and of the empirical risk target set on the k groups."""

@@ -120,13 +120,6 @@ def agg_prf(spark, d):
     return rounded(s.select("ev", F.try_divide("tp", "h").alias("precision"), F.try_divide("tp", "n").alias("recall"), F.try_divide(2 * F.col("tp"), F.col("h") + F.col("n")).alias("f1")))
 
 
-@query("agg_pooled_systems", UNITS, "SELECT system, round(sum(e) / sum(n_ref)::DOUBLE, 6) AS wer, round(avg(CAST(e / n_ref::DOUBLE > 0.2 AS INT)), 6) AS share_over FROM (SELECT 'base' AS system, errors AS e, n_ref FROM units UNION ALL SELECT 'tuned', errors // 2, n_ref FROM units) GROUP BY system")
-def agg_pooled_systems(spark, d):
-    two = F.array(F.struct(F.lit("base").alias("system"), F.col("errors").alias("e")), F.struct(F.lit("tuned").alias("system"), F.floor(F.col("errors") / 2).alias("e")))
-    u = units(spark, d).select(F.explode(two).alias("s"), "n_ref").select("s.*", "n_ref")
-    return rounded(u.groupBy("system").agg((F.sum("e") / F.sum("n_ref")).alias("wer"), F.avg((F.col("e") / F.col("n_ref") > 0.2).cast("double")).alias("share_over")))
-
-
 @query("agg_wins", UNITS, "SELECT count(*) FILTER (a < b) AS wins_a, count(*) FILTER (a > b) AS wins_b, count(*) FILTER (a = b) AS ties FROM (SELECT group_id, sum(CASE WHEN y = 1 THEN errors ELSE 0 END) AS a, sum(CASE WHEN y = 0 THEN errors ELSE 0 END) AS b FROM units GROUP BY group_id)")
 def agg_wins(spark, d):
     side = lambda k: F.sum(F.when(F.col("y") == k, F.col("errors")).otherwise(0))
@@ -160,12 +153,6 @@ def agg_semdist(spark, d):
     return rounded(bootstrap.interval(rows, ["label"], bootstrap.resampled_ratios(rows, ["label"], stats, 200, 4), stats), 5)
 
 
-@query("agg_relative_change", UNITS, "SELECT ev, CAST(round(100 * (1 - b / a::DOUBLE)) AS BIGINT) AS percent FROM (SELECT ev, sum(errors) AS a, sum(errors // 2) AS b FROM units GROUP BY ev)")
-def agg_relative_change(spark, d):
-    s = units(spark, d).groupBy("ev").agg(F.sum("errors").alias("a"), F.sum(F.floor(F.col("errors") / 2)).alias("b"))
-    return s.select("ev", F.round(100 * (1 - F.col("b") / F.col("a"))).cast("long").alias("percent"))
-
-
 _SPLIT = "sp AS (SELECT doc_id, lang, source, text, CASE WHEN doc_id % 10 < 6 THEN 'calibration' WHEN doc_id % 10 < 8 THEN 'validation' ELSE 'test' END AS split FROM documents)"
 _RANK = "CASE split WHEN 'test' THEN 0 WHEN 'calibration' THEN 1 ELSE 2 END"
 
@@ -262,14 +249,3 @@ def sv_live_turns(spark, d):
 def sv_event_windows(spark, d):
     found = live.event_counts(table(spark, d, "events"))
     return rounded(found.withColumn("start", F.col("start").cast("timestamp_ntz")), 4)
-
-
-@query("sv_api_meta", UNITS, "SELECT ev, crit, count(*) AS n FROM units GROUP BY ev, crit HAVING count(*) >= 10")
-def sv_api_meta(spark, d):
-    return units(spark, d).groupBy("ev", "crit").agg(F.count(F.lit(1)).alias("n")).filter("n >= 10")
-
-
-@query("sv_api_v2", UTT, """SELECT consultation, count(*) AS n_turns, string_agg(role, ',' ORDER BY idx) AS roles FROM utt GROUP BY consultation""")
-def sv_api_v2(spark, d):
-    payload = F.transform(F.array_sort(F.collect_list(F.struct("idx", "role"))), lambda x: x["role"])
-    return utterances(spark, d).groupBy("consultation").agg(F.count(F.lit(1)).alias("n_turns"), F.array_join(payload, ",").alias("roles"))
