@@ -151,7 +151,7 @@ def _tokens(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), F.posexplode(F.flatten(own)).alias("at", "x")).select("unit_id", "at", "x.*")
 
 
-@query("al_word_to_display", _TOKENS, """SELECT unit_id, owner, round(max((unit_id * 13 + nr * 29) % 100 / 100.0::DOUBLE), 6) AS score, round(min((unit_id * 31 + nr * 17) % 100 / 100.0::DOUBLE), 6) AS min_p,
+@query("al_word_to_display", _TOKENS, """SELECT unit_id, CAST(owner AS INT) AS owner, round(max((unit_id * 13 + nr * 29) % 100 / 100.0::DOUBLE), 6) AS score, round(min((unit_id * 31 + nr * 17) % 100 / 100.0::DOUBLE), 6) AS min_p,
   bool_or(token IN ('no', 'not') OR regexp_matches(token, '^[0-9]+$')) AS critical, CAST(max(CAST((unit_id * 31 + nr * 17) % 100 < 30 AS INT)) AS INT) AS wrong FROM tk GROUP BY unit_id, owner""")
 def al_word_to_display(spark, d):
     p = lambda a, b: ((F.col("unit_id") * a + F.col("at") * b) % 100 / 100.0).cast("double")
@@ -159,7 +159,7 @@ def al_word_to_display(spark, d):
     return rounded(verifier.by_display_word(scored, ["unit_id"]))
 
 
-@query("al_merge_gaps", _TOKENS, """SELECT g.unit_id, coalesce(owner, -1) AS after, round(max(score), 6) AS score, coalesce(string_agg(suggestion, ' ' ORDER BY g.nr) FILTER (suggestion <> ''), '') AS suggestion, CAST(sum(truth) AS BIGINT) AS truth
+@query("al_merge_gaps", _TOKENS, """SELECT g.unit_id, CAST(coalesce(owner, -1) AS INT) AS after, round(max(score), 6) AS score, coalesce(string_agg(suggestion, ' ' ORDER BY g.nr) FILTER (suggestion <> ''), '') AS suggestion, CAST(sum(truth) AS BIGINT) AS truth
   FROM gs g LEFT JOIN tk t ON t.unit_id = g.unit_id AND t.nr = g.nr - 1 GROUP BY g.unit_id, coalesce(owner, -1)""")
 def al_merge_gaps(spark, d):
     tokens = records.written(_tokens(spark, d))
