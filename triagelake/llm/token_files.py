@@ -122,7 +122,8 @@ def write(docs: DataFrame, path: str, *, tokenizer_file: str, end_id: int = 0, i
     """Encodes every whole text, appends end_id and writes files below `path`, in ascending order of id over groups and within them.
 
     A null text has the end id only. Null ids come first; rows that repeat an id stand in order of their texts, repeated rows are all
-    written. An empty table gives no group; other columns are not read.
+    written. An empty table gives no group; other columns are not read. Ids of the tokenizer and end_id are below range_coder.IDS (65,536): a
+    larger one stops the job with an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
