@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.operators import scans
+from triagelake.operators import dealing, scans
 
 EPS = 1e-6
 #: Inverse strengths that the grouped cross-validation tries.
@@ -54,7 +54,7 @@ def linear_score(features: Mapping[str, tuple[float, float, float]], intercept:
 
 
 def balanced_folds(sizes: Mapping[str, int], folds: int) -> dict[str, int]:
-    """Groups by falling size to the lightest fold: one small row a group, on the driver."""
+    """Groups by falling size to the lightest fold, for groups that are few enough to be listed."""
     load, out = [0] * folds, {}
     for group, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
         fold = min(range(folds), key=lambda k: (load[k], k))
@@ -63,9 +63,9 @@ def balanced_folds(sizes: Mapping[str, int], folds: int) -> dict[str, int]:
 
 
 def with_folds(df: DataFrame, group: str = "group_id", folds: int = 5) -> DataFrame:
-    sizes = {r[group]: r["n"] for r in df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
-    table = df.sparkSession.createDataFrame(list(balanced_folds(sizes, folds).items()), f"{group} string, fold int")
-    return df.join(F.broadcast(table), group)
+    """Adds fold: as balanced_folds, for any number of groups."""
+    dealt = dealing.with_bins(df, group, {str(k): 1 for k in range(folds)}, "fold")
+    return dealt.withColumn("fold", F.col("fold").cast("int"))
 
 
 def fit_logistic(df: DataFrame, features: Sequence[str], label: str, c: float) -> tuple[dict[str, tuple[float, float, float]], float]:

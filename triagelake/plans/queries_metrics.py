@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagelake.operators import bootstrap, many, metrics, policies, quantiles, scans, thresholds, windows
-from triagelake.plans.registry import Registry, drawn_sql, rounded
+from triagelake.plans.registry import DEALT, Registry, drawn_sql, rounded
 from triagelake.plans.views import UNITS, WORDS, units, words
 from triagelake.sources import records
 
@@ -477,7 +477,7 @@ def pol_crossfit(spark, d):
     return policies.cross_fit(units(spark, d), ["r", "n_ref"], "y", folds=3).select("unit_id", "fold", "p")
 
 
-@query("ml_group_kfold")
+@query("ml_group_kfold", "RECURSIVE " + UNITS + ", g AS (SELECT group_id AS grp, count(*) AS n FROM units GROUP BY 1)" + DEALT.format(zeros="[0, 0, 0, 0, 0]", times="[1, 1, 1, 1, 1]"), "SELECT CAST(bin - 1 AS INT) AS fold, sum(n)::BIGINT AS n, count(*) AS n_groups FROM one JOIN g ON g.grp IS NOT DISTINCT FROM one.grp WHERE i > 0 GROUP BY bin")
 def ml_group_kfold(spark, d):
     return policies.with_folds(units(spark, d)).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("group_id").alias("n_groups"))
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
-from triagelake.operators import bootstrap, splits
-from triagelake.plans.registry import Registry, drawn_sql, rounded
+from triagelake.operators import bootstrap, dealing, splits
+from triagelake.plans.registry import DEALT, Registry, drawn_sql, rounded
 from triagelake.plans.views import LEX, UNITS, UTT, WORDS, lexicon, table, units, utterances, words
 from triagelake.sources import records
 from triagelake.streaming import live
@@ -177,10 +177,18 @@ def sp_leak_check_texts(spark, d):
     return splits.leaks(_split(spark, d).filter("text IS NOT NULL").withColumn("text_key", F.sha2("text", 256)), "text_key")
 
 
-@query("sp_group_split")
+@query("sp_group_split", "RECURSIVE g AS (SELECT source AS grp, count(*) AS n FROM documents GROUP BY source)" + DEALT.format(zeros="[0, 0, 0]", times="[1, 3, 3]"), "SELECT grp AS source, ['calibration', 'validation', 'test'][bin] AS split FROM one WHERE i > 0")
 def sp_group_split(spark, d):
-    sizes = {r["source"]: r["n"] for r in table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return spark.createDataFrame(list(splits.group_split(sizes, {"calibration": 0.6, "validation": 0.2, "test": 0.2}).items()), "source string, split string")
+    sizes = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return dealing.dealt(sizes, "source", "n", {"calibration": 3, "validation": 1, "test": 1}).withColumnRenamed("bin", "split")
+
+
+@query("sp_group_split_users", "RECURSIVE g AS (SELECT CAST(user_id AS VARCHAR) AS grp, count(*) AS n FROM events GROUP BY user_id)" + DEALT.format(zeros="[0, 0, 0]", times="[2, 7, 14]"), "SELECT ['train', 'validation', 'test'][bin] AS split, count(*) AS n, sum(n)::BIGINT AS n_events, min(grp) AS first_user FROM one JOIN g USING (grp) WHERE i > 0 GROUP BY bin")
+def sp_group_split_users(spark, d):
+    """Events by split of their users: many groups, many of the same size."""
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("user"))
+    split = dealing.with_bins(e, "user", {"train": 7, "validation": 2, "test": 1}, "split")
+    return split.groupBy("split").agg(F.countDistinct("user").alias("n"), F.count(F.lit(1)).alias("n_events"), F.min("user").alias("first_user"))
 
 
 @query("sp_stratified_pick")

@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: DuckDB's groups (grp, n) dealt one by one: bins with these multiples of their load compared.
+DEALT = """, o AS (SELECT grp, n, row_number() OVER (ORDER BY n DESC, grp NULLS FIRST) AS i FROM g),
+one AS (SELECT 0::BIGINT AS i, NULL::VARCHAR AS grp, 0::BIGINT AS bin, {zeros}::BIGINT[] AS load UNION ALL
+  SELECT i, grp, bin, list_transform(load, lambda x, k: x + CASE WHEN k = bin THEN n ELSE 0 END) FROM (
+    SELECT o.i, o.grp, o.n, load, list_position(list_transform(load, lambda x, k: x * {times}[k]), list_min(list_transform(load, lambda x, k: x * {times}[k])))::BIGINT AS bin FROM one JOIN o ON o.i = one.i + 1))"""
 
 
 class Registry:
