@@ -9,10 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from triagelake.plans import queries_detail, queries_metrics, queries_more, queries_sequences, queries_tables, queries_verifier
+from triagelake.plans import queries_detail, queries_exchange, queries_metrics, queries_more, queries_sequences, queries_tables, queries_verifier
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (queries_metrics, queries_sequences, queries_tables, queries_more, queries_verifier, queries_detail)
+_MODULES = (queries_metrics, queries_sequences, queries_tables, queries_more, queries_verifier, queries_detail, queries_exchange)
 
 
 def queries() -> dict[str, Query]:

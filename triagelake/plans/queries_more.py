@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from triagelake.functions import align, combine, text
 from triagelake.operators import many, metrics, policies, quantiles, scans, speech, thresholds
 from triagelake.plans.registry import Registry, rounded
-from triagelake.plans.views import LEX, UNITS, UTT, WORDS, lexicon, pairs, table, units, utterances, words
+from triagelake.plans.views import LEX, UNITS, UTT, WORDS, lexicon, pairs, table, tokens_of, units, utterances, words
 from triagelake.sources import records
 from triagelake.streaming import live
 
@@ -47,7 +47,8 @@ def sink_json_metrics(spark, d):
 @query("src_jsonl_records", "", "SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY conv_id")
 def src_jsonl_records(spark, d):
     path = _folder(spark)
-    turns = table(spark, d, "conversations").orderBy("turn").coalesce(1)
+    # A later record stands in a later file, or further down: tasks write ranges of turns.
+    turns = table(spark, d, "conversations").repartitionByRange("turn").sortWithinPartitions("turn")
     turns.select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("unit_id"), F.col("turn").cast("double").alias("audio_s"), "text")).alias("value")).write.text(path)
     return records.read_records(spark, path).select(F.col("unit_id").cast("long").alias("conv_id"), F.col("audio_s").cast("long").alias("turn"))
 
@@ -116,10 +117,12 @@ def join_interval_overlap(spark, d):
     return rounded(a.join(b, hit).select("a.consultation", F.col("a.idx").alias("a"), F.col("b.idx").alias("b"), (F.least("a.end", "b.end") - F.greatest("a.start", "b.start")).alias("shared")))
 
 
-@query("tx_units_map")
+_FORM = "CASE x " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in (text.CANONICAL | text.TITLES).items()) + " ELSE x END"
+
+
+@query("tx_units_map", "", rf"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+'), lambda x: {_FORM}), ' ') AS tokens FROM documents")
 def tx_units_map(spark, d):
-    toks = F.concat(F.array(F.lit("500"), F.lit("milligrams"), F.lit("eg")), F.split("text", r"\s+"))
-    return table(spark, d, "conversations").select("conv_id", "turn", text.canonical_units(toks).alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(text.canonical_units(tokens_of(F.lower("text"))), " ").alias("tokens"))
 
 
 _IN = {name: "(" + ", ".join(f"'{w}'" for w in found) + ")" for name, found in (("neg", text.NEGATIONS), ("count", text.COUNT_WORDS), ("func", text.FUNCTION_WORDS))}
@@ -522,10 +525,11 @@ def src_csv_gz(spark, d):
     return records.read_csv_or_parquet(spark, path, "n_nationkey int, n_name string, n_regionkey int", f"{d}/nation.parquet")
 
 
-@query("sink_markdown")
+@query("sink_markdown", UNITS, r"""SELECT '| ev | n | err_rate | mean_r |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || string_agg('| ' || ev || ' | ' || n || ' | ' || printf('%.1f%%', round(100 * e, 1)) || ' | ' || printf('%.3f', round(m, 3)) || ' |', chr(10) ORDER BY ev) AS report
+  FROM (SELECT ev, count(*) AS n, avg(y) AS e, avg(r) AS m FROM units GROUP BY ev)""")
 def sink_markdown(spark, d):
-    text_ = records.markdown(rounded(units(spark, d).groupBy("ev").agg(F.avg("y").alias("err_rate")).orderBy("ev")), ("err_rate",))
-    return spark.createDataFrame([(text_,)], "report string")
+    found = units(spark, d).groupBy("ev").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("err_rate"), F.avg("r").alias("mean_r"))
+    return records.markdown_report(found, ["ev"], ("err_rate",))
 
 
 @query("sv_upload_segments")

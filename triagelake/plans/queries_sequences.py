@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions import align, features, text
-from triagelake.operators import intervals, review, windows
+from triagelake.operators import intervals, matching, review, windows
 from triagelake.plans.registry import Registry, rounded
 from triagelake.plans.views import IV, LEX, PAIRS, UTT, WORDS, lexicon, pairs, table, tokens_of, utterances, words
 from triagelake.plans.views import intervals as events
@@ -292,17 +291,10 @@ def tx_context_window(spark, d):
     return t.select("unit_id", text.context(F.col("t"), (1 + F.col("unit_id") % F.greatest(F.size("t"), F.lit(1))).cast("int")).alias("context"))
 
 
-@query("tx_term_match")
+@query("tx_term_match", LEX + ", " + WORDS, "SELECT unit_id, CAST(pos AS INT) AS start, 1::INT AS length FROM words SEMI JOIN lex ON token = term")
 def tx_term_match(spark, d):
-    terms = [r["term"] for r in lexicon(spark, d).collect()]  # a lexicon is small
-
-    @F.pandas_udf("array<struct<start:int,length:int>>")
-    def match(tokens: pd.Series) -> pd.Series:
-        matcher = text.TermMatcher(terms)
-        return tokens.map(lambda t: [{"start": a, "length": n} for a, n in matcher.find(list(t))])
-
     t = table(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), tokens_of(F.lower("text")).alias("t"))
-    return t.select("unit_id", F.explode(match("t")).alias("m")).select("unit_id", "m.start", "m.length")
+    return matching.term_matches(t, ["unit_id"], "t", lexicon(spark, d))
 
 
 _AL = ["conv_id", "turn"]

@@ -10,9 +10,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+WORDS = "array<struct<start:double,end:double,word:string,probability:double>>"
 RECORD = (
     "unit_id string, text string, audio_s double, decode_s double, segments array<struct<start:double,end:double,text:string,avg_logprob:double,n_tokens:int,no_speech_prob:double,compression_ratio:double,temperature:double>>, "
-    "words array<struct<start:double,end:double,word:string,probability:double>>"
+    f"words {WORDS}"
 )
 # Fixed value: the interval format's fields.
 INTERVAL = r'intervals \[\d+\]:\s*xmin = ([-\d.eE]+)\s*xmax = ([-\d.eE]+)\s*text = "((?:[^"]|"")*)"'
@@ -23,7 +24,7 @@ def read_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     numbered = raw.withColumn("line", F.monotonically_increasing_id())
     parsed = numbered.withColumn("r", F.from_json("value", RECORD, {"mode": "PERMISSIVE"})).filter(F.col("r.unit_id").isNotNull() & F.rtrim("value").endswith("}"))
-    last = F.row_number().over(Window.partitionBy("r.unit_id").orderBy(F.col("file").desc(), F.col("line").desc()))
+    last = F.row_number().over(Window.partitionBy("r.unit_id").orderBy(F.col("file").desc(), F.col("block").desc(), F.col("line").desc()))
     return parsed.withColumn("n", last).filter("n = 1").select("r.*")
 
 
@@ -62,6 +63,17 @@ def write_csv(df: DataFrame, path: str, digits: int = 5) -> None:
         df.select(*(fmt(c, t) for c, t in df.dtypes)).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def write_splits(df: DataFrame, path: str, split: str = "split", digits: int = 3) -> None:
+    """CSV files with a header in a folder a split, doubles rounded to `digits` places; each task writes its own rows, null and empty splits share a folder."""
+    show = lambda c, t: F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c)
+    df.select(*(show(c, t) for c, t in df.dtypes)).write.partitionBy(split).mode("overwrite").csv(path, header=True)
+
+
+def read_csv_columns(spark: SparkSession, path: str, schema: str, columns: Sequence[str]) -> DataFrame:
+    """Chosen columns of CSV files with a header; the others are not parsed. A name that the schema lacks is an error."""
+    return spark.read.csv(path, schema=schema, header=True, enforceSchema=False).select(*columns)
+
+
 def write_words(df: DataFrame, path: str) -> None:
     """The compact word table: narrow types, zstd."""
     df.withColumns({"p": F.col("p").cast("float"), "correct": F.col("correct").cast("byte")}).write.mode("overwrite").parquet(path, compression="zstd")
@@ -78,6 +90,22 @@ def markdown(df: DataFrame, percent: tuple[str, ...] = ()) -> str:
     return "\n".join("| " + " | ".join(r) + " |" for r in [df.columns, ["---"] * len(df.columns), *rows])
 
 
+def markdown_report(df: DataFrame, order: Sequence[str], percent: Sequence[str] = (), digits: int = 3) -> DataFrame:
+    """(report): one row, the table as Markdown, its lines made and ordered by `order` on the executors. Doubles get `digits` places, those of `percent` become
+    percents with one; nulls and NaN are empty, a `|` in a text is escaped. An empty table is its two head lines. The lines of one report meet in one row: it is for small tables."""
+
+    def show(c: str, t: str) -> Column:
+        if t not in ("double", "float"):
+            return F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
+        text = F.format_string("%.1f%%", F.round(100 * F.col(c), 1)) if c in percent else F.format_string(f"%.{digits}f", F.round(c, digits))
+        return F.when(F.isnan(c) | F.col(c).isNull(), F.lit("")).otherwise(text)
+
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *(show(c, t) for c, t in df.dtypes)), F.lit(" |"))
+    head = f"| {' | '.join(df.columns)} |\n| {' | '.join('---' for _ in df.columns)} |"
+    lines = df.select(F.struct(*order, line.alias("__line")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return lines.select(F.array_join(F.concat(F.array(F.lit(head)), F.transform("x", lambda x: x["__line"])), "\n").alias("report"))
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A new path in the folder that spark.checkpoint.dir names, which driver and executors share; where it is unset and all run in one
     process, as in tests, below a temporary folder."""

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from triagelake.sources import records
+
 
 def live_turns(turns: DataFrame, name: str, log: str, checkpoint: str) -> StreamingQuery:
     """Starts a query that appends each batch's turns, in order of start, and the progress after it to the event log at `log`.
@@ -109,8 +111,13 @@ def event_counts(events: DataFrame, width: str = "1 day", late: str = "10 minute
     return grouped.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def words_of_segments(records: DataFrame) -> DataFrame:
+def words_of_segments(decoded: DataFrame) -> DataFrame:
     """Each segment of decoder records with the words that start in it: [start, end + 1 ms)."""
-    seg = records.select("unit_id", "words", F.posexplode("segments").alias("segment", "s"))
+    seg = decoded.select("unit_id", "words", F.posexplode("segments").alias("segment", "s"))
     inside = F.filter("words", lambda w: (w["start"] >= F.col("s.start")) & (w["start"] < F.col("s.end") + 1e-3))
     return seg.select("unit_id", "segment", F.col("s.text").alias("text"), F.transform(inside, lambda w: w["word"]).alias("words"))
+
+
+def latest_words(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(unit_id, words): the words of each unit's last record, in files and lines by order; a last record without words has none, torn lines don't count."""
+    return records.read_records(spark, paths).select("unit_id", F.coalesce("words", F.array().cast(records.WORDS)).alias("words"))
