@@ -74,14 +74,15 @@ def sv_decoder_words(spark, d):
 
 
 _TERMS = LEX + r""", b AS (SELECT regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS t FROM benchmark),
-terms AS (SELECT term FROM lex UNION SELECT array_to_string(t[i:i + n - 1], ' ') FROM b, range(1, len(t) + 1) u(i), (VALUES (2), (3)) v(n) WHERE i + n - 1 <= len(t)),
+terms AS MATERIALIZED (SELECT term FROM lex UNION SELECT array_to_string(t[i:i + n - 1], ' ') FROM b, range(1, len(t) + 1) u(i), (VALUES (2), (3)) v(n) WHERE i + n - 1 <= len(t)),
 docs AS (SELECT doc_id AS unit_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS t FROM documents),
-best AS (SELECT unit_id, i - 1 AS start, max(n) AS length FROM docs, range(1, len(t) + 1) u(i), (VALUES (1), (2), (3)) v(n) SEMI JOIN terms ON term = array_to_string(t[i:i + n - 1], ' ') WHERE i + n - 1 <= len(t) GROUP BY ALL),
-walk AS (SELECT unit_id, -1::BIGINT AS start, 0::BIGINT AS length, 0::BIGINT AS stop FROM docs UNION ALL
-  SELECT b.unit_id, b.start, b.length, b.start + b.length FROM walk ASOF JOIN best b ON walk.unit_id = b.unit_id AND walk.stop <= b.start)"""
+grams AS (SELECT unit_id, n AS length, unnest(range(0, len(t) - n + 1)) AS start, unnest([array_to_string(t[k + 1:k + n], ' ') FOR k IN range(0, len(t) - n + 1)]) AS term FROM docs, (VALUES (1), (2), (3)) v(n) WHERE len(t) >= n),
+best AS MATERIALIZED (SELECT unit_id, start, max(length) AS length FROM grams SEMI JOIN terms USING (term) GROUP BY ALL),
+nxt AS MATERIALIZED (SELECT a.unit_id, a.start, a.length, b.start AS next_start FROM best a ASOF LEFT JOIN best b ON a.unit_id = b.unit_id AND a.start + a.length <= b.start),
+walk AS (SELECT * FROM nxt WHERE (unit_id, start) IN (SELECT (unit_id, min(start)) FROM best GROUP BY unit_id) UNION ALL SELECT nxt.* FROM walk JOIN nxt ON nxt.unit_id = walk.unit_id AND nxt.start = walk.next_start)"""
 
 
-@query("tx_term_find", "RECURSIVE " + _TERMS, "SELECT unit_id, CAST(start AS INT) AS start, CAST(length AS INT) AS length FROM walk WHERE start >= 0")
+@query("tx_term_find", "RECURSIVE " + _TERMS, "SELECT unit_id, CAST(start AS INT) AS start, CAST(length AS INT) AS length FROM walk")
 def tx_term_find(spark, d):
     """Terms of one to three words: the words of the lexicon, and what stands side by side in the benchmark."""
     b = table(spark, d, "benchmark").select("item_id", tokens_of(F.lower("text")).alias("t"))
