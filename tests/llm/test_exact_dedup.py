@@ -33,3 +33,24 @@ def test_normalisation_is_a_parameter(spark):
 
     rows = spark.createDataFrame([(1, "A"), (2, "a")], "doc_id long, text string")
     assert {r["keep_id"] for r in mark_duplicates(rows, normalise=F.lower).collect()} == {2}
+
+
+def test_texts_that_nobody_asks_for_are_not_shuffled_to_their_groups(spark, tmp_path):
+    rng = random.Random(13)
+    rows = [(i, rng.randbytes(1000).hex()) for i in range(2999)]  # a pair of 3000 is not hot: its group comes by shuffle
+    spark.createDataFrame([*rows, (2999, rows[0][1])], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    context, broadcast = spark.sparkContext, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def shuffled():
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        marked = mark_duplicates(spark.read.parquet(str(tmp_path / "docs")))
+        before = shuffled()
+        assert sum(r["kept"] for r in marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()) == 2999
+        assert 0 < shuffled() - before < 1_000_000  # the texts are 6 MB
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)

@@ -39,13 +39,14 @@ def mark_duplicates(
     text = normalise(F.coalesce(F.col(text_col), F.lit("")))
     results = ["keep_id", "group_size", "kept", "text_sha256"]
     groups = materialise(combine_copies(docs, text, id_col=id_col, salts=salts).filter("n > 1"), "copies")
-    # The columns of `docs` go in a struct, so that their names clash with none here.
-    kept = [c for c in docs.columns if c not in results or c in (id_col, text_col)]
-    rows = docs.select(F.struct(*(f"`{c}`" for c in kept)).alias("row"), F.col(id_col).alias("id"), F.sha2(text, 256).alias("text_sha256"))
+    # The columns of `docs` get names of their own, which clash with none here; those that nobody asks for are not shuffled, as fields of a struct would be.
+    kept = {f"row_{i}": c for i, c in enumerate(docs.columns) if c not in results or c in (id_col, text_col)}
+    rows = docs.select(*(F.col(f"`{c}`").alias(own) for own, c in kept.items()), F.col(id_col).alias("id"), F.sha2(text, 256).alias("text_sha256"))
     groups = groups.withColumnsRenamed({"digest": "text_sha256", "keep_id": "keep"}).withColumn("size", F.col("n"))
     out = attach_by_key(rows, groups, "text_sha256", ["keep", "size"], docs.count(), F.col("id"))
     keep_id = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep"))
-    return out.select("row.*", keep_id.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(keep_id).alias("kept"), "text_sha256")
+    found = [keep_id.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(keep_id).alias("kept"), F.col("text_sha256")]
+    return out.select(*(F.col(own).alias(c) for own, c in kept.items()), *found)
 
 
 def one_of_repeats(marked: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
