@@ -8,7 +8,7 @@ are views of Arrow's own buffer of the texts, and Arrow finds the distinct ones.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +78,7 @@ class Lists:
             self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
         while ends[-1] > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.flat[self.ends[row] : ends[-1]] = np.fromiter((x for one in lists for x in one), self.flat.dtype, int(ends[-1] - self.ends[row]))
+        self.flat[self.ends[row] : ends[-1]] = np.fromiter(chain.from_iterable(lists), self.flat.dtype, int(ends[-1] - self.ends[row]))
         self.ends[row + 1 : row + 1 + len(lists)] = ends
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

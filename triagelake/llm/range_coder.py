@@ -7,11 +7,11 @@ number of different ids that came before its first appearance. Three predictions
 * order 0 gives each slot its frequency in the block so far (as of the last refresh; 1 for slots that are newer).
 
 The mix is w2 [s = p2] + w1 [s = p1] + w0 f(s), and the rest is for an id that the block has not had. The weights are learnt, a set
-for each pair of confidences and agreement of the two. A new id is coded by a fixed law that falls with its rank, as the
-frequencies of a BPE's ids do.
+for each pair of confidences and agreement of the two. The new ids of a block, in order, are a stream of their own: they are coded by a
+fixed law that falls with their rank, as the frequencies of a BPE's ids do, and no other step needs to know them.
 
-All blocks of a batch are coded in step, one id of each block at a time, so that numpy does the work. Weights are
-integers; divisions by float are of integers below 2^53 and exact once rounded down.
+All blocks of a batch are coded in step, one id of each block at a time, so that numpy does the work. Ranges are
+doubles that hold integers below 2^50: sums, products and quotients once rounded down are exact.
 """
 
 from __future__ import annotations
@@ -27,20 +27,24 @@ BLOCK = 4096
 IDS = 1 << 16
 #: Positions of a block at which order 0 is counted anew.
 REFRESH = frozenset((64, 384, 1280, 2688))
-_BITS, _ONE = 15, 1 << 15
-#: Weights of order 2, 1 and 0 at first, and what they move to by 1 / 2^_RATE when each, or a new id, was right.
+_ONE = 1 << 15
+#: Weights of order 2, 1 and 0 at first, 16 bits each. At each use they lose 1 / 2^_RATE, and what was right (or a new id) gains the most.
 _LEAST, _RATE = 256, 5
 _MOST = _ONE - 4 * _LEAST
 _FIRST = np.array([_ONE // 4, _ONE // 8, _ONE // 4, 0], np.int16).view(np.int64)
-_GOALS = np.array([[_MOST if i == k else _LEAST for i in range(3)] + [0] for k in range(4)], np.int16).view(np.int64).ravel()
-#: A range is at least _LOW after each id, and below 2^_HIGH; digits have 16 bits.
-_LOW, _HIGH = 1 << 32, 48
+_GAINS = np.array([[(_MOST if i == k else _LEAST) >> _RATE for i in range(3)] + [0] for k in range(4)], np.int16).view(np.int64).ravel()
+_LOSS = int(np.full(4, (1 << 16 - _RATE) - 1, np.int16).view(np.int64)[0])
+#: A range is at least _LOW after each id, and below _TOP; digits have 16 bits.
+_LOW, _TOP, _DIGIT = 2.0**32, 2.0**48, 2.0**16
 _STRIDE = BLOCK + 2
-_HEAD = struct.Struct("<III")
+#: Of a coded block: ids, digits of slots, digits of new ids, checksum.
+_HEAD = struct.Struct("<HHHI")
 #: The law of new ids: cumulative frequencies of 2^22 / (id + 64), integers.
-_LAW = np.concatenate(([0], np.cumsum((1 << 22) // (np.arange(IDS, dtype=np.int64) + 64))))
-_LAW_TOTAL = int(_LAW[-1])
+_LAW = np.concatenate(([0], np.cumsum((1 << 22) // (np.arange(IDS, dtype=np.int64) + 64)))).astype(np.float64)
+_LAW_TOTAL = _LAW[-1]
 ORDER_2, ORDER_1, ORDER_0, NEW = range(4)
+#: What a follower's entry gains by its confidence, when it was wrong and when it was right.
+_TRUST = np.array([0, -1, -1, -1, 1, 1, 1, 0], np.int16).view(np.uint16)
 
 
 class _Model:
@@ -49,96 +53,251 @@ class _Model:
     def __init__(self, lanes: int):
         self.lanes = lanes
         rows = np.arange(lanes, dtype=np.int64)
-        self.base, self.row = rows * _STRIDE, rows * 32
+        self.base, self.row, self.lane = rows * _STRIDE, rows * 32, rows
         #: What followed each context of order 1 and 2: slot * 4 + confidence.
-        self.followers, self.two = np.zeros(2 * lanes * _STRIDE, np.uint16), lanes * _STRIDE
-        #: Order 0: first place of each slot, slot of each place, and counts since the block began.
+        self.one, self.two = np.zeros(lanes * _STRIDE, np.uint16), np.zeros(lanes * _STRIDE, np.uint16)
+        #: Order 0: first place of each slot, slot of each place (of the one after the last: the next new slot), and counts since the block began.
         self.first, self.slot_at, self.counts = (np.zeros(lanes * _STRIDE, np.uint16) for _ in range(3))
+        self.after = self.first[1:]
         # The first slot has a place before there is one, so that there is something to divide by.
         self.total, self.known = np.ones(lanes), np.zeros(lanes, np.uint16)
         self.weights = np.repeat(_FIRST, lanes * 32)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.last, self.before, self.at = np.zeros(lanes, np.uint16), np.zeros(lanes, np.uint16), self.base
+        self._room()
+
+    def _room(self) -> None:
+        self.entry, self.ends = np.empty((2, self.lanes), np.uint16), np.zeros((5, self.lanes))
+        self.flat, self.offsets = self.ends.ravel(), np.arange(4) * self.lanes
 
     def narrow(self, lanes: int) -> None:
         """Goes on with the first lanes only."""
         self.lanes = lanes
-        for name in ("base", "row", "total", "known", "last", "before"):
+        for name in ("base", "row", "lane", "total", "known", "last", "before", "at"):
             setattr(self, name, getattr(self, name)[:lanes])
+        self._room()
 
     def predict(self, span: np.ndarray) -> None:
         """The ends of the parts of the range `span`: order 2's slot, order 1's, order 0 (a unit for each count), a new id."""
-        self.at = np.empty((2, self.lanes), np.int64)
-        np.add(self.base, self.last, out=self.at[0])
-        np.add(self.base, (self.last * 0x9E5 + self.before) & (BLOCK - 1), out=self.at[1])
-        self.at[1] += self.two
-        self.entry = self.followers.take(self.at)
-        self.trust = self.entry & 3
-        self.foretold = self.entry >> 2
-        agree = self.foretold[0] == self.foretold[1]
-        self.mix = self.row + ((self.trust[1] << 3) + (self.trust[0] << 1) + agree)
-        self.w = self.weights.take(self.mix).view(np.int16).reshape(-1, 4)
-        r = span >> _BITS
-        self.end2 = self.w[:, 0] * r
-        self.end1 = self.end2 + self.w[:, 1] * r
-        self.unit = (self.w[:, 2] * r / self.total).astype(np.int64)
-        self.end0 = self.end1 + (self.total * self.unit).astype(np.int64)
+        self.at1, self.at2 = self.at, (self.last * np.uint16(0x9E5) + self.before & np.uint16(BLOCK - 1)).astype(np.int64)
+        self.at2 += self.base
+        self.one.take(self.at1, out=self.entry[0], mode="clip")
+        self.two.take(self.at2, out=self.entry[1], mode="clip")
+        self.trust = self.entry & np.uint16(3)
+        self.foretold = self.entry >> np.uint16(2)
+        mix = (self.trust[1] << np.uint16(2)) + self.trust[0] << np.uint16(1)
+        mix |= self.foretold[0] == self.foretold[1]
+        self.mix = mix.astype(np.int64)
+        self.mix += self.row
+        self.w = self.weights.take(self.mix, mode="clip")
+        w, r, ends = self.w.view(np.int16).astype(np.float64), np.floor(span * (1 / _ONE)), self.ends
+        np.multiply(w[::4], r, out=ends[1])
+        np.multiply(w[1::4], r, out=ends[2])
+        ends[2] += ends[1]
+        r *= w[2::4]
+        r /= self.total
+        self.unit = np.floor(r, out=r)
+        np.multiply(self.total, self.unit, out=ends[3])
+        ends[3] += ends[2]
+        ends[4] = span
 
     def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which part holds `value`, and the slot it stands for (of a new id: the next one)."""
-        past2, past1, past0 = value >= self.end2, value >= self.end1, value >= self.end0
-        place = ((value - self.end1) / self.unit).astype(np.int64) * (past1 & ~past0)
-        old = self.slot_at.take(self.base + place)
-        slot = np.where(past1, np.where(past0, self.known, old), np.where(past2, self.foretold[0], self.foretold[1]))
-        return past2.view(np.int8) + past1.view(np.int8) + past0.view(np.int8), slot
+        past = value >= self.ends[1:4]
+        place = value - self.ends[2]
+        place /= self.unit
+        np.fmin(place, self.total, out=place)
+        at = np.maximum(place, 0, out=place).astype(np.int64)
+        at += self.base
+        slot = self.slot_at.take(at, mode="clip")
+        # Chosen by masks of bits, as branches on what is random are slow.
+        masks = np.negative(past[:2].astype(np.uint16))
+        early = self.foretold[1] ^ (self.foretold[0] ^ self.foretold[1]) & masks[0]
+        slot = early ^ (early ^ slot) & masks[1]
+        self.right = self.foretold == slot
+        past = past.view(np.int8)
+        return (past[0] + past[1] + past[2]).astype(np.int64), slot
 
-    def part_of(self, slot: np.ndarray, new: np.ndarray) -> np.ndarray:
+    def part_of(self, slot: np.ndarray) -> np.ndarray:
         """The part in which a slot is coded."""
-        return np.where(new, NEW, np.where(slot == self.foretold[1], ORDER_2, np.where(slot == self.foretold[0], ORDER_1, ORDER_0)))
+        self.right = self.foretold == slot
+        order1, order2 = self.right.view(np.int8)
+        part = (np.int8(ORDER_0) - order1) * (np.int8(1) - order2)
+        return (part | (slot == self.known).view(np.int8) * np.int8(NEW)).astype(np.int64)
 
-    def interval(self, part: np.ndarray, slot: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def interval(self, part: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where in the range a slot's interval starts and how long it is."""
-        at = self.base + slot
-        first = self.first.take(at)
-        count = self.first.take(at + 1) - first
-        early, order2, order0 = part < ORDER_0, part == ORDER_2, part == ORDER_0
-        start = np.where(early, np.where(order2, 0, self.end2), np.where(order0, self.end1 + first * self.unit, self.end0))
-        size = np.where(early, np.where(order2, self.end2, self.end1 - self.end2), np.where(order0, count * self.unit, span - self.end0))
+        self.at = at = slot.astype(np.int64)
+        at += self.base
+        order0, end = part == ORDER_0, self.offsets.take(part, mode="clip")
+        end += self.lane
+        start = self.flat.take(end, mode="clip")
+        size = self.flat[self.lanes :].take(end, mode="clip")
+        size -= start
+        # Of order 0, its slot's share of the part; of others, the part.
+        first, mask = self.first.take(at, mode="clip"), order0.astype(np.float64)
+        count = self.after.take(at, mode="clip") - first
+        share = self.unit * mask
+        start += first.astype(np.float64) * share
+        size *= 1 - mask
+        size += count.astype(np.float64) * share
         return start, size
 
-    def learn(self, part: np.ndarray, slot: np.ndarray, new: np.ndarray) -> None:
-        """Takes the slots of a step; `new` are the lanes in which the block had no such id before."""
-        goal = _GOALS.take(part).view(np.int16).reshape(-1, 4)
-        self.weights[self.mix] = (self.w + (goal - self.w >> _RATE)).view(np.int64).ravel()
-        slot16 = slot.astype(np.uint16)
-        wrong = np.where(self.trust > 0, self.entry - 1, slot16 << 2)
-        self.followers[self.at] = np.where(self.foretold == slot16, self.entry + (self.trust < 3), wrong)
+    def learn(self, part: np.ndarray, slot: np.ndarray) -> None:
+        """Takes the slots of a step and the parts they are in."""
+        loss = self.w >> _RATE
+        loss &= _LOSS
+        self.w -= loss
+        self.w += _GAINS.take(part, mode="clip")
+        self.weights[self.mix] = self.w
+        # An entry that was right gains confidence; one that was wrong loses it, or without any goes over to the slot.
+        unsure = self.trust == 0
+        entry = self.entry + (self.right > (self.trust == 3)).astype(np.uint16)
+        entry -= (self.right < ~unsure).astype(np.uint16)
+        entry ^= (self.entry ^ slot << np.uint16(2)) & np.negative((unsure > self.right).astype(np.uint16))
+        self.one[self.at1] = entry[0]
+        self.two[self.at2] = entry[1]
+        new = np.flatnonzero(part == NEW)
         if len(new):
-            known, total, base = self.known[new].astype(np.int64), self.total[new].astype(np.int64), self.base[new]
-            self.slot_at[base + total] = known
-            self.first[base + known + 1] = total + 1
-            self.known[new] += 1
-            self.total[new] = total + 1
-        self.before, self.last = self.last, slot.astype(np.int64)
+            known, total = slot[new] + np.uint16(1), self.total[new] + 1
+            self.known[new], self.total[new] = known, total
+            self.after[self.at[new]] = total
+            self.slot_at[self.base[new] + total.astype(np.int64)] = known
+        self.before, self.last = self.last, slot
 
     def refresh(self, slots: np.ndarray, done: int) -> None:
         """Counts order 0 anew from all `done` slots of each lane; `slots` are those since the last time, (ids, lanes)."""
-        n = self.lanes * _STRIDE
-        self.counts[:n] += np.bincount((slots + self.base).ravel(), minlength=n)[:n].astype(np.uint16)
+        n, most = self.lanes * _STRIDE, int(self.known.max())
         counts, first, slot_at = (x[:n].reshape(self.lanes, _STRIDE) for x in (self.counts, self.first, self.slot_at))
-        most = int(self.known.max())
+        counts[:, :most] += np.bincount((slots + self.lane * most).ravel(), minlength=self.lanes * most).reshape(self.lanes, most).astype(np.uint16)
         first[:, 1 : most + 1] = np.cumsum(counts[:, :most], axis=1, dtype=np.uint16)
         kinds = np.broadcast_to(np.arange(most, dtype=np.uint16), (self.lanes, most))
         slot_at[:, :done] = np.repeat(kinds.ravel(), counts[:, :most].ravel()).reshape(self.lanes, done)
+        slot_at[:, done] = self.known
         self.total[:] = done
 
 
-def _slots(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The slot of each id of a block, and whether it is new there."""
-    order, seen = np.arange(len(ids)), np.empty(IDS, np.int64)
+class _Writer:
+    """The ranges of every lane, and the digits that they give out: rows of digits with those lanes that they are of."""
+
+    def __init__(self, lanes: int):
+        self.low, self.span, self.rows = np.zeros(lanes), np.full(lanes, _TOP), []
+
+    def code(self, start: np.ndarray, size: np.ndarray) -> None:
+        """Goes on, in as many lanes as there are sizes, with these intervals of the ranges."""
+        low = self.low[: len(size)]
+        low += start
+        while True:
+            small = size < _LOW
+            digit, given = np.floor(low * (1 / _LOW)), small.astype(np.float64)
+            self.rows.append((digit.astype(np.int32), small))
+            digit *= given
+            digit *= _LOW
+            low -= digit
+            given *= _DIGIT - 1
+            given += 1
+            low *= given
+            size *= given
+            if size.min() >= _LOW:
+                break
+        self.span[: len(size)] = size
+
+    def finish(self) -> list[np.ndarray]:
+        """The digits of each lane."""
+        lanes, low = len(self.low), self.low
+        for _ in range(3):
+            digit = np.floor(low * (1 / _LOW))
+            self.rows.append((digit.astype(np.int32), np.ones(lanes, bool)))
+            low = (low - digit * _LOW) * _DIGIT
+        digits, given = np.zeros((lanes, len(self.rows)), np.int32), np.zeros((lanes, len(self.rows)), bool)
+        for at in range(0, len(self.rows), 64):
+            # Some rows at a time, so that turning them stays in the cache; rows get shorter as lanes end.
+            some = self.rows[at : at + 64]
+            block, mask = np.zeros((len(some), lanes), np.int32), np.zeros((len(some), lanes), bool)
+            for i, (row, of) in enumerate(some):
+                block[i, : len(row)], mask[i, : len(row)] = row, of
+            digits[:, at : at + len(some)], given[:, at : at + len(some)] = block.T, mask.T
+        ends = np.cumsum(np.count_nonzero(given, axis=1))
+        digits = digits[given]
+        # Digits of more than 16 bits carry into the one before, never out of a lane.
+        while len(over := np.flatnonzero(digits >> 16)):
+            carry = digits[over] >> 16
+            digits[over] &= 0xFFFF
+            digits[over - 1] += carry
+        return np.split(digits.astype(">u2"), ends[:-1])
+
+
+class _Reader:
+    """The ranges of every lane, and where in them the next ids are."""
+
+    def __init__(self, digits: list[np.ndarray]):
+        lanes, width = len(digits), max(map(len, digits)) + 8
+        rows = np.zeros((lanes, width), np.uint16)
+        for row, some in zip(rows, digits, strict=True):
+            row[: len(some)] = some
+        self.digits, self.value, self.span, self.used = rows.ravel(), rows[:, :3] @ np.array([_LOW, _DIGIT, 1]), np.full(lanes, _TOP), np.arange(lanes, dtype=np.int64) * width + 3
+
+    def code(self, start: np.ndarray, size: np.ndarray) -> None:
+        """Goes on, in as many lanes as there are sizes, with these intervals of the ranges."""
+        value, used = self.value[: len(size)], self.used[: len(size)]
+        value -= start
+        while True:
+            small = size < _LOW
+            # Damaged blocks may ask for more digits than there are.
+            given, digit = small.astype(np.float64), self.digits.take(used, mode="clip").astype(np.float64)
+            used += small
+            digit *= given
+            given *= _DIGIT - 1
+            given += 1
+            size *= given
+            value *= given
+            value += digit
+            if size.min() >= _LOW:
+                break
+        self.span[: len(size)] = size
+
+
+def _order(sizes: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The lanes by falling size, and how many have an id at each step."""
+    order = np.argsort(-sizes, kind="stable")
+    return order, np.searchsorted(-sizes[order], -np.arange(int(sizes.max())), side="left").tolist()
+
+
+def _encode_new(ids: list[np.ndarray]) -> list[np.ndarray]:
+    """The digits of each block's new ids."""
+    sizes = np.array(list(map(len, ids)))
+    order, active = _order(sizes)
+    coded, table = _Writer(len(ids)), np.zeros((len(ids), len(active)), np.int64)
+    for row, lane in zip(table, order, strict=True):
+        row[: sizes[lane]] = ids[lane]
+    for value, n in zip(np.ascontiguousarray(table.T), active, strict=True):
+        start, r = _LAW.take(value[:n]), np.floor(coded.span[:n] / _LAW_TOTAL)
+        coded.code(r * start, r * (_LAW.take(value[:n] + 1) - start))
+    return [digits for _, digits in sorted(zip(order.tolist(), coded.finish(), strict=True), key=lambda x: x[0])]
+
+
+def _decode_new(digits: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """The new ids of each block, by slot."""
+    order, active = _order(sizes.astype(np.int64))
+    coded, found = _Reader([digits[i] for i in order]), np.zeros((len(active), len(digits)), np.uint16)
+    for row, n in zip(found, active, strict=True):
+        r = np.floor(coded.span[:n] / _LAW_TOTAL)
+        value = np.searchsorted(_LAW, np.fmin(np.floor(coded.value[:n] / r), _LAW_TOTAL - 1), side="right") - 1
+        start = _LAW.take(value)
+        row[:n] = value
+        coded.code(r * start, r * (_LAW.take(value + 1) - start))
+    # Damaged blocks may have slots without an id.
+    ids = np.zeros((len(digits), len(active) + 1), np.uint16)
+    ids[order, :-1] = found.T
+    return ids
+
+
+def _slots(ids: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slot of each id of a block, and whether it is new there; `seen` has room for a place of each id."""
+    order = np.arange(len(ids), dtype=np.uint16)
     seen[ids[::-1]] = order[::-1]
     first = seen[ids]
     new = first == order
-    return (np.cumsum(new) - 1)[first], new
+    return (np.cumsum(new, dtype=np.uint16) - np.uint16(1))[first], new
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
@@ -147,132 +306,66 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     length = np.array([len(b) for b in blocks])
     if not lanes or np.any(np.diff(length) > 0) or length[0] > BLOCK or length[-1] < 1:
         raise ValueError("blocks must hold 1 to BLOCK ids, longer ones first")
-    if max(int(b.max()) for b in blocks) >= IDS or min(int(b.min()) for b in blocks) < 0:
+    if any(b.dtype != np.uint16 and (int(b.max()) >= IDS or int(b.min()) < 0) for b in blocks):
         raise ValueError(f"ids must be below {IDS}")
-    steps = int(length[0])
-    ids, slots, new = np.zeros((lanes, steps), np.uint16), np.zeros((lanes, steps), np.uint16), np.zeros((lanes, steps), bool)
-    for i, b in enumerate(blocks):
-        ids[i, : len(b)] = b
-        slots[i, : len(b)], new[i, : len(b)] = _slots(b)
-    ids, slots, new = np.ascontiguousarray(ids.T), np.ascontiguousarray(slots.T), np.ascontiguousarray(new.T)
-    model = _Model(lanes)
-    width = 2 * steps + 8
-    low, span, used = np.zeros(lanes, np.int64), np.full(lanes, 1 << _HIGH, np.int64), np.arange(lanes, dtype=np.int64) * width
-    digits = np.zeros(lanes * width, np.int32)
-
-    def settle(some: np.ndarray) -> None:
-        """Gives digits out until the ranges of these lanes are wide enough."""
-        while len(some):
-            at, value, size = used[some], low[some], span[some] << 16
-            digits[at] = value >> _HIGH - 16
-            used[some] = at + 1
-            low[some] = (value & (1 << _HIGH - 16) - 1) << 16
-            span[some] = size
-            some = some[size < _LOW]
-
-    active, begun = lanes, 0
-    for t in range(steps):
+    slots, fresh, seen = np.zeros((lanes, int(length[0])), np.uint16), [], np.empty(IDS, np.uint16)
+    for row, b in zip(slots, blocks, strict=True):
+        row[: len(b)], new = _slots(b, seen)
+        fresh.append(b[new])
+    slots = np.ascontiguousarray(slots.T)
+    model, coded, active, begun = _Model(lanes), _Writer(lanes), lanes, 0
+    for t, slot in enumerate(slots):
         if length[active - 1] <= t:
             active = int(np.searchsorted(-length, -t, side="left"))
             model.narrow(active)
         if t in REFRESH:
             model.refresh(slots[begun:t, :active], t)
             begun = t
-        here = span[:active]
-        model.predict(here)
-        slot = slots[t, :active]
-        part = model.part_of(slot, new[t, :active])
-        start, size = model.interval(part, slot, here)
-        low[:active] += start
-        span[:active] = size
-        settle(np.flatnonzero(size < _LOW))
-        fresh = np.flatnonzero(new[t, :active])
-        if len(fresh):
-            value = ids[t, fresh].astype(np.int64)
-            r = span[fresh] // _LAW_TOTAL
-            low[fresh] += r * _LAW[value]
-            size = r * (_LAW[value + 1] - _LAW[value])
-            span[fresh] = size
-            settle(fresh[size < _LOW])
-        model.learn(part, slot, fresh)
-    for _ in range(3):
-        digits[used] = low >> _HIGH - 16
-        used += 1
-        low = (low & (1 << _HIGH - 16) - 1) << 16
-    digits, used = digits.reshape(lanes, width), used - np.arange(lanes) * width
-    for t in range(int(used.max()) - 1, 0, -1):
-        carry = digits[:, t] >> 16
-        if carry.any():
-            digits[:, t] &= 0xFFFF
-            digits[:, t - 1] += carry
+        slot = slot[:active]
+        model.predict(coded.span[:active])
+        part = model.part_of(slot)
+        coded.code(*model.interval(part, slot))
+        model.learn(part, slot)
     out = []
-    for i, b in enumerate(blocks):
-        body = digits[i, : used[i]].astype(">u2").tobytes()
-        out.append(_HEAD.pack(len(b), len(body), zlib.crc32(np.asarray(b, "<u4").tobytes())) + body)
+    for b, of_slots, of_new in zip(blocks, coded.finish(), _encode_new(fresh), strict=True):
+        out.append(_HEAD.pack(len(b), len(of_slots), len(of_new), zlib.crc32(np.asarray(b, "<u4").tobytes())) + of_slots.tobytes() + of_new.tobytes())
     return out
 
 
 def record_size(data: bytes, at: int = 0) -> int:
     """Bytes of the coded block that starts there."""
-    return _HEAD.size + _HEAD.unpack_from(data, at)[1]
+    _, of_slots, of_new, _ = _HEAD.unpack_from(data, at)
+    return _HEAD.size + 2 * (of_slots + of_new)
 
 
+@np.errstate(over="ignore", invalid="ignore")  # values of damaged blocks may leave their ranges until the checksum tells
 def decode(records: list[bytes]) -> list[np.ndarray]:
     """The ids of coded blocks, the longer ones first; raises if one doesn't fit its checksum."""
     lanes = len(records)
     heads = [_HEAD.unpack_from(r) for r in records]
     length = np.array([h[0] for h in heads])
-    width = max(h[1] for h in heads) // 2 + 8
-    digits = np.zeros((lanes, width), np.int64)
-    for i, (r, h) in enumerate(zip(records, heads, strict=True)):
-        digits[i, : h[1] // 2] = np.frombuffer(r, ">u2", h[1] // 2, _HEAD.size)
-    steps = int(length[0])
-    model, slots, ids = _Model(lanes), np.zeros((steps, lanes), np.uint16), np.zeros((lanes, BLOCK), np.uint16)
-    code, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << _HIGH, np.int64)
-    used, ends = np.arange(lanes, dtype=np.int64) * width, np.arange(1, lanes + 1, dtype=np.int64) * width - 1
-    digits = digits.ravel()
-
-    def settle(some: np.ndarray) -> None:
-        """Takes digits in until the ranges of these lanes are wide enough."""
-        while len(some):
-            at, size = used[some], span[some] << 16
-            code[some] = code[some] << 16 | digits[np.minimum(at, ends[some])]
-            used[some] = at + 1
-            span[some] = size
-            some = some[size < _LOW]
-
+    if length.max() > BLOCK:
+        raise ValueError("a block of token ids is damaged")
+    model, slots = _Model(lanes), np.zeros((int(length[0]), lanes), np.uint16)
+    known = model.known
+    coded = _Reader([np.frombuffer(r, ">u2", h[1], _HEAD.size) for r, h in zip(records, heads, strict=True)])
     active, begun = lanes, 0
-    for _ in range(3):
-        code = code << 16 | digits[np.minimum(used, ends)]
-        used += 1
-    for t in range(steps):
+    for t, row in enumerate(slots):
         if length[active - 1] <= t:
             active = int(np.searchsorted(-length, -t, side="left"))
             model.narrow(active)
         if t in REFRESH:
             model.refresh(slots[begun:t, :active], t)
             begun = t
-        here = span[:active]
-        model.predict(here)
-        part, slot = model.find(code[:active])
-        fresh = np.flatnonzero(part == NEW)
-        start, size = model.interval(part, slot, here)
-        code[:active] -= start
-        span[:active] = size
-        settle(np.flatnonzero(size < _LOW))
-        if len(fresh):
-            r = span[fresh] // _LAW_TOTAL
-            value = np.searchsorted(_LAW, np.minimum(code[fresh] // r, _LAW_TOTAL - 1), side="right") - 1
-            code[fresh] -= r * _LAW[value]
-            size = r * (_LAW[value + 1] - _LAW[value])
-            span[fresh] = size
-            settle(fresh[size < _LOW])
-            ids[fresh, slot[fresh]] = value
-        slots[t, :active] = slot
-        model.learn(part, slot, fresh)
+        model.predict(coded.span[:active])
+        part, slot = model.find(coded.value[:active])
+        coded.code(*model.interval(part, slot))
+        row[:active] = slot
+        model.learn(part, slot)
+    ids = _decode_new([np.frombuffer(r, ">u2", h[2], _HEAD.size + 2 * h[1]) for r, h in zip(records, heads, strict=True)], known)
     out = []
-    for i, (n, _, check) in enumerate(heads):
-        found = ids[i, slots[:n, i]].astype("<u4")
+    for own, at, (n, _, _, check) in zip(ids, np.ascontiguousarray(slots.T), heads, strict=True):
+        found = own[at[:n]].astype("<u4")
         if zlib.crc32(found.tobytes()) != check:
             raise ValueError("a block of token ids does not fit its checksum")
         out.append(found)

@@ -12,8 +12,10 @@ import json
 import os
 import struct
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,13 @@ OPEN, MARK = b"IDS1", b"#END\n"
 #: Token ids of a group, about (8 million are some 8 MB), and groups of a file at most.
 GROUP, GROUPS_A_FILE = 1 << 23, 8
 _HEAD = struct.Struct("<4sIIII")
+#: Bytes of text tokenized at once, about: the more at once, the fewer times a part is looked up.
+_AT_ONCE = 1 << 24
+#: The letters of a byte-level alphabet by byte, and the last letter of Latin Extended-B; all letters up to there have been in Unicode for long.
+_PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_OTHERS = sorted({*range(256)} - _PLAIN)
+_ALPHABET = "".join(chr(b if b in _PLAIN else 0x100 + _OTHERS.index(b)) for b in range(256))
+_LAST_LATIN = "\u024f"
 
 
 def group_record(partition: int, number: int, docs: list[int | None], sizes: list[int], ids: np.ndarray) -> bytes:
@@ -70,8 +79,8 @@ class Tokens:
     """Texts to token ids by a tokenizer of the tokenizers library, which sees each distinct part of texts once.
 
     That gives what the library gives for whole texts where it is a byte-level BPE that splits by its own pattern, since no token goes on
-    over the border of two parts; any other tokenizer gets whole texts. Words of ASCII letters, with a space or without, go to the
-    library's model directly, as they are one piece each.
+    over the border of two parts; any other tokenizer gets whole texts. Words of Latin letters, with a space or without, go to the
+    library's model directly, in the letters that stand for their bytes, as they are one piece each.
     """
 
     def __init__(self, file: str):
@@ -89,15 +98,14 @@ class Tokens:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_parts(self, first: int, parts: list[bytes]) -> None:
-        model, found, other = self.tokenizer.model, [], []
-        for part in parts:
-            word = part[1:] if part[:1] == b" " else part
-            if word.isalpha():
-                # The space is a letter of its own in a byte-level alphabet.
-                found.append([t.id for t in model.tokenize(part.decode().replace(" ", "\u0120"))])
+        tokenize, id_of, found, other = self.tokenizer.model.tokenize, attrgetter("id"), [], []
+        for at, text in enumerate(map(bytes.decode, parts)):
+            word = text[1:] if text[:1] == " " else text
+            if word.isalpha() and (word.isascii() or max(word) <= _LAST_LATIN):
+                found.append(list(map(id_of, tokenize(charmap_decode(parts[at], "strict", _ALPHABET)[0]))))
             else:
-                other.append(len(found))
-                found.append(part.decode())
+                other.append(at)
+                found.append(text)
         for at, ids in zip(other, self._encode([found[i] for i in other]), strict=True):
             found[at] = ids
         self.lists.put(first, found)
@@ -133,7 +141,7 @@ def write(docs: DataFrame, path: str, *, tokenizer_file: str, end_id: int = 0, i
         def group() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([group_record(partition, number, names, sizes, np.concatenate(held))], pa.binary())], names=["record"])
 
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", _AT_ONCE):
             ids, starts = tokens.encode_all(part.column("text"))
             if (len(ids) and ids.max() >= range_coder.IDS) or not 0 <= end_id < range_coder.IDS:
                 raise ValueError(f"the files hold ids below {range_coder.IDS}")
