@@ -83,9 +83,11 @@ class Lists:
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lists of rows one after the other, and where each starts, with the end."""
-        starts, sizes = self.ends[rows], self.ends[rows + 1] - self.ends[rows]
-        bounds = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
-        return self.flat[np.repeat(starts - bounds[:-1], sizes) + np.arange(bounds[-1])], bounds
+        width, kind = self.flat.itemsize, pa.large_binary()
+        lists = pa.Array.from_buffers(kind, len(self.ends) - 1, [None, pa.py_buffer(self.ends * width), pa.py_buffer(self.flat)])
+        found = lists.take(pa.array(rows, pa.int64()))
+        bounds = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1, found.offset * 8) // width
+        return np.frombuffer(found.buffers()[2] or b"", self.flat.dtype, bounds[-1]), bounds
 
 
 class Known(dict):
@@ -107,7 +109,8 @@ class Known(dict):
         """The number of each part."""
         self.forget(self.kept if self.kept <= self.most else self.most // 2)
         coded = parts.dictionary_encode()
-        found = coded.dictionary.to_pylist()
+        bounds, data = _offsets(coded.dictionary).tolist(), (coded.dictionary.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+        found = list(map(data.__getitem__, map(slice, bounds, bounds[1:])))
         rows = list(map(self.get, found))
         if None in rows:
             new = [p for p, row in zip(found, rows, strict=True) if row is None]

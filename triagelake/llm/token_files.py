@@ -92,7 +92,7 @@ class Tokens:
         parts = json.loads(self.tokenizer.to_str())
         split = parts["pre_tokenizer"] or {}
         self.splits = parts["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and all(t["special"] for t in parts["added_tokens"])
-        self.lists, self.known = Lists(np.int32), Known(self._encode_parts, 600_000)
+        self.lists, self.known = Lists(np.int32), Known(self._encode_parts, 1_000_000)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
