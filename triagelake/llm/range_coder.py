@@ -203,11 +203,9 @@ class _Writer:
 
     def finish(self) -> list[np.ndarray]:
         """The digits of each lane."""
-        lanes, low = len(self.low), self.low
-        for _ in range(3):
-            digit = np.floor(low * (1 / _LOW))
-            self.rows.append((digit.astype(np.int32), np.ones(lanes, bool)))
-            low = (low - digit * _LOW) * _DIGIT
+        lanes = len(self.low)
+        # Every range holds a multiple of _LOW: one digit, as readers take zeros after the last.
+        self.rows.append((np.ceil(self.low * (1 / _LOW)).astype(np.int32), np.ones(lanes, bool)))
         digits, given = np.zeros((lanes, len(self.rows)), np.int32), np.zeros((lanes, len(self.rows)), bool)
         for at in range(0, len(self.rows), 64):
             # Some rows at a time, so that turning them stays in the cache; rows get shorter as lanes end.
