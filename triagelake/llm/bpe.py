@@ -151,7 +151,8 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.split = vocabulary, regex.compile(pattern).findall
-        self.lists, self.known = Lists(np.int32), Known(self._encode_parts)
+        self.lists = Lists(np.int32)
+        self.known = Known(self.lists, vocabulary.known_fits)
         self._bytes = Lists(np.uint8)
         self._bytes.put(0, [vocabulary.bytes.get(i, b"") for i in range(max(vocabulary.bytes) + 1)])
         self._is_token = np.array([i in vocabulary.bytes for i in range(max(vocabulary.bytes) + 1)])
@@ -167,7 +168,7 @@ class Encoder:
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (none null) one after the other, and where each text's start, with the end."""
         parts, before = parts_of(texts)
-        ids, bounds = self.lists.take(self.known.rows(parts))
+        ids, bounds = self.lists.take(self.known.rows(parts, self._encode_parts))
         return ids, bounds[before]
 
     def encode(self, text: str) -> list[int]:

@@ -9,16 +9,17 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.llm.common import free_name
-from triagelake.llm.parts import Known, parts_of, slices
+from triagelake.llm.parts import Known, cuts, parts_of
 
 #: Runs of letters; words without a letter proper are dropped afterwards.
 WORDS = re.compile(r"[^\W\d_]+")
@@ -97,8 +98,8 @@ class Model:
         if not self.languages:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
         if self._sums is None:
-            self._sums = _Sums(self)
-        words, total = self._sums.of(texts)
+            self._sums = _Sums(len(self.languages))
+        words, total = self._sums.of(texts, self.score)
         likely = np.exp(total - total.max(axis=1, keepdims=True))
         best = likely.argmax(axis=1)
         share = likely[np.arange(len(likely)), best] / likely.sum(axis=1)
@@ -109,26 +110,42 @@ class Model:
         return languages[0], shares[0]
 
 
+class _Rows:
+    """Numbers by row, as many in each."""
+
+    def __init__(self, width: int):
+        self.width = width
+        self.clear()
+
+    def clear(self) -> None:
+        self.values = np.zeros((1 << 10, self.width))
+
+    def room(self, rows: int) -> np.ndarray:
+        """The values, with as many rows at least."""
+        while rows > len(self.values):
+            self.values = np.concatenate((self.values, np.zeros_like(self.values)))
+        return self.values
+
+
 class _Sums:
     """Number of words and sum of their scores, for each distinct part of texts."""
 
-    def __init__(self, model: Model):
-        self.model, self.known = model, Known(self._add)
-        self.table = np.zeros((1 << 10, 1 + len(model.languages)))
+    def __init__(self, languages: int):
+        self.table = _Rows(1 + languages)
+        self.known = Known(self.table)
 
-    def _add(self, first: int, parts: list[bytes]) -> None:
-        while first + len(parts) > len(self.table):
-            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-        for row, part in enumerate(parts, first):
-            words = words_of(part.decode())
-            self.table[row, 0] = len(words)
-            self.table[row, 1:] = sum(map(self.model.score, words)) if words else 0.0
+    def of(self, texts: pa.Array, score: Callable[[str], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        def add(first: int, parts: list[bytes]) -> None:
+            values = self.table.room(first + len(parts))
+            for row, part in enumerate(parts, first):
+                words = words_of(part.decode())
+                values[row, 0] = len(words)
+                values[row, 1:] = sum(map(score, words)) if words else 0.0
 
-    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts, before = parts_of(texts)
-        numbers = self.known.rows(parts)
-        rows = self.table[numbers]
-        sums = np.zeros((len(texts), self.table.shape[1]))
+        numbers = self.known.rows(parts, add)
+        rows = self.table.values[numbers]
+        sums = np.zeros((len(texts), rows.shape[1]))
         some = np.diff(before) > 0
         if some.any():
             sums[some] = np.add.reduceat(rows, before[:-1][some])
@@ -193,7 +210,9 @@ def fit(labelled: DataFrame, *, sample: int = 1000, id_col: str = "doc_id", lang
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
 
     counts = drawn(labelled, sample).select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return build(sorted((r["lang"], r["word"], r["n"]) for r in counts.collect()))
+    # As Arrow, since a Row takes many times the bytes of what is in it.
+    found = counts.toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
+    return build(list(zip(*(found.column(name).to_pylist() for name in ("lang", "word", "n")), strict=True)))
 
 
 def held_out(id_col: Column) -> Column:
@@ -210,13 +229,15 @@ def annotate(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    own = free_name(docs, "text")
+    # The text goes to the workers once where it is kept.
+    own = text_col if any(f.name == text_col for f in keep) else free_name(docs, "text")
+    more = [] if own == text_col else [F.col(text_col).alias(own)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, own):
-            languages, shares = shared.value.predict_all(batch.column(own))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(languages, pa.string()), pa.array(shares, pa.float64())], names=[*(f.name for f in keep), "lang_pred", "score"])
+        for batch in cuts(batches, own):
+            languages, shares = shared.value.predict_all(pc.fill_null(batch.column(own), ""))
+            yield pa.RecordBatch.from_arrays([*batch.columns[len(more) :], pa.array(languages, pa.string()), pa.array(shares, pa.float64())], names=[*(f.name for f in keep), "lang_pred", "score"])
 
-    rows = docs.select(F.col(text_col).alias(own), *(f"`{f.name}`" for f in keep))
+    rows = docs.select(*more, *(f"`{f.name}`" for f in keep))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "lang_pred string", "score double"])
     return rows.mapInArrow(run, schema)

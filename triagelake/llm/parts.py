@@ -7,8 +7,11 @@ are views of Arrow's own buffer of the texts, and Arrow finds the distinct ones.
 
 from __future__ import annotations
 
+import gc
+import weakref
 from collections.abc import Callable, Iterator, Sequence
 from itertools import chain, islice
+from typing import ClassVar, Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +31,15 @@ _MAY_BE_WHITE[[0xC285, 0xC2A0, 0x9A80, 0x819F, *range(0x8000, 0x8100)]] = True
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about `most` bytes of a text column at most (or one row), nulls in it as empty texts."""
-    for batch in batches:
-        at = batch.schema.get_field_index(column)
-        texts = pc.fill_null(batch.column(at), "")
-        batch = batch.set_column(at, batch.schema.field(at), texts)
-        ends = _offsets(texts)
-        start = 0
+    for part in cuts(batches, column, most):
+        at = part.schema.get_field_index(column)
+        yield part.set_column(at, part.schema.field(at), pc.fill_null(part.column(at), ""))
+
+
+def cuts(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH) -> Iterator[pa.RecordBatch]:
+    """The batches in such slices as they are, with nulls."""
+    for batch in filter(len, batches):
+        ends, start = _offsets(batch.column(column)), 0
         while start < len(batch):
             stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, side="right")) - 1)
             yield batch.slice(start, stop - start)
@@ -69,7 +75,11 @@ class Lists:
     """Lists of numbers by row, in one flat array."""
 
     def __init__(self, kind: type):
-        self.flat, self.ends = np.zeros(1 << 12, kind), np.zeros(1 << 10, np.int64)
+        self.kind = kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.flat, self.ends = np.zeros(1 << 12, self.kind), np.zeros(1 << 10, np.int64)
 
     def put(self, row: int, lists: Sequence[Sequence[int]]) -> None:
         """Appends lists as rows from `row` on; later rows are forgotten."""
@@ -90,23 +100,46 @@ class Lists:
         return np.frombuffer(found.buffers()[2] or b"", self.flat.dtype, bounds[-1]), bounds
 
 
+class Clearable(Protocol):
+    def clear(self) -> None: ...
+
+
 class Known(dict):
-    """Parts met so far by number. `make(first, parts)` is called for new ones, which get the numbers from `first` on.
+    """Parts met so far by number. When too many are known the later half is forgotten, as frequent ones were met early; so are long ones, once used.
 
-    When too many are known the later half is forgotten, as frequent ones were met early; so are long ones, once used.
+    A worker goes on to other operators' tasks, so only the memory used last is kept in a process: another that is used empties it, with what is
+    held `beside` it by part. Nothing here refers to its owner, so that a memory goes as soon as its owner does.
     """
 
-    def __init__(self, make: Callable[[int, list[bytes]], None], most: int = REMEMBERED):
+    _last: ClassVar[weakref.ref | None] = None
+
+    def __init__(self, *beside: Clearable, most: int = REMEMBERED):
         super().__init__()
-        self.make, self.most, self.kept = make, most, 0
+        self.beside, self.most, self.kept = beside, most, 0
+
+    def empty(self) -> None:
+        self.clear()
+        self.kept = 0
+        for held in self.beside:
+            held.clear()
+
+    def _alone(self) -> None:
+        last = Known._last() if Known._last is not None else None
+        if last is not self:
+            if last is not None:
+                last.empty()
+            Known._last = weakref.ref(self)
+            gc.collect()
+            pa.default_memory_pool().release_unused()
 
     def forget(self, kept: int) -> None:
         for part in list(islice(self, kept, None)):
             del self[part]
         self.kept = kept
 
-    def rows(self, parts: pa.Array) -> np.ndarray:
-        """The number of each part."""
+    def rows(self, parts: pa.Array, make: Callable[[int, list[bytes]], None]) -> np.ndarray:
+        """The number of each part. `make(first, new)` is called for new ones, which get the numbers from `first` on."""
+        self._alone()
         self.forget(self.kept if self.kept <= self.most else self.most // 2)
         coded = parts.dictionary_encode()
         bounds, data = _offsets(coded.dictionary).tolist(), (coded.dictionary.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
@@ -116,7 +149,7 @@ class Known(dict):
             new = [p for p, row in zip(found, rows, strict=True) if row is None]
             new.sort(key=lambda p: len(p) >= LONG)
             first = len(self)
-            self.make(first, new)
+            make(first, new)
             self.update(zip(new, range(first, first + len(new)), strict=True))
             self.kept = first + sum(len(p) < LONG for p in new)
             rows = list(map(self.__getitem__, found))

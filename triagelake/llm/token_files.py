@@ -92,7 +92,8 @@ class Tokens:
         parts = json.loads(self.tokenizer.to_str())
         split = parts["pre_tokenizer"] or {}
         self.splits = parts["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and all(t["special"] for t in parts["added_tokens"])
-        self.lists, self.known = Lists(np.int32), Known(self._encode_parts, 1_000_000)
+        self.lists = Lists(np.int32)
+        self.known = Known(self.lists, most=1_000_000)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -114,7 +115,7 @@ class Tokens:
         """The ids of all texts (none null) one after the other, and where each text's start, with the end."""
         if self.splits:
             parts, before = parts_of(texts)
-            ids, bounds = self.lists.take(self.known.rows(parts))
+            ids, bounds = self.lists.take(self.known.rows(parts, self._encode_parts))
             return ids, bounds[before]
         found = self._encode(texts.to_pylist())
         return np.array([i for ids in found for i in ids], np.int32), np.cumsum([0, *map(len, found)])
