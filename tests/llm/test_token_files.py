@@ -134,3 +134,16 @@ def test_words_of_latin_letters_beside_others():
     texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 8))) for _ in range(1500)]
     ids, starts = token_files.Tokens(file).encode_all(pa.array(texts))
     assert all(ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids for t, a, b in zip(texts, starts, starts[1:]))
+
+
+def test_new_ids_take_the_bits_of_their_class():
+    ids = np.random.default_rng(17).permutation(65_536)
+    blocks = [ids[i : i + 4096] for i in range(0, 65_536, 4096)] + [ids[:1]]
+    streams, sizes = range_coder._encode_new(blocks), np.array(list(map(len, blocks)))
+    found = range_coder._decode_new([np.frombuffer(s, np.uint8) for s in streams], sizes)
+    assert all((row[: len(b)] == b).all() for row, b in zip(found, blocks, strict=True))
+    for stream, block in zip(streams, blocks, strict=True):
+        bits = int(range_coder._CLASS_BITS[range_coder._CLASS[block]].sum())
+        assert len(stream) == (len(block) + (bits + 7) // 8 + 1) // 2 * 2
+    with pytest.raises(ValueError):
+        range_coder._decode_new([np.frombuffer(streams[0], np.uint8)[:-2]], sizes[:1])

@@ -8,14 +8,16 @@ number of different ids that came before its first appearance. Three predictions
 
 The mix is w2 [s = p2] + w1 [s = p1] + w0 f(s), and the rest is for an id that the block has not had. The weights are learnt, a set
 for each pair of confidences and agreement of the two. The new ids of a block, in order, are a stream of their own: they are coded by a
-fixed law that falls with their rank, as the frequencies of a BPE's ids do, and no other step needs to know them.
+fixed law that falls with their rank, as the frequencies of a BPE's ids do, and no other step needs to know them. As the law is fixed, it is that of
+a code of 256 classes of ids, about as likely each: a byte for the class, and then the bits that tell its ids apart.
 
-All blocks of a batch are coded in step, one id of each block at a time, so that numpy does the work. Ranges are
+All slots of a batch of blocks are coded in step, one of each block at a time, so that numpy does the work. Ranges are
 doubles that hold integers below 2^50: sums, products and quotients once rounded down are exact.
 """
 
 from __future__ import annotations
 
+import heapq
 import struct
 import zlib
 
@@ -37,11 +39,25 @@ _LOSS = int(np.full(4, (1 << 16 - _RATE) - 1, np.int16).view(np.int64)[0])
 #: A range is at least _LOW after each id, and below _TOP; digits have 16 bits.
 _LOW, _TOP, _DIGIT = 2.0**32, 2.0**48, 2.0**16
 _STRIDE = BLOCK + 2
-#: Of a coded block: ids, digits of slots, digits of new ids, checksum.
+#: Of a coded block: ids, digits of slots, pairs of bytes of new ids, checksum.
 _HEAD = struct.Struct("<HHHI")
-#: The law of new ids: cumulative frequencies of 2^22 / (id + 64), integers.
-_LAW = np.concatenate(([0], np.cumsum((1 << 22) // (np.arange(IDS, dtype=np.int64) + 64)))).astype(np.float64)
-_LAW_TOTAL = _LAW[-1]
+
+
+def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First id and bits of each class of new ids, and the class of each id: halves of halves of all ids, by the law 1 / (id + 64) the likeliest cut first."""
+    law = np.concatenate(([0], np.cumsum((1 << 22) // (np.arange(IDS, dtype=np.int64) + 64)))).tolist()
+    heap = [(-law[IDS], 0, IDS)]
+    while len(heap) < 256:
+        _, first, size = heapq.heappop(heap)
+        half = size // 2
+        for at in (first, first + half):
+            # One id is not cut.
+            heapq.heappush(heap, (law[at] - law[at + half] if half > 1 else 1, at, half))
+    firsts, sizes = map(np.array, zip(*sorted(x[1:] for x in heap), strict=True))
+    return firsts, np.log2(sizes).astype(np.int64), np.repeat(np.arange(256), sizes).astype(np.uint8)
+
+
+_CLASS_FIRST, _CLASS_BITS, _CLASS = _classes()
 ORDER_2, ORDER_1, ORDER_0, NEW = range(4)
 #: What a follower's entry gains by its confidence, when it was wrong and when it was right.
 _TRUST = np.array([0, -1, -1, -1, 1, 1, 1, 0], np.int16).view(np.uint16)
@@ -50,8 +66,9 @@ _TRUST = np.array([0, -1, -1, -1, 1, 1, 1, 0], np.int16).view(np.uint16)
 class _Model:
     """The state of every lane. `predict` lays out a step's range, `interval` places what is coded there, `learn` takes it."""
 
-    def __init__(self, lanes: int):
-        self.lanes = lanes
+    def __init__(self, lanes: int, *, finds: bool):
+        """finds: whether `find` will be called; else slot_at isn't kept."""
+        self.lanes, self.finds = lanes, finds
         rows = np.arange(lanes, dtype=np.int64)
         self.base, self.row, self.lane = rows * _STRIDE, rows * 32, rows
         #: What followed each context of order 1 and 2: slot * 4 + confidence.
@@ -161,7 +178,8 @@ class _Model:
             known, total = slot[new] + np.uint16(1), self.total[new] + 1
             self.known[new], self.total[new] = known, total
             self.after[self.at[new]] = total
-            self.slot_at[self.base[new] + total.astype(np.int64)] = known
+            if self.finds:
+                self.slot_at[self.base[new] + total.astype(np.int64)] = known
         self.before, self.last = self.last, slot
 
     def refresh(self, slots: np.ndarray, done: int) -> None:
@@ -170,9 +188,10 @@ class _Model:
         counts, first, slot_at = (x[:n].reshape(self.lanes, _STRIDE) for x in (self.counts, self.first, self.slot_at))
         counts[:, :most] += np.bincount((slots + self.lane * most).ravel(), minlength=self.lanes * most).reshape(self.lanes, most).astype(np.uint16)
         first[:, 1 : most + 1] = np.cumsum(counts[:, :most], axis=1, dtype=np.uint16)
-        kinds = np.broadcast_to(np.arange(most, dtype=np.uint16), (self.lanes, most))
-        slot_at[:, :done] = np.repeat(kinds.ravel(), counts[:, :most].ravel()).reshape(self.lanes, done)
-        slot_at[:, done] = self.known
+        if self.finds:
+            kinds = np.broadcast_to(np.arange(most, dtype=np.uint16), (self.lanes, most))
+            slot_at[:, :done] = np.repeat(kinds.ravel(), counts[:, :most].ravel()).reshape(self.lanes, done)
+            slot_at[:, done] = self.known
         self.total[:] = done
 
 
@@ -254,38 +273,51 @@ class _Reader:
         self.span[: len(size)] = size
 
 
-def _order(sizes: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """The lanes by falling size, and how many have an id at each step."""
-    order = np.argsort(-sizes, kind="stable")
-    return order, np.searchsorted(-sizes[order], -np.arange(int(sizes.max())), side="left").tolist()
-
-
-def _encode_new(ids: list[np.ndarray]) -> list[np.ndarray]:
-    """The digits of each block's new ids."""
-    sizes = np.array(list(map(len, ids)))
-    order, active = _order(sizes)
-    coded, table = _Writer(len(ids)), np.zeros((len(ids), len(active)), np.int64)
-    for row, lane in zip(table, order, strict=True):
-        row[: sizes[lane]] = ids[lane]
-    for value, n in zip(np.ascontiguousarray(table.T), active, strict=True):
-        start, r = _LAW.take(value[:n]), np.floor(coded.span[:n] / _LAW_TOTAL)
-        coded.code(r * start, r * (_LAW.take(value[:n] + 1) - start))
-    return [digits for _, digits in sorted(zip(order.tolist(), coded.finish(), strict=True), key=lambda x: x[0])]
+def _bits_at(bits: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the bits of each new id start, and how many bytes those of each block take, which start at a byte."""
+    ends = np.concatenate(([0], np.cumsum(bits)))
+    stops = np.cumsum(sizes)
+    base = ends[stops - sizes]
+    length = ends[stops] - base + 7 >> 3
+    return ends[:-1] + np.repeat(8 * (np.cumsum(length) - length) - base, sizes), length
+
+
+def _encode_new(ids: list[np.ndarray]) -> list[bytes]:
+    """Of each block the classes of its new ids, their bits, and a zero byte if the rest is odd."""
+    sizes, every = np.array(list(map(len, ids))), np.concatenate(ids)
+    kind = _CLASS.take(every)
+    bits = _CLASS_BITS.take(kind)
+    at, length = _bits_at(bits, sizes)
+    # The bits of an id are 16 at most, so they lie in three bytes.
+    window = every - _CLASS_FIRST.take(kind) << 24 - bits - (at & 7)
+    at >>= 3
+    packed = sum(np.bincount(at + i, window >> 16 - 8 * i & 255, int(length.sum()) + 3) for i in range(3)).astype(np.uint8)
+    kinds, packed, out, a, b = kind.tobytes(), packed.tobytes(), [], 0, 0
+    for size, n in zip(sizes.tolist(), length.tolist(), strict=True):
+        out.append(kinds[a : a + size] + packed[b : b + n] + bytes(size + n & 1))
+        a, b = a + size, b + n
+    return out
 
 
-def _decode_new(digits: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+def _decode_new(streams: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     """The new ids of each block, by slot."""
-    order, active = _order(sizes.astype(np.int64))
-    coded, found = _Reader([digits[i] for i in order]), np.zeros((len(active), len(digits)), np.uint16)
-    for row, n in zip(found, active, strict=True):
-        r = np.floor(coded.span[:n] / _LAW_TOTAL)
-        value = np.searchsorted(_LAW, np.fmin(np.floor(coded.value[:n] / r), _LAW_TOTAL - 1), side="right") - 1
-        start = _LAW.take(value)
-        row[:n] = value
-        coded.code(r * start, r * (_LAW.take(value + 1) - start))
+    if any(len(x) < n for x, n in zip(streams, sizes.tolist(), strict=True)):
+        raise ValueError("a block of token ids is damaged")
+    sizes = sizes.astype(np.int64)
+    kind = np.concatenate([x[:n] for x, n in zip(streams, sizes, strict=True)])
+    bits = _CLASS_BITS.take(kind)
+    at, length = _bits_at(bits, sizes)
+    if any(not 0 <= len(x) - n < 2 for x, n in zip(streams, (sizes + length).tolist(), strict=True)):
+        raise ValueError("a block of token ids is damaged")
+    packed = np.concatenate([*(x[n : n + m] for x, n, m in zip(streams, sizes, length, strict=True)), np.zeros(3, np.uint8)]).astype(np.int64)
+    byte = at >> 3
+    window = packed.take(byte) << 16 | packed.take(byte + 1) << 8 | packed.take(byte + 2)
+    window >>= 24 - bits - (at & 7)
+    window &= (1 << bits) - 1
+    window += _CLASS_FIRST.take(kind)
     # Damaged blocks may have slots without an id.
-    ids = np.zeros((len(digits), len(active) + 1), np.uint16)
-    ids[order, :-1] = found.T
+    ids = np.zeros((len(streams), int(sizes.max()) + 1), np.uint16)
+    ids[np.arange(ids.shape[1]) < sizes[:, None]] = window
     return ids
 
 
@@ -311,7 +343,7 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         row[: len(b)], new = _slots(b, seen)
         fresh.append(b[new])
     slots = np.ascontiguousarray(slots.T)
-    model, coded, active, begun = _Model(lanes), _Writer(lanes), lanes, 0
+    model, coded, active, begun = _Model(lanes, finds=False), _Writer(lanes), lanes, 0
     for t, slot in enumerate(slots):
         if length[active - 1] <= t:
             active = int(np.searchsorted(-length, -t, side="left"))
@@ -326,7 +358,7 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         model.learn(part, slot)
     out = []
     for b, of_slots, of_new in zip(blocks, coded.finish(), _encode_new(fresh), strict=True):
-        out.append(_HEAD.pack(len(b), len(of_slots), len(of_new), zlib.crc32(np.asarray(b, "<u4").tobytes())) + of_slots.tobytes() + of_new.tobytes())
+        out.append(_HEAD.pack(len(b), len(of_slots), len(of_new) // 2, zlib.crc32(np.asarray(b, "<u4").tobytes())) + of_slots.tobytes() + of_new)
     return out
 
 
@@ -344,7 +376,7 @@ def decode(records: list[bytes]) -> list[np.ndarray]:
     length = np.array([h[0] for h in heads])
     if length.max() > BLOCK:
         raise ValueError("a block of token ids is damaged")
-    model, slots = _Model(lanes), np.zeros((int(length[0]), lanes), np.uint16)
+    model, slots = _Model(lanes, finds=True), np.zeros((int(length[0]), lanes), np.uint16)
     known = model.known
     coded = _Reader([np.frombuffer(r, ">u2", h[1], _HEAD.size) for r, h in zip(records, heads, strict=True)])
     active, begun = lanes, 0
@@ -360,7 +392,7 @@ def decode(records: list[bytes]) -> list[np.ndarray]:
         coded.code(*model.interval(part, slot))
         row[:active] = slot
         model.learn(part, slot)
-    ids = _decode_new([np.frombuffer(r, ">u2", h[2], _HEAD.size + 2 * h[1]) for r, h in zip(records, heads, strict=True)], known)
+    ids = _decode_new([np.frombuffer(r, np.uint8, 2 * h[2], _HEAD.size + 2 * h[1]) for r, h in zip(records, heads, strict=True)], known)
     out = []
     for own, at, (n, _, _, check) in zip(ids, np.ascontiguousarray(slots.T), heads, strict=True):
         found = own[at[:n]].astype("<u4")

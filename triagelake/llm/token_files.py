@@ -99,11 +99,14 @@ class Tokens:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_parts(self, first: int, parts: list[bytes]) -> None:
-        tokenize, id_of, found, other = self.tokenizer.model.tokenize, attrgetter("id"), [], []
-        for at, text in enumerate(map(bytes.decode, parts)):
+        tokenize, id_of, found, other, stop = self.tokenizer.model.tokenize, attrgetter("id"), [], [], 0
+        # A letter a byte, of all parts at once.
+        letters = charmap_decode(b"".join(parts), "strict", _ALPHABET)[0]
+        for at, part in enumerate(parts):
+            start, stop, text = stop, stop + len(part), part.decode()
             word = text[1:] if text[:1] == " " else text
             if word.isalpha() and (word.isascii() or max(word) <= _LAST_LATIN):
-                found.append(list(map(id_of, tokenize(charmap_decode(parts[at], "strict", _ALPHABET)[0]))))
+                found.append([*map(id_of, tokenize(letters[start:stop]))])
             else:
                 other.append(at)
                 found.append(text)
