@@ -147,3 +147,34 @@ def test_new_ids_take_the_bits_of_their_class():
         assert len(stream) == (len(block) + (bits + 7) // 8 + 1) // 2 * 2
     with pytest.raises(ValueError):
         range_coder._decode_new([np.frombuffer(streams[0], np.uint8)[:-2]], sizes[:1])
+
+
+def test_a_step_takes_an_id_of_each_strand(monkeypatch):
+    steps, predict = [], range_coder._Model.predict
+    monkeypatch.setattr(range_coder._Model, "predict", lambda self, span: (steps.append(len(span)), predict(self, span))[1])
+    block = np.random.default_rng(18).geometric(0.01, range_coder.BLOCK)
+    (coded,) = range_coder.encode([block])
+    assert (range_coder.decode([coded])[0] == block).all()
+    assert len(steps) <= range_coder.BLOCK // 2
+
+
+def test_strands_of_any_length():
+    rng = np.random.default_rng(19)
+    for n in [*range(1, 40), 511, 513, 4095]:
+        # Ids that are new in several strands of one step, and in others after it.
+        for block in (np.full(n, 7), np.arange(n), np.arange(n) % 5, np.repeat(rng.integers(0, 65_536, n), 3)[:n], rng.integers(0, 9, n)):
+            assert (range_coder.decode(range_coder.encode([block]))[0] == block).all()
+            ordered = range_coder._by_steps(block)
+            assert (range_coder._by_strands(ordered) == block).all()
+    blocks = [rng.integers(0, 300, n) for n in (4096, 4096, 4090, 777, 777, 770, 20, 9, 8, 7, 1, 1)]
+    coded = range_coder.encode(blocks)
+    assert all((a == b).all() for a, b in zip(blocks, range_coder.decode(coded), strict=True))
+    assert coded == [range_coder.encode([b])[0] for b in blocks]
+
+
+def test_order_and_parts_over_several_batches_of_blocks(monkeypatch):
+    blocks = [np.random.default_rng(n).integers(0, 99, 200 - n) for n in range(11)]
+    whole = range_coder.encode(blocks)
+    monkeypatch.setattr(range_coder, "AT_ONCE", 3)
+    assert range_coder.encode(blocks) == whole
+    assert all((a == b).all() for a, b in zip(blocks, range_coder.decode(whole), strict=True))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import gc
 import weakref
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import chain, islice
 from typing import ClassVar, Protocol
 
@@ -83,13 +83,17 @@ class Lists:
 
     def put(self, row: int, lists: Sequence[Sequence[int]]) -> None:
         """Appends lists as rows from `row` on; later rows are forgotten."""
-        ends = self.ends[row] + np.cumsum([len(x) for x in lists])
-        while row + len(lists) >= len(self.ends):
+        self.put_flat(row, chain.from_iterable(lists), [len(x) for x in lists])
+
+    def put_flat(self, row: int, flat: Iterable[int], sizes: Sequence[int]) -> None:
+        """The same with the lists one after the other, and their sizes."""
+        ends = self.ends[row] + np.cumsum(sizes)
+        while row + len(sizes) >= len(self.ends):
             self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
         while ends[-1] > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.flat[self.ends[row] : ends[-1]] = np.fromiter(chain.from_iterable(lists), self.flat.dtype, int(ends[-1] - self.ends[row]))
-        self.ends[row + 1 : row + 1 + len(lists)] = ends
+        self.flat[self.ends[row] : ends[-1]] = np.fromiter(flat, self.flat.dtype, int(ends[-1] - self.ends[row]))
+        self.ends[row + 1 : row + 1 + len(sizes)] = ends
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lists of rows one after the other, and where each starts, with the end."""
@@ -104,6 +108,44 @@ class Clearable(Protocol):
     def clear(self) -> None: ...
 
 
+class Short:
+    """Numbers of parts of up to 7 bytes by these bytes and their count as one number, each in one place of a table, from which another may push it.
+
+    Numpy looks many up at once; the parts that aren't found are for a dict.
+    """
+
+    _MIX, _KEPT = np.uint64(0x9E3779B97F4A7C15), np.array([(1 << 8 * n) - 1 for n in range(8)], np.uint64)
+    _SIZE = np.array([n << 56 for n in range(8)], np.uint64)
+
+    def __init__(self, bits: int = 20):
+        self.shift, self.keys, self.rows = np.uint64(64 - bits), np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def keys_of(self, parts: pa.Array) -> np.ndarray:
+        """The number that stands for each part, 0 for longer ones."""
+        offsets = _offsets(parts)
+        data = np.frombuffer((parts.buffers()[2] or pa.py_buffer(b"")).to_pybytes()[offsets[0] : offsets[-1]] + bytes(8), np.uint8)
+        sizes = np.diff(offsets)
+        sizes[sizes > 7] = 0
+        keys = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))[offsets[:-1] - offsets[0]]
+        keys &= self._KEPT.take(sizes)
+        keys |= self._SIZE.take(sizes)
+        return keys
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each part, -1 if it isn't found."""
+        at = (keys * self._MIX >> self.shift).view(np.int64)
+        return np.where((self.keys.take(at) == keys) & (keys != 0), self.rows.take(at), -1)
+
+    def put(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        keys, rows = keys[keys != 0], rows[keys != 0]
+        at = (keys * self._MIX >> self.shift).view(np.int64)
+        self.rows[at], self.keys[at] = rows, keys
+
+    def forget(self, kept: int) -> None:
+        """Numbers from `kept` on stand for nothing."""
+        self.keys[self.rows >= kept] = 0
+
+
 class Known(dict):
     """Parts met so far by number. When too many are known the later half is forgotten, as frequent ones were met early; so are long ones, once used.
 
@@ -113,13 +155,15 @@ class Known(dict):
 
     _last: ClassVar[weakref.ref | None] = None
 
-    def __init__(self, *beside: Clearable, most: int = REMEMBERED):
+    def __init__(self, *beside: Clearable, most: int = REMEMBERED, short: Short | None = None):
         super().__init__()
-        self.beside, self.most, self.kept = beside, most, 0
+        self.beside, self.most, self.kept, self.short = beside, most, 0, short
 
     def empty(self) -> None:
         self.clear()
         self.kept = 0
+        if self.short is not None:
+            self.short.forget(0)
         for held in self.beside:
             held.clear()
 
@@ -136,11 +180,25 @@ class Known(dict):
         for part in list(islice(self, kept, None)):
             del self[part]
         self.kept = kept
+        if self.short is not None:
+            self.short.forget(kept)
 
     def rows(self, parts: pa.Array, make: Callable[[int, list[bytes]], None]) -> np.ndarray:
         """The number of each part. `make(first, new)` is called for new ones, which get the numbers from `first` on."""
         self._alone()
-        self.forget(self.kept if self.kept <= self.most else self.most // 2)
+        if len(self) > self.kept or self.kept > self.most:
+            self.forget(self.kept if self.kept <= self.most else self.most // 2)
+        if self.short is None:
+            return self._rows(parts, make)
+        keys = self.short.keys_of(parts)
+        rows = self.short.find(keys)
+        missed = np.flatnonzero(rows < 0)
+        if len(missed):
+            own = rows[missed] = self._rows(parts.take(pa.array(missed)), make)
+            self.short.put(keys[missed], own)
+        return rows
+
+    def _rows(self, parts: pa.Array, make: Callable[[int, list[bytes]], None]) -> np.ndarray:
         coded = parts.dictionary_encode()
         bounds, data = _offsets(coded.dictionary).tolist(), (coded.dictionary.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
         found = list(map(data.__getitem__, map(slice, bounds, bounds[1:])))

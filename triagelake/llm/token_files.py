@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from triagelake.llm import range_coder
 from triagelake.llm.common import materialise, scratch_path
-from triagelake.llm.parts import Known, Lists, parts_of, slices
+from triagelake.llm.parts import Known, Lists, Short, parts_of, slices
 
 #: Fixed values of the format: what opens and ends a group.
 OPEN, MARK = b"IDS1", b"#END\n"
@@ -39,6 +39,8 @@ _PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _OTHERS = sorted({*range(256)} - _PLAIN)
 _ALPHABET = "".join(chr(b if b in _PLAIN else 0x100 + _OTHERS.index(b)) for b in range(256))
 _LAST_LATIN = "\u024f"
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
 def group_record(partition: int, number: int, docs: list[int | None], sizes: list[int], ids: np.ndarray) -> bytes:
@@ -93,26 +95,31 @@ class Tokens:
         split = parts["pre_tokenizer"] or {}
         self.splits = parts["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and all(t["special"] for t in parts["added_tokens"])
         self.lists = Lists(np.int32)
-        self.known = Known(self.lists, most=1_000_000)
+        self.known = Known(self.lists, most=1_000_000, short=Short())
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_parts(self, first: int, parts: list[bytes]) -> None:
-        tokenize, id_of, found, other, stop = self.tokenizer.model.tokenize, attrgetter("id"), [], [], 0
-        # A letter a byte, of all parts at once.
-        letters = charmap_decode(b"".join(parts), "strict", _ALPHABET)[0]
-        for at, part in enumerate(parts):
-            start, stop, text = stop, stop + len(part), part.decode()
-            word = text[1:] if text[:1] == " " else text
-            if word.isalpha() and (word.isascii() or max(word) <= _LAST_LATIN):
-                found.append([*map(id_of, tokenize(letters[start:stop]))])
-            else:
-                other.append(at)
-                found.append(text)
-        for at, ids in zip(other, self._encode([found[i] for i in other]), strict=True):
-            found[at] = ids
-        self.lists.put(first, found)
+        tokenize, id_of, data = self.tokenizer.model.tokenize, attrgetter("id"), b"".join(parts)
+        stops = np.cumsum([len(p) for p in parts])
+        starts = stops - [len(p) for p in parts]
+        # A letter a byte, of all parts at once; words of ASCII letters are found by their bytes.
+        letters, read = charmap_decode(data, "strict", _ALPHABET)[0], np.frombuffer(data, np.uint8)
+        begin = starts + (read[starts] == 0x20)
+        others = np.concatenate(([0], np.cumsum(~_ASCII_LETTER[read])))
+        words = (others[stops] == others[begin]) & (stops > begin)
+        for at in np.flatnonzero(~words & (np.maximum.reduceat(read, starts) >= 0x80)):
+            text = data[begin[at] : stops[at]].decode()
+            words[at] = text.isalpha() and max(text) <= _LAST_LATIN
+        rest = iter(self._encode([parts[at].decode() for at in np.flatnonzero(~words)]))
+        # One flat list, as many small ones would keep the cyclic collector busy.
+        flat, sizes = [], []
+        for start, stop, word in zip(starts.tolist(), stops.tolist(), words.tolist(), strict=True):
+            ids = [*map(id_of, tokenize(letters[start:stop]))] if word else next(rest)
+            flat += ids
+            sizes.append(len(ids))
+        self.lists.put_flat(first, flat, sizes)
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (none null) one after the other, and where each text's start, with the end."""
