@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.operators import scans, thresholds
+from triagelake.sources.records import written
 
 Keys = Sequence[str]
 #: The pages of a queue: which units they show, and whether the riskiest come first. Mistakes that slipped through are shown most confident first.
@@ -86,12 +87,32 @@ def relative_change(rates: DataFrame, keys: Keys, system: str, base: str, other:
     return rates.groupBy(*keys).agg(of(base).alias("a"), of(other).alias("b")).select(*keys, F.round(100 * (1 - F.try_divide(F.col("b").cast("double"), F.col("a")))).cast("long").alias("percent"))
 
 
-def left_by_budget(items: DataFrame, keys: Keys, order: Sequence[Column | str], cost: str, errors: str, budgets: Sequence[float]) -> DataFrame:
-    """(keys, budget, left): errors that stay when items are checked in order for as long as their cost is within a share of all cost."""
+def left_by_budget(items: DataFrame, keys: Keys, order: Sequence[Column | str], cost: str, errors: str, budgets: Sequence[float], score: str | None = None) -> DataFrame:
+    """(keys, budget, left): errors that stay when items are checked in order for as long as their cost is within a share of all cost. Costs are 0 or more.
+
+    With `score`, the column that `order` begins with, items are summed by it first, and only those of the scores at which a budget ends are put in order.
+    """
     keys = list(keys)
-    total = items.groupBy(*keys).agg(F.sum(cost).alias("__all"))
-    spent = scans.running(items, keys, order, {"__spent": F.col(cost)}).join(total, keys).withColumn("budget", F.explode(F.array(*(F.lit(float(b)) for b in budgets))))
-    return spent.groupBy(*keys, "budget").agg(F.sum(F.when(F.col("__spent") > F.col("budget") * F.col("__all") + 1e-9, F.col(errors)).otherwise(0)).alias("left"))
+    limit = F.col("budget") * F.col("__all") + 1e-9
+    shares = F.explode(F.array(*(F.lit(float(b)) for b in budgets)))
+    gone = lambda spent, lost: F.sum(F.when(spent > limit, F.col(lost)).otherwise(0))
+    if score is None:
+        total = items.groupBy(*keys).agg(F.sum(cost).alias("__all"))
+        spent = scans.running(items, keys, order, {"__spent": F.col(cost)}).join(total, keys).withColumn("budget", shares)
+        return spent.groupBy(*keys, "budget").agg(gone(F.col("__spent"), errors).alias("left"))
+    groups = written(items.groupBy(*keys, score).agg(F.sum(cost).alias("__cost"), F.sum(errors).alias("__errors")))
+    total = groups.groupBy(*keys).agg(F.sum("__cost").alias("__all"))
+    # What is spent before a score and with it: all of its items stay, none, or some.
+    spent = scans.running(groups, keys, [order[0]], {"__upto": F.col("__cost")}).join(total, keys).withColumn("budget", shares)
+    spent = written(spent.withColumn("__before", F.col("__upto") - F.coalesce("__cost", F.lit(0))))
+    whole = spent.groupBy(*keys, "budget").agg(gone(F.col("__before"), "__errors").alias("left"))
+    ends = spent.filter((F.col("__before") <= limit) & (F.col("__upto") > limit)).select(*keys, score, "budget", "__before", "__all")
+    same = lambda names: [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in names]
+    of = lambda df, *more: df.select(*(F.col(c).alias(f"__of_{c}") for c in [*keys, score]), *more)
+    mine = items.join(of(ends).distinct(), same([*keys, score]), "left_semi")
+    near = scans.running(mine, [*keys, score], list(order[1:]), {"__spent": F.col(cost)})
+    some = near.join(of(ends, "budget", "__before", "__all"), same([*keys, score])).groupBy(*keys, "budget").agg(gone(F.col("__before") + F.col("__spent"), errors).alias("left"))
+    return whole.unionByName(some).groupBy(*keys, "budget").agg(F.sum("left").alias("left"))
 
 
 def first_catch_up(whole: DataFrame, own: DataFrame, keys: Keys) -> DataFrame:
